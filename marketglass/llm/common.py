@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -110,9 +111,11 @@ class TypeTable:
         if len(self.index) > self.limit:
             self.reset()
         index = self.index
-        new = [w for w in set(words) if w not in index]
-        if new:
+        out = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
             start = len(index)
+            new = list(dict.fromkeys(words[i] for i in missing))
             index.update(zip(new, range(start, start + len(new))))
             if start + len(new) > len(self.values):
                 grown = np.zeros((max(2 * len(self.values), start + len(new)), self.width), np.float32)
@@ -121,4 +124,38 @@ class TypeTable:
             for at in range(0, len(new), 4096):
                 part = new[at : at + 4096]
                 self.values[start + at : start + at + len(part)] = self.compute(part)
-        return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+            out[missing] = [index[words[i]] for i in missing]
+        return out
+
+
+#: Words handled at once, so that a slice of very long texts costs no more memory than one of short ones.
+GROUP_WORDS = 1 << 17
+
+
+def word_groups(texts: list[str], split: Callable[[str], list[str]]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Words of consecutive texts, at most GROUP_WORDS at once, with the number of the text of each word."""
+    words: list[str] = []
+    owners: list[np.ndarray] = []
+    for k, text in enumerate(texts):
+        new = split(text)
+        for at in range(0, len(new), GROUP_WORDS):
+            part = new[at : at + GROUP_WORDS]
+            if words and len(words) + len(part) > GROUP_WORDS:
+                yield words, np.concatenate(owners)
+                words, owners = [], []
+            words.extend(part)
+            owners.append(np.full(len(part), k))
+    if words:
+        yield words, np.concatenate(owners)
+
+
+def reduce_texts(texts: list[str], split: Callable[[str], list[str]], table: TypeTable, how: np.ufunc, empty: float) -> np.ndarray:
+    """For each text, the values of its words reduced by `how` (np.add or np.maximum); `empty` for texts without words."""
+    out = np.full((len(texts), table.width), empty, np.float64)
+    for words, owners in word_groups(texts, split):
+        rows = table.rows(words)
+        starts = np.flatnonzero(np.diff(owners, prepend=-1))
+        at = owners[starts]
+        part = how.reduceat(table.values[rows], starts, axis=0)
+        out[at] = how(out[at], part) if how is np.maximum else out[at] + part
+    return out

@@ -18,6 +18,8 @@ import numpy as np
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters on which every Unicode version agrees (ASCII without controls, Latin-1 and Latin Extended letters).
 PLAIN = re.compile(r"[\x20-\x7e\nÀ-ÖØ-öø-ſ]+")
+#: Those of them below U+0100, as bytes.
+PLAIN_BYTES = bytes(c for c in range(256) if PLAIN.fullmatch(chr(c)))
 
 
 def byte_letters() -> dict[str, int]:
@@ -33,7 +35,7 @@ class ByteBpe:
     Words are kept with the ids they gave; above `limit` words only the whole tokens stay, so memory is bounded.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         import regex
         import tiktoken
 
@@ -71,46 +73,75 @@ class ByteBpe:
 
         One line feed is put before the text. None for a text that must go through a library whole.
         """
-        if not text or not PLAIN.fullmatch(text) or any(s in text for s in self.special):
+        if not text or not self._plain(text) or any(s in text for s in self.special):
             return None
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
             return None
         return ("\n" + text).replace("\n", " \n")[1:].split(" ")
 
-    def _merge(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word with the line feed or space that stands before it; a space is not an id of its own."""
-        ids = np.asarray(self.merger.encode_ordinary("".join(w if w[0] == "\n" else "\n " + w for w in words)), "<u4")
-        starts = np.flatnonzero(ids == self.line_feed)
-        return np.split(ids, starts[1:])
-
-    def _learn(self, texts: list[list[str] | None], known: dict, whole: dict, value) -> None:
-        new = set().union(*(t for t in texts if t)) - known.keys()
-        if len(known) + len(new) > self.limit:
-            known.clear()
-            new = set().union(*(t for t in texts if t))
-        if not known:
-            known.update(whole)
-            new -= known.keys()
-        if new:
-            words = list(new)
-            known.update(zip(words, map(value, words, self._merge(words))))
+    @staticmethod
+    def _plain(text: str) -> bool:
+        try:
+            return not text.encode("latin-1").translate(None, PLAIN_BYTES)
+        except UnicodeEncodeError:
+            return PLAIN.fullmatch(text) is not None
+
+    def _merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and where each begins: with its line feed, or with one line feed that stands before its space."""
+        ids = np.asarray(self.merger.encode_ordinary("".join(w if w[:1] == "\n" else "\n " + w for w in words)), "<u4")
+        return ids, np.append(np.flatnonzero(ids == self.line_feed), len(ids))
 
     def _library_ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids if text else [], "<u4")
 
     def count_all(self, texts: list[str]) -> list[int]:
-        words = [self._words(t) for t in texts]
-        known = self.counts
-        whole = {s[1:]: 1 for s in self.whole if s[0] == " " and len(s) > 1} | {"\n" + s: 2 for s in self.whole if s[0] not in " \n"}
-        self._learn(words, known, whole if not known else {}, lambda w, ids: len(ids) - (w[0] != "\n"))
-        return [sum(map(known.__getitem__, w)) - 1 if w else len(self._library_ids(t)) for t, w in zip(texts, words)]
+        if not self.counts or len(self.counts) > self.limit:
+            self.counts = {s[1:]: 1 for s in self.whole if s[0] == " " and len(s) > 1} | {"\n" + s: 2 for s in self.whole if s[0] not in " \n"}
+        known, out, later, new = self.counts, [], [], {}
+        for text in texts:
+            words = self._words(text)
+            if words is None:
+                out.append(len(self._library_ids(text)))
+                continue
+            found = list(map(known.get, words))
+            out.append(sum(filter(None, found)) - 1)
+            if None in found:
+                missing = [w for w, n in zip(words, found) if n is None]
+                new.update(dict.fromkeys(missing))
+                later.append((len(out) - 1, missing))
+        if new:
+            words = list(new)
+            _, starts = self._merge(words)
+            known.update((w, n - (w[:1] != "\n")) for w, n in zip(words, np.diff(starts).tolist()))
+            for at, missing in later:
+                out[at] += sum(map(known.__getitem__, missing))
+        return out
 
     def ids_all(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids as unsigned 32-bit little-endian integers."""
-        words = [self._words(t) for t in texts]
-        known = self.packed
-        self._learn(words, known, {}, lambda w, ids: (ids if w[0] == "\n" else ids[1:]).tobytes())
-        return [np.frombuffer(b"".join(map(known.__getitem__, w)), "<u4")[1:] if w else self._library_ids(t) for t, w in zip(texts, words)]
+        if len(self.packed) > self.limit:
+            self.packed = {}
+        known, out, new = self.packed, [], {}
+        for text in texts:
+            words = self._words(text)
+            if words is None:
+                out.append(self._library_ids(text))
+                continue
+            found = list(map(known.get, words))
+            missing = [i for i, b in enumerate(found) if b is None] if None in found else []
+            new.update((words[i], None) for i in missing)
+            out.append((found, [(i, words[i]) for i in missing]))
+        if new:
+            words = list(new)
+            ids, starts = self._merge(words)
+            packed, at = ids.tobytes(), (starts * 4).tolist()
+            known.update((w, packed[a + 4 * (w[:1] != "\n") : b]) for w, a, b in zip(words, at, at[1:]))
+        for k, x in enumerate(out):
+            if isinstance(x, tuple):
+                for i, w in x[1]:
+                    x[0][i] = known[w]
+                out[k] = np.frombuffer(b"".join(x[0]), "<u4")[1:]
+        return out
 
 
 _loaded: dict[str, ByteBpe] = {}
