@@ -187,7 +187,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     grouped = root.join(least, "fp")
     ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     wide = root.join(ids, "root").select("fp", "component_id")
-    every = least.join(wide, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Written first: adaptive execution can then split the join below where very many rows share a fingerprint.
+    every = common.materialize(least.join(wide, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return rows.join(every, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
