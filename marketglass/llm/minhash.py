@@ -1,13 +1,12 @@
 """MinHash document fingerprints: universal hash permutations over word shingles, in vectorised numpy.
 
-A permutation is x -> a x + b mod 2^32 with odd a, over 32-bit shingle hashes. A fingerprint keeps the low 16 bits of
-each minimum. Bands of a signature are joined in Spark to find near-duplicates, which are verified by the exact Jaccard
+A permutation is x -> a x + b mod 2^32 with odd a, over 32-bit shingle hashes. A fingerprint keeps the low 8 bits of
+each minimum (b-bit minwise hashing). Bands of a signature are joined in Spark to find near-duplicates, which are verified by the exact Jaccard
 similarity of the shingle sets.
 """
 
 from __future__ import annotations
 
-import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -55,13 +54,14 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def digest(sig: np.ndarray) -> str:
-    return base64.b64encode((sig & np.uint32(0xFFFF)).astype("<u2").tobytes()).decode()
+def digest(sig: np.ndarray) -> bytes:
+    return sig.astype(np.uint8).tobytes()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated Jaccard similarity; 1 for two empty texts."""
-    return float((a.astype(np.uint16) == b.astype(np.uint16)).mean())
+    """Jaccard similarity estimated from two fingerprints, less what chance gives (1/256 of equal bytes); 1 for two empty texts."""
+    same = float((a.astype(np.uint8) == b.astype(np.uint8)).mean())
+    return max(0.0, (same - 1 / 256) / (1 - 1 / 256))
 
 
 def edited(text: str, following: str) -> str:
@@ -71,7 +71,7 @@ def edited(text: str, following: str) -> str:
 
 
 COLUMNS = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def compare(text: str, sig: np.ndarray, following: str, next_sig: np.ndarray) -> tuple:
@@ -95,7 +95,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_t", F.xxhash64("text"))
     ranged = ranged.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "_t").sortWithinPartitions("doc_id", "_t")
     names = ["part", "edge", "doc_id", "text", *COLUMNS]
-    types = [pa.int32(), pa.string(), None, pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    types = [pa.int32(), pa.string(), None, pa.string(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -135,7 +135,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     def batch_empty(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([], t) for t in types[4:])], ["doc_id", *COLUMNS])
 
-    return done.filter("edge is null").select("doc_id", *COLUMNS).unionByName(common.map_slices(pairs, stitch, f"doc_id {kind}, {SCHEMA}"))
+    every = done.filter("edge is null").select("doc_id", *COLUMNS).unionByName(common.map_slices(pairs, stitch, f"doc_id {kind}, {SCHEMA}"))
+    return every.withColumns({c: F.base64(c) for c in ("fingerprint", "edited_fingerprint")})
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
