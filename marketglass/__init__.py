@@ -1 +1 @@
-"""marketglass: retail price intelligence as Spark DataFrames."""
+"""Retail price intelligence on Spark: catalog, prices, competitors, sales, alerts and matching as DataFrame functions."""

@@ -1 +1,4 @@
+"""Registered queries over the test tables, and their SQL."""
 
+from . import business_queries, catalog_queries, price_queries  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
