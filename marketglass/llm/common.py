@@ -48,15 +48,19 @@ def crc_mod(doc_id: str | Column, n: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, key: str, order: Column, n: int) -> DataFrame:
-    """At most n rows of each value of key, by the hash in `order`.
+    """At most n rows of each value of key (never null), by the hash in `order`.
 
-    Keys with many rows are thinned by that hash first, so that no window task receives a whole key.
+    The driver gets one count a key, which must be few (labels, languages). Keys with many rows are thinned by the
+    hash where the rows are read, so no exchange and no window task receives a whole key.
     """
     scale = 1 << 20
-    share = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).select(key, F.least(F.lit(1.0), F.lit(1.5 * n + 50) / F.col("_n")).alias("_share"))
-    thin = df.withColumn("_h", order).join(share, key).filter(F.pmod(F.col("_h"), F.lit(scale)) < F.col("_share") * scale)
+    shares = [(k, min(1.0, (1.5 * n + 50) / c)) for k, c in df.groupBy(key).agg(F.count(F.lit(1))).collect()]
+    share = F.lit(0.0)
+    for k, s in shares:
+        share = F.when(F.col(key) == F.lit(k), F.lit(s)).otherwise(share)
+    thin = df.withColumn("_h", order).filter(F.pmod(F.col("_h"), F.lit(scale)) < share * scale)
     rank = F.row_number().over(Window.partitionBy(key).orderBy("_h"))
-    return thin.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_h", "_rank", "_share")
+    return thin.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_h", "_rank")
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, usable: Column, per_class: int, max_chars: int) -> tuple[list[str], np.ndarray]:
