@@ -20,7 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Drops documents that the quality classifier rejects."""
     model = quality.fit(docs, common.read(spark, sf_dir, "labels"))
     rest = [c for c in docs.columns if c != "doc_id"]
-    return quality.classify(docs, model, *rest).filter("predicted = 1").select(*docs.columns)
+    score = common.fresh("quality_score", docs.columns)
+    return quality.classify(docs, model, *rest, score=score).filter(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

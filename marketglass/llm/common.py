@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import repeat
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -163,3 +164,18 @@ def reduce_texts(texts: list[str], split: Callable[[str], list[str]], table: Typ
         part = how.reduceat(table.values[rows], starts, axis=0)
         out[at] = how(out[at], part) if how is np.maximum else out[at] + part
     return out
+
+
+def table_of(model: Any, width: int) -> TypeTable:
+    """The model's table of word values in this Python worker; it lives and dies with the model."""
+    if not hasattr(model, "_table"):
+        model._table = TypeTable(model.of_words, width)
+    return model._table
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """name with as many underscores in front as make it differ from all columns, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

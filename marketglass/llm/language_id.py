@@ -145,9 +145,6 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = MAX_
     return Model(list(rows["text"]), list(rows["lang"]))
 
 
-_tables: dict[int, common.TypeTable] = {}
-
-
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred (a learned language, or und) and score (its mean probability over the words) of every row.
 
@@ -160,10 +157,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = sent.value
-        if id(m) not in _tables:
-            _tables.clear()
-            _tables[id(m)] = common.TypeTable(m.of_words, max(1, len(m.languages)) + 1)
-        names, score = m.predict(batch.column(1).to_pylist(), _tables[id(m)])
+        names, score = m.predict(batch.column(1).to_pylist(), common.table_of(m, max(1, len(m.languages)) + 1))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

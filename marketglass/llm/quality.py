@@ -20,6 +20,8 @@ TERMS = 1 << 13
 RANK = 48
 NEIGHBOURS = 15
 POWER = 8
+#: Scores from here on are label 1.
+THRESHOLD = 0.3
 #: Bounds of the labelled sample: texts of each label, characters of a text.
 PER_LABEL = 1500
 MAX_CHARS = 20_000
@@ -60,6 +62,9 @@ class Model:
         labels = np.asarray(labels)
         self.prior = float(labels.mean()) if len(labels) else 0.5
         self.labels = labels.astype(np.float32)
+        self.vectors, self.labelled = np.zeros((TERMS, RANK), np.float32), np.zeros((0, RANK), np.float32)
+        if not texts:
+            return
         a = np.zeros((len(texts), TERMS), np.float32)
         for k, text in enumerate(texts):
             words = text.split()
@@ -79,7 +84,7 @@ class Model:
         vectors = np.zeros((TERMS, RANK), np.float32)
         vectors[:, : min(rank, len(vt))] = vt[:rank].T
         self.vectors = vectors * self.idf[:, None]
-        self.labelled = self.unit(a @ (vectors)) if len(texts) else np.zeros((0, RANK), np.float32)
+        self.labelled = self.unit(a @ vectors)
 
     @staticmethod
     def unit(x: np.ndarray) -> np.ndarray:
@@ -110,11 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_char
     return Model(*common.labelled_texts(docs, labels, "quality", common.crc_mod("doc_id", 5) != 0, per_label, max_chars))
 
 
-_tables: dict[int, common.TypeTable] = {}
-
-
-def classify(docs: DataFrame, model: Model, *keep: str, threshold: float = 0.3) -> DataFrame:
-    """The columns `keep`, doc_id, score (0 to 1, higher: label 1 likelier) and predicted (score >= threshold) of every row.
+def classify(docs: DataFrame, model: Model, *keep: str, score: str = "score") -> DataFrame:
+    """doc_id, the columns `keep` and the score (0 to 1, higher: label 1 likelier; in column `score`) of every row.
 
     A map over the rows. Null and empty texts, and any text when nothing was labelled, get the labelled sample's
     share of label 1 (0.5 without a sample). Rows that repeat are scored each; a null doc_id stays null.
@@ -126,18 +128,14 @@ def classify(docs: DataFrame, model: Model, *keep: str, threshold: float = 0.3)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = sent.value
-        if id(m) not in _tables:
-            _tables.clear()
-            _tables[id(m)] = common.TypeTable(m.of_words, RANK)
-        s = m.scores([t or "" for t in batch.column(at).to_pylist()], _tables[id(m)])
-        return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(s)], [*names, "score"])
+        s = m.scores([t or "" for t in batch.column(at).to_pylist()], common.table_of(m, RANK))
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(s)], [*names, score])
 
-    kinds = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in names)
-    out = common.map_slices(docs.select(*sent_names), run, f"{kinds}, score double")
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
+    return common.map_slices(docs.select(*sent_names), run, f"{kinds}, {score} double")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels")
     scored = classify(docs, fit(docs, labels))
-    return scored.select("doc_id", (common.crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", (common.crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

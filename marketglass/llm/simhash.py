@@ -202,9 +202,10 @@ def representatives(docs: DataFrame, radius: int = 4) -> DataFrame:
     # component_id names the component, but for those without any id, which their fingerprint tells apart.
     part = F.when(F.col("component_id").isNull(), F.col("fp"))
     keep = found.groupBy("component_id", part.alias("_p")).agg(F.min(id_or_last).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
-    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = hashed.alias("d").join(keep.distinct().alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k._id")) & (F.col("d._hash") == F.col("k._hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    h = common.fresh("text_hash", docs.columns)
+    hashed = docs.withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = hashed.alias("d").join(keep.distinct().alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k._id")) & (F.col(f"d.{h}") == F.col("k._hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", h]).select(*docs.columns)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
