@@ -35,16 +35,16 @@ def compact(normalized: Column) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Longest-matching-blocks ratio of two normalised texts: 1 if equal, 0 if either is empty."""
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(_ratio(a, b))
+    """Longest-matching-blocks ratio of two normalised texts: 1 if equal, 0 if either is empty or null."""
+    return F.when(a.isNull() | b.isNull() | (a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(_ratio(a, b))
 
 
 def name_similarity(title: Column, name: Column) -> Column:
     """The largest of the sequence ratio, the share of the name's tokens in the title, and 1 if the title holds the name."""
     tokens = F.array_distinct(F.filter(F.split(name, " "), lambda t: t != ""))
     share = F.coalesce(F.try_divide(F.size(F.array_intersect(tokens, F.split(title, " "))), F.size(tokens)), F.lit(0.0))
-    inside = F.when((name != "") & F.contains(title, name), 1.0).otherwise(0.0)
-    return F.greatest(similarity(title, name), share, inside)
+    inside = (name != "") & F.contains(title, name)
+    return F.when(inside, 1.0).otherwise(F.greatest(similarity(F.when(~inside, title), name), share))
 
 
 def slug_base(c: Column, default: str = "organization") -> Column:

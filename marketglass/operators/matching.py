@@ -17,22 +17,28 @@ def match(items: DataFrame, variants: DataFrame) -> DataFrame:
     """The best variant of each item: item_id, product_id, confidence, status (matched, ambiguous, unmatched).
 
     items: item_id, title, brand (null or unknown brands match all). variants: product_id, name, brand, storage_gb.
-    Candidates are blocked by brand, an equi join; items of no known brand are compared with every variant, which
-    are broadcast only if Spark's own size limit allows. Attributes that an item doesn't name don't count.
+    Candidates are blocked by brand, an equi join; items of no known brand are compared with every name. Names are
+    scored once for each distinct pair of title and name, and only pairs that can identify a product meet variants.
+    Attributes that an item doesn't name don't count.
     """
     ram, rom = memory(F.col("title"))
     i = items.withColumns({"t": normalize(F.col("title")), "b": normalize(F.col("brand")), "ram": ram, "rom": rom})
     v = variants.withColumns({"n": normalize(F.col("name")), "vb": normalize(F.col("brand"))}).drop("brand", "name")
     known = v.select(F.col("vb").alias("b")).distinct().withColumn("known", F.lit(True))
     i = i.join(known, "b", "left")
-    near = i.filter("known").join(v, F.col("b") == F.col("vb"))
-    far = i.filter("known is null").join(v)
-    c = near.unionByName(far)
-    name = name_similarity(F.col("t"), F.col("n"))
-    c = c.withColumn("name_score", name).withColumn("model_score", F.when(F.contains(compact(F.col("t")), compact(F.col("n"))), 1.0).otherwise(similarity(F.col("t"), F.col("n"))))
+    titles = i.select("t", "b", "known").distinct()
+    near = titles.filter("known").join(v.select(F.col("vb").alias("b"), "n").distinct(), "b").select("t", "b", "n")
+    far = titles.filter("known is null").join(v.select("n").distinct()).select("t", "b", "n")
+    # Few bytes but much work a row: a fixed number of partitions keeps adaptive execution from merging them.
+    pairs = near.unionByName(far).repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t", "n")
+    inside = F.contains(compact(F.col("t")), compact(F.col("n")))
+    # Sequences are compared only where containment doesn't settle the score.
+    model = F.when(inside, 1.0).otherwise(similarity(F.when(~inside, F.col("t")), F.col("n")))
+    pairs = pairs.withColumn("name_score", name_similarity(F.col("t"), F.col("n"))).withColumn("model_score", model)
+    pairs = pairs.filter((F.col("name_score") >= LEAST_NAME) | (F.col("model_score") >= LEAST_MODEL))
+    c = i.join(pairs, ["t", "b"]).join(v, "n").filter(F.col("known").isNull() | (F.col("b") == F.col("vb")))
     storage = F.col("rom").isNotNull()
     c = c.filter(~(storage & F.col("storage_gb").isNotNull() & (F.col("rom") != F.col("storage_gb"))))
-    c = c.filter((F.col("name_score") >= LEAST_NAME) | (F.col("model_score") >= LEAST_MODEL))
     said = F.col("b") != ""
     points = NAME * F.col("name_score") + MODEL * F.col("model_score") + F.when(said & (F.col("b") == F.col("vb")), BRAND).otherwise(0) + F.when(storage & (F.col("rom") == F.col("storage_gb")), STORAGE).otherwise(0)
     most = NAME + MODEL + F.when(said, BRAND).otherwise(0) + F.when(storage, STORAGE).otherwise(0)
