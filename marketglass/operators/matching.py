@@ -36,7 +36,9 @@ def match(items: DataFrame, variants: DataFrame) -> DataFrame:
     model = F.when(inside, 1.0).otherwise(similarity(F.when(~inside, F.col("t")), F.col("n")))
     pairs = pairs.withColumn("name_score", name_similarity(F.col("t"), F.col("n"))).withColumn("model_score", model)
     pairs = pairs.filter((F.col("name_score") >= LEAST_NAME) | (F.col("model_score") >= LEAST_MODEL))
-    c = i.join(pairs, ["t", "b"]).join(v, "n").filter(F.col("known").isNull() | (F.col("b") == F.col("vb")))
+    found = i.join(pairs, ["t", "b"])
+    c_near = found.filter("known").join(v.withColumn("b", F.col("vb")), ["n", "b"])
+    c = c_near.unionByName(found.filter("known is null").join(v, "n"))
     storage = F.col("rom").isNotNull()
     c = c.filter(~(storage & F.col("storage_gb").isNotNull() & (F.col("rom") != F.col("storage_gb"))))
     said = F.col("b") != ""
