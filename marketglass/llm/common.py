@@ -166,11 +166,14 @@ def reduce_texts(texts: list[str], split: Callable[[str], list[str]], table: Typ
     return out
 
 
+_current: list = [None, None]
+
+
 def table_of(model: Any, width: int) -> TypeTable:
-    """The model's table of word values in this Python worker; it lives and dies with the model."""
-    if not hasattr(model, "_table"):
-        model._table = TypeTable(model.of_words, width)
-    return model._table
+    """The table of word values of the model that this Python worker uses now; an earlier model's table is let go."""
+    if _current[0] is not model:
+        _current[:] = [model, TypeTable(model.of_words, width)]
+    return _current[1]
 
 
 def fresh(name: str, columns: list[str]) -> str:
