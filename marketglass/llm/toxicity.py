@@ -37,26 +37,31 @@ SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
 JUNK = re.compile(r"[^\w]+|_+")
 
 
+def windows_of(word: str) -> list[str]:
+    """The word, or overlapping windows of a long one that leave none of its characters out."""
+    return [word] if len(word) <= LENGTH else [word[i : i + LENGTH] for i in range(0, len(word) - OVERLAP, LENGTH - OVERLAP)]
+
+
 def words_of(text: str) -> list[str]:
-    """Lower-case words without the marks around and within them; runs of single characters are joined; long ones are cut in windows."""
+    """Lower-case words without the marks around and within them; runs of single characters are joined, over tokens
+    of marks alone; long words and long runs are cut in windows. Words and runs of one or two characters are left out."""
     out: list[str] = []
     lone: list[str] = []
     for w in text.lower().split():
         if not w.isalnum():
             w = JUNK.sub("", w)
-        if len(w) == 1:
-            lone.append(w)
+        if len(w) < 2:
+            if w:
+                lone.append(w)
             continue
         if lone:
             if len(lone) > 2:
-                out.append("".join(lone[:LENGTH]))
+                out += windows_of("".join(lone))
             lone = []
-        if 2 < len(w) <= LENGTH:
-            out.append(w)
-        elif len(w) > LENGTH:
-            out += [w[i : i + LENGTH] for i in range(0, len(w) - OVERLAP, LENGTH - OVERLAP)]
+        if len(w) > 2:
+            out += windows_of(w)
     if len(lone) > 2:
-        out.append("".join(lone[:LENGTH]))
+        out += windows_of("".join(lone))
     return out
 
 
