@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,10 +40,31 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull() | (a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(_ratio(a, b))
 
 
+@F.pandas_udf(T.DoubleType())
+def ratio_bound(a: pd.Series, b: pd.Series) -> pd.Series:
+    """An upper bound of the sequence ratio of two normalised texts: by the characters that both hold, as often."""
+
+    def counts(s: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        at, unique = pd.factorize(s)
+        out = np.zeros((len(unique), 256), np.int32)
+        for k, x in enumerate(unique):
+            out[k] = np.bincount(np.frombuffer(x.encode("latin-1", "replace"), np.uint8), minlength=256)
+        return at, out[:, [32, *range(48, 58), *range(97, 123)]]
+
+    (i, x), (j, y) = counts(a), counts(b)
+    both = np.concatenate([np.minimum(x[i[k : k + 4096]], y[j[k : k + 4096]]).sum(axis=1) for k in range(0, len(i), 4096)]) if len(i) else np.zeros(0)
+    return pd.Series(2.0 * both / np.maximum(1, a.str.len() + b.str.len()).to_numpy())
+
+
+def token_share(title: Column, name: Column) -> Column:
+    """Share of the name's distinct tokens that the title holds; 0 for a name of none."""
+    tokens = F.array_distinct(F.filter(F.split(name, " "), lambda t: t != ""))
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(tokens, F.split(title, " "))), F.size(tokens)), F.lit(0.0))
+
+
 def name_similarity(title: Column, name: Column) -> Column:
     """The largest of the sequence ratio, the share of the name's tokens in the title, and 1 if the title holds the name."""
-    tokens = F.array_distinct(F.filter(F.split(name, " "), lambda t: t != ""))
-    share = F.coalesce(F.try_divide(F.size(F.array_intersect(tokens, F.split(title, " "))), F.size(tokens)), F.lit(0.0))
+    share = token_share(title, name)
     inside = (name != "") & F.contains(title, name)
     return F.when(inside, 1.0).otherwise(F.greatest(similarity(F.when(~inside, title), name), share))
 

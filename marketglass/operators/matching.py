@@ -6,18 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import compact, memory, name_similarity, normalize, similarity
+from ..functions.text import compact, memory, name_similarity, normalize, ratio_bound, similarity, token_share
 
 #: Weights of the attributes, and the rules' limits.
 NAME, BRAND, MODEL, RAM, STORAGE = 35, 20, 20, 10, 10
 THRESHOLD, MARGIN, LEAST_NAME, LEAST_MODEL = 75, 8, 0.65, 0.90
 
 
+def reachable(titles: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs of titles (t) and names (n) that can identify a product, each once, by equi joins: those that share a
+    word, names whose letters the title may hold (by their first three), and, for what only the sequence ratio
+    reaches, lengths in which LEAST_NAME is possible: 2 * shorter / (shorter + longer) is the most."""
+    n, t = names.filter("n != ''"), titles.filter("t != ''")
+    c = compact(F.col("t"))
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.array(*(F.substring(c, i, F.lit(k)) for k in (1, 2, 3)))))
+    by_word = t.withColumn("k", F.explode(F.array_distinct(F.split("t", " ")))).join(n.withColumn("k", F.explode(F.array_distinct(F.split("n", " ")))), "k")
+    by_start = t.withColumn("k", F.explode(F.array_distinct(grams))).join(n.withColumn("k", F.substring(compact(F.col("n")), 1, 3)), "k")
+    least = LEAST_NAME / (2 - LEAST_NAME)
+    lengths = F.sequence(F.ceil(F.length("t") * least - 1e-6), F.floor(F.length("t") / least + 1e-6))
+    by_length = t.withColumn("k", F.explode(lengths)).join(n.withColumn("k", F.length("n").cast("long")), "k").filter(ratio_bound(F.col("t"), F.col("n")) >= LEAST_NAME)
+    return by_word.drop("k").unionByName(by_start.drop("k")).unionByName(by_length.drop("k")).distinct()
+
+
 def match(items: DataFrame, variants: DataFrame) -> DataFrame:
     """The best variant of each item: item_id, product_id, confidence, status (matched, ambiguous, unmatched).
 
     items: item_id, title, brand (null or unknown brands match all). variants: product_id, name, brand, storage_gb.
-    Candidates are blocked by brand, an equi join; items of no known brand are compared with every name. Names are
+    Candidates are blocked by brand, an equi join; items of no known brand meet the names they can reach. Names are
     scored once for each distinct pair of title and name, and only pairs that can identify a product meet variants.
     Attributes that an item doesn't name don't count.
     """
@@ -28,10 +43,12 @@ def match(items: DataFrame, variants: DataFrame) -> DataFrame:
     i = i.join(known, "b", "left")
     titles = i.select("t", "b", "known").distinct()
     near = titles.filter("known").join(v.select(F.col("vb").alias("b"), "n").distinct(), "b").select("t", "b", "n")
-    far = titles.filter("known is null").join(v.select("n").distinct()).select("t", "b", "n")
+    far = reachable(titles.filter("known is null"), v.select("n").distinct()).select("t", "b", "n")
     # Few bytes but much work a row: a fixed number of partitions keeps adaptive execution from merging them.
     pairs = near.unionByName(far).repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t", "n")
-    inside = F.contains(compact(F.col("t")), compact(F.col("n")))
+    inside = (F.col("n") != "") & F.contains(compact(F.col("t")), compact(F.col("n")))
+    # Sequences are compared only where the pair can pass the filter below.
+    pairs = pairs.filter(inside | (token_share(F.col("t"), F.col("n")) >= LEAST_NAME) | (ratio_bound(F.col("t"), F.col("n")) >= LEAST_NAME))
     # Sequences are compared only where containment doesn't settle the score.
     model = F.when(inside, 1.0).otherwise(similarity(F.when(~inside, F.col("t")), F.col("n")))
     pairs = pairs.withColumn("name_score", name_similarity(F.col("t"), F.col("n"))).withColumn("model_score", model)

@@ -204,7 +204,7 @@ def assistant_context(spark, d):
 @query()
 def match_products(spark, d):
     p = t.products(spark, d)
-    items = p.filter("product_id % 4 = 0").select(F.col("product_id").alias("item_id"), F.concat_ws(" ", "name", "brand", F.concat(F.col("storage_gb").cast("string"), F.lit("gb"))).alias("title"), "brand")
+    items = p.select(F.col("product_id").alias("item_id"), F.concat_ws(" ", "name", "brand", F.concat(F.col("storage_gb").cast("string"), F.lit("gb"))).alias("title"), "brand")
     return matching.match(items, p.filter("is_active").select("product_id", "name", "brand", "storage_gb"))
 
 
