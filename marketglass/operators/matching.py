@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.text import compact, memory, name_similarity, normalize, ratio_bound, similarity, token_share
 
 #: Weights of the attributes, and the rules' limits.
-NAME, BRAND, MODEL, RAM, STORAGE = 35, 20, 20, 10, 10
+NAME, BRAND, MODEL, RAM, STORAGE, COLOR = 35, 20, 20, 10, 10, 5
 THRESHOLD, MARGIN, LEAST_NAME, LEAST_MODEL = 75, 8, 0.65, 0.90
 
 
@@ -31,7 +31,9 @@ def reachable(titles: DataFrame, names: DataFrame) -> DataFrame:
 def match(items: DataFrame, variants: DataFrame) -> DataFrame:
     """The best variant of each item: item_id, product_id, confidence, status (matched, ambiguous, unmatched).
 
-    items: item_id, title, brand (null or unknown brands match all). variants: product_id, name, brand, storage_gb.
+    items: item_id, title, brand (null or unknown brands match all). variants: product_id, name, brand, storage_gb,
+    and ram_gb and color where the catalog has them (a column that it lacks doesn't count). A known RAM or storage other
+    than the title's rejects a variant. The color that a title names is the only one of its brand's that it holds.
     Candidates are blocked by brand, an equi join; items of no known brand meet the names they can reach. Names are
     scored once for each distinct pair of title and name, and only pairs that can identify a product meet variants.
     Attributes that an item doesn't name don't count.
@@ -39,8 +41,20 @@ def match(items: DataFrame, variants: DataFrame) -> DataFrame:
     ram, rom = memory(F.col("title"))
     i = items.withColumns({"t": normalize(F.col("title")), "b": normalize(F.col("brand")), "ram": ram, "rom": rom})
     v = variants.withColumns({"n": normalize(F.col("name")), "vb": normalize(F.col("brand"))}).drop("brand", "name")
+    v = v.withColumns({c: F.lit(None).cast(kind) for c, kind in (("ram_gb", "int"), ("color", "string")) if c not in variants.columns})
+    v = v.withColumn("color", normalize(F.col("color")))
     known = v.select(F.col("vb").alias("b")).distinct().withColumn("known", F.lit(True))
     i = i.join(known, "b", "left")
+    if "ram_gb" not in variants.columns:
+        i = i.withColumn("ram", F.lit(None).cast("int"))
+    i = i.withColumn("shade", F.lit(None).cast("string"))
+    if "color" in variants.columns:
+        shades = v.filter("color != ''").select(F.col("vb").alias("b"), "color").distinct()
+        own = shades.groupBy("b").agg(F.collect_set("color").alias("own"))
+        every = shades.agg(F.collect_set("color").alias("every"))
+        i = i.join(own, "b", "left").join(F.broadcast(every))
+        held = F.filter(F.when(F.col("known"), F.col("own")).otherwise(F.col("every")), lambda c: F.contains(compact(F.col("t")), compact(c)))
+        i = i.withColumn("shade", F.when(F.size(held) == 1, held[0])).drop("own", "every")
     titles = i.select("t", "b", "known").distinct()
     near = titles.filter("known").join(v.select(F.col("vb").alias("b"), "n").distinct(), "b").select("t", "b", "n")
     far = reachable(titles.filter("known is null"), v.select("n").distinct()).select("t", "b", "n")
@@ -58,9 +72,14 @@ def match(items: DataFrame, variants: DataFrame) -> DataFrame:
     c = c_near.unionByName(found.filter("known is null").join(v, "n"))
     storage = F.col("rom").isNotNull()
     c = c.filter(~(storage & F.col("storage_gb").isNotNull() & (F.col("rom") != F.col("storage_gb"))))
+    memory_said = F.col("ram").isNotNull()
+    c = c.filter(~(memory_said & F.col("ram_gb").isNotNull() & (F.col("ram") != F.col("ram_gb"))))
+    shade = F.col("shade").isNotNull()
     said = F.col("b") != ""
     points = NAME * F.col("name_score") + MODEL * F.col("model_score") + F.when(said & (F.col("b") == F.col("vb")), BRAND).otherwise(0) + F.when(storage & (F.col("rom") == F.col("storage_gb")), STORAGE).otherwise(0)
+    points += F.when(memory_said & (F.col("ram") == F.col("ram_gb")), RAM).otherwise(0) + F.when(shade, COLOR * similarity(F.col("shade"), F.col("color"))).otherwise(0)
     most = NAME + MODEL + F.when(said, BRAND).otherwise(0) + F.when(storage, STORAGE).otherwise(0)
+    most += F.when(memory_said, RAM).otherwise(0) + F.when(shade, COLOR).otherwise(0)
     c = c.withColumn("confidence", F.least(F.lit(100), F.greatest(F.lit(0), F.rint(100 * points / most))).cast("int"))
     w = Window.partitionBy("item_id").orderBy(F.col("confidence").desc(), F.col("name_score").desc(), "product_id")
     best = c.withColumn("r", F.row_number().over(w)).withColumn("second", F.lead("confidence").over(w)).filter("r = 1")

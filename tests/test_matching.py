@@ -30,3 +30,14 @@ def test_items_of_unknown_brand_reach_every_name_that_identifies(spark):
     assert len(got) == len(set(got))
     assert {(t, n) for t in titles for n in names if identifies(t, n)} <= set(got)
     assert plan.count("Join Inner, (k") == plan.count("Join Inner") == 3
+
+
+def test_variants_that_differ_in_ram_or_color_only(spark):
+    rows = [(1, "galaxy s24 ultra", "Samsung", 256, 8, "Titan Black"), (2, "galaxy s24 ultra", "Samsung", 256, 12, "Titan Black"), (3, "pixel nine", "Google", 128, None, "Blue"), (4, "pixel nine", "Google", 128, None, "Rose")]
+    variants = spark.createDataFrame(rows, "product_id long, name string, brand string, storage_gb int, ram_gb int, color string")
+    titles = [(1, "Samsung Galaxy S24 Ultra 12gb ram 256gb", "samsung"), (2, "Galaxy S24 Ultra 8gb ram 256gb", None), (3, "Pixel Nine 128gb rose", "google"), (4, "Pixel Nine 128gb", "google"), (5, "Galaxy S24 Ultra 16gb ram 256gb", "samsung"), (6, "pixel nine 128gb blue rose", "google")]
+    items = spark.createDataFrame(titles, "item_id long, title string, brand string")
+    got = {r.item_id: (r.product_id, r.confidence, r.status) for r in matching.match(items, variants).collect()}
+    assert got[1] == (2, 100, "matched") and got[2] == (1, 100, "matched") and got[5] == (None, None, "unmatched")
+    # Colors weigh 5 in 90: they settle which variant is best, within the margin.
+    assert got[3][:2] == (4, 100) and got[4][2] == got[6][2] == "ambiguous" and got[4][0] == got[6][0] == 3
