@@ -3,8 +3,9 @@
 The field labels tokens (words, numbers, single marks) as outside or as beginning or inside of an e-mail address, an
 IP address, a card number or a phone number. It is trained on the small labelled table below, and finds written
 forms that the rules don't have, such as "jo at mail dot org" or a phone number without a plus. Tokens that have
-no digit and no at-sign (nor the word "at") within REACH characters are outside by constraint, so the chain falls
-into independent windows, and decoding these by Viterbi is exact however long the text is. An added span must
+no cue (a digit, an at-sign or the word "at", in brackets or not) within REACH characters, widened to white space, are
+outside by constraint, so the chain falls into independent windows; under that constraint decoding these by Viterbi is
+exact however long the text is. An added span must
 not overlap a rule's span and must pass its kind's test (parts up to 255, Luhn's check, number of digits).
 """
 
@@ -33,7 +34,8 @@ EMAIL_HERE = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-CUE = re.compile(r"[0-9@]|(?i:[(\[]at[)\]]| at (?=\S+ dot ))")
+#: No plausible span is without one of these.
+CUE = re.compile(r"[0-9@]|\b[Aa][Tt]\b")
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\sA-Za-z0-9]|_")
 
 #: The labelled table. A tagged part is [kind text].
@@ -214,7 +216,15 @@ class Model:
         out: list[list[int]] = []
         for m in CUE.finditer(text):
             low, high = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-            if out and low <= out[-1][1]:
+            done = out[-1][1] if out else 0
+            if high <= done:
+                continue
+            # Each character is passed once, also in a text without white space.
+            while low > done and not text[low - 1].isspace():
+                low -= 1
+            while high < len(text) and not text[high].isspace():
+                high += 1
+            if out and low <= done:
                 out[-1][1] = high
             else:
                 out.append([low, high])
