@@ -19,11 +19,13 @@ SLICE_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is set and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="marketglass-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -103,7 +105,7 @@ class TypeTable:
     compute(words) gives a row of numbers for each word. At `limit` words the table starts anew, so memory is bounded.
     """
 
-    def __init__(self, compute: Callable[[list[str]], np.ndarray], width: int, limit: int = 250_000):
+    def __init__(self, compute: Callable[[list[str]], np.ndarray], width: int, limit: int = 100_000):
         self.compute, self.width, self.limit = compute, width, limit
         self.reset()
 
@@ -166,14 +168,37 @@ def reduce_texts(texts: list[str], split: Callable[[str], list[str]], table: Typ
     return out
 
 
-_current: list = [None, None]
+_kept: list = [None, None]
+
+
+def kept(key: Any, build: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from batch to batch: one thing at a time, so workers that pass from one operator to
+    the next hold the caches of one only. A new key lets the earlier thing go before the new one is built."""
+    if _kept[0] is not key and (_kept[0] is None or type(_kept[0]) is not type(key) or _kept[0] != key):
+        _kept[:] = [None, None]
+        pa.default_memory_pool().release_unused()
+        _kept[:] = [key, build()]
+    return _kept[1]
 
 
 def table_of(model: Any, width: int) -> TypeTable:
-    """The table of word values of the model that this Python worker uses now; an earlier model's table is let go."""
-    if _current[0] is not model:
-        _current[:] = [model, TypeTable(model.of_words, width)]
-    return _current[1]
+    """The table of word values of the model that this Python worker uses now."""
+    return kept(model, lambda: TypeTable(model.of_words, width))
+
+
+def spread_copies(groups: DataFrame, n: str, copy: str) -> DataFrame:
+    """A row for each of a group's n copies, numbered from 0 in column `copy`; n goes.
+
+    Copies are numbered in blocks, so no row holds an array of all of them.
+    """
+    block = 4096
+    low = groups.withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(block).cast("long"))))
+    return low.withColumn(copy, F.explode(F.sequence(F.col(copy), F.least(F.col(copy) + (block - 1), F.col(n) - 1)))).drop(n)
+
+
+def quoted(name: str) -> str:
+    """A column's name as it must be written where a dot or a mark in it would be read as syntax."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def fresh(name: str, columns: list[str]) -> str:

@@ -6,7 +6,7 @@ used at t. Inverting it at a document's cumulative words gives the document's tr
 source follow each other in the order of a hash of their id, pass after pass.
 
 Cumulative words are found in three small steps, so that no task gets a whole source: sums by 256 x 256 hash
-cells of a source, running sums over cells, and running sums within a cell.
+cells of a source (more where rows have ties to tell them apart), running sums over cells, and running sums within a cell.
 """
 
 from __future__ import annotations
@@ -62,60 +62,76 @@ def position(words: Column, target: Column, slope: Column) -> Column:
 
 
 def mix(docs: DataFrame, *ties: str) -> DataFrame:
-    """docs with size, source_size, target, taken, before (the source's words before this document), position.
+    """doc_id, source, size and the columns `ties` of every row of docs, with source_size, target, slope, taken, before
+    (the source's words before this document) and position.
 
     taken: words that the mix takes of this document, repeats counted: whole passes, and in the last pass those
     words that still fit the target (so one document a source may be cut). position: of its first word in training
     time, null if nothing is taken. Sizes sum per source to source_size; taken sums to the target rounded to the
     nearest word. Null or empty texts have size 0 and take nothing. Documents of equal id are ordered by size and
-    the columns `ties`; rows equal in these are interchangeable. An empty table gives no rows. docs needs doc_id,
-    source, size and must not have the columns named here, nor _k, _b, _c.
+    the columns `ties`; rows equal in these follow each other, and are numbered instead of sorted, so that no task
+    gets more of them than of others. An empty table gives no rows. Further columns of docs are left out.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    docs = docs.withColumn("_k", key).withColumn("_b", F.substring("_k", 1, 2)).withColumn("_c", F.substring("_k", 3, 2))
-    cells = docs.groupBy("source", "_b", "_c").agg(F.sum("size").alias("n"))
+    # A cell of the id's hash is divided by the ties', so that rows of one or no id don't all meet in one window.
+    cell = F.concat(F.substring("_k", 3, 2), F.substring(F.md5(F.concat_ws(" ", *(F.col(t).cast("string") for t in ties)).cast("binary")), 1, 2)) if ties else F.substring("_k", 3, 2)
+    names = ["doc_id", "source", "size", *ties]
+    rows = docs.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.withColumn("_k", key).withColumn("_b", F.substring("_k", 1, 2)).withColumn("_c", cell).withColumn("_all", F.col("size") * F.col("_n"))
+    cells = rows.groupBy("source", "_b", "_c").agg(F.sum("_all").alias("n"))
     w = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     outer = cells.groupBy("source", "_b").agg(F.sum("n").alias("n")).select("source", "_b", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("low_b"))
     w = Window.partitionBy("source", "_b").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     inner = cells.select("source", "_b", "_c", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("low_c"))
-    same = lambda a, b, *names: [a[n].eqNullSafe(b[n]) for n in names]
+    same = lambda a, b, *on: [a[n].eqNullSafe(b[n]) for n in on]
     low = inner.join(outer, same(inner, outer, "source", "_b")).select(inner["source"], inner["_b"], inner["_c"], (F.col("low_b") + F.col("low_c")).alias("low"))
-    targets = source_targets(docs.groupBy("source").agg(F.sum("size").alias("size")))
+    targets = source_targets(rows.groupBy("source").agg(F.sum("_all").alias("size")))
     low = low.join(targets, same(low, targets, "source")).select(low["source"].alias("_s"), low["_b"].alias("_b2"), low["_c"].alias("_c2"), "low", "source_size", "target", "slope")
     within = Window.partitionBy("source", "_b", "_c").orderBy("_k", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    docs = docs.join(low, docs["source"].eqNullSafe(low["_s"]) & (docs["_b"] == low["_b2"]) & (docs["_c"] == low["_c2"]))
-    docs = docs.withColumn("before", F.col("low") + F.col("_in"))
+    rows = rows.withColumn("_in", F.coalesce(F.sum("_all").over(within), F.lit(0)))
+    rows = rows.join(low, rows["source"].eqNullSafe(low["_s"]) & (rows["_b"] == low["_b2"]) & (rows["_c"] == low["_c2"]))
+    rows = common.spread_copies(rows, "_n", "_copy").withColumn("before", F.col("low") + F.col("_in") + F.col("_copy") * F.col("size"))
     whole = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     left = whole - passes * F.col("source_size")
     taken = passes * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left - F.col("before")))
-    docs = docs.withColumn("taken", taken)
-    docs = docs.withColumn("position", F.when(F.col("taken") > 0, position(F.col("before"), F.col("target"), F.col("slope"))))
-    return docs.drop("_k", "_b", "_c", "_in", "_s", "_b2", "_c2", "low")
+    rows = rows.withColumn("taken", taken)
+    rows = rows.withColumn("position", F.when(F.col("taken") > 0, position(F.col("before"), F.col("target"), F.col("slope"))))
+    return rows.select(*names, "source_size", "target", "slope", "taken", "before", "position")
 
 
 def curriculum(docs: DataFrame) -> DataFrame:
     """The mixed corpus in training order: docs' columns, a row for each pass in which a document is taken.
 
     A document's text is cut behind the last word taken where the target ends within it. Range-sorted by position
-    across partitions. Documents of which nothing is taken, and so those without words, are left out.
+    across partitions. Documents of which nothing is taken, and so those without words, are left out: null, empty and
+    white-space texts. Rows that repeat are taken each; columns of any name stay as they are. An empty table gives no
+    rows.
+
+    The mix is made of ids, sizes and hashes of whole rows; texts join it once, by the hashes, one text for all equal
+    rows, and go from there to the range sort.
     """
     names = docs.columns
-    rows = docs.withColumn("_size", word_count("text")).withColumn("_t", F.xxhash64("text"))
-    inner = rows.select(*(F.col(n).alias(f"in_{n}") for n in names), F.col("doc_id"), F.col("source"), F.col("_size").alias("size"), "_t")
-    mixed = mix(inner, "_t").filter("taken > 0")
-    passes = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    mixed = mixed.withColumn("pass", F.explode(F.sequence(F.lit(0), passes - 1)))
+    every = F.struct(*(docs[common.quoted(n)] for n in names))
+    hashes = [F.xxhash64(every), F.xxhash64(F.lit(1), every)]
+    rows = docs.select(docs["doc_id"], docs["source"], word_count(docs["text"]).alias("size"), *(h.alias(n) for h, n in zip(hashes, ("h1", "h2"))))
+    mixed = mix(common.materialize(rows), "h1", "h2").filter("taken > 0")
+    mixed = mixed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
     words = F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size"))
     at = position(F.col("before") + F.col("pass") * F.col("source_size"), F.col("target"), F.col("slope"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("in_text", F.lit(SPACE + WORD), 0), 1, F.greatest(words, F.lit(1)).cast("int")), "")
-    text = F.when(words < F.col("size"), cut).otherwise(F.col("in_text"))
-    out = [text.alias("text") if n == "text" else F.length(text).cast(docs.schema[n].dataType).alias(n) if n == "n_chars" else F.col(f"in_{n}").alias(n) for n in names]
-    return mixed.select(*out, at.alias("_at"), F.col("pass").alias("_pass")).repartitionByRange("_at", "doc_id", "_pass").sortWithinPartitions("_at", "doc_id", "_pass").select(*names)
+    mixed = mixed.select("h1", "h2", F.when(words < F.col("size"), words.cast("int")).alias("cut"), at.alias("at"), "pass")
+    whole = docs.select(every.alias("row"), *(h.alias(n) for h, n in zip(hashes, ("h1", "h2")))).dropDuplicates(["h1", "h2"])
+    text = F.col("row.text")
+    short = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(SPACE + WORD), 0), 1, F.greatest(F.col("cut"), F.lit(1))), "")
+    text = F.when(F.col("cut").isNotNull(), short).otherwise(text)
+    out = [text.alias(n) if n == "text" else F.length(text).cast(docs.schema[n].dataType).alias(n) if n == "n_chars" else F.col(f"row.{common.quoted(n)}").alias(n) for n in names]
+    placed = mixed.join(whole, ["h1", "h2"]).repartitionByRange("at", "h1", "h2", "pass").sortWithinPartitions("at", "h1", "h2", "pass")
+    return placed.select(*out)
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents, in training order (see mix): null and empty texts have size 0 and take nothing, rows that
+    repeat are taken each, a null source is a source."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"))
     mixed = mix(common.materialize(docs)).select("doc_id", "size", "source_size", "target", "taken", "position")
     return mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")

@@ -131,11 +131,13 @@ def classify(docs: DataFrame, model: Model, *keep: str, score: str = "score") ->
         s = m.scores([t or "" for t in batch.column(at).to_pylist()], common.table_of(m, RANK))
         return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(s)], [*names, score])
 
-    kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-    return common.map_slices(docs.select(*sent_names), run, f"{kinds}, {score} double")
+    kinds = ", ".join(f"{common.quoted(n)} {docs.schema[n].dataType.simpleString()}" for n in names)
+    return common.map_slices(docs.select(*map(common.quoted, sent_names)), run, f"{kinds}, {score} double")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents (see classify): null and empty texts get the sample's share of label 1, rows that
+    repeat are scored each, equally near neighbours count in the order of the sample."""
     docs, labels = common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels")
     scored = classify(docs, fit(docs, labels))
     return scored.select("doc_id", (common.crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -1,9 +1,10 @@
 """Byte-level BPE counts and ids, with the whole-token shortcut.
 
-A vocabulary string that is one pre-token and encodes alone as one token never needs a merge. Those strings are
-found once, offline (`whole_tokens`), and looked up; only other words are merged, each once a table. Texts with
-a special string, with characters on which regular-expression libraries might disagree, or with runs of white
-space go through the libraries as they are.
+A vocabulary string that is one pre-token and encodes alone as one token never needs a merge. `whole_tokens` proves
+offline which strings these are; the table goes to the workers by broadcast. Pre-tokens in it are counted directly
+and only the rest are merged. Pre-tokens are cut by the library's own pre-tokenizer, so texts of any script take this
+way. Where every white space of a text is a single space or line feed, which no pre-token crosses, the words between
+them are looked up first, and only words not met before are cut and merged, all new ones of a batch together.
 """
 
 from __future__ import annotations
@@ -14,144 +15,185 @@ import re
 
 import numpy as np
 
-#: The pre-token pattern of the public byte-level vocabulary.
+from . import common
+
+
+#: Fixed value: the pre-token pattern of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters on which every Unicode version agrees (ASCII without controls, Latin-1 and Latin Extended letters).
+#: Characters that every Unicode version classes alike (ASCII without controls, Latin-1 and Latin Extended letters).
 PLAIN = re.compile(r"[\x20-\x7e\nÀ-ÖØ-öø-ſ]+")
-#: Those of them below U+0100, as bytes.
-PLAIN_BYTES = bytes(c for c in range(256) if PLAIN.fullmatch(chr(c)))
 
 
-def byte_letters() -> dict[str, int]:
-    """The printable stand-ins for bytes in the vocabulary file, by the rule that defines them."""
+def _library(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable stand-ins for bytes in pre-tokens and in the vocabulary file, by the rule that defines them."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def whole_tokens(path: str) -> dict[str, int]:
+    """Vocabulary strings, in byte letters, that are one pre-token and encode alone as one token, with their ids."""
+    library = _library(path)
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    back = {c: b for b, c in byte_letters().items()}
+    out = {}
+    for s, i in spec["model"]["vocab"].items():
+        try:
+            text = bytes(back[c] for c in s).decode("utf-8") if s not in special else ""
+        except (KeyError, UnicodeDecodeError):
+            continue
+        cut = library.pre_tokenizer.pre_tokenize_str(text)
+        if len(cut) == 1 and cut[0][0] == s and [t.id for t in library.model.tokenize(s)] == [i]:
+            out[s] = i
+    return out
 
 
 class ByteBpe:
     """Token ids and counts as the tokenizers library gives them for a byte-level BPE file.
 
-    Words are kept with the ids they gave; above `limit` words only the whole tokens stay, so memory is bounded.
+    Words are kept with what they gave, up to `limit` bytes (estimated). Then no more are kept, and when half of a
+    batch's words are unknown, all are forgotten and it starts anew. So memory is bounded.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
-        import regex
-        import tiktoken
+    #: Estimated bytes of a kept word beside its characters.
+    ENTRY = 200
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, whole: dict[str, int] | None = None, limit: int = 80_000_000):
+        import tiktoken
 
-        self.library = Tokenizer.from_file(path)
+        self.library = _library(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        back = byte_letters()
-        self.ranks = {bytes(back[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in set(self.special)}
-        self.merger = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
-        self.pieces = regex.compile(PATTERN)
-        self.line_feed = self.ranks[b"\n"]
-        self.whole = self.whole_tokens()
+        added = spec.get("added_tokens", [])
+        self.special = {t["content"]: t["id"] for t in added}
+        # Special strings with further rules, or several of them, are left to the library.
+        self.plain_special = len(added) < 2 and not any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word", "normalized"))
+        back = {c: b for b, c in byte_letters().items()}
+        ranks = {bytes(back[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in self.special}
+        self.line_feed = ranks[b"\n"]
+        self.merger = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.cut = self.library.pre_tokenizer.pre_tokenize_str
+        self.whole = whole_tokens(path) if whole is None else whole
         self.limit = limit
-        self.counts: dict[str, int] = {}
+        # Whole tokens as words: with a space before them, or at a line feed.
+        self.known = {"".join(chr(back[c]) for c in s): i for s, i in self.whole.items() if s.isascii() or s[0] == "\u0120" and s[1:].isascii()}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.counts: dict[str, int] = {s[1:]: 1 for s in self.known if s[0] == " " and len(s) > 1} | {"\n" + s: 2 for s in self.known if s[0] not in " \n"}
         self.packed: dict[str, bytes] = {}
+        self.size = 0
+
+    def _ids(self, s: str) -> list[int]:
+        """Ids of a text without special strings, pre-token by pre-token."""
+        out: list[int] = []
+        for p, (a, b) in self.cut(s):
+            i = self.whole.get(p)
+            if i is None:
+                out += self.merger._encode_single_piece(s[a:b])
+            else:
+                out.append(i)
+        return out
 
-    def whole_tokens(self) -> dict[str, int]:
-        """Vocabulary strings that are one plain pre-token and encode alone as one token."""
-        out = {}
-        for b, i in self.ranks.items():
-            try:
-                s = b.decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            if PLAIN.fullmatch(s) and self.pieces.findall(s) == [s] and self.merger.encode_ordinary(s) == [i]:
-                out[s] = i
+    def text_ids(self, text: str) -> list[int]:
+        if not any(s in text for s in self.special):
+            return self._ids(text)
+        if not self.plain_special:
+            return self.library.encode(text, add_special_tokens=False).ids
+        ((name, number),) = self.special.items()
+        first, *rest = text.split(name)
+        out = self._ids(first)
+        for part in rest:
+            out.append(number)
+            out += self._ids(part)
         return out
 
-    def _words(self, text: str) -> list[str] | None:
+    def words(self, text: str) -> list[str] | None:
         """Words that no pre-token crosses, each with the line feed before it or without the space before it.
 
-        One line feed is put before the text. None for a text that must go through a library whole.
+        One line feed is put before the text. None for a text with other white space, or with a special string.
         """
-        if not text or not self._plain(text) or any(s in text for s in self.special):
+        words = text.split()
+        if not words or any(s in text for s in self.special):
             return None
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
+        feeds = "\n" in text
+        if " ".join(words) != (text.replace("\n", " ") if feeds else text):
             return None
-        return ("\n" + text).replace("\n", " \n")[1:].split(" ")
-
-    @staticmethod
-    def _plain(text: str) -> bool:
-        try:
-            return not text.encode("latin-1").translate(None, PLAIN_BYTES)
-        except UnicodeEncodeError:
-            return PLAIN.fullmatch(text) is not None
-
-    def _merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, and where each begins: with its line feed, or with one line feed that stands before its space."""
-        ids = np.asarray(self.merger.encode_ordinary("".join(w if w[:1] == "\n" else "\n " + w for w in words)), "<u4")
-        return ids, np.append(np.flatnonzero(ids == self.line_feed), len(ids))
-
-    def _library_ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids if text else [], "<u4")
-
-    def count_all(self, texts: list[str]) -> list[int]:
-        if not self.counts or len(self.counts) > self.limit:
-            self.counts = {s[1:]: 1 for s in self.whole if s[0] == " " and len(s) > 1} | {"\n" + s: 2 for s in self.whole if s[0] not in " \n"}
-        known, out, later, new = self.counts, [], [], {}
+        if feeds:
+            words = text.replace("\n", " \n").split(" ")
+        words[0] = "\n" + words[0]
+        return words
+
+    def _counted(self, ids: np.ndarray, starts: list[int], fed: list[bool]) -> list[int]:
+        return [b - a - (not f) for a, b, f in zip(starts, starts[1:], fed)]
+
+    def _packed(self, ids: np.ndarray, starts: list[int], fed: list[bool]) -> list[bytes]:
+        raw = ids.tobytes()
+        return [raw[4 * (a + (not f)) : 4 * b] for a, b, f in zip(starts, starts[1:], fed)]
+
+    def _learn(self, words: list[str], kept: dict, values, one) -> dict:
+        """What new words give; those that there is room for are kept."""
+        plain = words if PLAIN.fullmatch("".join(words)) else [w for w in words if PLAIN.fullmatch(w)]
+        got: dict = {}
+        if plain:
+            # A line feed stands before each: a pre-token of its own, by which the ids are told apart.
+            fed = [w[0] == "\n" for w in plain]
+            ids = np.asarray(self.merger.encode_ordinary("".join(w if f else "\n " + w for w, f in zip(plain, fed))), "<u4")
+            starts = np.append(np.flatnonzero(ids == self.line_feed), len(ids)).tolist()
+            got = dict(zip(plain, values(ids, starts, fed)))
+        if len(plain) < len(words):
+            got.update((w, one(self._ids(w if w[0] == "\n" else " " + w))) for w in words if w not in got)
+        size = sum(map(len, got)) + self.ENTRY * len(got)
+        if self.size + size <= self.limit:
+            self.size += size
+            kept.update(got)
+        return got
+
+    def _all(self, texts: list[str], kept: dict, values, one) -> list[list | None]:
+        """The values of each text's words; None for texts that are cut whole."""
+        out, later, new, seen = [], [], {}, 0
         for text in texts:
-            words = self._words(text)
-            if words is None:
-                out.append(len(self._library_ids(text)))
-                continue
-            found = list(map(known.get, words))
-            out.append(sum(filter(None, found)) - 1)
-            if None in found:
-                missing = [w for w, n in zip(words, found) if n is None]
-                new.update(dict.fromkeys(missing))
-                later.append((len(out) - 1, missing))
+            words = self.words(text)
+            found = None if words is None else list(map(kept.get, words))
+            if found is not None:
+                seen += len(found)
+                if None in found:
+                    missing = [i for i, v in enumerate(found) if v is None]
+                    names = [words[i] for i in missing]
+                    new.update(dict.fromkeys(names))
+                    later.append((found, missing, names))
+            out.append(found)
         if new:
-            words = list(new)
-            _, starts = self._merge(words)
-            known.update((w, n - (w[:1] != "\n")) for w, n in zip(words, np.diff(starts).tolist()))
-            for at, missing in later:
-                out[at] += sum(map(known.__getitem__, missing))
+            got = self._learn(list(new), kept, values, one)
+            for found, missing, names in later:
+                for i, w in zip(missing, names):
+                    found[i] = got[w]
+            if 2 * len(new) > seen and 2 * self.size > self.limit:
+                self._forget()
         return out
 
+    def count_all(self, texts: list[str]) -> list[int]:
+        found = self._all(texts, self.counts, self._counted, len)
+        return [len(self.text_ids(t)) if f is None else sum(f) - 1 for t, f in zip(texts, found)]
+
     def ids_all(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids as unsigned 32-bit little-endian integers."""
-        if len(self.packed) > self.limit:
-            self.packed = {}
-        known, out, new = self.packed, [], {}
-        for text in texts:
-            words = self._words(text)
-            if words is None:
-                out.append(self._library_ids(text))
-                continue
-            found = list(map(known.get, words))
-            missing = [i for i, b in enumerate(found) if b is None] if None in found else []
-            new.update((words[i], None) for i in missing)
-            out.append((found, [(i, words[i]) for i in missing]))
-        if new:
-            words = list(new)
-            ids, starts = self._merge(words)
-            packed, at = ids.tobytes(), (starts * 4).tolist()
-            known.update((w, packed[a + 4 * (w[:1] != "\n") : b]) for w, a, b in zip(words, at, at[1:]))
-        for k, x in enumerate(out):
-            if isinstance(x, tuple):
-                for i, w in x[1]:
-                    x[0][i] = known[w]
-                out[k] = np.frombuffer(b"".join(x[0]), "<u4")[1:]
-        return out
-
-
-_loaded: dict[str, ByteBpe] = {}
+        found = self._all(texts, self.packed, self._packed, lambda ids: np.array(ids, "<u4").tobytes())
+        return [np.array(self.text_ids(t), "<u4") if f is None else np.frombuffer(b"".join(f), "<u4")[1:] for t, f in zip(texts, found)]
 
 
-def load(path: str) -> ByteBpe:
-    """The tokenizer of this Python worker; the file lies at the same path on every machine."""
-    if path not in _loaded:
-        _loaded[path] = ByteBpe(path)
-    return _loaded[path]
+def load(path: str, whole: dict[str, int] | None = None) -> ByteBpe:
+    """The tokenizer that this Python worker uses now; the file lies at the same path on every machine."""
+    return common.kept(("byte bpe", path), lambda: ByteBpe(path, whole))
 
 
 def default_path() -> str:

@@ -109,6 +109,70 @@ def test_crossover_keeps_every_document_once():
     assert all(sum(sizes[i] for i in x) <= 100 for x in child.bins)
 
 
+def test_the_genetic_algorithm_beats_best_fit():
+    """Sequences that three documents fill exactly; best fit, longest first, misses most of them."""
+    rng = np.random.default_rng(5)
+    sizes = [x for _ in range(60) for a, b in [(int(rng.integers(500, 900)), int(rng.integers(400, 600)))] for x in (a, b, 2048 - a - b)]
+    plain = packing.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), [], sizes, 2048)
+    best = packing.evolve(sizes, 2048, 1, 6, 200)
+    assert sorted(i for b in best.bins for i in b) == list(range(len(sizes))) and min(best.free) >= 0
+    assert 60 <= len(best.bins) < len(plain.bins)
+
+
+def test_loose_sequences_of_all_shards_are_packed_together(spark):
+    rng = random.Random(8)
+    rows = [(i, 0, 0, rng.randrange(50, 900), i) for i in range(3000)] + [(None, 0, 0, 700, 9)] * 500
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    out = packing.pack_pieces(pieces, shard_items=250, generations=10, epochs=2).collect()
+    assert sorted((r.doc_id or -1, r.length) for r in out) == sorted((r[0] or -1, r[3]) for r in rows)
+    by = {}
+    for r in out:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    apart = packing.pack_pieces(pieces, shard_items=250, generations=10, epochs=2, loose=1.0).select("sequence_id").distinct().count()
+    assert -(-sum(r[3] for r in rows) // 2048) <= len(by) < apart
+
+
+def test_very_common_variants_are_divided_without_losing_links(spark, monkeypatch):
+    """Fingerprints that agree in two blocks share a variant; groups above the bound go the second way."""
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    fps = sorted({base ^ rng.getrandbits(22) for _ in range(400)} | {base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(100)} | {rng.getrandbits(64) for _ in range(50)})
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    monkeypatch.setattr(simhash, "HOT", 20)
+    links = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()
+    names = {i: i for i in fps}
+
+    def find(x):
+        while names[x] != x:
+            x = names[x]
+        return x
+
+    for r in links:
+        a, b = r.a % (1 << 64), r.b % (1 << 64)
+        assert (a ^ b).bit_count() <= 4
+        names[find(a)] = find(b)
+    got = {x: find(x) for x in fps}
+    want = {i: i for i in fps}
+
+    def root(x):
+        while want[x] != x:
+            x = want[x]
+        return x
+
+    for i, x in enumerate(fps):
+        for y in fps[:i]:
+            if (x ^ y).bit_count() <= 4:
+                want[root(x)] = root(y)
+    assert len(set(got.values())) == len({root(x) for x in fps})
+    assert all((got[x] == got[y]) == (root(x) == root(y)) for x in fps[::7] for y in fps)
+
+
 def test_simhash_fingerprint():
     from xxhash import xxh64_intdigest
 
