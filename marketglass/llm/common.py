@@ -89,14 +89,14 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, usable: Colu
 
 
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow in slices of SLICE_ROWS rows."""
+    """mapInArrow in slices of SLICE_ROWS rows, whose columns are c0, c1 and so on: columns of any name can be sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 yield fn(batch.slice(at, SLICE_ROWS))
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, schema)
 
 
 class TypeTable:

@@ -7,55 +7,99 @@ import numpy as np
 CHUNK = 64
 
 
-def forward_backward(emission: np.ndarray, transition: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Posterior probabilities (n, L) of labels, for texts laid end to end.
+class Chain:
+    """Forward and backward messages over texts laid end to end, in chunks that are stepped through together.
 
-    emission: (n, L), positive factors. transition: (L, L), rows sum to 1. begins: where a text begins; there the
-    label is free again, each as likely as another.
+    emission: (n, L), positive factors. transition: (L, L), positive factors. begins: where a text begins; there the
+    label is free again, each as likely as another. A text too long for one chain is laid over several: `product` is
+    what a chain does to a message, and `posterior` takes the messages that arrive at either end.
     """
-    n, size = emission.shape
-    chunks = -(-n // CHUNK)
-    e = np.ones((chunks * CHUNK, size))
-    e[:n] = emission
-    fresh = np.zeros(chunks * CHUNK, bool)
-    fresh[:n] = begins
-    e, fresh = e.reshape(chunks, CHUNK, size), fresh.reshape(chunks, CHUNK)
-    uniform = np.full(size, 1 / size)
-
-    def step(a: np.ndarray, t: int) -> np.ndarray:
+
+    def __init__(self, emission: np.ndarray, transition: np.ndarray, begins: np.ndarray):
+        n, size = emission.shape
+        self.n, self.size, self.chunks, self.transition = n, size, -(-n // CHUNK), transition
+        e = np.ones((self.chunks * CHUNK, size))
+        e[:n] = emission
+        # Places beyond the end are free, so that they add nothing to the messages that come back from there.
+        fresh = np.ones(self.chunks * CHUNK, bool)
+        fresh[:n] = begins
+        self.e, self.fresh = e.reshape(self.chunks, CHUNK, size), fresh.reshape(self.chunks, CHUNK)
+        self.uniform = np.full(size, 1 / size)
+        product = np.broadcast_to(np.eye(size), (self.chunks, size, size)).copy()
+        for t in range(CHUNK):
+            product = self._step(product, t)
+        self.products = product
+
+    def _step(self, a: np.ndarray, t: int) -> np.ndarray:
         """(…, L) messages through position t, of all chunks."""
-        flags = fresh[:, t].reshape((chunks,) + (1,) * (a.ndim - 1))
-        moved = np.where(flags, a.sum(axis=-1, keepdims=True) * uniform, a @ transition)
-        moved = moved * e[:, t].reshape((chunks,) + (1,) * (a.ndim - 2) + (size,))
+        flags = self.fresh[:, t].reshape((self.chunks,) + (1,) * (a.ndim - 1))
+        moved = np.where(flags, a.sum(axis=-1, keepdims=True) * self.uniform, a @ self.transition)
+        moved = moved * self.e[:, t].reshape((self.chunks,) + (1,) * (a.ndim - 2) + (self.size,))
         return moved / moved.sum(axis=-1, keepdims=True).max(axis=tuple(range(1, a.ndim)), keepdims=True)
 
-    product = np.broadcast_to(np.eye(size), (chunks, size, size)).copy()
-    for t in range(CHUNK):
-        product = step(product, t)
-    into, out_of = np.empty((chunks, size)), np.empty((chunks, size))
-    a = uniform
-    for k in range(chunks):
-        into[k] = a
-        a = a @ product[k]
-        a = a / a.sum()
-    b = np.ones(size)
-    for k in range(chunks - 1, -1, -1):
-        out_of[k] = b
-        b = product[k] @ b
-        b = b / b.sum()
-    alpha = np.empty((chunks, CHUNK, size))
-    a = into
-    for t in range(CHUNK):
-        a = step(a, t)
-        alpha[:, t] = a
-    beta = out_of
-    for t in range(CHUNK - 1, -1, -1):
-        alpha[:, t] *= beta
-        back = beta * e[:, t]
-        moved = np.where(fresh[:, t, None], (back * uniform).sum(axis=1, keepdims=True), back @ transition.T)
-        beta = moved / moved.sum(axis=1, keepdims=True)
-    post = alpha.reshape(-1, size)[:n]
-    return post / post.sum(axis=1, keepdims=True)
+    def product(self) -> np.ndarray:
+        out = np.eye(self.size)
+        for p in self.products:
+            out = out @ p
+            out /= out.sum()
+        return out
+
+    def posterior(self, into: np.ndarray | None = None, out_of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Posterior probabilities (n, L) of labels, and the forward messages (n, L)."""
+        starts, ends = np.empty((self.chunks, self.size)), np.empty((self.chunks, self.size))
+        a = self.uniform if into is None else into
+        for k in range(self.chunks):
+            starts[k] = a
+            a = a @ self.products[k]
+            a = a / a.sum()
+        b = np.ones(self.size) if out_of is None else out_of
+        for k in range(self.chunks - 1, -1, -1):
+            ends[k] = b
+            b = self.products[k] @ b
+            b = b / b.sum()
+        alpha = np.empty((self.chunks, CHUNK, self.size))
+        a = starts
+        for t in range(CHUNK):
+            a = self._step(a, t)
+            alpha[:, t] = a
+        post = np.empty_like(alpha)
+        beta = ends
+        for t in range(CHUNK - 1, -1, -1):
+            post[:, t] = alpha[:, t] * beta
+            back = beta * self.e[:, t]
+            moved = np.where(self.fresh[:, t, None], (back * self.uniform).sum(axis=1, keepdims=True), back @ self.transition.T)
+            beta = moved / moved.sum(axis=1, keepdims=True)
+        post = post.reshape(-1, self.size)[: self.n]
+        return post / post.sum(axis=1, keepdims=True), alpha.reshape(-1, self.size)[: self.n]
+
+
+def forward_backward(emission: np.ndarray, transition: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Posterior probabilities (n, L) of labels, for texts laid end to end (see Chain)."""
+    return Chain(emission, transition, begins).posterior()[0]
+
+
+def carried(parts: int, emission_of, transition: np.ndarray):
+    """Posteriors of one text's parts in turn, with the messages carried from part to part in both directions.
+
+    emission_of(k): emissions of part k; all parts but the last have a multiple of CHUNK places. Each part's are made
+    twice, so only one part is held at a time.
+    """
+
+    def chain(k: int) -> Chain:
+        e = emission_of(k)
+        return Chain(e, transition, np.arange(len(e)) == (0 if k == 0 else -1))
+
+    products = [chain(k).product() for k in range(parts)]
+    size = len(transition)
+    into, out_of = [np.full(size, 1 / size)], [np.ones(size)]
+    for p in products[:-1]:
+        a = into[-1] @ p
+        into.append(a / a.sum())
+    for p in products[:0:-1]:
+        b = p @ out_of[-1]
+        out_of.append(b / b.sum())
+    for k in range(parts):
+        yield chain(k).posterior(into[k], out_of[parts - 1 - k])[0]
 
 
 class Field:
@@ -68,8 +112,8 @@ class Field:
         self._seen, self._seen_t = np.full_like(self.weights, 1e-6), np.full_like(self.logits, 1e-6)
 
     def transition(self) -> np.ndarray:
-        t = np.exp(self.logits - self.logits.max(axis=1, keepdims=True))
-        return t / t.sum(axis=1, keepdims=True)
+        """Positive factors, at most 1."""
+        return np.exp(self.logits - self.logits.max())
 
     def factors(self, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
         scores = np.add.reduceat(self.weights[at], starts, axis=0)
@@ -79,7 +123,7 @@ class Field:
         """One step. at, starts: features of the words of all sequences, end to end; y: labels; begins: where a sequence begins."""
         hashed, size = self.weights.shape
         t = self.transition()
-        post = forward_backward(self.factors(at, starts), t, begins)
+        post, alpha = Chain(self.factors(at, starts), t, begins).posterior()
         grad = post.copy()
         grad[np.arange(len(y)), y] -= 1
         rows = np.repeat(grad, np.diff(np.append(starts, len(at))), axis=0)
@@ -87,7 +131,7 @@ class Field:
         self._seen += g * g
         self.weights -= (self.rate * g / np.sqrt(self._seen)).astype(np.float32)
         inner = np.flatnonzero(~begins)
-        joint = post[inner - 1][:, :, None] * t[None] * (post[inner] / np.maximum(post[inner - 1] @ t, 1e-12))[:, None, :]
+        joint = alpha[inner - 1][:, :, None] * t[None] * (post[inner] / np.maximum(alpha[inner - 1] @ t, 1e-300))[:, None, :]
         joint /= joint.sum(axis=(1, 2), keepdims=True)
         real = np.zeros((size, size))
         np.add.at(real, (y[inner - 1], y[inner]), 1)

@@ -7,7 +7,8 @@ probability, so code-switched texts are labelled word by word; a text's language
 probability over its words with letters.
 
 Emissions are computed once for each distinct word a task sees. Forward-backward runs over chunks of all texts at
-once: products of the chunks' transfer matrices carry the messages exactly from chunk to chunk.
+once: products of the chunks' transfer matrices carry the messages exactly from chunk to chunk, and from part to part
+of a text that is too long to be held at once.
 """
 
 from __future__ import annotations
@@ -23,23 +24,28 @@ HASHED = 1 << 16
 #: Bounds of the labelled sample: texts of each language, characters of a text.
 PER_LANGUAGE = 250
 MAX_CHARS = 6_000
+#: Texts of the sample in all.
+MOST = 20_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed feature numbers and where each word's begin: n-grams of 1 to 3 bytes with word ends (which gives the affixes), and the word."""
+    """Hashed feature numbers and where each word's begin: n-grams of 1 to 3 bytes with word ends, prefixes and suffixes
+    of 3 and 4 bytes with their word end, and the word."""
     raw = np.frombuffer((" " + " ".join(words) + " ").encode(), np.uint8)
     gap = raw == 32
     x = raw.astype(np.uint64)
     owner = np.cumsum(gap) - 1
     numbers, owners = [], []
     h = np.zeros(len(x), np.uint64)
-    for n in range(1, 4):
+    for n in range(1, min(6, len(x) + 1)):
         m = len(x) - n + 1
         h = h[:m] * np.uint64(257) + x[n - 1 :] + np.uint64(1)
-        # A gram may begin or end in a space, but has none inside.
+        # A gram may begin or end in a space, but has none inside; from four bytes on it must, as an affix.
         keep = ~gap[:m] if n == 1 else ~np.logical_or.reduce([gap[k : k + m] for k in range(1, n - 1)]) if n > 2 else ~(gap[:m] & gap[1 : 1 + m])
         keep = keep & (owner[:m] < len(words))
+        if n > 3:
+            keep &= gap[:m] ^ gap[n - 1 :]
         numbers.append(((h * MULTIPLIER + np.uint64(n)) * MULTIPLIER >> np.uint64(48))[keep])
         owners.append(owner[:m][keep])
     starts = np.flatnonzero(gap)[:-1] + 1
@@ -116,42 +122,70 @@ class Model:
     def predict(self, texts: list[str], table: common.TypeTable) -> tuple[list[str], np.ndarray]:
         size = len(self.languages)
         total = np.zeros((len(texts), size + 1))
+
+        def held(words: list[str]) -> np.ndarray:
+            rows = table.rows(words)
+            return table.values[rows].astype(np.float64)
+
+        def add(owners: np.ndarray, starts: np.ndarray, post: np.ndarray, v: np.ndarray) -> None:
+            letters = v[:, -1:]
+            total[owners] += np.add.reduceat(np.hstack([post * letters, letters]), starts, axis=0)
+
         if size:
-            for words, owners in common.word_groups(texts, str.split):
-                rows = table.rows(words)
-                v = table.values[rows].astype(np.float64)
-                starts = np.flatnonzero(np.diff(owners, prepend=-1))
-                begins = np.zeros(len(words), bool)
+            split = [t.split() for t in texts]
+            short = [k for k, w in enumerate(split) if 0 < len(w) <= common.GROUP_WORDS]
+            low = 0
+            while low < len(short):
+                high, n = low, 0
+                while high < len(short) and n + len(split[short[high]]) <= common.GROUP_WORDS:
+                    n += len(split[short[high]])
+                    high += 1
+                group = short[low:high]
+                low = high
+                v = held([w for k in group for w in split[k]])
+                ends = np.cumsum([len(split[k]) for k in group])
+                starts = np.concatenate([[0], ends[:-1]])
+                begins = np.zeros(len(v), bool)
                 begins[starts] = True
-                post = crf.forward_backward(v[:, :-1], self.transition, begins)
-                letters = v[:, -1:]
-                total[owners[starts]] += np.add.reduceat(np.hstack([post * letters, letters]), starts, axis=0)
+                add(np.array(group), starts, crf.forward_backward(v[:, :-1], self.transition, begins), v)
+            for k, words in enumerate(split):
+                if len(words) > common.GROUP_WORDS:
+                    parts = [words[at : at + common.GROUP_WORDS] for at in range(0, len(words), common.GROUP_WORDS)]
+                    posts = crf.carried(len(parts), lambda i: held(parts[i])[:, :-1], self.transition)
+                    for part, post in zip(parts, posts):
+                        add(np.array([k]), np.array([0]), post, held(part))
         said = total[:, -1] > 0
         mean = total[:, :-1] / np.maximum(total[:, -1:], 1)
         best = mean.argmax(axis=1) if size else np.zeros(len(texts), int)
         return [self.languages[k] if ok else "und" for k, ok in zip(best, said)], np.where(said, mean.max(axis=1, initial=0), 0.0)
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = MAX_CHARS) -> Model:
-    """Fits on a bounded sample of each language of rows whose crc32 of the id, mod 4, is not 2."""
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = MAX_CHARS, most: int = MOST) -> Model:
+    """Fits on a bounded sample of each language of rows whose crc32 of the id, mod 4, is not 2.
+
+    Bounds: per_language texts of each language, most texts in all (fewer of each where languages are very many), texts
+    of at most max_chars characters. Rows with a null text or language don't enter; of rows equal in id, language and
+    text one does. Only keys are shuffled; the sample's texts are fetched by a broadcast of at most `most` keys.
+    """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars) & (common.crc_mod("doc_id", 4) != 2))
-    names = [r[0] for r in usable.select("lang").distinct().collect()]
+    names = usable.select("lang").distinct().count()
     if not names:
         return Model([], [])
     ids = usable.select("lang", "doc_id", F.xxhash64("text").alias("_t"))
-    chosen = common.bounded_sample(ids, "lang", F.xxhash64("doc_id", "_t", F.lit(11)), per_language)
-    rows = usable.withColumn("_t", F.xxhash64("text")).join(chosen.select("doc_id", "lang", "_t"), ["doc_id", "lang", "_t"], "left_semi").select("text", "lang", "_t").dropDuplicates().toPandas()
-    rows = rows.sort_values(["lang", "_t"])
-    return Model(list(rows["text"]), list(rows["lang"]))
+    chosen = common.bounded_sample(ids, "lang", F.xxhash64("doc_id", "_t", F.lit(11)), max(1, min(per_language, most // names)))
+    rows = usable.select("lang", "text", F.xxhash64("text").alias("_t"), F.col("doc_id").alias("_id")).join(
+        F.broadcast(chosen.select("lang", F.col("doc_id").alias("_id"), "_t").limit(most).distinct()), ["lang", "_id", "_t"], "left_semi"
+    )
+    found = rows.select("lang", "_t", "text").dropDuplicates(["lang", "_t"]).toPandas().sort_values(["lang", "_t"])
+    return Model(list(found["text"]), list(found["lang"]))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred (a learned language, or und) and score (its mean probability over the words) of every row.
 
     A map over the rows. Null texts, texts without a letter, and all texts when no language was learned are und with
-    score 0. With one language learned, other texts get it with score 1. A text longer than the words handled at
-    once is read in parts, at whose borders the label is free again. Rows that repeat are labelled each; a null
-    doc_id stays null; further columns are left out.
+    score 0. With one language learned, other texts get it with score 1. Of languages equally likely the first by name
+    is taken. Rows that repeat are labelled each; a null doc_id stays null; further columns are left out.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -165,6 +199,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted languages of all documents (see identify): und for null and empty texts and those without a letter; rows
+    that repeat are labelled each."""
     docs = common.read(spark, sf_dir, "documents")
     found = identify(docs, fit(docs))
     return found.select("doc_id", (common.crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")

@@ -2,10 +2,11 @@
 
 The field labels tokens (words, numbers, single marks) as outside or as beginning or inside of an e-mail address, an
 IP address, a card number or a phone number. It is trained on the small labelled table below, and finds written
-forms that the rules don't have, such as "jo at mail dot org" or a phone number without a plus. Tokens that have
-no cue (a digit, an at-sign or the word "at", in brackets or not) within REACH characters, widened to white space, are
-outside by constraint, so the chain falls into independent windows; under that constraint decoding these by Viterbi is
-exact however long the text is. An added span must
+forms that the rules don't have, such as "jo at mail dot org" or a phone number without a plus. Whatever a plausible
+span may be lies in one run: numbers with the marks between them, or words joined by marks or by words such as "at"
+and "dot". Tokens further than REACH characters (widened to white space) from every run that has a cue (a digit, an
+at-sign or the word "at", in brackets or not) are outside by constraint, so the chain falls into independent windows;
+under that constraint decoding these by Viterbi is exact however long the text or the run is. An added span must
 not overlap a rule's span and must pass its kind's test (parts up to 255, Luhn's check, number of digits).
 """
 
@@ -36,6 +37,15 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: No plausible span is without one of these.
 CUE = re.compile(r"[0-9@]|\b[Aa][Tt]\b")
+_ATOM = r"[^\W_]++(?:[._%+-]++[^\W_]++)*+"
+_WORD = r"(?:at|dot|punkt|point|punto)"
+_JOIN = rf"\s*+(?:[(\[]\s*+{_WORD}\s*+[)\]]|@|\.|\b{_WORD}\b)\s*+"
+#: Runs that a span can't leave: joined words, and numbers with marks; single cues for the rest.
+RUN = re.compile(rf"\b{_ATOM}(?:{_JOIN}{_ATOM})+|[+(]*+[0-9](?:[0-9+(). /-]*[0-9])?|{CUE.pattern}", re.IGNORECASE)
+#: A written-out address: a full stop joins words only with white space on both sides or on none.
+_PART = r"[^\W_]+(?:[_%+-]+[^\W_]+)*"
+_DOT = r"(?:\.|\s+\.\s+|\s*[(\[]\s*(?:dot|punkt|point|punto)\s*[)\]]\s*|\s+(?:dot|punkt|point|punto)\s+)"
+WRITTEN = re.compile(rf"{_PART}(?:{_DOT}{_PART})*(?:{_DOT})?\s*(?:@|[(\[]\s*at\s*[)\]]|\bat\b)\s*{_PART}(?:{_DOT}{_PART})+", re.IGNORECASE)
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\sA-Za-z0-9]|_")
 
 #: The labelled table. A tagged part is [kind text].
@@ -45,6 +55,11 @@ her address is [email anna.b-k@post.example.org], he said
 mail [email x_y%z+news@a-b.co.uk] or come by
 contact [email jo at mail7 dot example dot com] today
 reach me under [email maria dot lopez at post dot org] soon
+an [email max punkt mustermann at web punkt de] senden
+schreib an [email eva punkt k at post punkt de] bitte
+escribe a [email ana punto ruiz at correo punto es] hoy
+ecris a [email luc point dupont at poste point fr] demain
+to [email lee dot ann dot park at mail dot example dot org] by noon
 ask [email kim (at) example (dot) net] about it
 send it to [email lee[at]example[dot]com] now
 schreib an [email max punkt at web dot de] bitte
@@ -212,9 +227,11 @@ class Model:
         self.start = np.array([0.0 if k == 0 or k % 2 else -1e9 for k in range(len(LABELS))])
 
     def windows(self, text: str) -> list[tuple[int, int]]:
-        """Parts of the text that may hold spans, widened to white space."""
+        """Parts of the text that may hold spans: whole runs and REACH characters beside them, widened to white space."""
         out: list[list[int]] = []
-        for m in CUE.finditer(text):
+        for m in RUN.finditer(text) if CUE.search(text) else ():
+            if not CUE.search(m.group()):
+                continue
             low, high = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
             done = out[-1][1] if out else 0
             if high <= done:
@@ -280,8 +297,7 @@ class Model:
 def plausible(kind: str, s: str) -> bool:
     d = digits_of(s)
     if kind == "email":
-        parts = re.split(r"@|[(\[]at[)\]]|\bat\b", s, flags=re.IGNORECASE)
-        return len(parts) == 2 and all(any(map(str.isalnum, p)) for p in parts) and re.search(r"\.|dot|punkt|point|punto", parts[1], re.IGNORECASE) is not None
+        return WRITTEN.fullmatch(s) is not None
     if kind == "ip":
         parts = re.findall(r"[0-9]+", s)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and not re.search(r"[^0-9. ]", s)
@@ -328,18 +344,24 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs with every span in text replaced by its kind in brackets; a null text stays null, other columns stay."""
+    """docs with every span in text replaced by its kind in brackets.
+
+    Null texts stay null and empty ones empty; rows that repeat are each redacted; other columns, of any name, stay. An
+    empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model or Model())
-    at = docs.columns.index("text")
+    docs_names = docs.columns
+    at = docs_names.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(at).to_pylist()
         _, every = _find(sent.value, [t or "" for t in texts])
         new = pa.array([redacted(t, s) if s else t for t, s in zip(texts, every)], batch.schema.field(at).type)
-        return pa.RecordBatch.from_arrays([new if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)
+        return pa.RecordBatch.from_arrays([new if k == at else c for k, c in enumerate(batch.columns)], docs_names)
 
     return common.map_slices(docs, run, docs.schema)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents (see find): null and empty texts have none, rows that repeat are searched each."""
     return find(common.read(spark, sf_dir, "documents"))

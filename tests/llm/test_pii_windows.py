@@ -29,3 +29,31 @@ def test_windows_end_at_white_space():
         assert (a == 0 or text[a - 1].isspace()) and (b == len(text) or text[b].isspace())
     assert m.windows("x" * 200 + "9" + "x" * 200) == [(0, 401)]
     assert m.windows("a" * 100) == []
+
+
+def test_long_runs_are_seen_whole():
+    """Spans far longer than the reach of a cue, in long texts."""
+    m = pii.Model()
+    pad = "worte ohne zeichen und ohne zahlen stehen hier in langer reihe " * 40
+    names = " dot ".join(["maria", "lopez", "gonzalez", "fernandez"] * 8)
+    address = f"{names} at post dot org"
+    digits = "4 1 1 1 - " * 3 + "1 1 1 1"
+    text = f"{pad}write to {address} soon {pad} pay with {digits} now {pad}"
+    spread = m.windows(text)
+    for part in (address, digits):
+        a = text.index(part)
+        assert len(part) > 30 and any(low <= a and a + len(part) <= high for low, high in spread)
+    assert address in [text[a:b] for _, a, b in m.added([text], [[]])[0]]
+
+
+def test_every_rule_span_and_cue_is_in_a_window():
+    import random
+
+    rng = random.Random(1)
+    m = pii.Model.__new__(pii.Model)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "at", " ", " ", ".", "@", "dot", "7", "12", "-", "(", ")", "+", "\n", "x" * 60, "Punkt"]) for _ in range(rng.randrange(40)))
+        spread = m.windows(text)
+        assert all(a < b for a, b in spread) and all(x[1] < y[0] for x, y in zip(spread, spread[1:]))
+        for c in pii.CUE.finditer(text):
+            assert any(a <= c.start() and c.end() <= b for a, b in spread)
