@@ -70,10 +70,50 @@ def name_similarity(title: Column, name: Column) -> Column:
 
 
 def slug_base(c: Column, default: str = "organization") -> Column:
-    s = F.btrim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", "-"), F.lit("-"))
+    """Lower-case words joined by hyphens; accents fold to their letters."""
+    s = F.btrim(F.regexp_replace(F.lower(_fold(c)), "[^a-z0-9]+", "-"), F.lit("-"))
     return F.when(s == "", default).otherwise(s)
 
 
+def target_price(message: Column) -> Column:
+    """The last number of a message (commas group digits, up to two digits behind the point); null unless above 0."""
+    numbers = F.regexp_extract_all(F.lower(message), F.lit(r"[0-9][0-9,]*(?:\.[0-9]{1,2})?"), 0)
+    n = F.replace(F.try_element_at(numbers, F.lit(-1)), F.lit(","), F.lit("")).try_cast("decimal(18,2)")
+    return F.when(n > 0, n)
+
+
+def whole_ids(values: Column) -> Column:
+    """Those of an array of texts that are digits only, as numbers; what no long can hold is left out."""
+    return F.array_compact(F.transform(values, lambda v: F.when(v.rlike("^[0-9]+$"), v.try_cast("long"))))
+
+
+def label(name: Column) -> Column:
+    """snake_case as words with capital initials; letters behind marks count as initials too."""
+    spaced = F.replace(name, F.lit("_"), F.lit(" "))
+    parts = F.regexp_extract_all(spaced, F.lit(r"(\w+|\W+)"), 1)
+    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, F.lit(2), F.length(w)))), "")
+
+
+def compact_number(n: Column) -> Column:
+    """1.2M from a million on, 12K (half up) from a thousand on, else the number as it is; null and not finite give ''."""
+    n = n.cast("double")
+    millions = F.concat(F.round(n / 1e6, 1).cast("decimal(20,1)").cast("string"), F.lit("M"))
+    thousands = F.concat(F.floor(n / 1e3 + 0.5).cast("string"), F.lit("K"))
+    plain = F.regexp_replace(n.cast("string"), r"\.0$", "")
+    return F.when(n.isNull() | F.isnan(n) | (F.abs(n) == float("inf")), "").when(n >= 1e6, millions).when(n >= 1e3, thousands).otherwise(plain)
+
+
+def file_name(path: Column, default: str = "sales-import.csv", most: int = 255) -> Column:
+    """Last part of an uploaded path, trimmed, at most `most` characters; the default where nothing is left."""
+    name = F.trim(F.element_at(F.split(F.rtrim(F.coalesce(path, F.lit("")), F.lit("/")), "/"), -1))
+    return F.when(name == "", default).otherwise(F.left(name, F.lit(most)))
+
+
+def variant(title: Column) -> Column:
+    """What stands in brackets from a memory size on, as in '(8GB RAM, 256GB)'; '' without one."""
+    return F.regexp_extract(title, r"(?i)\((\d+\s*GB[^)]*)\)", 1)
+
+
 def sku(c: Column) -> Column:
     s = F.upper(F.trim(c))
     return F.when(s != "", s)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import target_price, whole_ids
+
 # Phrases of each intent, in order of precedence, and the words that aren't search terms.
 INTENTS = (
     ("set_price_alert", ("alert", "notify", "notification")),
@@ -19,6 +21,12 @@ INTENTS = (
 )
 
 
+# Words of a message that name no product.
+STOP_WORDS = ("a", "an", "and", "buy", "compare", "for", "history", "is", "me", "of", "price", "product", "show", "the", "to", "vs", "what", "with")
+# How a signal is said.
+SIGNALS = {"buy_now": "Buy now", "wait": "Wait", "price_stable": "Price is stable", "insufficient_data": "Insufficient data"}
+
+
 def intent(message: Column) -> Column:
     """The first intent with a phrase in the message, else product_search."""
     text = F.concat(F.lit(" "), F.lower(F.trim(message)), F.lit(" "))
@@ -39,3 +47,83 @@ def carry_context(turns: DataFrame, value: str) -> DataFrame:
     """turns with value filled from the conversation's last turn that has one."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     return turns.withColumn("context", F.last(value, ignorenulls=True).over(w))
+
+
+def entities(messages: DataFrame, products: DataFrame, most: int = 5) -> DataFrame:
+    """message_id, rank, product_id, name: active products whose name or model holds a term of the message, by name and id.
+
+    The first eight terms count (see search_terms). Products are looked up once for each distinct term, by an equi join
+    on the term's first two characters, and only `most` of a term's products are kept: those of a message are
+    among its terms' first ones.
+    """
+    said = messages.select("message_id", F.explode(F.array_distinct(search_terms(F.col("text"), STOP_WORDS))).alias("term"))
+    terms = said.select("term").distinct()
+    p = products.filter("is_active")
+    names = p.select("product_id", "name", F.concat_ws("\n", F.lower("name"), F.lower("model") if "model" in p.columns else F.lit(None).cast("string")).alias("m"))
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("m"), F.lit(2)) - 1), lambda i: F.substring("m", i, F.lit(2))))
+    hits = terms.withColumn("k", F.left("term", F.lit(2))).join(names.withColumn("k", F.explode(pairs)), "k").filter(F.contains("m", "term"))
+    w = Window.partitionBy("term").orderBy("name", "product_id")
+    short = hits.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).select("term", "product_id", "name")
+    found = said.join(short, "term").select("message_id", "product_id", "name").distinct()
+    w = Window.partitionBy("message_id").orderBy("name", "product_id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("message_id", "rank", "product_id", "name")
+
+
+def resolved(messages: DataFrame, found: DataFrame, products: DataFrame) -> DataFrame:
+    """found (see entities), and for messages without any the active products of their context (array context_ids of texts)."""
+    ids = messages.join(found.select("message_id").distinct(), "message_id", "left_anti").select("message_id", F.explode(F.array_distinct(whole_ids(F.col("context_ids")))).alias("product_id"))
+    known = ids.join(products.filter("is_active").select("product_id", "name"), "product_id")
+    w = Window.partitionBy("message_id").orderBy("name", "product_id")
+    return found.unionByName(known.withColumn("rank", F.row_number().over(w)).select("message_id", "rank", "product_id", "name"))
+
+
+def answers(messages: DataFrame, found: DataFrame, facts: DataFrame, similar: DataFrame, with_alert: DataFrame) -> DataFrame:
+    """message_id, intent, answer: a sentence from stored figures only, for each message (message_id, text).
+
+    found: products of the messages (see resolved). facts, one row a product: lowest (of available offers), low (of
+    history), points, listings, suggestion, confidence. similar: product_id, rank, other (names of alternatives).
+    with_alert: product_id of the user's active alerts. All questions but comparisons are about the first product.
+    """
+    m = messages.select("message_id", intent(F.col("text")).alias("intent"), target_price(F.col("text")).alias("wanted"))
+    f = found.join(facts.select("product_id", "lowest"), "product_id", "left")
+    order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("rank", c))), lambda x: x[c])
+    three = F.filter(F.collect_list(F.when(F.col("rank") <= 3, F.struct("lowest", "rank", "name"))), lambda x: x["lowest"].isNotNull())
+    per = f.groupBy("message_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rank", "product_id", "name")).alias("first"), F.array_join(order("name"), ", ").alias("names"), F.array_sort(three).alias("priced"))
+    j = m.join(per, "message_id", "left").withColumns({"product_id": F.col("first.product_id"), "name": F.col("first.name")})
+    others = similar.groupBy("product_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other"))), lambda x: x["other"]), ", ").alias("others"))
+    j = j.join(facts, "product_id", "left").join(others, "product_id", "left").join(with_alert.select("product_id", F.lit(True).alias("watched")).distinct(), "product_id", "left")
+    pkr = lambda c: F.concat(F.lit("PKR "), c.cast("decimal(18,2)").cast("string"))
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    best, dearest = F.try_element_at("priced", F.lit(1)), F.try_element_at("priced", F.lit(-1))
+    compared = F.when(F.col("n") < 2, "Only one product was found. Name a second one to compare.").when(F.size("priced") == 0, "None of these products has an available offer.")
+    compared = compared.otherwise(say(best["name"], " has the lowest offer, ", pkr(best["lowest"]), "; the gap is ", pkr(dearest["lowest"] - best["lowest"]), "."))
+    signal = F.element_at(F.create_map(*(F.lit(x) for pair in SIGNALS.items() for x in pair)), F.coalesce("suggestion", F.lit("insufficient_data")))
+    said = {
+        "comparison": compared,
+        "price_history": say(F.col("name"), " has ", F.coalesce("points", F.lit(0)).cast("string"), " stored prices of ", F.coalesce("listings", F.lit(0)).cast("string"), " listings; the low is ", F.coalesce(pkr(F.col("low")), F.lit("not available")), "."),
+        "buy_or_wait": say(signal, " for ", F.col("name"), ". Confidence is ", F.coalesce("confidence", F.lit("low")), "."),
+        "recommendation": F.when(F.col("others").isNull(), say("No alternatives to ", F.col("name"), " are stored.")).otherwise(say("Alternatives to ", F.col("name"), ": ", F.col("others"), ".")),
+        "set_price_alert": F.when(F.col("wanted").isNull(), say("Name a target price for ", F.col("name"), ".")).when(F.col("watched"), say("An active alert for ", F.col("name"), " exists.")).otherwise(say("Alert for ", F.col("name"), " at ", pkr(F.col("wanted")), ".")),
+        "lowest_price": F.when(F.col("lowest").isNull(), say("No available offer of ", F.col("name"), " is stored.")).otherwise(say("The lowest offer of ", F.col("name"), " is ", pkr(F.col("lowest")), ".")),
+    }
+    answer = F.when(F.col("product_id").isNull(), "No active product matches.")
+    for name, text in said.items():
+        answer = answer.when(F.col("intent") == name, text)
+    return j.select("message_id", "intent", answer.otherwise(say("Found ", F.col("names"), ".")).alias("answer"))
+
+
+def turns(conversations: DataFrame, messages: DataFrame, found: DataFrame, default: str = "New shopping conversation") -> DataFrame:
+    """conversations (conv_id, title, context map) after their users' messages (conv_id, message_id, text, in id order).
+
+    The context keeps its other keys; product_ids and last_intent are those of the last message. A default title
+    becomes the name of the first message's first product, or that message's first 80 characters.
+    """
+    first_name = found.filter("rank = 1").select("message_id", "name")
+    ids = found.groupBy("message_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "product_id"))), lambda x: x["product_id"].cast("string")), ",").alias("ids"))
+    m = messages.join(first_name, "message_id", "left").join(ids, "message_id", "left").withColumn("intent", intent(F.col("text")))
+    g = m.groupBy("conv_id").agg(F.min(F.struct("message_id", F.coalesce("name", F.left("text", F.lit(80))).alias("title"))).alias("f"), F.max(F.struct("message_id", "ids", "intent")).alias("l"))
+    j = conversations.join(g, "conv_id", "left")
+    new = F.create_map(F.lit("product_ids"), F.coalesce("l.ids", F.lit("")), F.lit("last_intent"), F.col("l.intent"))
+    kept = F.map_filter(F.coalesce("context", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), lambda k, v: ~k.isin("product_ids", "last_intent"))
+    context = F.when(F.col("l").isNull(), F.col("context")).otherwise(F.map_concat(kept, new))
+    return j.select("conv_id", F.when((F.col("title") == default) & F.col("f").isNotNull(), F.col("f.title")).otherwise(F.col("title")).alias("title"), context.alias("context"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import compact, normalize
+
 #: Orders by name; price and rating put products without one last, and the id breaks ties.
 ORDERS = {
     "name_asc": lambda: [F.lower("name").asc()], "name_desc": lambda: [F.lower("name").desc()],
@@ -60,20 +62,40 @@ def page_totals(df: DataFrame, size: int) -> DataFrame:
 
 
 def similar(products: DataFrame, n: int = 4) -> DataFrame:
-    """For each active product, n active others of its category: of its brand first, then by name and id.
+    """For each active product, n active others of its category: those without a brand first, then of its brand, then
+    others, each by name and id. To a product without a brand all are alike. same is null where either has no brand.
 
     Candidates are ranked per category and brand before the join, so a category's products never meet all others:
-    a product needs at most n + 1 of its own brand and n + 1 of its category.
+    a product needs at most n + 1 without a brand, n + 1 of its own and n of other brands of its category.
     """
     p = products.filter("is_active").select("product_id", "name", "brand", "category")
     short = p.select("category", F.col("brand").alias("b2"), F.col("name").alias("other"), F.col("product_id").alias("other_id"))
     of_brand = short.withColumn("_b", F.row_number().over(Window.partitionBy("category", "b2").orderBy("other", "other_id"))).filter(F.col("_b") <= n + 1)
-    near = p.join(of_brand, (p.category == of_brand.category) & (p.brand == of_brand.b2)).select("product_id", "other", "other_id", F.lit(True).alias("same"))
-    # Of the category: what is left of its first by name without the product's own brand, which has at most n + 1 of them.
-    first = of_brand.withColumn("_r", F.row_number().over(Window.partitionBy("category").orderBy("other", "other_id"))).filter(F.col("_r") <= 2 * n + 1)
-    far = p.join(first, "category").filter(F.col("brand") != F.col("b2")).select("product_id", "other", "other_id", F.lit(False).alias("same"))
-    w = Window.partitionBy("product_id").orderBy(F.col("same").desc(), "other", "other_id")
-    return near.unionByName(far).filter("product_id <> other_id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("product_id", "rank", "other_id", "same")
+    shown = ["product_id", "other", "other_id"]
+    none = p.join(of_brand.filter("b2 is null"), "category").select(*shown, F.lit(0).alias("place"), F.lit(None).cast("boolean").alias("same"))
+    near = p.join(of_brand, (p.category == of_brand.category) & (p.brand == of_brand.b2)).select(*shown, F.lit(1).alias("place"), F.lit(True).alias("same"))
+    # Of the category's first by name: without the product's own brand, of which these hold at most n + 1, n are left.
+    branded = of_brand.filter("b2 is not null")
+    first = branded.withColumn("_r", F.row_number().over(Window.partitionBy("category").orderBy("other", "other_id"))).filter(F.col("_r") <= 2 * n + 1)
+    far = p.join(first, "category").filter(~F.col("brand").eqNullSafe(F.col("b2")))
+    far = far.select(*shown, F.when(F.col("brand").isNull(), 0).otherwise(2).alias("place"), F.when(F.col("brand").isNotNull(), False).alias("same"))
+    w = Window.partitionBy("product_id").orderBy("place", "other", "other_id")
+    every_ = none.unionByName(near).unionByName(far).filter("product_id <> other_id")
+    return every_.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("product_id", "rank", "other_id", "same")
+
+
+def unique_value(titles: DataFrame, values: DataFrame) -> DataFrame:
+    """titles (item_id, title) with value: the one catalog value (column value) that a title holds, null for none or several.
+
+    Both are normalised and compared without spaces. Titles meet values by their first three characters, an equi
+    join; values of one or two characters by what they are.
+    """
+    v = values.select(normalize(F.col("value")).alias("value")).filter("value != ''").distinct().withColumn("c", compact(F.col("value"))).withColumn("k", F.left("c", F.lit(3)))
+    whole = titles.select("item_id", compact(normalize(F.col("title"))).alias("t"))
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1))), lambda i: i <= F.length("t"))
+    grams = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*(F.substring("t", i, F.lit(k)) for k in (1, 2, 3))))))
+    hits = whole.withColumn("k", F.explode(grams)).join(v, "k").filter(F.contains("t", "c")).groupBy("item_id").agg(F.countDistinct("value").alias("n"), F.min("value").alias("value"))
+    return titles.select("item_id").join(hits.filter("n = 1").select("item_id", "value"), "item_id", "left")
 
 
 def spec_keys(specs: DataFrame) -> DataFrame:

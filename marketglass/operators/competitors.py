@@ -38,9 +38,12 @@ def market_share(own: DataFrame, listings: DataFrame) -> DataFrame:
     return j.select("product_id", F.when(F.col("selling_price") > 0, share).alias("share_bp"))
 
 
-def summary(found: DataFrame) -> DataFrame:
-    """Tracked competitors and products, products at risk, average gap."""
-    return found.groupBy("org_id").agg(F.count(F.lit(1)).alias("tracked"), F.countDistinct("product_id").alias("products"), F.countDistinct(F.when(F.col("risk") == "high", F.col("product_id"))).alias("at_risk"), average(F.sum("gap"), F.count("gap")).alias("average_gap"))
+def summary(found: DataFrame, shares: DataFrame) -> DataFrame:
+    """Of each organisation: tracked competitors and products, products at risk, average gap, and the average share (in
+    basis points, rounded) of its products that have one; each product counts once."""
+    per = found.groupBy("org_id", "product_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("risk") == "high").alias("high"), F.sum("gap").alias("gap"), F.count("gap").alias("gaps"))
+    g = per.join(shares, "product_id", "left").groupBy("org_id").agg(F.sum("n").alias("tracked"), F.count(F.lit(1)).alias("products"), F.count_if("high").alias("at_risk"), average(F.sum("gap"), F.sum("gaps")).alias("average_gap"), F.sum("share_bp").alias("s"), F.count("share_bp").alias("c"))
+    return g.select("org_id", "tracked", "products", "at_risk", "average_gap", F.round(F.try_divide(F.col("s"), F.col("c"))).cast("long").alias("average_share_bp"))
 
 
 def scenarios(priced: DataFrame, changes: tuple[int, ...] = (-5, 0, 5)) -> DataFrame:

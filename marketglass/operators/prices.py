@@ -77,25 +77,81 @@ def reasons(guided: DataFrame) -> DataFrame:
     return guided.withColumn("limitations", F.array_join(F.array_compact(F.array(few, note)), "; "))
 
 
-def personalise(guided: DataFrame, alerts: DataFrame) -> DataFrame:
-    """guided with the user's own target: of each product's active alerts the newest product alert, else the newest."""
-    best = alerts.filter("is_active").groupBy("product_id").agg(F.max(F.struct("on_product", "alert_id", "target_price")).alias("a"))
-    j = guided.join(best, "product_id")
-    gap = F.greatest(F.lit(0).cast("decimal(14,2)"), F.col("current_lowest") - F.col("a.target_price"))
-    reached = F.col("current_lowest") <= F.col("a.target_price")
-    return j.select("product_id", F.col("a.alert_id").alias("alert_id"), F.col("a.target_price").cast("decimal(18,2)").alias("target_price"), gap.cast("decimal(18,2)").alias("gap"), percent(gap, F.col("a.target_price")).alias("gap_pct"), reached.alias("reached"), F.when(F.col("suggestion") == "insufficient_data", F.col("suggestion")).when(reached, "buy_now").otherwise("wait").alias("suggestion"))
+def personalise(guided: DataFrame, alerts: DataFrame, listings: DataFrame) -> DataFrame:
+    """guided with the user's own target, for products with active alerts.
+
+    Of a product's active alerts the newest product alert counts, else the newest of an available listing, else the
+    newest. A product alert is compared with the current low, a listing alert with that listing's price, which is
+    unknown while the listing is unavailable: then there is no gap, and insufficient data.
+    """
+    seen = listings.select("product_id", "seller_id", F.col("current_price").alias("own_price"), F.col("is_available").alias("open"))
+    a = alerts.filter("is_active").join(seen, ["product_id", "seller_id"], "left")
+    rank = F.when(F.col("on_product"), 2).when(F.col("open"), 1).otherwise(0)
+    best = a.groupBy("product_id").agg(F.max(F.struct(rank.alias("rank"), "alert_id", "target_price", F.when(F.col("open"), F.col("own_price")).alias("own"))).alias("a"))
+    j = guided.join(best, "product_id").withColumn("evaluated", F.when(F.col("a.rank") == 2, F.col("current_lowest")).otherwise(F.col("a.own")).cast("decimal(18,2)"))
+    target = F.col("a.target_price").cast("decimal(18,2)")
+    gap = F.when(F.col("evaluated").isNotNull(), F.greatest(F.lit(0).cast("decimal(18,2)"), F.col("evaluated") - target).cast("decimal(18,2)"))
+    reached = F.col("evaluated") <= target
+    signal = F.when(F.col("evaluated").isNull(), "insufficient_data").when(reached, "buy_now").otherwise("wait")
+    return j.select("product_id", F.col("a.alert_id").alias("alert_id"), target.alias("target_price"), "evaluated", gap.alias("gap"), percent(gap, target).alias("gap_pct"), reached.alias("reached"), signal.alias("suggestion"))
 
 
 def compare(products: DataFrame, listings: DataFrame, ids: list[int]) -> DataFrame:
-    """Cheapest of two or three distinct products, and the gap to the dearest; no row if one is missing or unpriced."""
+    """Cheapest of two or three distinct products, and the gap to the dearest in percent of the cheapest.
+
+    No row if one is missing, none has an available listing, or the products' cheapest listings (column currency, one
+    currency where there is none) differ in currency. One priced product has no gap. Ties go to the first of ids.
+    """
     if not 2 <= len(ids) <= 3 or len(set(ids)) != len(ids):
         raise ValueError("two or three distinct products")
     rank = F.array_position(F.array(*(F.lit(i).cast("long") for i in ids)), F.col("product_id"))
-    low = listings.filter(F.col("product_id").isin(ids) & F.col("is_available")).groupBy("product_id").agg(F.min("current_price").alias("p"))
+    if "currency" not in listings.columns:
+        listings = listings.withColumn("currency", F.lit("PKR"))
+    open_ = listings.filter(F.col("product_id").isin(ids) & F.col("is_available"))
+    low = open_.groupBy("product_id").agg(F.min(F.struct("current_price", "seller_id", "currency")).alias("x")).select("product_id", F.col("x.current_price").alias("p"), F.col("x.currency").alias("currency"))
     there = products.filter(F.col("product_id").isin(ids)).join(low, "product_id", "left")
-    g = there.agg(F.count("product_id").alias("n"), F.count("p").alias("priced"), F.min(F.when(F.col("p").isNotNull(), F.struct("p", rank.alias("r"), "product_id", "name"))).alias("c"), F.max("p").alias("top"))
-    gap = F.col("top") - F.col("c.p")
-    return g.filter((F.col("n") == len(ids)) & (F.col("priced") > 0)).select(F.col("c.product_id").alias("cheapest_id"), F.col("c.name").alias("cheapest_name"), F.col("c.p").cast("decimal(18,2)").alias("cheapest_price"), gap.cast("decimal(18,2)").alias("gap"), percent(gap, F.col("top")).alias("gap_pct"))
+    cheapest = F.min(F.when(F.col("p").isNotNull(), F.struct("p", rank.alias("r"), "product_id", "name"))).alias("c")
+    g = there.agg(F.count("product_id").alias("n"), F.count("p").alias("priced"), cheapest, F.max("p").alias("top"), F.countDistinct("currency").alias("currencies"), F.min("currency").alias("currency"))
+    gap = F.when(F.col("priced") > 1, F.col("top") - F.col("c.p"))
+    return g.filter((F.col("n") == len(ids)) & (F.col("currencies") == 1)).select(
+        F.col("c.product_id").alias("cheapest_id"), F.col("c.name").alias("cheapest_name"), F.col("c.p").cast("decimal(18,2)").alias("cheapest_price"), "currency",
+        gap.cast("decimal(18,2)").alias("gap"), F.when(F.col("c.p") > 0, percent(gap, F.col("c.p"))).alias("gap_pct"),
+    )
+
+
+def publish(active: DataFrame, documents: DataFrame) -> DataFrame:
+    """documents (variant_id, forecast_id, generated_at) with outcome: published, superseded or rejected.
+
+    Documents come in the order of forecast_id; one that isn't strictly newer than the variant's newest so far, stored
+    or sent before it, is rejected. Of those accepted the last stays published, the others are superseded.
+    """
+    held = active.groupBy("variant_id").agg(F.max("generated_at").alias("held"))
+    w = Window.partitionBy("variant_id").orderBy("forecast_id")
+    j = documents.join(held, "variant_id", "left").withColumn("before", F.greatest("held", F.max("generated_at").over(w.rowsBetween(Window.unboundedPreceding, -1))))
+    newest = F.max(F.greatest("held", "generated_at")).over(Window.partitionBy("variant_id"))
+    j = j.withColumn("newest", newest)
+    outcome = F.when(F.col("generated_at") <= F.col("before"), "rejected").when(F.col("generated_at") < F.col("newest"), "superseded").otherwise("published")
+    return j.select("variant_id", "forecast_id", outcome.alias("outcome"))
+
+
+def forecast_answer(products: DataFrame, forecasts: DataFrame) -> DataFrame:
+    """Every product with its active forecast, or the plain statement that there is none."""
+    j = products.select("product_id").join(newest_forecast(forecasts).withColumnRenamed("variant_id", "product_id"), "product_id", "left")
+    return j.withColumn("status", F.when(F.col("forecast_id").isNull(), "no_forecast").otherwise("available"))
+
+
+def contract_breaches(documents: DataFrame) -> DataFrame:
+    """documents with `broken`: the rules of the forecast contract that they break.
+
+    documents: horizon, generated_at, points (an array of structs with column at, in the order sent). Points must be as
+    many as the horizon says, in ascending order, each time once, and all after generated_at.
+    """
+    days = F.transform("points", lambda p: p["at"])
+    rules = {
+        "horizon": F.size(days) == F.col("horizon"), "order": days == F.array_sort(days), "repeats": F.size(F.array_distinct(days)) == F.size(days),
+        "future": F.forall(days, lambda x: x > F.col("generated_at")),
+    }
+    return documents.withColumn("broken", F.array_compact(F.array(*(F.when(~F.coalesce(test, F.lit(False)), name) for name, test in rules.items()))))
 
 
 def newest_forecast(forecasts: DataFrame) -> DataFrame:

@@ -42,8 +42,8 @@ def share_and_rank(totals: DataFrame, sales: DataFrame) -> DataFrame:
     written as one window over products, not over sales.
     """
     whole = sales.agg(F.sum("revenue").alias("whole"))
-    w = Window.orderBy(F.col("revenue").desc(), F.col("units").desc(), "product_id")
-    return totals.crossJoin(F.broadcast(whole)).select("product_id", "revenue", half_up(F.try_divide(F.col("revenue") * 100, "whole")).alias("share_pct"), F.row_number().over(w).alias("rank"))
+    ranked = share_rank_order(totals).crossJoin(F.broadcast(whole))
+    return ranked.select("product_id", "revenue", half_up(F.try_divide(F.col("revenue") * 100, "whole")).alias("share_pct"), "rank")
 
 
 def check_headers(headers: list[str]) -> list[str]:
@@ -69,9 +69,36 @@ def import_totals(validated: DataFrame, *key: str) -> DataFrame:
     return g.withColumn("status", F.when(F.col("accepted") == 0, "failed").when(F.col("rejected") > 0, "completed_with_errors").otherwise("completed"))
 
 
+#: Most bytes and rows of an import file.
+MOST_BYTES, MOST_ROWS = 2 * 1024 * 1024, 5000
+
+
 def read_csv(spark, path: str) -> DataFrame:
-    """An import file as text columns; quoted line breaks are kept, rows without any value are skipped."""
+    """An import file as text columns with source_row, which counts from 2 (1 is the header).
+
+    Quoted line breaks are kept; rows without any value are counted but left out. Refuses files of more than MOST_BYTES
+    bytes or MOST_ROWS rows, and headers that check_headers refuses. The file is small, so it is read as one partition.
+    """
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    if size is None or size > MOST_BYTES:
+        raise ValueError(f"an import file has at most {MOST_BYTES} bytes")
     df = spark.read.option("header", True).option("multiLine", True).option("encoding", "UTF-8").csv(path)
     df = df.toDF(*check_headers(df.columns))
     df = df if "currency" in df.columns else df.withColumn("currency", F.lit(None).cast("string"))
-    return df.filter(F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in df.columns)).isNotNull()).select(*COLUMNS)
+    df = df.select(*COLUMNS).withColumn("source_row", F.monotonically_increasing_id() + 2)
+    df = df.filter(F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in COLUMNS)).isNotNull())
+    if df.limit(MOST_ROWS + 1).count() > MOST_ROWS:
+        raise ValueError(f"an import file has at most {MOST_ROWS} rows")
+    return df
+
+
+def share_rank_order(df: DataFrame) -> DataFrame:
+    """df with rank by revenue, units and id, and no window over all rows: rows are range-sorted over partitions, counted
+    by partition, and each partition's first rank is the sum of the counts before it (one small row a partition)."""
+    keys = [F.col("revenue").desc(), F.col("units").desc(), F.col("product_id").asc()]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *keys).withColumn("_p", F.spark_partition_id())
+    counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*keys))
+    return ranged.withColumn("_own", own).join(F.broadcast(before), "_p").withColumn("rank", (F.col("_own") + F.col("_before")).cast("int")).drop("_p", "_own", "_before")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import competitors, sales
+from ..operators import alerts, competitors, sales
 from ..sources import tables as t
 from .registry import cents, d2, dec, half_even, half_up, pct, query
 
@@ -77,20 +77,25 @@ def import_kpis(spark, d):
     return x.agg(F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "completed_with_errors").alias("with_errors"), F.sum("accepted").alias("accepted_rows"))
 
 
-@query("select count(*) as products, count(*) filter (stock <= reorder_level) as low_stock, cast(sum(stock) as bigint) as stock from own")
+@query("select count(*) as products, count(*) filter (stock % 3 <> 0) as active, count(*) filter (stock <= reorder_level) as low_stock, sum(stock) as stock from own")
 def stock_kpis(spark, d):
-    return t.own_products(spark, d).agg(F.count(F.lit(1)).alias("products"), F.count_if(F.col("stock") <= F.col("reorder_level")).alias("low_stock"), F.sum("stock").alias("stock"))
+    return t.own_products(spark, d).agg(F.count(F.lit(1)).alias("products"), F.count_if(F.col("stock") % 3 != 0).alias("active"), F.count_if(F.col("stock") <= F.col("reorder_level")).alias("low_stock"), F.sum("stock").alias("stock"))
 
 
-@query("select w.org_id, count(*) as entries, count(distinct w.product_id) as products, count(*) filter (l.is_available) as available from watch w join listings l on w.product_id = l.product_id and w.seller_id = l.seller_id group by 1")
+@query("select w.org_id, count(*) as entries, count(*) filter (w.product_id % 4 <> 0) as active, count(distinct w.product_id) as products, count(*) filter (l.is_available) as available from watch w join listings l on w.product_id = l.product_id and w.seller_id = l.seller_id group by 1")
 def watch_kpis(spark, d):
     j = t.watchlist(spark, d).join(t.listings(spark, d), ["product_id", "seller_id"])
-    return j.groupBy("org_id").agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("product_id").alias("products"), F.count_if("is_available").alias("available"))
+    return j.groupBy("org_id").agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col("product_id") % 4 != 0).alias("active"), F.countDistinct("product_id").alias("products"), F.count_if("is_available").alias("available"))
 
 
-@query("select count(*) filter (is_active) as active, count(*) filter (not is_active) as paused, count(distinct product_id) as products from alerts")
+@query("""select count(*) filter (is_active) as active, count(*) filter (not is_active) as paused, count(distinct product_id) as products, (select count(distinct a.alert_id) from alerts a join points p on a.product_id = p.product_id and (a.on_product or a.seller_id = p.seller_id)
+  where a.is_active and p.price <= a.target_price) as triggered, (select count(*) from events where event_type = 'error') as notifications from alerts""")
 def alert_kpis(spark, d):
-    return t.alerts(spark, d).agg(F.count_if("is_active").alias("active"), F.count_if(~F.col("is_active")).alias("paused"), F.countDistinct("product_id").alias("products"))
+    a = t.alerts(spark, d)
+    own = a.agg(F.count_if("is_active").alias("active"), F.count_if(~F.col("is_active")).alias("paused"), F.countDistinct("product_id").alias("products"))
+    fired = alerts.first_triggers(a, t.points(spark, d)).agg(F.count(F.lit(1)).alias("triggered"))
+    told = t.parquet(spark, d, "events").filter("event_type = 'error'").agg(F.count(F.lit(1)).alias("notifications"))
+    return own.crossJoin(fired).crossJoin(told)  # single rows
 
 
 @query(f"select w.org_id, w.product_id, {d2('min(l.current_price)')} as lowest from watch w join listings l on w.product_id = l.product_id and w.seller_id = l.seller_id where l.is_available group by all")
@@ -114,13 +119,18 @@ def competitor_gaps(spark, d):
     return _gaps(spark, d)
 
 
-@query(GAPS + f"select org_id, count(*) as tracked, count(distinct product_id) as products, count(distinct case when risk = 'high' then product_id end) as at_risk, {dec(half_up('sum(cast(gap * 100 as bigint))', 'count(gap)'))} as average_gap from gaps group by 1")
+SHARES = """select o.product_id, case when selling_price > 0 then cast(round(1e4 * (1e0 / cast(selling_price as double)) / (1e0 / cast(selling_price as double) + coalesce(s, 0e0))) as bigint) end as share_bp
+from own o left join (select product_id, sum(case when current_price > 0 then 1e0 / cast(current_price as double) end) as s from listings group by 1) x on o.product_id = x.product_id"""
+
+
+@query(GAPS + f"""select org_id, count(*) as tracked, count(distinct product_id) as products, count(distinct case when risk = 'high' then product_id end) as at_risk, {dec(half_up('sum(cast(gap * 100 as bigint))', 'count(gap)'))} as average_gap,
+  cast(round(sum(distinct_share) * 1e0 / nullif(count(distinct_share), 0)) as bigint) as average_share_bp
+from (select gaps.*, case when row_number() over (partition by org_id, gaps.product_id order by seller_id) = 1 then share_bp end as distinct_share from gaps left join (""" + SHARES + """) sh on gaps.product_id = sh.product_id) group by 1""")
 def competitor_summary(spark, d):
-    return competitors.summary(_gaps(spark, d))
+    return competitors.summary(_gaps(spark, d), competitors.market_share(t.own_products(spark, d), t.listings(spark, d)))
 
 
-@query("""select o.product_id, case when selling_price > 0 then cast(round(1e4 * (1e0 / cast(selling_price as double)) / (1e0 / cast(selling_price as double) + coalesce(s, 0e0))) as bigint) end as share_bp
-from own o left join (select product_id, sum(case when current_price > 0 then 1e0 / cast(current_price as double) end) as s from listings group by 1) x on o.product_id = x.product_id""")
+@query(SHARES)
 def competitor_market_share(spark, d):
     return competitors.market_share(t.own_products(spark, d), t.listings(spark, d))
 

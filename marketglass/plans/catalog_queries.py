@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import alerts, assistant, catalog, matching, merge
+from ..operators import alerts, assistant, catalog, matching, merge, prices
 from ..sources import tables as t
 from .registry import d2, query
 
@@ -54,6 +57,26 @@ def catalog_sort_rating_desc(spark, d):
     return catalog.page(shown, [*catalog.ORDERS["rating_desc"](), F.col("product_id")], 1, 50).select("product_id", "best_rating")
 
 
+def _sorted(spark, d, order):
+    shown = catalog.cards(t.products(spark, d).filter("is_active"), _offers(spark, d))
+    return catalog.page(shown, [*catalog.ORDERS[order](), F.col("product_id")], 1, 50)
+
+
+@query(CARDS + "select product_id, name from cards where is_active order by lower(name) desc, product_id limit 50")
+def catalog_sort_name_desc(spark, d):
+    return _sorted(spark, d, "name_desc").select("product_id", "name")
+
+
+@query(CARDS + "select product_id, lowest_price from cards where is_active order by lowest_price desc nulls last, product_id limit 50")
+def catalog_sort_price_desc(spark, d):
+    return _sorted(spark, d, "price_desc").select("product_id", "lowest_price")
+
+
+@query(CARDS + "select product_id, offers from cards where is_active order by product_id desc limit 50")
+def catalog_sort_newest(spark, d):
+    return _sorted(spark, d, "newest").select("product_id", "offers")
+
+
 @query(f"select product_id, seller_id, {d2('current_price')} as current_price, cast(row_number() over (partition by product_id order by current_price, seller_id) as integer) as place from listings where is_available")
 def product_listings_available(spark, d):
     from pyspark.sql.window import Window
@@ -79,16 +102,38 @@ def admin_listings(spark, d):
 
 
 @query("""select (select count(*) from customer) as users, (select count(*) from customer where c_acctbal >= 0) as active_users, (select count(*) from products) as products, (select count(*) from products where is_active) as active_products,
-(select count(*) from listings) as listings, (select count(*) from listings where is_available) as available, (select count(*) from alerts) as alerts, (select count(*) from alerts where is_active) as active_alerts""")
+(select count(*) from listings) as listings, (select count(*) from listings where is_available) as available, (select count(*) from alerts) as alerts, (select count(*) from alerts where is_active) as active_alerts,
+(select count(*) from customer where c_mktsegment = 'FURNITURE') as consumers, (select count(*) from customer where c_mktsegment = 'MACHINERY') as merchants, (select count(*) from customer where c_mktsegment = 'BUILDING') as admins,
+(select count(distinct a.alert_id) from alerts a join points p on a.product_id = p.product_id and (a.on_product or a.seller_id = p.seller_id) where a.is_active and p.price <= a.target_price) as triggered_alerts""")
 def admin_dashboard(spark, d):
-    one = lambda df, name, test, active: df.agg(F.count(F.lit(1)).alias(name), F.count_if(test).alias(active))
-    parts = [one(t.parquet(spark, d, "customer"), "users", F.col("c_acctbal") >= 0, "active_users"), one(t.products(spark, d), "products", F.col("is_active"), "active_products"), one(t.listings(spark, d), "listings", F.col("is_available"), "available"), one(t.alerts(spark, d), "alerts", F.col("is_active"), "active_alerts")]
+    one = lambda df, name, **tests: df.agg(F.count(F.lit(1)).alias(name), *(F.count_if(x).alias(k) for k, x in tests.items()))
+    role = lambda r: F.col("c_mktsegment") == r
+    a = t.alerts(spark, d)
+    parts = [
+        one(t.parquet(spark, d, "customer"), "users", active_users=F.col("c_acctbal") >= 0, consumers=role("FURNITURE"), merchants=role("MACHINERY"), admins=role("BUILDING")),
+        one(t.products(spark, d), "products", active_products=F.col("is_active")), one(t.listings(spark, d), "listings", available=F.col("is_available")),
+        one(a, "alerts", active_alerts=F.col("is_active")), one(alerts.first_triggers(a, t.points(spark, d)), "triggered_alerts"),
+    ]
     out = parts[0]
     for p in parts[1:]:  # single rows
         out = out.crossJoin(p)
     return out
 
 
+@query("select 'products' as kind, count(*) as n from products union all select 'listings', count(*) from listings union all select 'history', count(*) from points union all select 'sellers', count(*) from sellers")
+def seed_counts(spark, d):
+    parts = {"products": t.products(spark, d), "listings": t.listings(spark, d), "history": t.points(spark, d), "sellers": t.sellers(spark, d)}
+    return reduce(DataFrame.unionByName, (df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in parts.items()))
+
+
+@query("select o_orderpriority as role, count(distinct c_custkey) as users from customer join orders on c_custkey = o_custkey where c_acctbal >= 0 group by 1", adapters=False)
+def users_by_bridge_role(spark, d):
+    """Users of each role, by way of a table that holds (user, role) pairs, some of them more than once."""
+    c, o = t.parquet(spark, d, "customer"), t.parquet(spark, d, "orders")
+    held = o.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("role")).distinct()
+    return held.join(c.filter("c_acctbal >= 0"), "c_custkey").groupBy("role").agg(F.count(F.lit(1)).alias("users"))
+
+
 @query("select c_mktsegment as role, count(distinct c_custkey) as users from customer join nation on c_nationkey = n_nationkey where c_acctbal >= 0 group by 1", adapters=False)
 def admin_users_by_role(spark, d):
     c, n = t.parquet(spark, d, "customer"), t.parquet(spark, d, "nation")
@@ -117,11 +162,13 @@ def category_parent(spark, d):
     return a.join(b, "parent_id", "left").select("id", "name", "parent")
 
 
-@query("""select a.product_id, cast(rank as integer) as rank, other_id, same from (
-  select p.product_id, q.product_id as other_id, p.brand = q.brand as same, row_number() over (partition by p.product_id order by p.brand = q.brand desc, q.name, q.product_id) as rank
-  from products p join products q on p.category = q.category and p.product_id <> q.product_id where p.is_active and q.is_active) a where rank <= 4""")
+@query(""", p as (select product_id, name, case when product_id % 7 <> 0 then brand end as brand, category from products where is_active)
+select product_id, cast(rank as integer) as rank, other_id, same from (
+  select a.product_id, b.product_id as other_id, a.brand = b.brand as same, row_number() over (partition by a.product_id order by case when a.brand is null or b.brand is null then 0 when a.brand = b.brand then 1 else 2 end, b.name, b.product_id) as rank
+  from p a join p b on a.category = b.category and a.product_id <> b.product_id) where rank <= 4""")
 def similar_products(spark, d):
-    return catalog.similar(t.products(spark, d))
+    p = t.products(spark, d)
+    return catalog.similar(p.withColumn("brand", F.when(F.col("product_id") % 7 != 0, F.col("brand"))))
 
 
 @query("select product_id, s from (select product_id, regexp_replace(trim(regexp_replace(lower(name || ' - ' || brand || '!'), '[^a-z0-9]+', ' ', 'g')), ' +', ' ', 'g') as s from products)")
@@ -145,14 +192,13 @@ def memory_extract(spark, d):
     return t.products(spark, d).select("product_id", ram.alias("ram"), rom.alias("storage"))
 
 
-@query("""with v as (select distinct lower(p_type) as v from part), s as (select p_partkey, lower(p_name || ' ' || p_type) as title from part)
-select p_partkey as product_id, case when count(v) = 1 then min(v) end as value from s left join v on contains(title, v) group by 1""", adapters=False)
+@query("""with v as (select distinct split_part(p_name, ' ', 1) as v from part), s as (select p_partkey, regexp_replace(lower(split_part(p_name, ' ', 1) || '-' || case p_partkey % 3 when 0 then 'Small' when 1 then p_type else '' end), '[^a-z0-9]+', '', 'g') as title from part)
+select p_partkey as item_id, case when count(v) = 1 then min(v) end as value from s left join v on contains(title, v) group by 1""", adapters=False)
 def unique_catalog_value(spark, d):
     p = t.parquet(spark, d, "part")
-    # Catalog values of one kind are few; they are gathered into one array, whose size is checked where it is used.
-    values = p.select(F.lower("p_type").alias("v")).distinct().agg(F.collect_set("v").alias("vs"))
-    hit = F.filter("vs", lambda v: F.contains(F.lower(F.concat("p_name", F.lit(" "), "p_type")), v))
-    return p.crossJoin(values).select(F.col("p_partkey").alias("product_id"), F.when(F.size(hit) == 1, F.element_at(hit, 1)).alias("value"))
+    word = F.split_part("p_name", F.lit(" "), F.lit(1))
+    more = F.when(F.col("p_partkey") % 3 == 0, "Small").when(F.col("p_partkey") % 3 == 1, F.col("p_type")).otherwise("")
+    return catalog.unique_value(p.select(F.col("p_partkey").alias("item_id"), F.concat(word, F.lit("-"), more).alias("title")), p.select(word.alias("value")))
 
 
 @query("select o_orderkey, c_custkey from orders left join customer on nullif(upper(trim(' cust-' || o_custkey || ' ')), '') = 'CUST-' || c_custkey", adapters=False)
@@ -179,7 +225,7 @@ def spec_key_union(spark, d):
 
 
 INTENT_SQL = "case " + " ".join(f"when {' or '.join(f'contains(m, {chr(39)}{p}{chr(39)})' for p in phrases)} then '{name}'" for name, phrases in assistant.INTENTS) + " else 'product_search' end"
-STOP = ("the", "and", "de", "la", "of")
+STOP = ", ".join(f"'{w}'" for w in assistant.STOP_WORDS)
 
 
 @query(f"select conv_id, turn, {INTENT_SQL} as intent from (select *, ' ' || lower(trim(text)) || case turn % 3 when 0 then ' price' when 1 then ' vs ' else '' end || ' ' as m from conversations where role = 'user')", adapters=False)
@@ -189,10 +235,116 @@ def assistant_intent(spark, d):
     return c.select("conv_id", "turn", assistant.intent(F.concat(F.trim("text"), tail, F.lit("."))).alias("intent"))
 
 
-@query("""select conv_id, turn, array_to_string(list_slice(list_filter(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), lambda w: len(w) >= 2 and w not in ('the', 'and', 'de', 'la', 'of')), 1, 8), ' ') as terms from conversations where role = 'user'""", adapters=False)
-def assistant_entities(spark, d):
+TERMS = f"list_slice(list_filter(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), lambda w: len(w) >= 2 and w not in ({STOP})), 1, 8)"
+
+
+@query(f"select conv_id, turn, array_to_string({TERMS}, ' ') as terms from conversations where role = 'user'", adapters=False)
+def assistant_terms(spark, d):
     c = t.parquet(spark, d, "conversations").filter("role = 'user'")
-    return c.select("conv_id", "turn", F.array_join(assistant.search_terms(F.col("text"), STOP), " ").alias("terms"))
+    return c.select("conv_id", "turn", F.array_join(assistant.search_terms(F.col("text"), assistant.STOP_WORDS), " ").alias("terms"))
+
+
+#: Messages made of product names and phrases of each intent; every fifth names nothing, and has context ids.
+ASKED = """, msgs as (select product_id as message_id, case when product_id % 5 = 0 then 'show me the price' else 'what of the ' || split_part(name, ' ', 1) || case when product_id % 2 = 0 then ' ' || split_part(name, ' ', 2) else '' end end
+  || case product_id % 7 when 0 then ' vs ' when 1 then ' history ' when 2 then ' buy now ' when 3 then ' suggest ' when 4 then ' alert 12,500.50' when 5 then ' cheapest ' else '' end as text,
+  [cast(product_id as varchar), 'x1', cast(product_id + 1 as varchar)] as context_ids from products),
+terms as (select distinct message_id, unnest(""" + TERMS + """) as term from msgs),
+hits as (select distinct m.message_id, p.product_id, p.name from terms m join products p on p.is_active and contains(lower(p.name), m.term)),
+ranked as (select *, row_number() over (partition by message_id order by name, product_id) as rank from hits),
+ent as (select * from ranked where rank <= 5 union all
+  select message_id, product_id, name, row_number() over (partition by message_id order by name, product_id) from (
+    select distinct m.message_id, p.product_id, p.name from (select message_id, unnest(context_ids) as c from msgs where message_id not in (select message_id from ranked)) m join products p on p.is_active and regexp_full_match(m.c, '[0-9]+') and p.product_id = try_cast(m.c as bigint)))
+"""
+
+
+def _asked(spark, d):
+    p = t.products(spark, d)
+    word = lambda k: F.split_part("name", F.lit(" "), F.lit(k))
+    named = F.concat(F.lit("what of the "), word(1), F.when(F.col("product_id") % 2 == 0, F.concat(F.lit(" "), word(2))).otherwise(""))
+    tail = F.element_at(F.array(*(F.lit(x) for x in (" vs ", " history ", " buy now ", " suggest ", " alert 12,500.50", " cheapest ", ""))), (F.col("product_id") % 7 + 1).cast("int"))
+    text_ = F.concat(F.when(F.col("product_id") % 5 == 0, "show me the price").otherwise(named), tail)
+    ids = F.array(F.col("product_id").cast("string"), F.lit("x1"), (F.col("product_id") + 1).cast("string"))
+    m = p.select(F.col("product_id").alias("message_id"), text_.alias("text"), ids.alias("context_ids"))
+    return m, assistant.resolved(m, assistant.entities(m, p), p)
+
+
+@query(ASKED + "select message_id, cast(rank as integer) as rank, product_id, name from ent")
+def assistant_entities(spark, d):
+    return _asked(spark, d)[1]
+
+
+ANSWER_SQL = "case " + " ".join(f"when {' or '.join(f'contains(x, {chr(39)}{p}{chr(39)})' for p in phrases)} then '{name}'" for name, phrases in assistant.INTENTS) + " else 'product_search' end"
+
+
+@query(ASKED + f""", i as (select message_id, {ANSWER_SQL} as intent from (select message_id, ' ' || lower(trim(text)) || ' ' as x from msgs)),
+fl as (select product_id, min(case when is_available then current_price end) as lowest, count(*) as listings from listings group by 1),
+fh as (select product_id, min(price) as low, count(*) as points from points group by 1),
+al as (select distinct product_id from alerts where is_active),
+sim as (select product_id, string_agg(other, ', ' order by rank) as others from (
+  select a.product_id, b.name as other, row_number() over (partition by a.product_id order by case when a.brand = b.brand then 1 else 2 end, b.name, b.product_id) as rank
+  from products a join products b on a.category = b.category and a.product_id <> b.product_id where a.is_active and b.is_active) where rank <= 4 group by 1),
+per as (select message_id, count(*) as n, min(product_id) filter (rank = 1) as product_id, min(e.name) filter (rank = 1) as name, string_agg(e.name, ', ' order by rank) as names from ent e group by 1),
+cmp as (select message_id, first(name order by lowest, rank) as best, min(lowest) as lo, max(lowest) as hi from (select e.*, fl.lowest from ent e join fl on e.product_id = fl.product_id where rank <= 3 and lowest is not null) group by 1)
+select i.message_id, i.intent, case when per.product_id is null then 'No active product matches.'
+  when i.intent = 'comparison' then case when per.n < 2 then 'Only one product was found. Name a second one to compare.' when cmp.best is null then 'None of these products has an available offer.'
+    else cmp.best || ' has the lowest offer, PKR ' || {d2('cmp.lo')} || '; the gap is PKR ' || {d2('cmp.hi - cmp.lo')} || '.' end
+  when i.intent = 'price_history' then per.name || ' has ' || coalesce(points, 0) || ' stored prices of ' || coalesce(listings, 0) || ' listings; the low is ' || coalesce('PKR ' || {d2('low')}, 'not available') || '.'
+  when i.intent = 'recommendation' then case when others is null then 'No alternatives to ' || per.name || ' are stored.' else 'Alternatives to ' || per.name || ': ' || others || '.' end
+  when i.intent = 'set_price_alert' then case when al.product_id is not null then 'An active alert for ' || per.name || ' exists.' else 'Alert for ' || per.name || ' at PKR 12500.50.' end
+  when i.intent = 'lowest_price' then case when lowest is null then 'No available offer of ' || per.name || ' is stored.' else 'The lowest offer of ' || per.name || ' is PKR ' || {d2('lowest')} || '.' end
+  else 'Found ' || names || '.' end as answer
+from i left join per on i.message_id = per.message_id left join cmp on i.message_id = cmp.message_id left join fl on per.product_id = fl.product_id left join fh on per.product_id = fh.product_id
+  left join al on per.product_id = al.product_id left join sim on per.product_id = sim.product_id where i.intent <> 'buy_or_wait'""")
+def assistant_answers(spark, d):
+    m, found = _asked(spark, d)
+    p, listings, points = t.products(spark, d), t.listings(spark, d), t.points(spark, d)
+    facts = listings.groupBy("product_id").agg(F.min(F.when(F.col("is_available"), F.col("current_price"))).alias("lowest"), F.count(F.lit(1)).alias("listings"))
+    facts = facts.join(points.groupBy("product_id").agg(F.min("price").alias("low"), F.count(F.lit(1)).alias("points")), "product_id", "full")
+    guided = prices.guidance(points, t.latest(points, "product_id")).select("product_id", "suggestion", "confidence")
+    others = catalog.similar(p).join(p.select(F.col("product_id").alias("other_id"), F.col("name").alias("other")), "other_id").select("product_id", "rank", "other")
+    said = assistant.answers(m, found, facts.join(guided, "product_id", "left"), others, t.alerts(spark, d).filter("is_active"))
+    # What buy-or-wait says is checked by the query buy_guidance.
+    return said.filter("intent <> 'buy_or_wait'")
+
+
+@query(ASKED + f""", c as (select message_id % 50 as conv_id, case when message_id % 50 % 2 = 0 then 'New shopping conversation' else 'Mine' end as title from msgs group by all),
+mm as (select m.message_id % 50 as conv_id, m.message_id, m.text, {ANSWER_SQL.replace('contains(x,', "contains(' ' || lower(trim(m.text)) || ' ',")} as intent,
+  (select min(name) from ent e where e.message_id = m.message_id and rank = 1) as name, (select string_agg(product_id, ',' order by rank) from ent e where e.message_id = m.message_id) as ids from msgs m),
+g as (select conv_id, first(coalesce(name, left(text, 80)) order by message_id) as t, last(coalesce(ids, '') order by message_id) as ids, last(intent order by message_id) as intent from mm group by 1)
+select c.conv_id, case when title like 'New%' then t else title end as title, ids as product_ids, intent as last_intent, 'kept' as budget from c join g on c.conv_id = g.conv_id""")
+def assistant_turns(spark, d):
+    m, found = _asked(spark, d)
+    m = m.withColumn("conv_id", F.col("message_id") % 50)
+    context = F.create_map(F.lit("budget"), F.lit("kept"), F.lit("last_intent"), F.lit("old"))
+    c = m.select("conv_id").distinct().select("conv_id", F.when(F.col("conv_id") % 2 == 0, "New shopping conversation").otherwise("Mine").alias("title"), context.alias("context"))
+    done = assistant.turns(c, m, found)
+    return done.select("conv_id", "title", *(F.col("context")[k].alias(k) for k in ("product_ids", "last_intent", "budget")))
+
+
+@query(r"""select c_custkey, array_to_string(list_transform(string_split(replace(c_mktsegment || '_rate_x', '_', ' '), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') as label,
+  case when n >= 1000000 then format('{:.1f}M', n / 1e6) when n >= 1000 then cast(floor(n / 1e3 + 0.5) as bigint) || 'K' else regexp_replace(cast(n as varchar), '\.0$', '') end as short,
+  left(c_name, 255) as file, c_name[:120] as cut from (select *, cast(c_custkey * c_custkey * 7 as double) as n from customer)""", adapters=False)
+def display_labels(spark, d):
+    c = t.parquet(spark, d, "customer")
+    n = F.col("c_custkey") * F.col("c_custkey") * 7
+    return c.select("c_custkey", text.label(F.concat("c_mktsegment", F.lit("_rate_x"))).alias("label"), text.compact_number(n).alias("short"), text.file_name(F.concat(F.lit("up/load/"), "c_name", F.lit(" "))).alias("file"), F.left("c_name", F.lit(120)).alias("cut"))
+
+
+@query("""select o_orderkey, case when o_orderkey % 3 = 0 then null when o_orderkey % 3 = 1 then cast(cast(o_totalprice as decimal(14,2)) as decimal(18,2)) else nullif(cast(o_custkey as decimal(18,2)), 0) end as target,
+  case when o_orderkey % 2 = 0 then cast(o_custkey as varchar) else '' end as ids from orders""", adapters=False)
+def target_prices(spark, d):
+    o = t.parquet(spark, d, "orders")
+    said = F.when(F.col("o_orderkey") % 3 == 0, "alert me").when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("item 7 at Rs. "), F.format_number(F.col("o_totalprice").cast("decimal(14,2)"), 2)))
+    said = said.otherwise(F.concat(F.lit("from 12 down to pkr"), F.col("o_custkey").cast("string"), F.lit(" please")))
+    ids = text.whole_ids(F.array(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey").cast("string")).otherwise("1x"), F.lit("-4"), F.lit("")))
+    return o.select("o_orderkey", text.target_price(said).alias("target"), F.array_join(F.transform(ids, lambda i: i.cast("string")), ",").alias("ids"))
+
+
+@query("select p_partkey, case when p_partkey % 2 = 0 then p_size || 'GB RAM, 256GB' else '' end as variant from part", adapters=False)
+def variant_pattern(spark, d):
+    p = t.parquet(spark, d, "part")
+    title = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit(" (dual) ("), F.col("p_size").cast("string"), F.lit("GB RAM, 256GB) Rs 9"))).otherwise(F.col("p_name"))
+    return p.select("p_partkey", text.variant(title).alias("variant"))
 
 
 @query("select conv_id, turn, last_value(case when length(text) % 3 = 0 then length(text) end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and current row) as context from conversations", adapters=False)
@@ -251,10 +403,19 @@ def alert_duplicates(spark, d):
     return alerts.duplicates(c)
 
 
-@query("""select 'price_positive' as rule, count(*) filter (not price > 1000) as failures from points union all select 'rating_range', (select count(*) filter (not rating between 10 and 45) from sellers)""")
+@query("""select 'price_positive' as rule, count(*) filter (not price > 1000) as failures from points union all select 'rating_range', (select count(*) filter (not rating between 10 and 45) from sellers)
+union all select 'quantity_positive', (select count(*) filter (not quantity > 1) from sales) union all select 'revenue_of_quantity', (select count(*) filter (not revenue >= quantity * 1000) from sales)
+union all select 'one_target', (select count(*) filter (not on_product = (seller_id is null)) from alerts) union all select 'target_positive', (select count(*) filter (not target_price > 0) from alerts)
+union all select 'seen_in_order', (select count(*) filter (not first_seen_at < last_seen_at) from listings)""")
 def dq_violations(spark, d):
-    a = merge.violations(t.points(spark, d), {"price_positive": F.col("price") > 1000})
-    return a.unionByName(merge.violations(t.sellers(spark, d), {"rating_range": F.col("rating").between(10, 45)}))
+    checks = [
+        (t.points(spark, d), {"price_positive": F.col("price") > 1000}),
+        (t.sellers(spark, d), {"rating_range": F.col("rating").between(10, 45)}),
+        (t.sales(spark, d), {"quantity_positive": F.col("quantity") > 1, "revenue_of_quantity": F.col("revenue") >= F.col("quantity") * 1000}),
+        (t.alerts(spark, d), {"one_target": F.col("on_product") == F.col("seller_id").isNull(), "target_positive": F.col("target_price") > 0}),
+        (t.listings(spark, d), {"seen_in_order": F.col("first_seen_at") < F.col("last_seen_at")}),
+    ]
+    return reduce(DataFrame.unionByName, (merge.violations(df, rules) for df, rules in checks))
 
 
 @query(f"""select product_id, seller_id, {d2("case when product_id % 3 = 0 then current_price + 1 else current_price end")} as current_price, cast(first_seen_at as date) as first_seen, case when product_id % 3 = 0 then 'updated' else 'kept' end as action from listings
@@ -280,14 +441,3 @@ def seller_resolve(spark, d):
     a = c.select("c_custkey", F.lower(F.trim(F.concat(F.lit(" SUPPLIER#"), F.lpad((F.col("c_custkey") % 150).cast("string"), 9, "0")))).alias("k"))
     b = s.groupBy(F.lower(F.trim("s_name")).alias("k")).agg(F.min("s_suppkey").alias("seller_id"))
     return a.join(b, "k", "left").select("c_custkey", "seller_id")
-
-
-@query("""with i as (select 'NATION_' || c_custkey % 40 as platform, c_mktsegment as category, c_custkey as id from customer)
-select platform, category, count(*) as items, bool_or(n_name is null) as new_platform, not bool_or(p_type is not null) as new_category from i left join nation on platform = n_name left join (select distinct p_type from part) on category = p_type group by all""", adapters=False)
-def legacy_ingest_plan(spark, d):
-    c = t.parquet(spark, d, "customer")
-    items = c.groupBy(F.concat(F.lit("NATION_"), (F.col("c_custkey") % 40).cast("string")).alias("platform"), F.col("c_mktsegment").alias("category")).agg(F.count(F.lit(1)).alias("items"))
-    n = t.parquet(spark, d, "nation").select(F.col("n_name").alias("platform"), F.lit(True).alias("p"))
-    k = t.parquet(spark, d, "part").select(F.col("p_type").alias("category"), F.lit(True).alias("k")).distinct()
-    j = items.join(n, "platform", "left").join(k, "category", "left")
-    return j.select("platform", "category", "items", F.col("p").isNull().alias("new_platform"), F.col("k").isNull().alias("new_category"))

@@ -79,19 +79,49 @@ def buy_guidance(spark, d):
     return prices.reasons(_guidance(spark, d))
 
 
-@query(GUIDE + f""", a as (select * from alerts where is_active), j as (select gd.*, a.alert_id, a.target_price, greatest(0, current_lowest - a.target_price) as g from gd join a on gd.product_id = a.product_id)
-select product_id, alert_id, {d2('target_price')} as target_price, {d2('g')} as gap, {pct('g', 'target_price')} as gap_pct, current_lowest <= target_price as reached,
-  case when suggestion = 'insufficient_data' then suggestion when current_lowest <= target_price then 'buy_now' else 'wait' end as suggestion from j""")
+#: Product alerts, alerts on the product's smallest seller and, for a third of the products, newer ones on its largest.
+MINE = """, mine as (select * from alerts union all
+  select alert_id + 1000000, product_id, (select max(seller_id) from points p where p.product_id = alerts.product_id), false, cast(target_price + 20000 as decimal(14,2)), true from alerts where alert_id % 3 = 0)"""
+
+
+def _mine(spark, d):
+    a = t.alerts(spark, d)
+    last = t.points(spark, d).groupBy("product_id").agg(F.max("seller_id").alias("largest"))
+    more = a.filter("alert_id % 3 = 0").join(last, "product_id", "left")
+    more = more.select((F.col("alert_id") + 1000000).alias("alert_id"), "product_id", F.col("largest").alias("seller_id"), F.lit(False).alias("on_product"), (F.col("target_price") + 20000).cast("decimal(14,2)").alias("target_price"), F.lit(True).alias("is_active"))
+    return a.unionByName(more)
+
+
+@query(GUIDE + MINE + f""", a as (select m.*, l.current_price as own_price, l.is_available as avail, case when on_product then 2 when l.is_available then 1 else 0 end as prio
+    from mine m left join listings l on m.product_id = l.product_id and m.seller_id = l.seller_id where m.is_active),
+b as (select * from (select *, row_number() over (partition by product_id order by prio desc, alert_id desc) as rn from a) where rn = 1),
+j as (select gd.product_id, alert_id, target_price, case when on_product then current_lowest when avail then own_price end as ev from gd join b on gd.product_id = b.product_id)
+select product_id, alert_id, {d2('target_price')} as target_price, {d2('ev')} as evaluated, {d2('case when ev is not null then greatest(0, ev - target_price) end')} as gap, {pct('case when ev is not null then greatest(0, ev - target_price) end', 'target_price')} as gap_pct,
+  ev <= target_price as reached, case when ev is null then 'insufficient_data' when ev <= target_price then 'buy_now' else 'wait' end as suggestion from j""")
 def personalized_guidance(spark, d):
-    return prices.personalise(_guidance(spark, d), t.alerts(spark, d))
+    return prices.personalise(_guidance(spark, d), _mine(spark, d), t.listings(spark, d))
+
+
+def _comparison_sql(ids: str, currency: str) -> str:
+    return f""", x as (select p.product_id, p.name, l.current_price, {currency} as currency, row_number() over (partition by p.product_id order by current_price, l.seller_id) as rn
+  from products p join listings l on p.product_id = l.product_id where is_available and p.product_id in ({ids})),
+c as (select *, list_position([{ids}], product_id) as place from x where rn = 1)
+select first(product_id order by current_price, place) as cheapest_id, first(name order by current_price, place) as cheapest_name, {d2('min(current_price)')} as cheapest_price, min(currency) as currency,
+  case when count(*) > 1 then {d2('max(current_price) - min(current_price)')} end as gap, case when count(*) > 1 then {pct('max(current_price) - min(current_price)', 'min(current_price)')} end as gap_pct
+from c having count(distinct currency) = 1"""
 
 
-@query(f""", c as (select p.product_id, p.name, min(current_price) as price from products p join listings l on p.product_id = l.product_id where is_available and p.product_id in (3, 5, 11) group by all)
-select arg_min(product_id, price) as cheapest_id, arg_min(name, price) as cheapest_name, {d2('min(price)')} as cheapest_price, {d2('max(price) - min(price)')} as gap, {pct('max(price) - min(price)', 'max(price)')} as gap_pct from c having count(*) > 0""")
+@query(_comparison_sql("3, 5, 11", "'PKR'"))
 def product_comparison(spark, d):
     return prices.compare(t.products(spark, d), t.listings(spark, d), [3, 5, 11])
 
 
+@query(_comparison_sql("7, 4", "case when l.seller_id % 2 = 0 then 'PKR' else 'USD' end"))
+def product_comparison_currencies(spark, d):
+    mixed = t.listings(spark, d).withColumn("currency", F.when(F.col("seller_id") % 2 == 0, "PKR").otherwise("USD"))
+    return prices.compare(t.products(spark, d), mixed, [7, 4])
+
+
 LATEST = "(select *, row_number() over (partition by variant_id order by generated_at desc, forecast_id desc) as version from forecasts)"
 
 
@@ -113,12 +143,29 @@ def forecast_vs_history_daily(spark, d):
     return prices.with_forecast_days(prices.day_low(t.points(spark, d)), days)
 
 
-@query("""select v as variant_id, horizon, n = horizon and ok_sorted and ok_future as is_valid from (
-  select o_custkey as v, 3 as horizon, count(*) as n, count(*) = count(distinct o_orderdate) as ok_sorted, min(o_orderdate) > timestamp '1994-01-01' as ok_future from orders group by 1)""", adapters=False)
+@query("""select v as variant_id, array_to_string(list_filter([case when n <> 3 then 'horizon' end, case when days <> list_sort(days) then 'order' end, case when len(list_distinct(days)) <> n then 'repeats' end,
+  case when least_day <= timestamp '1994-01-01' then 'future' end], lambda x: x is not null), ',') as broken
+  from (select o_custkey as v, count(*) as n, list(o_orderdate order by o_orderkey) as days, min(o_orderdate) as least_day from orders where o_orderkey % 4 = 0 group by 1)""", adapters=False)
 def forecast_contract_checks(spark, d):
-    g = t.forecasts(spark, d).groupBy("variant_id").agg(F.array_sort(F.collect_list("generated_at")).alias("days")).withColumn("horizon", F.lit(3))
-    ok = (F.size("days") == F.col("horizon")) & (F.size(F.array_distinct("days")) == F.size("days")) & F.forall("days", lambda x: x > F.lit("1994-01-01").cast("timestamp"))
-    return g.select("variant_id", "horizon", ok.alias("is_valid"))
+    # One document a variant: the points of a forecast are as many as its horizon, not a history.
+    o = t.forecasts(spark, d).filter("forecast_id % 4 = 0")
+    sent = F.transform(F.array_sort(F.collect_list(F.struct("forecast_id", F.col("generated_at").alias("at")))), lambda x: F.struct(x["at"].alias("at")))
+    docs = o.groupBy("variant_id").agg(sent.alias("points")).withColumns({"horizon": F.lit(3), "generated_at": F.lit("1994-01-01").cast("timestamp_ntz")})
+    return prices.contract_breaches(docs).select("variant_id", F.array_join("broken", ",").alias("broken"))
+
+
+@query("""select variant_id, forecast_id, case when generated_at <= before then 'rejected' when generated_at < newest then 'superseded' else 'published' end as outcome from (
+  select i.*, greatest(h, max(generated_at) over (partition by i.variant_id order by forecast_id rows between unbounded preceding and 1 preceding)) as before,
+    max(greatest(h, generated_at)) over (partition by i.variant_id) as newest
+  from (select * from forecasts where forecast_id % 2 = 1) i left join (select variant_id, max(generated_at) as h from forecasts where forecast_id % 2 = 0 group by 1) x on i.variant_id = x.variant_id)""")
+def forecast_publish(spark, d):
+    f = t.forecasts(spark, d)
+    return prices.publish(f.filter("forecast_id % 2 = 0"), f.filter("forecast_id % 2 = 1"))
+
+
+@query(f"select p.product_id, f.forecast_id, cast(f.generated_at as date) as generated_on, {d2('f.predicted_price')} as predicted_price, case when f.forecast_id is null then 'no_forecast' else 'available' end as status from products p left join (select * from {LATEST} where version = 1) f on p.product_id = f.variant_id")
+def forecast_or_none(spark, d):
+    return prices.forecast_answer(t.products(spark, d), t.forecasts(spark, d))
 
 
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
@@ -131,11 +178,11 @@ def history_pivot(spark, d):
     return p.select("day", *(F.col(f"`{r}`").cast("decimal(18,2)").alias(f"p{i}") for i, r in enumerate(REGIONS)))
 
 
-@query(f"""select product_id, position, cast(captured_at as date) as day, {d2('price')} as price from (
-  select *, cast(row_number() over (partition by product_id order by {ORDER}) as integer) as position from (
-    select *, row_number() over (partition by product_id order by captured_at desc, ord desc, line desc, price desc) as r from points) where r <= 30)""")
+@query(f"""select product_id, seller_id, position, cast(captured_at as date) as day, {d2('price')} as price from (
+  select *, cast(row_number() over (partition by product_id, seller_id order by {ORDER}) as integer) as position from (
+    select *, row_number() over (partition by product_id, seller_id order by captured_at desc, ord desc, line desc, price desc) as r from points) where r <= 30)""")
 def competitor_timeline_top30(spark, d):
-    return prices.recent(t.points(spark, d), 30, "product_id").select("product_id", "position", F.to_date("captured_at").alias("day"), F.col("price").cast("decimal(18,2)").alias("price"))
+    return prices.recent(t.points(spark, d), 30, "product_id", "seller_id").select("product_id", "seller_id", "position", F.to_date("captured_at").alias("day"), F.col("price").cast("decimal(18,2)").alias("price"))
 
 
 @query(f"select product_id, seller_id, {d2('current_price')} as current_price, is_available, cast(first_seen_at as date) as first_seen, cast(last_seen_at as date) as last_seen from listings")
