@@ -7,20 +7,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def first_triggers(alerts: DataFrame, points: DataFrame) -> DataFrame:
-    """Each active alert's first capture at or below its target: of its product, or of its listing.
+def matches(alerts: DataFrame, points: DataFrame, available_only: bool = False) -> DataFrame:
+    """Captures that concern an active alert: of its product, or of its listing, in its currency where both have one.
 
-    An alert has one kind of target, so two equi joins cover the disjunction. Targets are filtered before the
-    first capture is taken with a partial minimum.
+    An alert has one kind of target, so two equi joins cover the disjunction and give no pair twice. points may be a
+    stream. Unavailable captures count too, unless available_only.
     """
-    a = alerts.filter("is_active")
-    whole = a.filter("on_product").drop("seller_id").join(points, "product_id")
-    one = a.filter("not on_product").join(points, ["product_id", "seller_id"])
-    hits = whole.select("alert_id", "target_price", *_ORDER).unionByName(one.select("alert_id", "target_price", *_ORDER)).filter("price <= target_price")
+    a, p = alerts.filter("is_active"), points.filter("is_available") if available_only else points
+    key = ["currency"] if "currency" in alerts.columns and "currency" in points.columns else []
+    # The captures' side comes first: a stream keeps its partitioning, and the alerts are the static side.
+    whole = p.join(a.filter("on_product").drop("seller_id"), ["product_id", *key])
+    one = p.join(a.filter("not on_product"), ["product_id", "seller_id", *key])
+    return whole.select("alert_id", "target_price", *_ORDER).unionByName(one.select("alert_id", "target_price", *_ORDER))
+
+
+def first_triggers(alerts: DataFrame, points: DataFrame, available_only: bool = False) -> DataFrame:
+    """Each active alert's first capture at or below its target. Targets are filtered before the first capture is taken
+    with a partial minimum."""
+    hits = matches(alerts, points, available_only).filter("price <= target_price")
     g = hits.groupBy("alert_id").agg(F.min(F.struct(*_ORDER)).alias("x"), F.count(F.lit(1)).alias("qualifying"))
     return g.select("alert_id", F.to_date("x.captured_at").alias("triggered_on"), F.col("x.price").cast("decimal(18,2)").alias("price"), "qualifying")
 
 
+def evaluated(alerts: DataFrame, points: DataFrame) -> DataFrame:
+    """Of each active alert that captures concern: when it was last checked, and its first trigger (null without one).
+
+    One grouping, so it runs as a stream too: the state is a row an alert.
+    """
+    hit = F.when(F.col("price") <= F.col("target_price"), F.struct(*_ORDER))
+    g = matches(alerts, points).groupBy("alert_id").agg(F.max("captured_at").alias("last"), F.min(hit).alias("x"))
+    return g.select("alert_id", F.to_date("last").alias("last_checked"), F.col("x").isNotNull().alias("is_triggered"), F.to_date("x.captured_at").alias("triggered_on"), F.col("x.price").cast("decimal(18,2)").alias("price"))
+
+
 _ORDER = ("captured_at", "ord", "line", "price")
 
 

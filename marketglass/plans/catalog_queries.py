@@ -36,8 +36,13 @@ def catalog_cards(spark, d):
 
 @query(CARDS + f"select {SHOWN} from found order by lower(name), product_id limit 20 offset 20")
 def catalog_search_page(spark, d):
-    shown = catalog.cards(_found(spark, d), _offers(spark, d))
-    return catalog.page(shown, [*catalog.ORDERS["name_asc"](), F.col("product_id")], 2, 20).select(*SHOWN.split(", "))
+    # Captures are reduced to products of the name before they become listings, and cards are made for one page's rows.
+    named = t.products(spark, d).filter(catalog.every([F.col("is_active"), *catalog.contains_any(" ring ", "name", "brand")]))
+    captures = t.points(spark, d).join(named.select("product_id"), "product_id", "left_semi")
+    offers = t.latest(captures, "product_id", "seller_id").join(t.sellers(spark, d), "seller_id")
+    found = catalog.search(named, offers, min_price=20000, max_price=60000, min_rating=15, available=True)
+    shown = catalog.page(found, [*catalog.ORDERS["name_asc"](), F.col("product_id")], 2, 20)
+    return catalog.cards(shown, offers.join(shown.select("product_id"), "product_id", "left_semi")).select(*SHOWN.split(", "))
 
 
 @query(CARDS + "select count(*) as total, cast(ceil(count(*) / 20.0) as bigint) as pages from found")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators import alerts
+from ..sources import tables as t
 from ..streaming import captures
 from .price_queries import TRIGGER
-from .registry import query
+from .registry import d2, query
 
 
 @query(TRIGGER, adapters=False)
@@ -20,3 +24,66 @@ def stream_snapshot(spark, d):
 @query("select event_id, user_id from events", adapters=False)
 def stream_dedup(spark, d):
     return captures.run_available(captures.deduplicated(captures.read(spark, f"{d}/events.parquet"))).select("event_id", "user_id")
+
+
+EVALUATED = f""", m as (select a.alert_id, a.target_price, p.* from alerts a join points p on a.product_id = p.product_id and (a.on_product or a.seller_id = p.seller_id) where a.is_active and KEPT),
+r as (select alert_id, cast(max(captured_at) as date) as last_checked, bool_or(price <= target_price) as is_triggered, first(captured_at order by captured_at, ord, line, price) filter (price <= target_price) as fired_at,
+  first(price order by captured_at, ord, line, price) filter (price <= target_price) as price from m group by 1)
+select alert_id, last_checked, is_triggered, cast(fired_at as date) as triggered_on, {d2('price')} as price from r"""
+
+
+@query(EVALUATED.replace("KEPT", "true"))
+def alerts_evaluated(spark, d):
+    return alerts.evaluated(t.alerts(spark, d), t.points(spark, d))
+
+
+@query(EVALUATED.replace("KEPT", "true"))
+def stream_alert_table(spark, d):
+    """A stream of captures joined with the table of alerts."""
+    stream = t.as_points(captures.read(spark, f"{d}/lineitem.parquet"))
+    return captures.run_available(alerts.evaluated(t.alerts(spark, d), stream), "complete")
+
+
+@query(EVALUATED.replace("KEPT", "p.seller_id % 3 = 0 and a.product_id % 2 = 0"))
+def alerts_by_currency(spark, d):
+    """Captures and alerts meet in one currency only."""
+    foreign = t.points(spark, d).withColumn("currency", F.when(F.col("seller_id") % 3 == 0, "PKR").otherwise("USD"))
+    mine = t.alerts(spark, d).withColumn("currency", F.when(F.col("product_id") % 2 == 0, "PKR").otherwise("EUR"))
+    return alerts.evaluated(mine, foreign)
+
+
+@query(f""", h as (select a.alert_id, p.* from alerts a join points p on a.product_id = p.product_id and (a.on_product or a.seller_id = p.seller_id) where a.is_active and p.is_available and p.price <= a.target_price)
+select alert_id, cast(first(captured_at order by captured_at, ord, line, price) as date) as triggered_on, {d2('first(price order by captured_at, ord, line, price)')} as price, count(*) as qualifying from h group by 1""")
+def alerts_triggered_available(spark, d):
+    return alerts.first_triggers(t.alerts(spark, d), t.points(spark, d), available_only=True)
+
+
+@query("select user_id, event_id, value from (select *, lag(value >= 80, 1, false) over (partition by user_id order by ts, event_id) as was from events) where value >= 80 and not was", adapters=False)
+def stream_risk_edges(spark, d):
+    return captures.run_available(captures.rising_edges(captures.read(spark, f"{d}/events.parquet"), 80))
+
+
+@query("select user_id, event_id, value from (select *, lag(value) over (partition by user_id order by ts, event_id) as b from events) where b is null or b <> value", adapters=False)
+def stream_price_changes(spark, d):
+    return captures.run_available(captures.changes_only(captures.read(spark, f"{d}/events.parquet")))
+
+
+@query("select 'events' as source, true as ok, (select count(*) from events) as n union all select 'lost', false, null union all select 'orders', true, (select count(*) from orders)", adapters=False)
+def stream_isolated(spark, d):
+    sources = {name: (lambda name=name: captures.read(spark, f"{d}/{name}.parquet").select(F.lit(1).alias("x"))) for name in ("events", "lost", "orders")}
+    done = captures.run_isolated(sources)
+    rows = [(k, not isinstance(v, Exception), None if isinstance(v, Exception) else v.count()) for k, v in done.items()]
+    return spark.createDataFrame(rows, "source string, ok boolean, n long")
+
+
+@query("""select c_custkey, array_to_string(list_filter([case when c_custkey % 10 = 0 then 'platform' end, case when c_custkey % 9 = 0 or c_acctbal <= 0 then 'price' end, case when c_custkey % 8 = 0 then 'currency' end,
+  case when c_custkey % 7 = 0 then 'offset' end, case when c_custkey % 6 = 0 then 'time' end], lambda x: x is not null), ',') as broken from customer""", adapters=False)
+def capture_contract(spark, d):
+    from ..operators.merge import split_quarantine
+
+    c, key = t.parquet(spark, d, "customer"), F.col("c_custkey")
+    price = F.when(key % 9 == 0, "1.234").otherwise(F.col("c_acctbal").cast("decimal(14,2)").cast("string"))
+    at = F.concat(F.when(key % 6 == 0, "2024-13-01T10:00:00").otherwise("2024-01-02T10:00:00"), F.when(key % 7 == 0, "").when(key % 2 == 0, "Z").otherwise("+05:00"))
+    sent = c.select("c_custkey", F.when(key % 10 == 0, " ").otherwise("shop").alias("platform"), F.col("c_name").alias("title"), price.alias("price"), F.when(key % 8 == 0, "USD").otherwise(" pkr").alias("currency"), at.alias("scraped_at"))
+    kept, broken = split_quarantine(sent, t.capture_rules())
+    return kept.select("c_custkey", F.lit("").alias("broken")).unionByName(broken.select("c_custkey", F.array_join("broken", ",").alias("broken")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -18,10 +19,19 @@ class Page(InputPartition):
 
 class PageReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.address, self.pages = options["address"], int(options.get("pages", 1))
+        self.address, self.pages = options["address"], options.get("pages", "1")
 
     def partitions(self) -> list[Page]:
-        return [Page(n) for n in range(1, self.pages + 1)]
+        """One a page. With pages=auto their number is read from the first page: results over page size, and one more."""
+        return [Page(n) for n in range(1, (self._announced() if self.pages == "auto" else int(self.pages)) + 1)]
+
+    def _announced(self) -> int:
+        body = next(self.read(Page(1)))[2]
+        try:
+            info = json.loads(body or "")["mainInfo"]
+            return int(info["totalResults"]) // int(info["pageSize"]) + 1
+        except (ValueError, KeyError, TypeError, ZeroDivisionError):
+            return 1
 
     def read(self, partition: Page) -> Iterator[tuple]:
         from urllib.error import URLError
@@ -50,10 +60,41 @@ class MarketPages(DataSource):
         return PageReader(self.options)
 
 
-def export_report(report: DataFrame, path: str) -> None:
-    """A report as CSV files whose text can't act as a spreadsheet formula."""
+#: Formats that reports are written in. No library for spreadsheets or PDF is at hand, so these are refused.
+FORMATS = ("csv", "json")
+
+
+def export_report(report: DataFrame, path: str, kind: str = "csv", threshold: float | None = None, by: str = "gap_pct") -> None:
+    """A report as files whose text can't act as a spreadsheet formula; with a threshold only rows that reach it in column `by`."""
+    if kind not in FORMATS:
+        raise ValueError(f"reports are written as one of {FORMATS}")
+    report = report if threshold is None else report.filter(F.col(by) >= threshold)
     safe = [spreadsheet_safe(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f"`{f.name}`") for f in report.schema]
-    report.select(*safe).write.option("header", True).csv(path)
+    out = report.select(*safe).write
+    (out.option("header", True).csv if kind == "csv" else out.json)(path)
+
+
+def push_each(df: DataFrame, address: str, timeout: float = 5) -> DataFrame:
+    """Sends each row as a JSON document by POST, from the executors; one row a document: its body, and the error if it
+    couldn't be sent. A failure doesn't stop the others. For a stream: foreachBatch(lambda df, n: push_each(df, a).count()).
+    """
+
+    def send(frames: Iterator) -> Iterator:
+        from urllib.error import URLError
+        from urllib.request import Request, urlopen
+
+        for frame in frames:
+            said = []
+            for body in frame["body"]:
+                try:
+                    with urlopen(Request(address, body.encode(), {"Content-Type": "application/json"}), timeout=timeout):  # noqa: S310
+                        said.append(None)
+                except (URLError, OSError) as error:
+                    said.append(str(error))
+            frame["error"] = said
+            yield frame
+
+    return df.select(F.to_json(F.struct("*")).alias("body")).mapInPandas(send, "body string, error string")
 
 
 def append(df: DataFrame, path: str, *partition_by: str) -> None:

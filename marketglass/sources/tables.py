@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..operators.merge import split_quarantine
+
 MONEY = T.DecimalType(14, 2)
 
 #: Normalised listing capture, as sent by collectors.
@@ -38,6 +40,34 @@ def captures_json(spark: SparkSession, path: str, stream: bool = False) -> DataF
     return (spark.readStream if stream else spark.read).schema(CAPTURE).json(path)
 
 
+#: A capture as it is sent: texts, so that what doesn't fit can be told from what is missing.
+SENT = "capture_id long, platform string, title string, price string, currency string, scraped_at string"
+
+
+def capture_rules() -> dict[str, Column]:
+    """The contract of a sent capture (columns SENT): names, a price above 0 with at most two digits behind the point, the
+    currency served, and a time with its offset."""
+    price = F.col("price").try_cast("decimal(20,6)")
+    return {
+        "platform": F.trim("platform") != "", "title": F.length(F.trim("title")).between(1, 500), "price": (price > 0) & (price == F.round(price, 2)), "currency": F.upper(F.trim("currency")) == "PKR",
+        "offset": F.col("scraped_at").rlike(r"(Z|[+-]\d{2}:?\d{2})$"), "time": F.try_to_timestamp("scraped_at").isNotNull(),
+    }
+
+
+def sent_captures(spark: SparkSession, path: str, stream: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Captures of JSON files that keep the contract, and those in quarantine with the rules they break; in batch or as streams."""
+    raw = (spark.readStream if stream else spark.read).schema(SENT).json(path)
+    return split_quarantine(raw, capture_rules())
+
+
+#: A forecast as it is handed over; its points in the order sent.
+FORECAST = "variant_id long, generated_at timestamp, horizon int, points array<struct<at:timestamp,price:decimal(14,2)>>"
+
+
+def forecast_documents(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(FORECAST).option("multiLine", True).json(path)
+
+
 def feed_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A feed file: one JSON array of items."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
@@ -58,7 +88,11 @@ def products(spark: SparkSession, d: str) -> DataFrame:
 
 def points(spark: SparkSession, d: str) -> DataFrame:
     """Price captures; (captured_at, ord, line, price) orders those of a listing totally."""
-    p = parquet(spark, d, "lineitem")
+    return as_points(parquet(spark, d, "lineitem"))
+
+
+def as_points(p: DataFrame) -> DataFrame:
+    """Order lines, in batch or as a stream, as price captures."""
     return p.select(F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("seller_id"), F.col("l_orderkey").alias("ord"), F.col("l_linenumber").alias("line"), F.col("l_shipdate").alias("captured_at"), money("l_extendedprice").alias("price"), (F.col("l_returnflag") != "R").alias("is_available"))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder that all executors share; a temporary one only where the session names none."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marketglass-")
+    """A new folder that all executors share; a temporary one only where the session names none and all runs in one process."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="marketglass-")
     return f"{top}/stream/{uuid.uuid4().hex}"
 
 
@@ -53,6 +58,45 @@ def fire_once(captures: DataFrame, target: float, rearmed: str | None = None) ->
     return captures.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, value double", "fired boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def _after_last(captures: DataFrame, state_of, fires, state_type: str) -> DataFrame:
+    """Captures that fire given the user's state before them; the state is that of the user's last capture.
+
+    Within a micro-batch captures are taken by time. state_of and fires take whole columns.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
+        now = state_of(pdf["value"])
+        before = now.shift(1).astype(object)
+        before.iloc[0] = state.get[0] if state.exists else None
+        state.update((now.iloc[-1].item(),))
+        yield pdf[fires(before, now).to_numpy(bool)][["user_id", "event_id", "value"]]
+
+    return captures.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, value double", state_type, "append", GroupStateTimeout.NoTimeout)
+
+
+def rising_edges(captures: DataFrame, threshold: float) -> DataFrame:
+    """Captures at which a user's level becomes high (value at or above threshold); the state is the last level."""
+    return _after_last(captures, lambda v: v >= threshold, lambda before, now: now & ~before.eq(True), "high boolean")
+
+
+def changes_only(captures: DataFrame) -> DataFrame:
+    """Captures whose value differs from the user's last, and each user's first; the state is the last value."""
+    return _after_last(captures, lambda v: v, lambda before, now: before.isna() | (before != now), "value double")
+
+
+def run_isolated(sources: dict[str, Callable[[], DataFrame]], mode: str = "append") -> dict[str, DataFrame | Exception]:
+    """Runs each source's stream in a folder of its own; what fails is given as its error and doesn't stop the others."""
+    out: dict[str, DataFrame | Exception] = {}
+    for name, source in sources.items():
+        try:
+            out[name] = run_available(source(), mode)
+        except Exception as error:  # noqa: BLE001
+            logging.getLogger(__name__).warning("source %s: %s", name, error)
+            out[name] = error
+    return out
+
+
 def snapshot(captures: DataFrame) -> DataFrame:
     """Each user's latest capture by event time, whatever order captures come in."""
     last = F.max(F.struct("ts", "event_id", "value")).alias("x")
