@@ -285,11 +285,35 @@ def test_top_k(spark):
 
 def test_approximations_spare_exact_reads():
     rng = np.random.default_rng(3)
-    x = np.floor(256 * rng.normal(0, 0.3, (3000, 16))).astype(np.int64)
+    x = np.floor(256 * rng.normal(0, 2, (3000, 16)))
+    cell, width = va_search.cells(x)
+    assert width.min() > 1 and (cell * width[:, None] <= x).all() and (x <= cell * width[:, None] + width[:, None] - 1).all()
+    up, low = va_search.bounds(x[:5], cell.astype(float), width)
+    exact = x[:5] @ x.T
+    assert (low <= exact).all() and (exact <= up).all()
     q = va_search.Queries(np.arange(5) + 10_000, x[:5], 5)
     for at in range(0, 3000, 500):
-        q.scan(np.arange(at, at + 500), x[at : at + 500])
-    assert 0 < q.read < 5 * 1000
+        q.scan(np.arange(at, at + 500), cell[at : at + 500], width[at : at + 500])
+    left = q.rows()
+    assert 5 * 5 <= len(left[0]) < 5 * 200
+    for k in range(5):
+        best = np.lexsort((np.arange(3000), -exact[k]))[:5]
+        assert set(best) <= set(left[1][left[0] == 10_000 + k])
+
+
+def test_top_k_with_large_components_ties_and_copies(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([0.0, 0.5, 1.0, -1.0]) for _ in range(4)]) for i in range(120)]
+    rows += [(200 + i, [0.25, 0.25, 0.25, 0.25]) for i in range(60)] + [(300, [1e17, -3.0, 2.0, 0.0]), (350, [1e-3, 1e17, 0.0, 1.0]), (301, [1e300, 1e300, 0.0, 0.0]), (302, [0.0] * 4), (400, [0.0] * 4), (119, [1.0, 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumnRenamed("vec_id", "a.id")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in va_search.top_k(df, df.filter("`a.id` % 50 = 0"), 5, id_column="a.id").collect())
+    want = []
+    for q, a in rows:
+        if q % 50 == 0:
+            scores = [(sum(int(256 * x // 1) * int(256 * y // 1) for x, y in zip(a, b)), i) for i, b in rows if i != q]
+            c = sorted((-min(max(s, -(2**63)), 2**63 - 1), i) for s, i in scores)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(c)]
+    assert got == sorted(want)
 
 
 def test_mixing(spark, docs, empty):
