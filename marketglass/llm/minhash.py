@@ -1,8 +1,9 @@
 """MinHash document fingerprints: universal hash permutations over word shingles, in vectorised numpy.
 
 A permutation is x -> a x + b mod 2^32 with odd a, over 32-bit shingle hashes. A fingerprint keeps the low 8 bits of
-each minimum (b-bit minwise hashing). Bands of a signature are joined in Spark to find near-duplicates, which are verified by the exact Jaccard
-similarity of the shingle sets.
+each minimum (b-bit minwise hashing). Bands of a signature are joined in Spark to find near-duplicates: texts that
+share a band are candidates, which are verified by Jaccard similarity, by the fingerprints where these leave no doubt
+and by the exact shingle sets where they do.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from .components import components
 
 PERMUTATIONS = 128
 SHINGLE = 5
-#: Bands of three minima: texts of similarity 0.8 miss all 42 bands with a chance of 1e-13.
-BAND = 3
+#: Bands of five minima: texts of similarity 0.8 miss all 16 bands with a chance of 0.0017.
+BANDS, BAND = 16, 5
+#: Fingerprints further from the threshold than this decide alone: four standard deviations of their estimate.
+DOUBT = 0.15
 _rng = np.random.default_rng(20240229)
 A = (_rng.integers(0, 1 << 31, (PERMUTATIONS, 1), np.int64) * 2 + 1).astype(np.uint32)
 B = _rng.integers(0, 1 << 32, (PERMUTATIONS, 1), np.int64).astype(np.uint32)
@@ -64,40 +67,53 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return max(0.0, (same - 1 / 256) / (1 - 1 / 256))
 
 
+def band_keys(sig: np.ndarray) -> list[int]:
+    """A 64-bit key of each band."""
+    from xxhash import xxh3_64_intdigest
+
+    return [xxh3_64_intdigest(sig[BAND * k : BAND * k + BAND].tobytes(), k) - (1 << 63) for k in range(BANDS)]
+
+
 def edited(text: str, following: str) -> str:
     """text with its last half (rounded down) replaced by as many of the first code points of `following`, or all."""
     half = len(text) // 2
     return text[: len(text) - half] + following[:half]
 
 
-COLUMNS = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-SCHEMA = "n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+COLUMNS = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "text_hash", "bands"]
+SCHEMA = "n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, text_hash long, bands array<long>"
+TYPES = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64())]
 
 
-def compare(text: str, sig: np.ndarray, following: str, next_sig: np.ndarray) -> tuple:
+def compare(text: str, sig: np.ndarray, hash_: int, following: str, next_sig: np.ndarray) -> tuple:
     new = edited(text, following)
     new_sig = signature(shingles(new))
-    return len(text), hashlib.sha256(new.encode()).hexdigest(), digest(sig), digest(new_sig), likeness(sig, new_sig), likeness(sig, next_sig)
-
+    return len(text), hashlib.sha256(new.encode()).hexdigest(), digest(sig), digest(new_sig), likeness(sig, new_sig), likeness(sig, next_sig), hash_, band_keys(sig)
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id and COLUMNS of every row: its fingerprint and that of its text edited with the next document's.
 
-    Documents follow each other by ascending doc_id (null first), rows of one id by a hash of the text; after the
-    last comes the first. A null text counts as empty. A table of one row is its own next; an empty one gives no
-    rows. Rows that repeat are compared each. Further columns are left out.
-
-    The rows are range-partitioned once. The last row of a partition needs the first of the next: those two a
-    partition are written with their texts and joined afterwards.
-    """
+def _with_next(docs: DataFrame) -> DataFrame:
+    """doc_id and COLUMNS of every row (see with_next)."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_t", F.xxhash64("text"))
-    ranged = ranged.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "_t").sortWithinPartitions("doc_id", "_t")
+    text = F.coalesce("text", F.lit(""))
+
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3).compress
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([press(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())], ["doc_id", "text_hash", "packed"])
+
+    # Whole texts pass one exchange, compressed.
+    packed = common.map_slices(docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text")), pack, f"doc_id {kind}, text_hash long, packed binary")
+    ranged = packed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
     names = ["part", "edge", "doc_id", "text", *COLUMNS]
-    types = [pa.int32(), pa.string(), None, pa.string(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+    types = [pa.int32(), pa.string(), None, pa.string(), *TYPES]
+    none = [None] * len(COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         part = TaskContext.get().partitionId()
         held, id_type = None, None
 
@@ -110,86 +126,180 @@ def with_next(docs: DataFrame) -> DataFrame:
             for low in range(0, batch.num_rows, 256):
                 rows = []
                 piece = batch.slice(low, 256)
-                for doc_id, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+                for doc_id, hash_, raw in zip(*(c.to_pylist() for c in piece.columns)):
+                    text = unpack(raw).decode()
                     sig = signature(shingles(text))
                     if held is None:
-                        rows.append((part, "first", doc_id, text, *[None] * 6))
+                        rows.append((part, "first", doc_id, text, *none))
                     else:
-                        rows.append((part, None, held[0], None, *compare(held[1], held[2], text, sig)))
-                    held = doc_id, text, sig
+                        rows.append((part, None, held[0], None, *compare(*held[1:], text, sig)))
+                    held = doc_id, text, sig, hash_
                 yield batch_of(rows)
         if held is not None:
-            yield batch_of([(part, "last", held[0], held[1], *[None] * 6)])
+            yield batch_of([(part, "last", held[0], held[1], *none[:-2], held[3], None)])
 
     done = common.materialize(ranged.mapInArrow(run, f"part int, edge string, doc_id {kind}, text string, {SCHEMA}"))
     # One small row a partition meets in this window.
     firsts = done.filter("edge = 'first'").select("part", F.col("text").alias("following"))
     order = firsts.select("part").select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("then"))
-    lasts = done.filter("edge = 'last'").select("part", "doc_id", "text").join(order, "part")
-    pairs = lasts.join(firsts.select(F.col("part").alias("then"), "following"), "then").select("doc_id", "text", "following")
+    lasts = done.filter("edge = 'last'").select("part", "doc_id", "text", "text_hash").join(order, "part")
+    pairs = lasts.join(firsts.select(F.col("part").alias("then"), "following"), "then").select("doc_id", "text", "following", "text_hash")
 
     def stitch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [compare(t, signature(shingles(t)), f, signature(shingles(f))) for t, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), types[4:]))], ["doc_id", *COLUMNS]) if rows else batch_empty(batch)
+        rows = [compare(t, signature(shingles(t)), h, f, signature(shingles(f))) for t, f, h in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
+        columns = list(zip(*rows)) if rows else [()] * len(TYPES)
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, TYPES))], ["doc_id", *COLUMNS])
 
-    def batch_empty(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([], t) for t in types[4:])], ["doc_id", *COLUMNS])
+    return done.filter("edge is null").select("doc_id", *COLUMNS).unionByName(common.map_slices(pairs, stitch, f"doc_id {kind}, {SCHEMA}"))
 
-    every = done.filter("edge is null").select("doc_id", *COLUMNS).unionByName(common.map_slices(pairs, stitch, f"doc_id {kind}, {SCHEMA}"))
-    return every.withColumns({c: F.base64(c) for c in ("fingerprint", "edited_fingerprint")})
 
+def with_next(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row: its
+    fingerprint and that of its text edited with the next document's.
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, class_id, links of every row: rows of equal text (null is empty) are one class, and class_id is the
-    smallest class_id that verified links reach; links counts the row's class's links to other texts.
+    Documents follow each other by ascending doc_id (null first), rows of one id by a hash of the text; after the
+    last comes the first. A null text counts as empty. A table of one row is its own next; an empty one gives no
+    rows. Rows that repeat are compared each. Further columns are left out.
 
-    Candidate texts share a band of their signatures. Within a band each text is compared, by the exact Jaccard
-    similarity of its shingles, with texts that lead it: a text like none of them becomes one. So a band gives at
-    most a link a text, never all pairs, and groups stay whole as all their bands are used.
+    The rows are range-partitioned once. The last row of a partition needs the first of the next: those two a
+    partition are written with their texts and joined afterwards.
     """
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id").withColumn("t", F.xxhash64("text"))
-    unique = texts.groupBy("t").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
+    return _shown(_with_next(docs))
 
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 128):
-                rows: list[tuple] = []
-                piece = batch.slice(low, 128)
-                for t, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-                    h = np.unique(shingles(text))
-                    sig = signature(h)
-                    for k in range(PERMUTATIONS // BAND):
-                        key = int.from_bytes(hashlib.blake2b(sig[BAND * k : BAND * k + BAND].tobytes(), digest_size=7, salt=k.to_bytes(2, "little")).digest(), "little")
-                        rows.append((key, t, h.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["band", "t", "h"])
-
-    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, leaders = None, []
+
+def _shown(found: DataFrame, *more: str) -> DataFrame:
+    return found.select("doc_id", *COLUMNS[:-2], *more).withColumns({c: F.base64(c) for c in ("fingerprint", "edited_fingerprint")})
+
+
+def _signed(docs: DataFrame) -> DataFrame:
+    """text_hash, fingerprint and bands of every row."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sigs = [signature(shingles(t)) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(digest, sigs), pa.binary()), pa.array(map(band_keys, sigs), pa.list_(pa.int64()))], ["text_hash", "fingerprint", "bands"])
+
+    text = F.coalesce("text", F.lit(""))
+    return common.map_slices(docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")), run, "text_hash long, fingerprint binary, bands array<long>")
+
+
+def _leaders(members: DataFrame) -> DataFrame:
+    """band, lead, t of members (band, t) beside the smallest t of their band, their leader. A stream over sorted rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_band, last_lead = None, None
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for b, t, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                h = np.frombuffer(raw, np.uint32)
-                if b != band:
-                    band, leaders = b, []
-                for other, g in leaders:
-                    if min(len(h), len(g)) >= threshold * max(len(h), len(g)):
-                        both = len(np.intersect1d(h, g, assume_unique=True))
-                        if both >= threshold * (len(h) + len(g) - both):
-                            out.append((min(t, other), max(t, other)))
-                            break
-                else:
-                    leaders.append((t, h))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    banded = unique.select("t", "text").mapInArrow(bands, "band long, t long, h binary")
-    links = common.materialize(banded.repartition("band").sortWithinPartitions("band", "t").mapInArrow(led, "a long, b long").distinct())
-    root = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("links"))
-    named = unique.select("t", "least").join(root.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t")).join(degree, "t", "left")
+            if not batch.num_rows:
+                continue
+            band, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            new = np.concatenate([[last_band is None or band[0] != last_band], band[1:] != band[:-1]])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
+            lead = np.where(at < 0, last_lead if last_lead is not None else 0, t[np.maximum(at, 0)])
+            last_band, last_lead = band[-1], lead[-1]
+            keep = ~new & (t != lead)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (band, lead, t)], ["band", "lead", "t"])
+
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return common.materialize(members.repartition(parts, "band").sortWithinPartitions("band", "t").mapInArrow(run, "band long, lead long, t long"))
+
+
+def _similar(pairs: DataFrame, signed: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """a, b, similarity of distinct pairs: estimated from the fingerprints where these leave no doubt on which side of the
+    threshold it is, else exact."""
+
+    def estimate(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, PERMUTATIONS) for k in (2, 3))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256))], ["a", "b", "similarity"])
+
+    def exact(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            g, h = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            both = len(np.intersect1d(g, h, assume_unique=True))
+            out.append(both / max(1, len(g) + len(h) - both))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingles(t)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["t", "x"])
+
+    def beside(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        return pairs.join(of.select(F.col("t").alias("b"), F.col("x").alias("y")), "b").join(of.select(F.col("t").alias("a"), "x"), "a").select("a", "b", "x", "y")
+
+    # A pair is estimated once, however many bands it shares.
+    guessed = common.materialize(common.map_slices(beside(pairs, signed.select(F.col("text_hash").alias("t"), F.col("fingerprint").alias("x"))), estimate, "a long, b long, similarity double"))
+    clear = F.abs(F.col("similarity") - threshold) > DOUBT
+    open_ = guessed.filter(~clear).select("a", "b")
+    ids = open_.select(F.explode(F.array("a", "b")).alias("t")).distinct()
+    text = F.coalesce("text", F.lit(""))
+    needed = docs.select(F.xxhash64(text).alias("t"), text.alias("text")).join(ids, "t", "left_semi")
+    shingled = common.map_slices(needed, sets, "t long, x binary").dropDuplicates(["t"])
+    return guessed.filter(clear).unionByName(common.map_slices(beside(open_, shingled), exact, "a long, b long, similarity double"))
+
+
+def _links(signed: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """a, b of links between texts that share a band and are similar: enough of them to join all that such links join.
+
+    In each band all texts are compared with a leader. Those like it are one class. What isn't like it (r) is compared
+    with those that are (x), and by itself in the next round. Jaccard distance is a metric, so r can only be like an x
+    that is far enough from the leader; and pairs that are joined already are left out.
+    """
+    found: DataFrame | None = None
+    led = _leaders(signed.select(F.explode("bands").alias("band"), F.col("text_hash").alias("t")))
+    slack = 2 * DOUBT
+    while not led.isEmpty():
+        pairs = led.select(F.col("lead").alias("a"), F.col("t").alias("b")).distinct()
+        near = common.materialize(_similar(pairs, signed, docs, threshold))
+        new = near.filter(F.col("similarity") >= threshold).select("a", "b")
+        found = new if found is None else found.unionByName(new)
+        told = led.join(near.select(F.col("a").alias("lead"), F.col("b").alias("t"), "similarity"), ["lead", "t"])
+        unlike = common.materialize(told.filter(F.col("similarity") < threshold).select("band", "t", "similarity"))
+        if unlike.isEmpty():
+            break
+        root = components(found).withColumnRenamed("node", "t")
+        rooted = lambda df: df.join(root, "t", "left").withColumn("root", F.coalesce("root", "t"))
+        r = rooted(unlike).select("band", F.col("t").alias("a"), F.col("similarity").alias("far"), F.col("root").alias("ra"))
+        x = rooted(told.filter(F.col("similarity") >= threshold).select("band", "t", "similarity")).select("band", F.col("t").alias("b"), F.col("similarity").alias("close"), F.col("root").alias("rb"))
+        cross = r.join(x, "band").filter((F.col("ra") != F.col("rb")) & (F.col("close") <= F.col("far") + (1 - threshold) + slack)).select("a", "b").distinct()
+        more = common.materialize(_similar(cross, signed, docs, threshold))
+        found = common.materialize(found.unionByName(more.filter(F.col("similarity") >= threshold).select("a", "b")))
+        led = _leaders(unlike.select("band", "t"))
+    return found if found is not None else led.select(F.col("lead").alias("a"), F.col("t").alias("b"))
+
+
+def _classes(rows: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """text_hash, class_id, links of texts that have copies or links; rows: doc_id, text_hash, fingerprint, bands."""
+    per = common.materialize(rows.groupBy("text_hash").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands")))
+    links = common.materialize(_links(per, docs, threshold))
+    root = components(links).withColumnRenamed("node", "text_hash")
+    degree = links.select(F.explode(F.array("a", "b")).alias("text_hash")).groupBy("text_hash").agg(F.count(F.lit(1)).alias("links"))
+    named = per.select("text_hash", "least", "n").join(root, "text_hash", "left").filter("n > 1 or root is not null").withColumn("root", F.coalesce("root", "text_hash")).join(degree, "text_hash", "left")
     least = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    classes = named.join(least, "root").select("t", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
-    return texts.select("doc_id", "t").join(classes, "t").select("doc_id", "class_id", "links")
+    return common.materialize(named.join(least, "root").select("text_hash", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links")))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, class_id, links of every row: rows of equal text (null is empty) are one class, and so are all that links
+    join; class_id is the smallest doc_id in it, links the number of other texts that the row's was found to be linked
+    with (enough to join the class, not all of them).
+
+    Texts are linked if they share a band of their signatures and their shingles' Jaccard similarity is at least the
+    threshold (1 for two texts without words): texts of similarity 0.8 miss all bands with a chance of 0.0017. An empty table gives no rows; a null
+    doc_id names a class only if it has no other. Further columns are left out.
+    """
+    hashed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    signed = _signed(docs).dropDuplicates(["text_hash"])
+    classes = _classes(hashed.join(signed, "text_hash"), docs, threshold)
+    return _in_class(hashed, classes).select("doc_id", "class_id", "links")
+
+
+def _in_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    j = rows.join(classes.withColumn("known", F.lit(True)), "text_hash", "left")
+    return j.withColumns({"class_id": F.when(F.col("known"), F.col("class_id")).otherwise(F.col("doc_id")), "links": F.coalesce("links", F.lit(0).cast("long"))})
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_next(common.read(spark, sf_dir, "documents"))
+    """Fingerprints of all documents and their edited texts (see with_next), and the near-duplicate class of each (see
+    near_duplicates): null texts count as empty, equal texts share fingerprint and class, rows that repeat come each."""
+    docs = common.read(spark, sf_dir, "documents")
+    found = _with_next(docs)
+    classes = _classes(found.select("doc_id", "text_hash", "fingerprint", "bands"), docs, 0.8)
+    return _shown(_in_class(found, classes), "class_id", "links")

@@ -255,6 +255,56 @@ def test_minhash(docs, real, empty):
     assert minhash.with_next(one).first().near_next == 1.0
 
 
+def test_minhash_finds_the_classes_of_brute_force(spark):
+    """Chains, groups of near copies, two leaders that a third text joins: recall of linked pairs, and no false link."""
+    rng = random.Random(11)
+    texts = []
+    for g in range(30):
+        words = [f"g{g}w{rng.randrange(900)}" for _ in range(150)]
+        for _ in range(8):
+            texts.append(" ".join(words))
+            if rng.random() < 0.5:
+                words = words[: 150 - rng.randrange(1, 12)] + [f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 12))]
+            else:
+                words[rng.randrange(len(words))] = f"y{rng.randrange(10**6)}"
+    texts += [texts[0], "", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()}
+    sets = [set(minhash.shingles(t).tolist()) for t in texts]
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    pairs = []
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if len(a & b) >= 0.8 * len(a | b):
+                pairs.append((i, j))
+                x, y = sorted((root(i), root(j)))
+                up[y] = x
+    assert len(pairs) > 100
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.99 * len(pairs)
+    assert all(root(i) == root(c) for i, c in got.items())
+
+
+def test_fingerprint_columns(docs, real):
+    got = {}
+    for r in minhash.with_next(real).collect():
+        assert len(r.fingerprint) > 100 and 0 <= r.near_next <= 1
+        got[r.doc_id] = r
+    rows = sorted(real.select("doc_id", "text").collect())
+    same = {}
+    for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1]):
+        a, b = (set(minhash.shingles(x or "").tolist()) for x in (t, n))
+        assert abs(got[i].near_next - (len(a & b) / len(a | b) if a | b else 1.0)) < 0.2
+        assert same.setdefault(t or "", got[i].fingerprint) == got[i].fingerprint
+    assert len({r.fingerprint for r in got.values()}) > 0.5 * len(got)
+
+
 def test_minhash_near_duplicates(spark, empty):
     words = [f"w{i}" for i in range(200)]
     near = [*words[:198], "x", "y"]
