@@ -240,7 +240,8 @@ def _links(signed: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 
     In each band all texts are compared with a leader. Those like it are one class. What isn't like it (r) is compared
     with those that are (x), and by itself in the next round. Jaccard distance is a metric, so r can only be like an x
-    that is far enough from the leader; and pairs that are joined already are left out.
+    that is far enough from the leader; and pairs that are joined already are left out. There are as many rounds as a
+    band has texts of which none is like another, which is few where texts are long.
     """
     found: DataFrame | None = None
     led = _leaders(signed.select(F.explode("bands").alias("band"), F.col("text_hash").alias("t")))
@@ -297,9 +298,6 @@ def _in_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and their edited texts (see with_next), and the near-duplicate class of each (see
-    near_duplicates): null texts count as empty, equal texts share fingerprint and class, rows that repeat come each."""
-    docs = common.read(spark, sf_dir, "documents")
-    found = _with_next(docs)
-    classes = _classes(found.select("doc_id", "text_hash", "fingerprint", "bands"), docs, 0.8)
-    return _shown(_in_class(found, classes), "class_id", "links")
+    """Fingerprints of all documents and of their edited texts (see with_next): null texts count as empty, equal texts
+    have equal fingerprints, rows that repeat come each."""
+    return with_next(common.read(spark, sf_dir, "documents"))
