@@ -90,20 +90,31 @@ def product_listings_available(spark, d):
     return t.listings(spark, d).filter("is_available").select("product_id", "seller_id", F.col("current_price").cast("decimal(18,2)").alias("current_price"), F.row_number().over(w).alias("place"))
 
 
-@query(f"""select p.product_id, name, brand, category, p.is_active, count(l.seller_id) as listings, count(*) filter (l.is_available) as available, {d2('min(current_price)')} as lowest
-from products p left join listings l on p.product_id = l.product_id group by all""")
+@query(f""", pp as (select product_id, name, case when product_id % 7 <> 0 then brand end as brand, category, is_active from products), br as (select distinct brand as code, 'Brand ' || brand as label from products where brand <> 'Brand#13'), ca as (select distinct category as code, lower(category) as label from products)
+select p.product_id, name, br.label as brand, ca.label as category, p.is_active, count(l.seller_id) as listings, count(*) filter (l.is_available) as available, {d2('min(current_price)')} as lowest
+from pp p left join br on p.brand = br.code left join ca on p.category = ca.code left join listings l on p.product_id = l.product_id group by all""")
 def admin_products(spark, d):
+    """Products with their brand's and category's labels; those without a brand, or of an unknown one, stay."""
     g = t.listings(spark, d).groupBy("product_id").agg(F.count(F.lit(1)).alias("listings"), F.count_if("is_available").alias("available"), F.min("current_price").alias("lowest"))
-    j = t.products(spark, d).join(g, "product_id", "left")
-    return j.select("product_id", "name", "brand", "category", "is_active", F.coalesce("listings", F.lit(0)).alias("listings"), F.coalesce("available", F.lit(0)).alias("available"), F.col("lowest").cast("decimal(18,2)").alias("lowest"))
+    every = t.products(spark, d)
+    brands = every.filter("brand <> 'Brand#13'").select("brand", F.concat(F.lit("Brand "), "brand").alias("brand_label")).distinct()
+    categories = every.select("category", F.lower("category").alias("category_label")).distinct()
+    p = every.withColumn("brand", F.when(F.col("product_id") % 7 != 0, F.col("brand")))
+    j = p.join(brands, "brand", "left").join(categories, "category", "left").join(g, "product_id", "left")
+    return j.select("product_id", "name", F.col("brand_label").alias("brand"), F.col("category_label").alias("category"), "is_active", F.coalesce("listings", F.lit(0)).alias("listings"), F.coalesce("available", F.lit(0)).alias("available"), F.col("lowest").cast("decimal(18,2)").alias("lowest"))
 
 
-@query(f"""select l.product_id, l.seller_id, p.name as product_name, p.brand, s.seller_name, s.country, s.platform, {d2('l.current_price')} as current_price, l.is_available
+LISTING_COLUMNS = "product_id, seller_id, product_name, brand, category, product_active, seller_name, country, platform, rating, current_price, is_available, first_seen, last_seen, days_seen"
+
+
+@query(f"""select l.product_id, l.seller_id, p.name as product_name, p.brand, p.category, p.is_active as product_active, s.seller_name, s.country, s.platform, s.rating, {d2('l.current_price')} as current_price, l.is_available,
+  cast(first_seen_at as date) as first_seen, cast(last_seen_at as date) as last_seen, date_diff('day', cast(first_seen_at as date), cast(last_seen_at as date)) as days_seen
 from listings l join products p on l.product_id = p.product_id left join sellers s on l.seller_id = s.seller_id where s.seller_name ilike '%7%' or p.name ilike '%7%'""")
 def admin_listings(spark, d):
-    j = t.listings(spark, d).join(t.products(spark, d).drop("is_active"), "product_id").join(t.sellers(spark, d), "seller_id", "left")
-    hit = catalog.contains_any("7", "seller_name", "name")
-    return j.filter(catalog.every(hit)).select("product_id", "seller_id", F.col("name").alias("product_name"), "brand", "seller_name", "country", "platform", F.col("current_price").cast("decimal(18,2)").alias("current_price"), "is_available")
+    j = t.listings(spark, d).join(t.products(spark, d).withColumnsRenamed({"is_active": "product_active", "name": "product_name"}), "product_id").join(t.sellers(spark, d), "seller_id", "left")
+    j = j.filter(catalog.every(catalog.contains_any("7", "seller_name", "product_name")))
+    j = j.withColumns({"first_seen": F.to_date("first_seen_at"), "last_seen": F.to_date("last_seen_at"), "current_price": F.col("current_price").cast("decimal(18,2)")})
+    return j.withColumn("days_seen", F.date_diff("last_seen", "first_seen").cast("long")).select(*LISTING_COLUMNS.split(", "))
 
 
 @query("""select (select count(*) from customer) as users, (select count(*) from customer where c_acctbal >= 0) as active_users, (select count(*) from products) as products, (select count(*) from products where is_active) as active_products,
@@ -190,10 +201,14 @@ def slugify_unique(spark, d):
     return p.withColumn("r", r).select("product_id", F.concat("base", F.when(F.col("r") > 1, F.concat(F.lit("-"), F.col("r").cast("string"))).otherwise("")).alias("slug"))
 
 
-@query("""select product_id, 8 as ram, case when storage_gb >= 32 then storage_gb when storage_gb = 8 then 256 else 256 end as storage from products""")
+@query("""select product_id, cast(case product_id % 4 when 0 then 8 when 1 then case when storage_gb <= 32 then storage_gb end when 2 then 12 end as integer) as ram,
+  cast(case product_id % 4 when 0 then 256 when 1 then case when storage_gb > 32 then storage_gb when storage_gb * 16 >= 32 then storage_gb * 16 end when 2 then 1024 end as integer) as storage from products""")
 def memory_extract(spark, d):
-    title = F.concat("name", F.lit(" 8gb ram "), F.col("storage_gb").cast("string"), F.lit("gb 256 gb"))
-    ram, rom = text.memory(title)
+    """Titles with explicit marks, with two bare sizes, with terabytes, and without a size."""
+    size = F.col("storage_gb")
+    bare = F.concat("name", F.lit(" "), size.cast("string"), F.lit(" GB / "), (size * 16).cast("string"), F.lit("gb"))
+    kinds = F.array(F.concat("name", F.lit(" 512gb 256 gb rom, 8GB RAM")), bare, F.concat("name", F.lit(" 1TB 12gb")), F.col("name"))
+    ram, rom = text.memory(F.element_at(kinds, (F.col("product_id") % 4 + 1).cast("int")))
     return t.products(spark, d).select("product_id", ram.alias("ram"), rom.alias("storage"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text
 from ..operators import alerts, prices
@@ -53,9 +54,8 @@ def product_history_totals(spark, d):
 
 @query(f"select product_id, seller_id, cast(row_number() over (partition by product_id, seller_id order by {ORDER}) as integer) as position, cast(captured_at as date) as day, {d2('price')} as price from points")
 def history_nested_flat(spark, d):
-    nested = t.points(spark, d).groupBy("product_id", "seller_id").agg(F.array_sort(F.collect_list(F.struct(*prices.ORDER))).alias("h"))
-    flat = nested.select("product_id", "seller_id", F.posexplode("h").alias("i", "x"))
-    return flat.select("product_id", "seller_id", (F.col("i") + 1).alias("position"), F.to_date("x.captured_at").alias("day"), F.col("x.price").cast("decimal(18,2)").alias("price"))
+    w = Window.partitionBy("product_id", "seller_id").orderBy(*prices.ORDER)
+    return t.points(spark, d).select("product_id", "seller_id", F.row_number().over(w).alias("position"), F.to_date("captured_at").alias("day"), F.col("price").cast("decimal(18,2)").alias("price"))
 
 
 GUIDE = f""", part_listings as (select product_id, min(price) as current_lowest from (
@@ -253,10 +253,16 @@ def json_props(spark, d):
     return _events(spark, d).select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "int").alias("k"))
 
 
-@query()
+@query(f""", n as (select *, (row_number() over (partition by product_id order by {ORDER}) - 1) // 500 as page from points)
+select product_id, page, cast(to_json({{'product_id': product_id, 'page': page, 'points': l}}) as varchar) as document
+from (select product_id, page, list({{'day': strftime(captured_at, '%Y-%m-%d'), 'seller_id': seller_id, 'price': cast(cast(price as decimal(18,2)) as varchar)}} order by {ORDER}) as l from n group by product_id, page)""")
 def json_document(spark, d):
-    nested = t.points(spark, d).groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("captured_at", "seller_id", "price"))).alias("points"))
-    return nested.select("product_id", F.to_json(F.struct("product_id", "points")).alias("document"))
+    """History documents of at most 500 points, so that no product's history is one row."""
+    n = F.row_number().over(Window.partitionBy("product_id").orderBy(*prices.ORDER))
+    p = t.points(spark, d).withColumn("page", F.floor((n - 1) / 500).cast("long"))
+    shown = F.struct(*prices.ORDER, F.struct(F.date_format("captured_at", "yyyy-MM-dd").alias("day"), "seller_id", F.col("price").cast("decimal(18,2)").cast("string").alias("price")).alias("x"))
+    g = p.groupBy("product_id", "page").agg(F.transform(F.array_sort(F.collect_list(shown)), lambda s: s["x"]).alias("points"))
+    return g.select("product_id", "page", F.to_json(F.struct("product_id", "page", "points")).alias("document"))
 
 
 @query("select page_id, list_extract(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '/'), -1) as external_id, case when starts_with(url, '//') then 'https:' || url else url end as url from pages", adapters=False)

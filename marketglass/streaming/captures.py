@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -125,3 +126,8 @@ def run_available(stream: DataFrame, mode: str = "append", folder: str | None =
         return done
     newest = done.agg(F.max("batch").alias("batch"))
     return done.join(F.broadcast(newest), "batch", "left_semi").drop("batch")
+
+
+def start_every(stream: DataFrame, sink: Callable[[DataFrame, int], None], folder: str, interval: str = "12 hours") -> StreamingQuery:
+    """Starts the stream in micro-batches of that interval, each handed to the sink; it runs until the caller stops it."""
+    return stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(processingTime=interval).foreachBatch(sink).start()
