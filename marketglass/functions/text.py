@@ -42,7 +42,8 @@ def similarity(a: Column, b: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def ratio_bound(a: pd.Series, b: pd.Series) -> pd.Series:
-    """An upper bound of the sequence ratio of two normalised texts: by the characters that both hold, as often."""
+    """An upper bound of the sequence ratio of two normalised texts: by the characters that both hold, as often; 0 for null."""
+    a, b = a.fillna(""), b.fillna("")
 
     def counts(s: pd.Series) -> tuple[np.ndarray, np.ndarray]:
         at, unique = pd.factorize(s)

@@ -61,11 +61,13 @@ def match(items: DataFrame, variants: DataFrame) -> DataFrame:
     # Few bytes but much work a row: a fixed number of partitions keeps adaptive execution from merging them.
     pairs = near.unionByName(far).repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t", "n")
     inside = (F.col("n") != "") & F.contains(compact(F.col("t")), compact(F.col("n")))
-    # Sequences are compared only where the pair can pass the filter below.
-    pairs = pairs.filter(inside | (token_share(F.col("t"), F.col("n")) >= LEAST_NAME) | (ratio_bound(F.col("t"), F.col("n")) >= LEAST_NAME))
-    # Sequences are compared only where containment doesn't settle the score.
-    model = F.when(inside, 1.0).otherwise(similarity(F.when(~inside, F.col("t")), F.col("n")))
-    pairs = pairs.withColumn("name_score", name_similarity(F.col("t"), F.col("n"))).withColumn("model_score", model)
+    # Sequences are compared only where the pair can pass the filter below, and where containment doesn't settle the score.
+    # The optimizer may merge the filters, so the texts of other pairs are hidden from the functions that compare.
+    sure = inside | (token_share(F.col("t"), F.col("n")) >= LEAST_NAME)
+    able = sure | (ratio_bound(F.when(~sure, F.col("t")), F.col("n")) >= LEAST_NAME)
+    seen = F.when(able, F.col("t"))
+    model = F.when(inside, 1.0).otherwise(similarity(F.when(~inside, seen), F.col("n")))
+    pairs = pairs.filter(able).withColumns({"name_score": name_similarity(seen, F.col("n")), "model_score": model})
     pairs = pairs.filter((F.col("name_score") >= LEAST_NAME) | (F.col("model_score") >= LEAST_MODEL))
     found = i.join(pairs, ["t", "b"])
     c_near = found.filter("known").join(v.withColumn("b", F.col("vb")), ["n", "b"])
