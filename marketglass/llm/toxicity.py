@@ -406,7 +406,11 @@ def platt(f: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 50) -> tu
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_chars: int = MAX_CHARS) -> Model:
-    """Fits on a bounded sample of rows whose crc32 of the id, mod 4, is not 2."""
+    """Fits on a bounded sample of rows whose crc32 of the id, mod 4, is not 2.
+
+    Bounds: per_label texts of each label of at most max_chars characters; of these at most WORDS words and WORDS
+    passages of either kind become instances.
+    """
     known = common.crc_mod("doc_id", 4) != 2
     share = labels.filter(known).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     return Model(*common.labelled_texts(docs, labels, "toxic", known, per_label, max_chars), share)
@@ -430,6 +434,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents (see score): null and empty texts get the lowest decision value, rows that repeat are
+    scored each, equal texts alike."""
     docs, labels = common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels")
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", (common.crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
