@@ -216,8 +216,9 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     if not 0 <= radius <= 4:
         raise ValueError("radius must be 0 to 4")
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # A fixed number of partitions: a small table of fingerprints would be merged to few tasks, but each makes 131 rows of one.
-    single = fps.select("fp").filter("fp is not null").distinct().repartition(parts, "fp")
+    # A fixed number of partitions: a small table of fingerprints would be merged to few tasks, but each makes 131 rows of
+    # one. By a hash, as a partitioning by fp itself is there already and would be taken instead.
+    single = fps.select("fp").filter("fp is not null").distinct().repartition(parts, F.xxhash64("fp"))
     met = variants(single).select("kind", "v", "fp").repartition(parts, "kind", "v").sortWithinPartitions("kind", "v", "fp")
     found = common.materialize(_meet(met, radius, HOT))
     again = _divided(found.filter("a is null").select("kind", "v", "fp")).repartition(parts, "kind", "v").sortWithinPartitions("kind", "v", "fp")
