@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, minhash, mixing, packing, pii, quality, simhash, token_counts, toxicity, va_search
+from . import language_id, minhash, mixing, packing, pii, quality, resampling, secrets, simhash, token_counts, toxicity, va_search
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,8 @@ QUERIES = {
         simhash.op8_simhash_near_dedup,
         pii.op9_pii,
         token_counts.op10_token_counts,
+        resampling.op11_importance_resampling,
+        secrets.op12_secret_scan,
     )
 }
 
