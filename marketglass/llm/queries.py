@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, minhash, mixing, packing, pii, quality, resampling, secrets, simhash, token_counts, toxicity, va_search
+from . import alignment, language_id, minhash, mixing, packing, pii, quality, resampling, secrets, simhash, token_counts, toxicity, va_search
 
 QUERIES = {
     f.__name__: f
@@ -19,6 +19,7 @@ QUERIES = {
         token_counts.op10_token_counts,
         resampling.op11_importance_resampling,
         secrets.op12_secret_scan,
+        alignment.op13_tokenizer_alignment,
     )
 }
 

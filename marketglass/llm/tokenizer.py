@@ -67,18 +67,20 @@ class ByteBpe:
     #: Estimated bytes of a kept word beside its characters.
     ENTRY = 200
 
-    def __init__(self, path: str, whole: dict[str, int] | None = None, limit: int = 80_000_000):
+    def __init__(self, path: str, whole: dict[str, int] | None = None, limit: int = 80_000_000, special: bool = True):
         import tiktoken
 
         self.library = _library(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         added = spec.get("added_tokens", [])
-        self.special = {t["content"]: t["id"] for t in added}
+        found = {t["content"]: t["id"] for t in added}
+        # Without `special`, their strings are plain text.
+        self.special = found if special else {}
         # Special strings with further rules, or several of them, are left to the library.
         self.plain_special = len(added) < 2 and not any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word", "normalized"))
         back = {c: b for b, c in byte_letters().items()}
-        ranks = {bytes(back[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in self.special}
+        ranks = {bytes(back[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in found}
         self.line_feed = ranks[b"\n"]
         self.merger = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.cut = self.library.pre_tokenizer.pre_tokenize_str
@@ -181,6 +183,13 @@ class ByteBpe:
                 self._forget()
         return out
 
+    def word_ids(self, words: list[str]) -> dict[str, bytes]:
+        """Ids (unsigned 32-bit, little-endian) of words as `words` gives them; none is kept."""
+        size = self.size
+        got = self._learn(words, {}, self._packed, lambda ids: np.array(ids, "<u4").tobytes()) if words else {}
+        self.size = size
+        return got
+
     def count_all(self, texts: list[str]) -> list[int]:
         found = self._all(texts, self.counts, self._counted, len)
         return [len(self.text_ids(t)) if f is None else sum(f) - 1 for t, f in zip(texts, found)]
