@@ -7,7 +7,7 @@ distinct group, not once for each place, and multiplied by its frequency. What a
 many are their B id's best, the sum of their counts) is joined back by the group to the blocks that hold it, and there
 summed by document.
 
-Words between single spaces or line feeds are aligned once and kept, as no token of either crosses these: A's pre-tokens
+Words between single spaces or line feeds are aligned once a block, as no token of either crosses these: A's pre-tokens
 begin there, and no piece of B has a space behind another character (`Pair` makes sure). All other texts are aligned whole.
 
 Bounds: a block has at most BLOCK_BYTES bytes (or one text) and BLOCK_ROWS rows; so has what meets by block. A group, however
@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,6 @@ from . import common, tokenizer
 BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 1 << 14
 
-#: What is known of a word or text: numbers of A's and B's tokens, its groups as text, its groups.
-Aligned = tuple[int, int, str, tuple[str, ...]]
-
-
 def piece_path() -> str:
     import public_tokenizers
 
@@ -61,42 +58,48 @@ def letter_bytes(path: str) -> list[bytes]:
     return [named.get(i, b"") for i in range(max(named) + 1)]
 
 
+class Units:
+    """Token ids of consecutive words or texts: flat, and their numbers."""
+
+    def __init__(self, a: np.ndarray, a_n: np.ndarray, b: np.ndarray, b_n: np.ndarray):
+        self.a, self.a_n, self.b, self.b_n = a, a_n, b, b_n
+
+    def kept(self, good: np.ndarray) -> Units:
+        return self if good.all() else Units(self.a[np.repeat(good, self.a_n)], self.a_n[good], self.b[np.repeat(good, self.b_n)], self.b_n[good])
+
+    def and_then(self, more: Units) -> Units:
+        return Units(*(np.concatenate(x) for x in zip((self.a, self.a_n, self.b, self.b_n), (more.a, more.a_n, more.b, more.b_n))))
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum())), n
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Well-spread 64-bit values of 64-bit values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _within(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places starts, starts + 1 and so on, n of each."""
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 class Pair:
-    """Two tokenizers, and the words aligned so far, at most `limit` (beside those of the block at hand)."""
+    """Two tokenizers."""
 
-    def __init__(self, a_path: str, b_path: str, limit: int = 150_000):
+    def __init__(self, a_path: str, b_path: str):
         import sentencepiece
 
         self.a = tokenizer.ByteBpe(a_path, special=False)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a_bytes, self.b_bytes = letter_bytes(a_path), piece_bytes(b_path)
-        self.a_size, self.b_size = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         self.space = self.b.piece_to_id("▁")
-        self.by_word = not any(" " in p.lstrip(b" ").decode("utf-8", "replace") or b"\n" in p and len(p) > 1 for p in self.b_bytes)
-        self.limit = limit
-        self.words: dict[str, Aligned | None] = {}
-
-    def aligned(self, text: bytes, a: list[int], b: list[int]) -> Aligned | None:
-        """Groups of the tokens of some bytes, or None where the tokens' bytes are others."""
-        if b"".join([self.a_bytes[i] for i in a]) != text or b"".join([self.b_bytes[i] for i in b]) != text:
-            return None
-        a_size, b_size = self.a_size, self.b_size
-        groups = []
-        i = j = i0 = j0 = a_end = b_end = 0
-        while i < len(a) or j < len(b):
-            if a_end <= b_end:
-                a_end += a_size[a[i]]
-                i += 1
-            else:
-                b_end += b_size[b[j]]
-                j += 1
-            if a_end == b_end:
-                groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-                i0, j0 = i, j
-        return len(a), len(b), ";".join(groups), tuple(groups)
-
-    def whole(self, text: str) -> Aligned | None:
-        return self.aligned(f" {text}".encode(), self.a._ids(f" {text}"), self.b.encode(text)) if text else None
+        self.by_word = not any(b" " in p.lstrip(b" ") or b"\n" in p and len(p) > 1 for p in self.b_bytes)
 
     def cut(self, text: str) -> list[str] | None:
         """Words, each with the line feed before it or without the space before it; None for a text that has other white space."""
@@ -106,19 +109,55 @@ class Pair:
             return None
         return text.replace("\n", " \n").split(" ") if feeds else words
 
-    def learn(self, words: set[str]) -> None:
-        """Aligns the words not yet known."""
-        if len(self.words) > self.limit:
-            self.words = {}
-        new = [w for w in words if w not in self.words]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            ids = self.a.word_ids(part)
-            for w, b in zip(part, self.b.encode(part, num_threads=1)):
-                fed = w[0] == "\n"
-                ok = not fed or b[0] == self.space
-                a = np.frombuffer(ids[w], "<u4").tolist()
-                self.words[w] = self.aligned((w if fed else f" {w}").encode(), a, b[1:] if fed else b) if ok else None
+    def of_words(self, words: list[str]) -> tuple[Units, np.ndarray]:
+        """Ids of words as `cut` gives them, and which of them are sound."""
+        ids = self.a.word_ids(words)
+        packed = [ids[w] for w in words]
+        a, a_n = np.frombuffer(b"".join(packed), "<u4").astype(np.int64), np.array(list(map(len, packed)), np.int64) // 4
+        pieces = self.b.encode(words, num_threads=1) if words else []
+        # The space that B adds before a line feed isn't there.
+        fed = [w[0] == "\n" for w in words]
+        ok = np.array([not f or p[0] == self.space for f, p in zip(fed, pieces)], bool)
+        units = Units(a, a_n, *_flat([p[1:] if f else p for f, p in zip(fed, pieces)]))
+        return units, ok & self.sound([(w if f else f" {w}").encode() for w, f in zip(words, fed)], units)
+
+    def of_texts(self, texts: list[str]) -> tuple[Units, np.ndarray]:
+        units = Units(*_flat([self.a._ids(f" {t}") for t in texts]), *_flat([self.b.encode(t, num_threads=1) for t in texts]))
+        return units, self.sound([f" {t}".encode() for t in texts], units)
+
+    def sound(self, wanted: list[bytes], units: Units) -> np.ndarray:
+        """Whether the tokens of both have the unit's bytes."""
+        good = np.ones(len(wanted), bool)
+        for ids, n, names in ((units.a, units.a_n, self.a_bytes), (units.b, units.b_n, self.b_bytes)):
+            parts = list(map(names.__getitem__, ids.tolist()))
+            if b"\0".join(wanted) != b"\0".join(b"".join(parts[e - k : e]) for e, k in zip(np.cumsum(n).tolist(), n.tolist())):
+                good &= [w == b"".join(parts[e - k : e]) for w, e, k in zip(wanted, np.cumsum(n).tolist(), n.tolist())]
+        return good
+
+    def groups(self, units: Units) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct groups of sound units, the group at each place, and the number of groups of each unit."""
+        a_end, b_end = np.cumsum(self.a_size[units.a]), np.cumsum(self.b_size[units.b])
+        cuts = np.intersect1d(a_end, b_end, assume_unique=True)
+        last = a_end[np.cumsum(units.a_n) - 1] if len(units.a_n) else a_end
+        per_unit = np.diff(np.searchsorted(cuts, last, "right"), prepend=0)
+        sides = []
+        h, check = (np.zeros(len(cuts), np.uint64) for _ in range(2))
+        for k, (ids, end) in enumerate(((units.a, a_end), (units.b, b_end))):
+            behind = np.searchsorted(end, cuts) + 1
+            start = np.append(0, behind[:-1])
+            sides.append((ids.tolist(), start.tolist(), behind.tolist()))
+            if len(cuts):
+                place = np.arange(len(ids)) - np.repeat(start, behind - start)
+                x = ids.astype(np.uint64) | place.astype(np.uint64) << np.uint64(24) | np.uint64(k + 1) << np.uint64(62)
+                h += np.add.reduceat(_mixed(x), start)
+                check += np.add.reduceat(_mixed(x ^ np.uint64(0x9E3779B97F4A7C15)), start)
+        _, first, at = np.unique(h, return_index=True, return_inverse=True)
+        if (check != check[first][at]).any():
+            _, first, at = np.unique(np.stack([h, check], 1), axis=0, return_index=True, return_inverse=True)
+            at = at.ravel()
+        (a, a0, a1), (b, b0, b1) = sides
+        names = [f"{','.join(map(str, a[a0[i] : a1[i]]))}|{','.join(map(str, b[b0[i] : b1[i]]))}" for i in first.tolist()]
+        return names, at, per_unit
 
 
 def _pair(a_path: str, b_path: str) -> Pair:
@@ -131,53 +170,46 @@ _BLOCK = ["block", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "ends",
 def _block(pair: Pair, number: int, doc_id: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
     """One row: the block's documents, its distinct groups, and how often each document has each."""
     cut = [pair.cut(t) if t else None for t in texts]
-    pair.learn(set().union(*(w for w in cut if w)))
-    names = pair.words
-    local: dict[str, int] = {}
-    groups_of: list[tuple[str, ...]] = []
-    index: dict[str, int] = {}
-    counts, sums, rows, owners = [], [], [], []
-    for k, (text, words) in enumerate(zip(texts, cut)):
-        found = list(map(names.__getitem__, words)) if words else [None]
-        if None in found:
-            found, words = [pair.whole(text)] if text else [None], None
-        if found[0] is None:
-            counts.append((0, 0, 0))
-            sums.append("")
-            continue
-        if words is None:
-            here = [len(groups_of)]
-            groups_of.append(found[0][3])
-        else:
-            here = list(map(local.get, words))
-            for i in [i for i, x in enumerate(here) if x is None]:
-                w = words[i]
-                if w not in local:
-                    local[w] = len(groups_of)
-                    groups_of.append(found[i][3])
-                here[i] = local[w]
-        counts.append((sum([f[0] for f in found]), sum([f[1] for f in found]), sum([len(f[3]) for f in found])))
-        sums.append(hashlib.sha256(";".join([f[2] for f in found]).encode()).hexdigest())
-        rows.append(np.array(here, np.int64))
-        owners.append(np.full(len(here), k))
-    # From words to groups, all documents at once.
-    sizes = np.array([len(g) for g in groups_of], np.int64)
-    flat = np.fromiter((index.setdefault(g, len(index)) for gs in groups_of for g in gs), np.int64, int(sizes.sum()))
+    words = list(set().union(*(w for w in cut if w)))
+    units, good = pair.of_words(words)
+    index = {w: k for w, k in zip(words, (np.cumsum(good) - 1).tolist())}
+    bad = {words[k] for k in np.flatnonzero(~good)}
+    units = units.kept(good)
+    if bad:
+        cut = [None if w and not bad.isdisjoint(w) else w for w in cut]
+    whole = [k for k, (t, w) in enumerate(zip(texts, cut)) if t and not w]
+    if whole:
+        more, good = pair.of_texts([texts[k] for k in whole])
+        whole = [k for k, ok in zip(whole, good) if ok]
+        first = len(units.a_n)
+        units = units.and_then(more.kept(good))
+        alone = {k: first + j for j, k in enumerate(whole)}
+    else:
+        alone = {}
+    names, groups, sizes = pair.groups(units)
     begins = np.cumsum(sizes) - sizes
-    row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-    n = sizes[row] if len(row) else row
-    ahead = np.cumsum(n) - n
-    at = flat[np.repeat(begins[row] - ahead, n) + np.arange(int(n.sum()))] if len(row) else row
-    keys, times = np.unique(np.repeat(owner, n) * max(1, len(index)) + at, return_counts=True)
-    of, place = np.divmod(keys, max(1, len(index)))
-    totals = np.zeros(len(index), np.int64)
+    listed = list(map(names.__getitem__, groups.tolist()))
+    shown = [";".join(listed[b : b + n]) for b, n in zip(begins.tolist(), sizes.tolist())]
+
+    rows, sums = [], []
+    for k, w in enumerate(cut):
+        here = list(map(index.__getitem__, w)) if w else [alone[k]] if k in alone else []
+        rows.append(here)
+        sums.append(hashlib.sha256(";".join(map(shown.__getitem__, here)).encode()).hexdigest() if here else "")
+    row, lengths = _flat(rows)
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    counts = [np.bincount(owner, x[row], len(texts)).astype(np.int64) for x in (units.a_n, units.b_n, sizes)]
+    n = sizes[row]
+    wide = max(1, len(names))
+    keys, times = np.unique(np.repeat(owner, n) * wide + groups[_within(begins[row], n)], return_counts=True)
+    of, place = np.divmod(keys, wide)
+    totals = np.zeros(len(names), np.int64)
     np.add.at(totals, place, times)
     ends = np.cumsum(np.bincount(of, minlength=len(texts)))
-    lists = [pa.array([[c[m] for c in counts]], pa.list_(pa.int64())) for m in range(3)]
+    lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in counts]
     packed = [pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in ((ends, "<i8"), (place, "<i4"), (times, "<i4"))]
     ids = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), doc_id)
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), ids, *lists, pa.array([sums], pa.list_(pa.string())), *packed, pa.array([list(index)], pa.list_(pa.string())), pa.array([totals.tolist()], pa.list_(pa.int64()))], _BLOCK)
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), ids, *lists, pa.array([sums], pa.list_(pa.string())), *packed, pa.array([names], pa.list_(pa.string())), pa.array([totals.tolist()], pa.list_(pa.int64()))], _BLOCK)
 
 
 def interned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from marketglass.llm import alignment, tokenizer
@@ -93,11 +94,16 @@ def test_only_empty_texts(spark):
     assert sorted(map(tuple, alignment.align(df)[0].collect())) == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
 
 
-def test_words_are_forgotten(libraries):
-    pair = alignment.Pair(tokenizer.default_path(), alignment.piece_path(), limit=3)
-    pair.learn({"one", "two", "three", "four"})
-    pair.learn({"five", "\nsix"})
-    assert set(pair.words) == {"five", "\nsix"}
+def test_groups_of_equal_hash_stay_apart(monkeypatch):
+    pair = alignment.Pair(tokenizer.default_path(), alignment.piece_path())
+    units, good = pair.of_words(["one", "two", "\nthree", "Tokenization"])
+    names, at, n = pair.groups(units)
+    want = [names[i] for i in at]
+    calls = []
+    real = alignment._mixed
+    monkeypatch.setattr(alignment, "_mixed", lambda x: calls.append(1) or (np.zeros_like(x) if len(calls) % 2 else real(x)))
+    names, at, m = pair.groups(units)
+    assert good.all() and [names[i] for i in at] == want and list(m) == list(n)
 
 
 def test_whole_table_equals_plain_loops(spark, folder, libraries):
