@@ -28,6 +28,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 HASHED = 1 << 12
 REACH = 48
+#: How far a window is widened to white space.
+WIDEN = 256
 
 # The rules. A run of one class is entered at its start only, which gives the same matches.
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -40,8 +42,9 @@ CUE = re.compile(r"[0-9@]|\b[Aa][Tt]\b")
 _ATOM = r"[^\W_]++(?:[._%+-]++[^\W_]++)*+"
 _WORD = r"(?:at|dot|punkt|point|punto)"
 _JOIN = rf"\s*+(?:[(\[]\s*+{_WORD}\s*+[)\]]|@|\.|\b{_WORD}\b)\s*+"
-#: Runs that a span can't leave: joined words, and numbers with marks; single cues for the rest.
-RUN = re.compile(rf"\b{_ATOM}(?:{_JOIN}{_ATOM})+|[+(]*+[0-9](?:[0-9+(). /-]*[0-9])?|{CUE.pattern}", re.IGNORECASE)
+#: Runs that a span can't leave: joined words, and numbers with marks; single cues for the rest. Joined words and the
+#: marks before a number are entered at their first character only, so a text is passed once.
+RUN = re.compile(rf"(?<![\w.%+-])[._%+-]*+{_ATOM}(?:{_JOIN}{_ATOM})+|(?<![+(])[+(]*+[0-9](?:[0-9+(). /-]*[0-9])?|{CUE.pattern}", re.IGNORECASE)
 #: A written-out address: a full stop joins words only with white space on both sides or on none.
 _PART = r"[^\W_]+(?:[_%+-]+[^\W_]+)*"
 _DOT = r"(?:\.|\s+\.\s+|\s*[(\[]\s*(?:dot|punkt|point|punto)\s*[)\]]\s*|\s+(?:dot|punkt|point|punto)\s+)"
@@ -151,7 +154,7 @@ def token_features(tokens: list[str], spaced: list[bool]) -> Iterator[list[str]]
 
 
 #: Words that join the parts of a written-out address or announce a number.
-CONNECTING = {"at", "dot", "punkt", "point", "punto", "tel", "phone", "call", "card", "mail", "token", "key", "id"}
+CONNECTING = {"at", "dot", "punkt", "point", "punto", "tel", "phone", "call", "card", "mail", "token", "key", "id", "look", "looked", "stays", "arrive", "pages"}
 
 
 def hashed(rows: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -236,10 +239,11 @@ class Model:
             done = out[-1][1] if out else 0
             if high <= done:
                 continue
-            # Each character is passed once, also in a text without white space.
-            while low > done and not text[low - 1].isspace():
+            # To white space, or beyond WIDEN characters to the end of a token; each character is passed once.
+            least, most = low - WIDEN, high + WIDEN
+            while low > done and not text[low - 1].isspace() and (low > least or text[low - 1].isalnum() and text[low].isalnum()):
                 low -= 1
-            while high < len(text) and not text[high].isspace():
+            while high < len(text) and not text[high].isspace() and (high < most or text[high - 1].isalnum() and text[high].isalnum()):
                 high += 1
             if out and low <= done:
                 out[-1][1] = high
@@ -303,7 +307,8 @@ def plausible(kind: str, s: str) -> bool:
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and not re.search(r"[^0-9. ]", s)
     if kind == "card":
         return 13 <= len(d) <= 19 and luhn(d) and not re.search(r"[^0-9. -]", s)
-    return 7 <= len(d) <= 15 and not re.search(r"[^0-9+(). /-]", s) and re.search(r"[ )./-]", s) is not None
+    # Local numbers of seven digits begin with 2 to 9; ranges such as 100-2000 don't.
+    return 7 <= len(d) <= 15 and (len(d) > 7 or d[0] not in "01") and not re.search(r"[^0-9+(). /-]", s) and re.search(r"[ )./-]", s) is not None
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:

@@ -57,3 +57,34 @@ def test_every_rule_span_and_cue_is_in_a_window():
         assert all(a < b for a, b in spread) and all(x[1] < y[0] for x, y in zip(spread, spread[1:]))
         for c in pii.CUE.finditer(text):
             assert any(a <= c.start() and c.end() <= b for a, b in spread)
+
+
+def test_time_grows_with_the_text_only():
+    """Texts that once took the square of their length."""
+    import base64
+    import random
+    import time
+
+    m = pii.Model()
+    made = {
+        "dots": lambda n: "at 5 " + "a." * (n // 2), "hyphens": lambda n: "at 5 " + "a-" * (n // 2), "base64": lambda n: base64.urlsafe_b64encode(random.Random(1).randbytes(n * 3 // 4)).decode(),
+        "addresses": lambda n: "a at b dot " * (n // 11), "brackets": lambda n: "1" + "(" * n, "ones": lambda n: "1 " * (n // 2), "signs": lambda n: "a@" * (n // 2), "spaces": lambda n: "a" + " " * n + "at b",
+    }
+    for name, make in made.items():
+        times = []
+        for n in (75_000, 300_000):
+            best = []
+            for _ in range(2):
+                began = time.perf_counter()
+                pii._find(m, [make(n)])
+                best.append(time.perf_counter() - began)
+            times.append(min(best))
+        assert times[1] < 8 * times[0] + 0.2 and times[1] < 15, (name, times)
+
+
+def test_ranges_and_places_are_left_alone():
+    m = pii.Model()
+    for text in ("look at example dot com", "have a look at example dot com now", "100-2000", "see pages 100-2000 there", "from 100-2000 items"):
+        assert m.added([text], [[]]) == [[]]
+    for text, span in (("write to jo at mail dot org please", "jo at mail dot org"), ("call 319-555-5132 now", "319-555-5132"), ("ring 555-0134 now", "555-0134")):
+        assert [text[a:b] for _, a, b in m.added([text], [[]])[0]] == [span]
