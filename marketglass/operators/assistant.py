@@ -81,7 +81,7 @@ def answers(messages: DataFrame, found: DataFrame, facts: DataFrame, similar: Da
     """message_id, intent, answer: a sentence from stored figures only, for each message (message_id, text).
 
     found: products of the messages (see resolved). facts, one row a product: lowest (of available offers), low (of
-    history), points, listings, suggestion, confidence. similar: product_id, rank, other (names of alternatives).
+    history), points, listings, suggestion, confidence, and personal: whether the user's own target was applied. similar: product_id, rank, other (names of alternatives).
     with_alert: product_id of the user's active alerts. All questions but comparisons are about the first product.
     """
     m = messages.select("message_id", intent(F.col("text")).alias("intent"), target_price(F.col("text")).alias("wanted"))
@@ -101,7 +101,7 @@ def answers(messages: DataFrame, found: DataFrame, facts: DataFrame, similar: Da
     said = {
         "comparison": compared,
         "price_history": say(F.col("name"), " has ", F.coalesce("points", F.lit(0)).cast("string"), " stored prices of ", F.coalesce("listings", F.lit(0)).cast("string"), " listings; the low is ", F.coalesce(pkr(F.col("low")), F.lit("not available")), "."),
-        "buy_or_wait": say(signal, " for ", F.col("name"), ". Confidence is ", F.coalesce("confidence", F.lit("low")), "."),
+        "buy_or_wait": say(signal, " for ", F.col("name"), F.when(F.col("personal"), ". Your saved price target is applied").otherwise(". Create a price alert to personalize this signal"), ". Confidence is ", F.coalesce("confidence", F.lit("low")), "."),
         "recommendation": F.when(F.col("others").isNull(), say("No alternatives to ", F.col("name"), " are stored.")).otherwise(say("Alternatives to ", F.col("name"), ": ", F.col("others"), ".")),
         "set_price_alert": F.when(F.col("wanted").isNull(), say("Name a target price for ", F.col("name"), ".")).when(F.col("watched"), say("An active alert for ", F.col("name"), " exists.")).otherwise(say("Alert for ", F.col("name"), " at ", pkr(F.col("wanted")), ".")),
         "lowest_price": F.when(F.col("lowest").isNull(), say("No available offer of ", F.col("name"), " is stored.")).otherwise(say("The lowest offer of ", F.col("name"), " is ", pkr(F.col("lowest")), ".")),

@@ -11,13 +11,13 @@ from ..functions.money import average, half_up, percent
 def level(own: Column, other: Column, threshold: float) -> tuple[Column, Column, Column, Column]:
     """gap, gap in percent, position and risk of own price against another.
 
-    A null own price is unknown and medium. Against a price of 0 the percentage is null and the risk medium if
-    above.
+    A null own price is unknown and medium. Risk goes by the rounded percentage: a gap of 0.01 on 500 is low. Against a
+    price of 0 the percentage is null, and any gap above 0 is medium.
     """
     gap = own - other
     pct = percent(gap, other)
     position = F.when(own.isNull(), "unknown").when(gap > 0, "above_competitor").when(gap < 0, "below_competitor").otherwise("matched")
-    risk = F.when(own.isNull(), "medium").when(pct >= F.lit(str(threshold)).cast("decimal(10,2)"), "high").when(gap > 0, "medium").otherwise("low")
+    risk = F.when(own.isNull(), "medium").when(pct >= F.lit(str(threshold)).cast("decimal(10,2)"), "high").when(F.coalesce(pct > 0, gap > 0), "medium").otherwise("low")
     return gap.cast("decimal(18,2)"), pct, position, risk
 
 
@@ -29,21 +29,26 @@ def gaps(watch: DataFrame, own: DataFrame, listings: DataFrame, threshold: float
     return j.select("org_id", "product_id", "seller_id", gap.alias("gap"), pct.alias("gap_pct"), position.alias("position"), risk.alias("risk"), note.alias("reasons"), F.col("is_available"))
 
 
-def market_share(own: DataFrame, listings: DataFrame) -> DataFrame:
-    """Basis points of each own product under shares in inverse proportion to price; null without a price above 0."""
-    inverse = F.sum(F.when(F.col("current_price") > 0, 1.0 / F.col("current_price").cast("double"))).alias("others")
-    j = own.join(listings.groupBy("product_id").agg(inverse), "product_id", "left")
-    mine = 1.0 / F.col("selling_price").cast("double")
-    share = F.round(1e4 * mine / (mine + F.coalesce("others", F.lit(0.0)))).cast("long")
-    return j.select("product_id", F.when(F.col("selling_price") > 0, share).alias("share_bp"))
+def market_share(watch: DataFrame, own: DataFrame, listings: DataFrame) -> DataFrame:
+    """Basis points of each product that an organisation watches, under shares in inverse proportion to price among the
+    listings that it watches: own weight / all weights, in decimals, rounded half up; null without an own price above 0.
+
+    Listings without a price above 0 have no weight; those that nobody of the organisation watches don't count.
+    """
+    weight = lambda c: F.when(F.col(c) > 0, F.lit(1).cast("decimal(1,0)") / F.col(c).cast("decimal(18,2)"))
+    seen = watch.join(listings.select("product_id", "seller_id", weight("current_price").alias("w")), ["product_id", "seller_id"])
+    g = seen.groupBy("org_id", "product_id").agg(F.sum("w").alias("others"))
+    j = g.join(own.select("product_id", weight("selling_price").alias("mine")), "product_id")
+    share = half_up(F.col("mine") / (F.col("mine") + F.coalesce("others", F.lit(0))) * 100)
+    return j.select("org_id", "product_id", (share * 100).cast("long").alias("share_bp"))
 
 
 def summary(found: DataFrame, shares: DataFrame) -> DataFrame:
     """Of each organisation: tracked competitors and products, products at risk, average gap, and the average share (in
-    basis points, rounded) of its products that have one; each product counts once."""
+    basis points, rounded half up) of its products that have one; each product counts once."""
     per = found.groupBy("org_id", "product_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("risk") == "high").alias("high"), F.sum("gap").alias("gap"), F.count("gap").alias("gaps"))
-    g = per.join(shares, "product_id", "left").groupBy("org_id").agg(F.sum("n").alias("tracked"), F.count(F.lit(1)).alias("products"), F.count_if("high").alias("at_risk"), average(F.sum("gap"), F.sum("gaps")).alias("average_gap"), F.sum("share_bp").alias("s"), F.count("share_bp").alias("c"))
-    return g.select("org_id", "tracked", "products", "at_risk", "average_gap", F.round(F.try_divide(F.col("s"), F.col("c"))).cast("long").alias("average_share_bp"))
+    g = per.join(shares, ["org_id", "product_id"], "left").groupBy("org_id").agg(F.sum("n").alias("tracked"), F.count(F.lit(1)).alias("products"), F.count_if("high").alias("at_risk"), average(F.sum("gap"), F.sum("gaps")).alias("average_gap"), F.sum("share_bp").alias("s"), F.count("share_bp").alias("c"))
+    return g.select("org_id", "tracked", "products", "at_risk", "average_gap", (average(F.col("s") / F.lit(100).cast("decimal(5,2)"), F.col("c")) * 100).cast("long").alias("average_share_bp"))
 
 
 def scenarios(priced: DataFrame, changes: tuple[int, ...] = (-5, 0, 5)) -> DataFrame:

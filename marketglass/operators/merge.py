@@ -29,6 +29,12 @@ def violations(df: DataFrame, rules: dict[str, object]) -> DataFrame:
     return counted.unpivot([], list(rules), "rule", "failures")
 
 
+def repeats(df: DataFrame, key: list[str], rule: str) -> DataFrame:
+    """rule, failures: rows beyond the first of each key."""
+    again = df.groupBy(*key).agg((F.count(F.lit(1)) - 1).alias("n"))
+    return again.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("failures")).select(F.lit(rule).alias("rule"), "failures")
+
+
 def split_quarantine(df: DataFrame, rules: dict[str, object]) -> tuple[DataFrame, DataFrame]:
     """Rows that keep all rules, and rows that don't with the rules they break."""
     broken = F.array_compact(F.array(*(F.when(~F.coalesce(test, F.lit(False)), name) for name, test in rules.items())))

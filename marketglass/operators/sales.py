@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.money import half_even, half_up, parsed_currency, parsed_date, parsed_price, parsed_quantity
 from ..functions.text import sku
+from ..sources.shared import materialize
 
 COLUMNS = ("sku", "sale_date", "quantity", "unit_price", "currency")
 
@@ -38,8 +39,7 @@ def by_product(sales: DataFrame) -> DataFrame:
 def share_and_rank(totals: DataFrame, sales: DataFrame) -> DataFrame:
     """by_product with each product's share of all revenue and its place by revenue, units and id.
 
-    The total is one number, joined to every row; places come from a range sort with counts of what lies before,
-    written as one window over products, not over sales.
+    The total is one number, joined to every row; places come from a range sort with counts of what lies before.
     """
     whole = sales.agg(F.sum("revenue").alias("whole"))
     ranked = share_rank_order(totals).crossJoin(F.broadcast(whole))
@@ -93,11 +93,14 @@ def read_csv(spark, path: str) -> DataFrame:
 
 
 def share_rank_order(df: DataFrame) -> DataFrame:
-    """df with rank by revenue, units and id, and no window over all rows: rows are range-sorted over partitions, counted
-    by partition, and each partition's first rank is the sum of the counts before it (one small row a partition)."""
+    """df with rank by revenue, units and id, and no window over all rows.
+
+    Rows are range-sorted over partitions and written once with the partition's number, as bounds are drawn anew each time
+    the exchange is planned. Counts by partition (one small row each) then give each partition's first rank.
+    """
     keys = [F.col("revenue").desc(), F.col("units").desc(), F.col("product_id").asc()]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *keys).withColumn("_p", F.spark_partition_id())
+    ranged = materialize(df.repartitionByRange(parts, *keys).withColumn("_p", F.spark_partition_id()))
     counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_p").orderBy(*keys))

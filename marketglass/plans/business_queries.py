@@ -106,7 +106,7 @@ def lowest_competitor(spark, d):
 
 GAPS = f""", g0 as (select w.org_id, w.product_id, w.seller_id, o.selling_price - l.current_price as g, l.current_price as c, l.is_available from watch w join listings l on w.product_id = l.product_id and w.seller_id = l.seller_id join own o on w.product_id = o.product_id),
 g1 as (select *, {pct('g', 'c')} as gap_pct from g0),
-gaps as (select org_id, product_id, seller_id, {d2('g')} as gap, gap_pct, case when g > 0 then 'above_competitor' when g < 0 then 'below_competitor' else 'matched' end as position, case when gap_pct >= 5 then 'high' when g > 0 then 'medium' else 'low' end as risk, is_available from g1)
+gaps as (select org_id, product_id, seller_id, {d2('g')} as gap, gap_pct, case when g > 0 then 'above_competitor' when g < 0 then 'below_competitor' else 'matched' end as position, case when gap_pct >= 5 then 'high' when coalesce(gap_pct > 0, g > 0) then 'medium' else 'low' end as risk, is_available from g1)
 """
 
 
@@ -119,20 +119,23 @@ def competitor_gaps(spark, d):
     return _gaps(spark, d)
 
 
-SHARES = """select o.product_id, case when selling_price > 0 then cast(round(1e4 * (1e0 / cast(selling_price as double)) / (1e0 / cast(selling_price as double) + coalesce(s, 0e0))) as bigint) end as share_bp
-from own o left join (select product_id, sum(case when current_price > 0 then 1e0 / cast(current_price as double) end) as s from listings group by 1) x on o.product_id = x.product_id"""
+#: Inverse prices in 10^-19, rounded half up, of the listings that the organisation watches, and the product's share in basis points.
+SHARES = f"""select x.org_id, x.product_id, {half_up("mine * 10000::hugeint", "mine + others")} as share_bp from (
+  select w.org_id, w.product_id, case when any_value(o.selling_price) > 0 then {half_up("1000000000000000000000::hugeint", cents("any_value(o.selling_price)"))}::hugeint end as mine,
+    coalesce(sum(case when l.current_price > 0 then {half_up("1000000000000000000000::hugeint", cents("l.current_price"))}::hugeint end), 0)::hugeint as others
+  from watch w join listings l on w.product_id = l.product_id and w.seller_id = l.seller_id join own o on w.product_id = o.product_id group by all) x""".replace("as bigint) end)::hugeint", "as hugeint) end)::hugeint")
 
 
 @query(GAPS + f"""select org_id, count(*) as tracked, count(distinct product_id) as products, count(distinct case when risk = 'high' then product_id end) as at_risk, {dec(half_up('sum(cast(gap * 100 as bigint))', 'count(gap)'))} as average_gap,
-  cast(round(sum(distinct_share) * 1e0 / nullif(count(distinct_share), 0)) as bigint) as average_share_bp
-from (select gaps.*, case when row_number() over (partition by org_id, gaps.product_id order by seller_id) = 1 then share_bp end as distinct_share from gaps left join (""" + SHARES + """) sh on gaps.product_id = sh.product_id) group by 1""")
+  {half_up('sum(distinct_share)', 'count(distinct_share)')} as average_share_bp
+from (select gaps.*, case when row_number() over (partition by gaps.org_id, gaps.product_id order by seller_id) = 1 then share_bp end as distinct_share from gaps left join (""" + SHARES + """) sh on gaps.product_id = sh.product_id and gaps.org_id = sh.org_id) group by 1""")
 def competitor_summary(spark, d):
-    return competitors.summary(_gaps(spark, d), competitors.market_share(t.own_products(spark, d), t.listings(spark, d)))
+    return competitors.summary(_gaps(spark, d), competitors.market_share(t.watchlist(spark, d), t.own_products(spark, d), t.listings(spark, d)))
 
 
 @query(SHARES)
 def competitor_market_share(spark, d):
-    return competitors.market_share(t.own_products(spark, d), t.listings(spark, d))
+    return competitors.market_share(t.watchlist(spark, d), t.own_products(spark, d), t.listings(spark, d))
 
 
 @query(f"select w.org_id, w.product_id, w.seller_id, o.name, s.seller_name, s.platform, {d2('l.current_price')} as current_price from watch w join own o on w.product_id = o.product_id join listings l on w.product_id = l.product_id and w.seller_id = l.seller_id left join sellers s on w.seller_id = s.seller_id where w.org_id in (1, 7, 42)")

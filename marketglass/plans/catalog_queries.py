@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import alerts, assistant, catalog, matching, merge, prices
 from ..sources import tables as t
+from .price_queries import GUIDE, MINE, PERSONAL, my_alerts
 from .registry import d2, query
 
 
@@ -293,10 +294,11 @@ def assistant_entities(spark, d):
     return _asked(spark, d)[1]
 
 
+SIGNAL_SQL = "case coalesce(ps.suggestion, gd.suggestion, 'insufficient_data') " + " ".join(f"when '{k}' then '{v}'" for k, v in assistant.SIGNALS.items()) + " end"
 ANSWER_SQL = "case " + " ".join(f"when {' or '.join(f'contains(x, {chr(39)}{p}{chr(39)})' for p in phrases)} then '{name}'" for name, phrases in assistant.INTENTS) + " else 'product_search' end"
 
 
-@query(ASKED + f""", i as (select message_id, {ANSWER_SQL} as intent from (select message_id, ' ' || lower(trim(text)) || ' ' as x from msgs)),
+@query(ASKED + GUIDE + MINE + PERSONAL + f""", i as (select message_id, {ANSWER_SQL} as intent from (select message_id, ' ' || lower(trim(text)) || ' ' as x from msgs)),
 fl as (select product_id, min(case when is_available then current_price end) as lowest, count(*) as listings from listings group by 1),
 fh as (select product_id, min(price) as low, count(*) as points from points group by 1),
 al as (select distinct product_id from alerts where is_active),
@@ -308,23 +310,24 @@ cmp as (select message_id, first(name order by lowest, rank) as best, min(lowest
 select i.message_id, i.intent, case when per.product_id is null then 'No active product matches.'
   when i.intent = 'comparison' then case when per.n < 2 then 'Only one product was found. Name a second one to compare.' when cmp.best is null then 'None of these products has an available offer.'
     else cmp.best || ' has the lowest offer, PKR ' || {d2('cmp.lo')} || '; the gap is PKR ' || {d2('cmp.hi - cmp.lo')} || '.' end
-  when i.intent = 'price_history' then per.name || ' has ' || coalesce(points, 0) || ' stored prices of ' || coalesce(listings, 0) || ' listings; the low is ' || coalesce('PKR ' || {d2('low')}, 'not available') || '.'
+  when i.intent = 'price_history' then per.name || ' has ' || coalesce(points, 0) || ' stored prices of ' || coalesce(listings, 0) || ' listings; the low is ' || coalesce('PKR ' || {d2('fh.low')}, 'not available') || '.'
   when i.intent = 'recommendation' then case when others is null then 'No alternatives to ' || per.name || ' are stored.' else 'Alternatives to ' || per.name || ': ' || others || '.' end
   when i.intent = 'set_price_alert' then case when al.product_id is not null then 'An active alert for ' || per.name || ' exists.' else 'Alert for ' || per.name || ' at PKR 12500.50.' end
   when i.intent = 'lowest_price' then case when lowest is null then 'No available offer of ' || per.name || ' is stored.' else 'The lowest offer of ' || per.name || ' is PKR ' || {d2('lowest')} || '.' end
+  when i.intent = 'buy_or_wait' then {SIGNAL_SQL} || ' for ' || per.name || case when ps.product_id is null then '. Create a price alert to personalize this signal' else '. Your saved price target is applied' end || '. Confidence is ' || coalesce(gd.confidence, 'low') || '.'
   else 'Found ' || names || '.' end as answer
 from i left join per on i.message_id = per.message_id left join cmp on i.message_id = cmp.message_id left join fl on per.product_id = fl.product_id left join fh on per.product_id = fh.product_id
-  left join al on per.product_id = al.product_id left join sim on per.product_id = sim.product_id where i.intent <> 'buy_or_wait'""")
+  left join al on per.product_id = al.product_id left join sim on per.product_id = sim.product_id left join gd on per.product_id = gd.product_id left join ps on per.product_id = ps.product_id""")
 def assistant_answers(spark, d):
     m, found = _asked(spark, d)
     p, listings, points = t.products(spark, d), t.listings(spark, d), t.points(spark, d)
     facts = listings.groupBy("product_id").agg(F.min(F.when(F.col("is_available"), F.col("current_price"))).alias("lowest"), F.count(F.lit(1)).alias("listings"))
     facts = facts.join(points.groupBy("product_id").agg(F.min("price").alias("low"), F.count(F.lit(1)).alias("points")), "product_id", "full")
-    guided = prices.guidance(points, t.latest(points, "product_id")).select("product_id", "suggestion", "confidence")
+    general = prices.guidance(points, t.latest(points, "product_id"))
+    own = prices.personalise(general, my_alerts(spark, d), listings).select("product_id", F.col("suggestion").alias("own"))
+    guided = general.join(own, "product_id", "left").select("product_id", F.coalesce("own", "suggestion").alias("suggestion"), "confidence", F.col("own").isNotNull().alias("personal"))
     others = catalog.similar(p).join(p.select(F.col("product_id").alias("other_id"), F.col("name").alias("other")), "other_id").select("product_id", "rank", "other")
-    said = assistant.answers(m, found, facts.join(guided, "product_id", "left"), others, t.alerts(spark, d).filter("is_active"))
-    # What buy-or-wait says is checked by the query buy_guidance.
-    return said.filter("intent <> 'buy_or_wait'")
+    return assistant.answers(m, found, facts.join(guided, "product_id", "left"), others, t.alerts(spark, d).filter("is_active"))
 
 
 @query(ASKED + f""", c as (select message_id % 50 as conv_id, case when message_id % 50 % 2 = 0 then 'New shopping conversation' else 'Mine' end as title from msgs group by all),
@@ -423,19 +426,27 @@ def alert_duplicates(spark, d):
     return alerts.duplicates(c)
 
 
-@query("""select 'price_positive' as rule, count(*) filter (not price > 1000) as failures from points union all select 'rating_range', (select count(*) filter (not rating between 10 and 45) from sellers)
-union all select 'quantity_positive', (select count(*) filter (not quantity > 1) from sales) union all select 'revenue_of_quantity', (select count(*) filter (not revenue >= quantity * 1000) from sales)
-union all select 'one_target', (select count(*) filter (not on_product = (seller_id is null)) from alerts) union all select 'target_positive', (select count(*) filter (not target_price > 0) from alerts)
-union all select 'seen_in_order', (select count(*) filter (not first_seen_at < last_seen_at) from listings)""")
+@query("""select 'price_non_negative' as rule, count(*) filter (price < 0) as failures from points
+union all select 'capture_once', (select coalesce(sum(n - 1), 0) from (select count(*) as n from points group by product_id, seller_id, captured_at))
+union all select 'current_price_non_negative', (select count(*) filter (current_price < 0) from listings)
+union all select 'rating_range', (select count(*) filter (not rating between 0 and 50) from sellers)
+union all select 'source_row_positive', (select count(*) filter (source_row < 1) from sales) union all select 'quantity_positive', (select count(*) filter (quantity <= 0) from sales) union all select 'revenue_non_negative', (select count(*) filter (revenue < 0) from sales)
+union all select 'one_target', (select count(*) filter (not (on_product and seller_id is null or not on_product and seller_id is not null)) from alerts) union all select 'target_positive', (select count(*) filter (target_price <= 0) from alerts)
+union all select 'ram_positive', (select count(*) filter (storage_gb <= 0) from products) union all select 'selling_price_non_negative', (select count(*) filter (selling_price < 0) from own) union all select 'stock_non_negative', (select count(*) filter (stock < 0) from own)""")
 def dq_violations(spark, d):
+    """The tables' constraints: a null passes a check, and a key held n times breaks uniqueness n - 1 times."""
+    col = F.col
     checks = [
-        (t.points(spark, d), {"price_positive": F.col("price") > 1000}),
-        (t.sellers(spark, d), {"rating_range": F.col("rating").between(10, 45)}),
-        (t.sales(spark, d), {"quantity_positive": F.col("quantity") > 1, "revenue_of_quantity": F.col("revenue") >= F.col("quantity") * 1000}),
-        (t.alerts(spark, d), {"one_target": F.col("on_product") == F.col("seller_id").isNull(), "target_positive": F.col("target_price") > 0}),
-        (t.listings(spark, d), {"seen_in_order": F.col("first_seen_at") < F.col("last_seen_at")}),
+        (t.points(spark, d), {"price_non_negative": col("price") >= 0}),
+        (t.listings(spark, d), {"current_price_non_negative": col("current_price") >= 0}),
+        (t.sellers(spark, d), {"rating_range": col("rating").between(0, 50)}),
+        (t.sales(spark, d), {"source_row_positive": col("source_row") >= 1, "quantity_positive": col("quantity") > 0, "revenue_non_negative": col("revenue") >= 0}),
+        (t.alerts(spark, d), {"one_target": col("on_product") == col("seller_id").isNull(), "target_positive": col("target_price") > 0}),
+        (t.products(spark, d), {"ram_positive": col("storage_gb") > 0}),
+        (t.own_products(spark, d), {"selling_price_non_negative": col("selling_price") >= 0, "stock_non_negative": col("stock") >= 0}),
     ]
-    return reduce(DataFrame.unionByName, (merge.violations(df, rules) for df, rules in checks))
+    broken = [merge.violations(df, {k: F.coalesce(v, F.lit(True)) for k, v in rules.items()}) for df, rules in checks]
+    return reduce(DataFrame.unionByName, [*broken, merge.repeats(t.points(spark, d), ["product_id", "seller_id", "captured_at"], "capture_once")])
 
 
 @query(f"""select product_id, seller_id, {d2("case when product_id % 3 = 0 then current_price + 1 else current_price end")} as current_price, cast(first_seen_at as date) as first_seen, case when product_id % 3 = 0 then 'updated' else 'kept' end as action from listings

@@ -84,7 +84,7 @@ MINE = """, mine as (select * from alerts union all
   select alert_id + 1000000, product_id, (select max(seller_id) from points p where p.product_id = alerts.product_id), false, cast(target_price + 20000 as decimal(14,2)), true from alerts where alert_id % 3 = 0)"""
 
 
-def _mine(spark, d):
+def my_alerts(spark, d):
     a = t.alerts(spark, d)
     last = t.points(spark, d).groupBy("product_id").agg(F.max("seller_id").alias("largest"))
     more = a.filter("alert_id % 3 = 0").join(last, "product_id", "left")
@@ -92,14 +92,19 @@ def _mine(spark, d):
     return a.unionByName(more)
 
 
-@query(GUIDE + MINE + f""", a as (select m.*, l.current_price as own_price, l.is_available as avail, case when on_product then 2 when l.is_available then 1 else 0 end as prio
+#: The product's alert that counts, the price it is held against, and what follows.
+PERSONAL = """, pa as (select m.*, l.current_price as own_price, l.is_available as avail, case when on_product then 2 when l.is_available then 1 else 0 end as prio
     from mine m left join listings l on m.product_id = l.product_id and m.seller_id = l.seller_id where m.is_active),
-b as (select * from (select *, row_number() over (partition by product_id order by prio desc, alert_id desc) as rn from a) where rn = 1),
-j as (select gd.product_id, alert_id, target_price, case when on_product then current_lowest when avail then own_price end as ev from gd join b on gd.product_id = b.product_id)
+pb as (select * from (select *, row_number() over (partition by product_id order by prio desc, alert_id desc) as rn from pa) where rn = 1),
+pj as (select gd.product_id, alert_id, target_price, case when on_product then current_lowest when avail then own_price end as ev from gd join pb on gd.product_id = pb.product_id),
+ps as (select *, case when ev is null then 'insufficient_data' when ev <= target_price then 'buy_now' else 'wait' end as suggestion from pj)"""
+
+
+@query(GUIDE + MINE + PERSONAL + f"""
 select product_id, alert_id, {d2('target_price')} as target_price, {d2('ev')} as evaluated, {d2('case when ev is not null then greatest(0, ev - target_price) end')} as gap, {pct('case when ev is not null then greatest(0, ev - target_price) end', 'target_price')} as gap_pct,
-  ev <= target_price as reached, case when ev is null then 'insufficient_data' when ev <= target_price then 'buy_now' else 'wait' end as suggestion from j""")
+  ev <= target_price as reached, suggestion from ps""")
 def personalized_guidance(spark, d):
-    return prices.personalise(_guidance(spark, d), _mine(spark, d), t.listings(spark, d))
+    return prices.personalise(_guidance(spark, d), my_alerts(spark, d), t.listings(spark, d))
 
 
 def _comparison_sql(ids: str, currency: str) -> str:

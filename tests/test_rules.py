@@ -194,3 +194,33 @@ def test_entities_fall_back_to_the_context(spark):
     m = spark.createDataFrame([(1, "compare galaxy phones", ["2"]), (2, "what is the price", ["2", "x", "3"]), (3, "pixel", [])], "message_id long, text string, context_ids array<string>")
     found = assistant.resolved(m, assistant.entities(m, p), p)
     assert sorted((r.message_id, r.rank, r.product_id) for r in found.collect()) == [(1, 1, 1), (1, 2, 2), (2, 1, 2)]
+
+
+def test_ranks_are_whole_under_any_plan(spark):
+    """Other columns selected, many rows, ties: each rank is given once."""
+    from marketglass.operators import sales
+
+    n = 400_000
+    df = spark.range(n, numPartitions=8).selectExpr("id as product_id", "cast(id * 7919 % 1000 as decimal(18,2)) as revenue", "id % 7 as units", "cast(1 as decimal(18,2)) as asp", "id % 3 as records")
+    r = sales.share_rank_order(df).select("rank", "product_id", "revenue", "units", "asp", "records")
+    got = r.selectExpr("count(*)", "count(distinct rank)", "min(rank)", "max(rank)").first()
+    assert tuple(got) == (n, n, 1, n)
+    best = r.filter("rank <= 3").orderBy("rank").select("product_id").collect()
+    want = df.orderBy(*[c for c in (df.revenue.desc(), df.units.desc(), df.product_id)]).limit(3).collect()
+    assert [x.product_id for x in best] == [x.product_id for x in want]
+
+
+def test_shares_count_watched_listings_only_and_levels_go_by_percent(spark):
+    from decimal import Decimal
+
+    from marketglass.operators import competitors
+
+    watch = spark.createDataFrame([(1, 10, 1), (1, 10, 2), (2, 10, 1), (1, 11, 1), (1, 12, 9), (3, 13, 1)], "org_id long, product_id long, seller_id long")
+    price = "product_id long, seller_id long, current_price decimal(14,2), is_available boolean"
+    listings = spark.createDataFrame([(10, 1, Decimal("100.00"), True), (10, 2, Decimal("50.00"), True), (10, 3, Decimal("1.00"), True), (11, 1, Decimal("0.00"), True), (13, 1, Decimal("500.00"), False)], price)
+    own = spark.createDataFrame([(10, Decimal("100.00")), (11, Decimal("7.00")), (12, Decimal("5.00")), (13, Decimal("500.01"))], "product_id long, selling_price decimal(14,2)")
+    got = {(r.org_id, r.product_id): r.share_bp for r in competitors.market_share(watch, own, listings).collect()}
+    assert got == {(1, 10): 2500, (2, 10): 5000, (1, 11): 10000, (3, 13): 5000}
+    found = {(r.org_id, r.product_id, r.seller_id): (r.risk, r.position) for r in competitors.gaps(watch, own, listings).collect()}
+    assert found[3, 13, 1] == ("low", "above_competitor")
+    assert found[1, 11, 1] == ("medium", "above_competitor")
