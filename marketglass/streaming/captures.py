@@ -6,11 +6,13 @@ import logging
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -87,14 +89,20 @@ def changes_only(captures: DataFrame) -> DataFrame:
 
 
 def run_isolated(sources: dict[str, Callable[[], DataFrame]], mode: str = "append") -> dict[str, DataFrame | Exception]:
-    """Runs each source's stream in a folder of its own; what fails is given as its error and doesn't stop the others."""
+    """Runs the sources' streams beside each other, each in a folder of its own; what fails is given as its error and
+    neither stops the others nor holds them up."""
     out: dict[str, DataFrame | Exception] = {}
-    for name, source in sources.items():
-        try:
-            out[name] = run_available(source(), mode)
-        except Exception as error:  # noqa: BLE001
-            logging.getLogger(__name__).warning("source %s: %s", name, error)
-            out[name] = error
+
+    def run(source: Callable[[], DataFrame]) -> DataFrame:
+        return run_available(source(), mode)
+
+    with ThreadPoolExecutor(max(1, len(sources))) as pool:
+        for name, job in {name: pool.submit(run, source) for name, source in sources.items()}.items():
+            try:
+                out[name] = job.result()
+            except Exception as error:  # noqa: BLE001
+                logging.getLogger(__name__).warning("source %s: %s", name, error)
+                out[name] = error
     return out
 
 
@@ -109,6 +117,22 @@ def buckets(captures: DataFrame, width: str = "12 hours", delay: str = "1 day")
     return timed.groupBy(F.window("ts", width).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
+#: A state store that holds maps; and no batches without data, which a state that expires would ask for without end.
+OPTIONS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+
+
+def start(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
+    """Starts a stream under OPTIONS; the session's own settings come back once it has begun."""
+    before = {k: spark.conf.get(k, None) for k in OPTIONS}
+    for k, v in OPTIONS.items():
+        spark.conf.set(k, v)
+    try:
+        return writer.start()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+
+
 def run_available(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Runs the stream over what is there now and returns what it wrote. Running it again in the same folder goes on from its checkpoint."""
     spark = stream.sparkSession
@@ -116,7 +140,7 @@ def run_available(stream: DataFrame, mode: str = "append", folder: str | None =
     out = f"{folder}/out"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
-        query = writer.format("parquet").option("path", out).start()
+        query = start(writer.format("parquet").option("path", out), spark)
     else:
         # The whole result of each batch goes to a folder of its own, so that a batch that is run again replaces its own only.
         query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
