@@ -4,7 +4,7 @@ Pieces are dealt by hash into shards of about `shard_items` pieces, so that a sh
 size. Each shard is evolved on several islands (one Spark group each). Between the epochs the islands' best
 packings migrate: they are shuffled to the next island of the ring as small rows. The best packing of a shard is
 then joined back to its pieces. Its loosely filled sequences are opened again: the pieces of all shards' loose
-sequences are dealt to fewer shards and evolved there, until one shard is left.
+sequences are dealt anew and evolved there, until that needs no fewer sequences.
 """
 
 from __future__ import annotations
@@ -200,26 +200,30 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, shard_items: int = 2000
     """pieces with sequence_id and offset; length must be 1 to capacity.
 
     Pieces of full length are sequences of their own. Others are packed within their shard, and sequences with more
-    than the share `loose` left are opened and packed again with those of other shards. Rows that repeat are
-    numbered, so that they spread over shards, and packed each. An empty table gives an empty result. The result is
-    the same for the same rows in any order.
+    than the share `loose` left are opened and packed again in the company of other shards' ones, as often as that needs
+    fewer sequences than were opened. Rows that repeat are numbered, so that they spread over shards, and packed each. An
+    empty table gives an empty result. The result is the same for the same rows in any order.
     """
     pieces = common.materialize(pieces.select(*PIECE))
-    part = common.spread_copies(pieces.filter(F.col("length") < capacity).groupBy(*PIECE).agg(F.count(F.lit(1)).alias("_n")), "_n", "_copy")
+    short = pieces.filter(F.col("length") < capacity)
+    part = common.spread_copies(short.groupBy(*PIECE).agg(F.count(F.lit(1)).alias("_n")), "_n", "_copy")
     out = pieces.filter(F.col("length") >= capacity).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    left, turn = pieces.filter(F.col("length") < capacity).count(), 0
+    left, opened, turn = short.count(), None, 0
+    placed = part
+    is_loose = F.col("free") > int(loose * capacity)
     while left:
-        shards = -(-left // shard_items)
-        done = _evolved(part, shards, turn, capacity, islands, epochs, population, generations)
-        part = done.filter(F.col("free") > int(loose * capacity)).select(*PIECE, "_copy")
-        now = part.count()
-        # Pieces that mostly stay loose don't fit each other, in other company either.
-        last = shards == 1 or 4 * now > left
+        done = _evolved(part, -(-left // shard_items), turn, capacity, islands, epochs, population, generations)
+        # A sequence's first piece stands for it.
+        first = F.col("offset") == 0
+        bins, open_bins, left = done.agg(F.count_if(first), F.count_if(first & is_loose), F.count_if(is_loose)).first()
+        if opened is not None and bins >= opened:
+            break
         number = F.lit(-1) - F.lit(turn << 56) - F.shiftleft("shard", 24) - F.col("bin")
-        final = done if last else done.filter(F.col("free") <= int(loose * capacity))
-        out = out.unionByName(final.select(*PIECE, number.alias("sequence_id"), "offset"))
-        left, turn = 0 if last else now, turn + 1
-    return out
+        done = done.withColumn("sequence_id", number)
+        out = out.unionByName(done.filter(~is_loose).select(*PIECE, "sequence_id", "offset"))
+        placed = done.filter(is_loose)
+        part, opened, turn = placed.select(*PIECE, "_copy"), open_bins, turn + 1
+    return out.unionByName(placed.select(*PIECE, "sequence_id", "offset")) if opened else out
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, **options) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from marketglass.llm import common, crf, language_id, quality, simhash, toxicity
+from marketglass.llm import common, crf, language_id, packing, quality, simhash, toxicity
 
 
 def test_the_kernel_is_a_sum_over_gapped_subsequences():
@@ -156,3 +156,22 @@ def test_fingerprints_are_shown_as_sixteen_hex_digits(spark, tmp_path):
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op8_simhash_near_dedup(spark, str(tmp_path)).collect()}
     assert {i: f for i, (f, _) in got.items()} == {i: format(simhash.fingerprint(t or ""), "016x") for i, t in texts}
     assert got[2][0] == "0" * 16 and got[3][0] == got[4][0] and got[4][1] == 3
+
+
+@pytest.mark.parametrize("kind", ["lognormal", "some fit", "few fit"])
+def test_packing_is_never_worse_than_best_fit_over_all_pieces(spark, kind):
+    """Several shards, so that loose sequences of all must come together."""
+    rng = np.random.default_rng(5)
+    n = 4000
+    sizes = {"lognormal": np.clip(rng.lognormal(6.2, 0.8, n), 1, 2047).astype(int), "some fit": rng.integers(200, 1001, n), "few fit": rng.integers(600, 1001, n)}[kind].tolist()
+    df = spark.createDataFrame([(k, 0, 0, x, 0) for k, x in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack_pieces(df, shard_items=1000).select("doc_id", "sequence_id", "offset", "length").collect()
+    assert sorted(r.doc_id for r in got) == list(range(n))
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for rows in by.values():
+        rows.sort()
+        assert [o for o, _ in rows] == [sum(x for _, x in rows[:k]) for k in range(len(rows))] and sum(x for _, x in rows) <= 2048
+    plain = packing.best_fit(sorted(range(n), key=lambda i: -sizes[i]), [], sizes, 2048)
+    assert len(by) <= len(plain.bins)
