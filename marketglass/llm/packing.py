@@ -196,7 +196,7 @@ def _evolved(part: DataFrame, shards: int, turn: int, capacity: int, islands: in
     return common.materialize(part.groupBy("shard").cogroup(best.groupBy("shard")).applyInPandas(place, schema))
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 2048, shard_items: int = 2000, islands: int = 2, epochs: int = 3, population: int = 6, generations: int = 60, loose: float = 0.02) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 2048, shard_items: int = 2000, islands: int = 2, epochs: int = 3, population: int = 6, generations: int = 60, loose: float = 0.005) -> DataFrame:
     """pieces with sequence_id and offset; length must be 1 to capacity.
 
     Pieces of full length are sequences of their own. Others are packed within their shard, and sequences with more
