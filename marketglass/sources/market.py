@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import spreadsheet_safe
+from .workbook import write_workbook
 
 
 class Page(InputPartition):
@@ -60,15 +61,18 @@ class MarketPages(DataSource):
         return PageReader(self.options)
 
 
-#: Formats that reports are written in. No library for spreadsheets or PDF is at hand, so these are refused.
-FORMATS = ("csv", "json")
+#: Formats that reports are written in. No library for PDF is at hand, so it is refused.
+FORMATS = ("csv", "json", "xlsx")
 
 
-def export_report(report: DataFrame, path: str, kind: str = "csv", threshold: float | None = None, by: str = "gap_pct") -> None:
-    """A report as files whose text can't act as a spreadsheet formula; with a threshold only rows that reach it in column `by`."""
+def export_report(report: DataFrame, path: str, kind: str = "csv", threshold: float | None = None, by: str = "gap_pct", summary: DataFrame | None = None) -> None:
+    """A report as files whose text can't act as a spreadsheet formula; with a threshold only rows that reach it in column `by`.
+    As xlsx it is one file, with a sheet for the summary where there is one (see workbook.write_workbook)."""
     if kind not in FORMATS:
         raise ValueError(f"reports are written as one of {FORMATS}")
     report = report if threshold is None else report.filter(F.col(by) >= threshold)
+    if kind == "xlsx":
+        return write_workbook(({} if summary is None else {"Summary": summary}) | {"Competitor Details": report}, path)
     safe = [spreadsheet_safe(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f"`{f.name}`") for f in report.schema]
     out = report.select(*safe).write
     (out.option("header", True).csv if kind == "csv" else out.json)(path)
