@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import compact, memory, name_similarity, normalize, ratio_bound, similarity, token_share
+from ..sources.shared import materialize
 
 #: Weights of the attributes, and the rules' limits.
 NAME, BRAND, MODEL, RAM, STORAGE, COLOR = 35, 20, 20, 10, 10, 5
@@ -18,8 +21,7 @@ def reachable(titles: DataFrame, names: DataFrame) -> DataFrame:
     word, names whose letters the title may hold (by their first three), and, for what only the sequence ratio
     reaches, lengths in which LEAST_NAME is possible: 2 * shorter / (shorter + longer) is the most."""
     n, t = names.filter("n != ''"), titles.filter("t != ''")
-    c = compact(F.col("t"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.array(*(F.substring(c, i, F.lit(k)) for k in (1, 2, 3)))))
+    grams = _grams(compact(F.col("t")))
     by_word = t.withColumn("k", F.explode(F.array_distinct(F.split("t", " ")))).join(n.withColumn("k", F.explode(F.array_distinct(F.split("n", " ")))), "k")
     by_start = t.withColumn("k", F.explode(F.array_distinct(grams))).join(n.withColumn("k", F.substring(compact(F.col("n")), 1, 3)), "k")
     least = LEAST_NAME / (2 - LEAST_NAME)
@@ -28,62 +30,106 @@ def reachable(titles: DataFrame, names: DataFrame) -> DataFrame:
     return by_word.drop("k").unionByName(by_start.drop("k")).unionByName(by_length.drop("k")).distinct()
 
 
+def _grams(c) -> object:
+    """A text's substrings of one to three characters."""
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.array(*(F.substring(c, i, F.lit(k)) for k in (1, 2, 3)))))
+
+
+def named_in(titles: DataFrame, values: DataFrame) -> DataFrame:
+    """t, scope, kind, value: the only value of a kind that a title holds, spaces apart; titles that hold several have none.
+
+    titles: t, scope. values: kind, scope, value (normalised). A value meets the titles of its scope that hold its rarest
+    three characters (all it has, if fewer), so frequent beginnings don't bring all together.
+    """
+    v = values.filter("value != ''").distinct().withColumn("c", compact(F.col("value")))
+    own = F.when(F.length("c") < 3, F.array("c")).otherwise(F.transform(F.sequence(F.lit(1), F.length("c") - 2), lambda i: F.substring("c", i, F.lit(3))))
+    parts = v.select("c").distinct().select("c", F.explode(F.array_distinct(own)).alias("k"))
+    common = parts.groupBy("k").agg(F.count(F.lit(1)).alias("often"))
+    rare = parts.join(common, "k").groupBy("c").agg(F.min_by("k", F.struct("often", "k")).alias("k"))
+    x = titles.filter("t != ''").distinct().withColumn("x", compact(F.col("t")))
+    x = x.withColumn("k", F.explode(F.array_distinct(_grams(F.col("x")))))
+    held = x.join(v.join(rare, "c"), ["k", "scope"]).filter(F.contains("x", F.col("c")))
+    return held.groupBy("t", "scope", "kind").agg(F.min("value").alias("value"), F.max("value").alias("_last")).filter("value = _last").drop("_last")
+
+
+def alike(wanted: DataFrame, have: DataFrame, least: float) -> DataFrame:
+    """m, vm, score: pairs of texts (m of wanted, vm of have) whose sequence ratio is at least `least`, each once: equal ones,
+    and those whose lengths and letters allow it."""
+    m, vm = wanted.select("m").filter("m != ''").distinct(), have.select("vm").filter("vm != ''").distinct()
+    same = m.join(vm, F.col("m") == F.col("vm")).select("m", "vm", F.lit(1.0).alias("score"))
+    share = least / (2 - least)
+    lengths = F.sequence(F.ceil(F.length("m") * share - 1e-6), F.floor(F.length("m") / share + 1e-6))
+    near = m.withColumn("k", F.explode(lengths)).join(vm.withColumn("k", F.length("vm").cast("long")), "k").filter("m != vm").drop("k")
+    near = near.filter(ratio_bound(F.col("m"), F.col("vm")) >= least)
+    return same.unionByName(near.withColumn("score", similarity(F.col("m"), F.col("vm"))).filter(F.col("score") >= least))
+
+
 def match(items: DataFrame, variants: DataFrame) -> DataFrame:
     """The best variant of each item: item_id, product_id, confidence, status (matched, ambiguous, unmatched).
 
-    items: item_id, title, brand (null or unknown brands match all). variants: product_id, name, brand, storage_gb,
-    and ram_gb and color where the catalog has them (a column that it lacks doesn't count). A known RAM or storage other
-    than the title's rejects a variant. The color that a title names is the only one of its brand's that it holds.
-    Candidates are blocked by brand, an equi join; items of no known brand meet the names they can reach. Names are
-    scored once for each distinct pair of title and name, and only pairs that can identify a product meet variants.
-    Attributes that an item doesn't name don't count.
+    items: item_id, title, and brand, model, ram_gb, storage_gb and color where they are sent. variants: product_id, name,
+    brand, storage_gb, and model, ram_gb and color where the catalog has them (a column that it lacks doesn't count).
+    A brand that the catalog has leaves only its variants; any other leaves all. What isn't sent is taken from the title:
+    memory sizes, and the brand, model and color that are the only ones of the candidates' own that it holds. Name, brand,
+    model, RAM, storage and color give points, as far as they are sent or found; a known RAM or storage that differs
+    rejects, and so does a variant whose name is less than LEAST_NAME and model less than LEAST_MODEL alike. Items without
+    a variant left are unmatched, with nulls.
     """
+    sent = lambda c: normalize(F.col(c)) if c in items.columns else F.lit("")
+    number = lambda c: F.col(c).cast("int") if c in items.columns else F.lit(None).cast("int")
+    kept = lambda c: normalize(F.col(c)) if c in variants.columns else F.lit("")
+    size = lambda c: F.col(c).cast("int") if c in variants.columns else F.lit(None).cast("int")
     ram, rom = memory(F.col("title"))
-    i = items.withColumns({"t": normalize(F.col("title")), "b": normalize(F.col("brand")), "ram": ram, "rom": rom})
-    v = variants.withColumns({"n": normalize(F.col("name")), "vb": normalize(F.col("brand"))}).drop("brand", "name")
-    v = v.withColumns({c: F.lit(None).cast(kind) for c, kind in (("ram_gb", "int"), ("color", "string")) if c not in variants.columns})
-    v = v.withColumn("color", normalize(F.col("color")))
-    known = v.select(F.col("vb").alias("b")).distinct().withColumn("known", F.lit(True))
-    i = i.join(known, "b", "left")
-    if "ram_gb" not in variants.columns:
-        i = i.withColumn("ram", F.lit(None).cast("int"))
-    i = i.withColumn("shade", F.lit(None).cast("string"))
-    if "color" in variants.columns:
-        shades = v.filter("color != ''").select(F.col("vb").alias("b"), "color").distinct()
-        own = shades.groupBy("b").agg(F.collect_set("color").alias("own"))
-        every = shades.agg(F.collect_set("color").alias("every"))
-        i = i.join(own, "b", "left").join(F.broadcast(every))
-        held = F.filter(F.when(F.col("known"), F.col("own")).otherwise(F.col("every")), lambda c: F.contains(compact(F.col("t")), compact(c)))
-        i = i.withColumn("shade", F.when(F.size(held) == 1, held[0])).drop("own", "every")
-    titles = i.select("t", "b", "known").distinct()
-    near = titles.filter("known").join(v.select(F.col("vb").alias("b"), "n").distinct(), "b").select("t", "b", "n")
-    far = reachable(titles.filter("known is null"), v.select("n").distinct()).select("t", "b", "n")
+    has = {c: c in variants.columns for c in ("ram_gb", "color", "model")}
+    i = items.select("item_id", normalize(F.col("title")).alias("t"), sent("brand").alias("b"), sent("model").alias("sent_model"), sent("color").alias("sent_color"), (F.coalesce(number("ram_gb"), ram) if has["ram_gb"] else F.lit(None).cast("int")).alias("ram"), F.coalesce(number("storage_gb"), rom).alias("rom"))
+    v = variants.select("product_id", kept("name").alias("n"), kept("brand").alias("vb"), kept("model").alias("vm"), size("ram_gb").alias("ram_gb"), size("storage_gb").alias("storage_gb"), kept("color").alias("vc")).distinct()
+    known = v.filter("vb != ''").select(F.col("vb").alias("b")).distinct().withColumn("known", F.lit(True))
+    i = i.join(known, "b", "left").withColumn("scope", F.when(F.col("known"), F.col("b")).otherwise("*"))
+
+    every = lambda kind, c, *scopes: [v.select(F.lit(kind).alias("kind"), s.alias("scope"), F.col(c).alias("value")) for s in scopes]
+    values = every("brand", "vb", F.lit("*")) + [x for kind, c in (("model", "vm"), ("color", "vc")) if has[kind] for x in every(kind, c, F.lit("*"), F.col("vb"))]
+    found = named_in(i.select("t", "scope").distinct(), reduce(DataFrame.unionByName, values)).groupBy("t", "scope")
+    found = found.agg(*(F.max(F.when(F.col("kind") == kind, F.col("value"))).alias(f"found_{kind}") for kind in ("brand", "model", "color")))
+    asked = lambda c, kind: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"found_{kind}"))
+    i = i.join(found, ["t", "scope"], "left").select("item_id", "t", "scope", "ram", "rom", asked("b", "brand").alias("rb"), *((asked(f"sent_{k}", k) if has[k] else F.lit(None).cast("string")).alias(c) for k, c in (("model", "m"), ("color", "shade"))))
+    i = materialize(i)
+
+    # Variants by name: of the brand where it is known, else those that the title can reach.
+    titles = i.select("t", "scope").distinct()
+    near = titles.filter("scope != '*'").join(v.select(F.col("vb").alias("scope"), "n").distinct(), "scope").select("t", "scope", "n")
+    far = reachable(titles.filter("scope = '*'"), v.select("n").distinct()).select("t", "scope", "n")
     # Few bytes but much work a row: a fixed number of partitions keeps adaptive execution from merging them.
-    pairs = near.unionByName(far).repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t", "n")
-    inside = (F.col("n") != "") & F.contains(compact(F.col("t")), compact(F.col("n")))
-    # Sequences are compared only where the pair can pass the filter below, and where containment doesn't settle the score.
-    # The optimizer may merge the filters, so the texts of other pairs are hidden from the functions that compare.
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inside = (F.col("n") != "") & F.contains("t", F.col("n"))
+    # Sequences are compared only where the pair can pass, and where containment doesn't settle the score. The optimizer may
+    # merge the filters, so the texts of other pairs are hidden from the functions that compare.
     sure = inside | (token_share(F.col("t"), F.col("n")) >= LEAST_NAME)
     able = sure | (ratio_bound(F.when(~sure, F.col("t")), F.col("n")) >= LEAST_NAME)
-    seen = F.when(able, F.col("t"))
-    model = F.when(inside, 1.0).otherwise(similarity(F.when(~inside, seen), F.col("n")))
-    pairs = pairs.filter(able).withColumns({"name_score": name_similarity(seen, F.col("n")), "model_score": model})
-    pairs = pairs.filter((F.col("name_score") >= LEAST_NAME) | (F.col("model_score") >= LEAST_MODEL))
-    found = i.join(pairs, ["t", "b"])
-    c_near = found.filter("known").join(v.withColumn("b", F.col("vb")), ["n", "b"])
-    c = c_near.unionByName(found.filter("known is null").join(v, "n"))
-    storage = F.col("rom").isNotNull()
-    c = c.filter(~(storage & F.col("storage_gb").isNotNull() & (F.col("rom") != F.col("storage_gb"))))
-    memory_said = F.col("ram").isNotNull()
-    c = c.filter(~(memory_said & F.col("ram_gb").isNotNull() & (F.col("ram") != F.col("ram_gb"))))
-    shade = F.col("shade").isNotNull()
-    said = F.col("b") != ""
-    points = NAME * F.col("name_score") + MODEL * F.col("model_score") + F.when(said & (F.col("b") == F.col("vb")), BRAND).otherwise(0) + F.when(storage & (F.col("rom") == F.col("storage_gb")), STORAGE).otherwise(0)
-    points += F.when(memory_said & (F.col("ram") == F.col("ram_gb")), RAM).otherwise(0) + F.when(shade, COLOR * similarity(F.col("shade"), F.col("color"))).otherwise(0)
-    most = NAME + MODEL + F.when(said, BRAND).otherwise(0) + F.when(storage, STORAGE).otherwise(0)
-    most += F.when(memory_said, RAM).otherwise(0) + F.when(shade, COLOR).otherwise(0)
+    pairs = near.unionByName(far).repartition(parts, "t", "n").filter(able).withColumn("s", name_similarity(F.when(able, F.col("t")), F.col("n"))).filter(F.col("s") >= LEAST_NAME).drop("s")
+    in_scope = v.withColumn("scope", F.explode(F.array(F.lit("*"), F.col("vb"))))
+    both = i.join(pairs, ["t", "scope"]).join(in_scope, ["n", "scope"])
+    # Variants by model.
+    models = alike(i, v, LEAST_MODEL)
+    both = both.unionByName(i.join(models.drop("score"), "m").join(in_scope, ["vm", "scope"])).dropDuplicates(["item_id", *v.columns])
+
+    # Each pair of texts is scored once, however many items and variants have it.
+    def scored(a: str, b: str, how) -> DataFrame:
+        return both.select(a, b).filter(f"{a} is not null").distinct().repartition(parts, a, b).withColumn(f"{b}_score", how(F.col(a), F.col(b)))
+
+    c = materialize(both)
+    both = c
+    for a, b, how in (("t", "n", name_similarity), ("rb", "vb", similarity), ("m", "vm", similarity), ("shade", "vc", similarity)):
+        c = c.join(scored(a, b, how), [a, b], "left")
+    differs = lambda x, y: F.col(x).isNotNull() & F.col(y).isNotNull() & (F.col(x) != F.col(y))
+    c = c.filter(~differs("rom", "storage_gb") & ~differs("ram", "ram_gb"))
+    score = lambda name: F.coalesce(F.col(f"{name}_score"), F.lit(0.0))
+    same = lambda x, y: F.coalesce(F.col(x) == F.col(y), F.lit(False)).cast("double")
+    points, most = NAME * score("n"), F.lit(NAME)
+    for told, weight, part in (("rb", BRAND, score("vb")), ("m", MODEL, score("vm")), ("ram", RAM, same("ram", "ram_gb")), ("rom", STORAGE, same("rom", "storage_gb")), ("shade", COLOR, score("vc"))):
+        points += F.when(F.col(told).isNotNull(), weight * part).otherwise(0.0)
+        most += F.when(F.col(told).isNotNull(), weight).otherwise(0)
     c = c.withColumn("confidence", F.least(F.lit(100), F.greatest(F.lit(0), F.rint(100 * points / most))).cast("int"))
-    w = Window.partitionBy("item_id").orderBy(F.col("confidence").desc(), F.col("name_score").desc(), "product_id")
+    w = Window.partitionBy("item_id").orderBy(F.col("confidence").desc(), F.col("n_score").desc(), "product_id")
     best = c.withColumn("r", F.row_number().over(w)).withColumn("second", F.lead("confidence").over(w)).filter("r = 1")
     status = F.when(F.col("confidence") < THRESHOLD, "unmatched").when(F.col("confidence") - F.coalesce("second", F.lit(-100)) < MARGIN, "ambiguous").otherwise("matched")
     j = items.select("item_id").join(best.select("item_id", "product_id", "confidence", status.alias("status")), "item_id", "left")

@@ -378,9 +378,11 @@ def assistant_context(spark, d):
 
 @query()
 def match_products(spark, d):
-    p = t.products(spark, d)
-    items = p.select(F.col("product_id").alias("item_id"), F.concat_ws(" ", "name", "brand", F.concat(F.col("storage_gb").cast("string"), F.lit("gb"))).alias("title"), "brand")
-    return matching.match(items, p.filter("is_active").select("product_id", "name", "brand", "storage_gb"))
+    """Every product as an item: even ones name their model in the title, a third send no brand."""
+    p = t.products(spark, d).withColumn("model", F.concat(F.lit("mx"), F.col("product_id") % 1000))
+    title = F.concat_ws(" ", "name", "brand", F.when(F.col("product_id") % 2 == 0, F.col("model")), F.concat(F.col("storage_gb").cast("string"), F.lit("gb")))
+    items = p.select(F.col("product_id").alias("item_id"), title.alias("title"), F.when(F.col("product_id") % 3 != 0, F.col("brand")).alias("brand"))
+    return matching.match(items, p.filter("is_active").select("product_id", "name", "brand", "model", "storage_gb"))
 
 
 @query("select event_id, user_id from events where event_type = 'error' and event_id % 3 <> 0 order by ts desc, event_id desc limit 50 offset 50", adapters=False)
