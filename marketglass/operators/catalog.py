@@ -101,3 +101,10 @@ def unique_value(titles: DataFrame, values: DataFrame) -> DataFrame:
 def spec_keys(specs: DataFrame) -> DataFrame:
     """Union of the keys of map column spec, sorted."""
     return specs.select(F.explode(F.map_keys("spec")).alias("key")).distinct()
+
+
+def listed(names: DataFrame, name: str, *by: str) -> DataFrame:
+    """Distinct names with their place in the list of their kind: without regard to case, then as written. Lists of brands,
+    categories and platforms are short by nature, so one window a list sorts them."""
+    w = Window.partitionBy(*by).orderBy(F.lower(name), name)
+    return names.distinct().withColumn("place", F.row_number().over(w))

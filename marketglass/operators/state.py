@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import sku
+
 TARGET = ["user_id", "product_id", "seller_id"]
 
 
@@ -69,6 +71,30 @@ def joined(members: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
     return j.select(*key, "change_id", said.alias("outcome"))
 
 
+def saved_products(products: DataFrame, wanted: DataFrame, catalog: DataFrame, currency: str = "PKR") -> DataFrame:
+    """change_id, outcome, sku (normalised) of an organisation's products to be made (no product_id) or changed, held against
+    products (org_id, product_id, sku) as they were before the batch.
+
+    wanted: change_id, org_id, product_id, sku, canonical_id, currency; in a change nulls leave things as they are. In order: a
+    product to be changed must be the organisation's own (not_found), the currency the one served (currency), a catalog
+    product named must be active (unknown_catalog_product), and the SKU no other product's of the organisation (sku_taken),
+    before the batch or by an earlier change in it that passed. Blank SKUs are none and never clash.
+    """
+    own = products.select("org_id", "product_id").distinct().withColumn("_own", F.lit(True))
+    active = catalog.filter("is_active").select(F.col("product_id").alias("canonical_id")).distinct().withColumn("_active", F.lit(True))
+    held = products.withColumn("sku", sku(F.col("sku"))).filter("sku is not null").groupBy("org_id", "sku").agg(F.min("product_id").alias("_holder"))
+    w = wanted.withColumn("sku", sku(F.col("sku"))).join(own, ["org_id", "product_id"], "left").join(active, "canonical_id", "left").join(held, ["org_id", "sku"], "left")
+    change = F.col("product_id").isNotNull()
+    served = F.when(change & F.col("currency").isNull(), True).otherwise(F.coalesce(F.col("currency") == currency, F.lit(False)))
+    early = F.when(change & F.col("_own").isNull(), "not_found").when(~served, "currency").when(F.col("canonical_id").isNotNull() & F.col("_active").isNull(), "unknown_catalog_product")
+    early = F.coalesce(early, F.when(F.col("_holder").isNotNull() & ~F.coalesce(F.col("_holder") == F.col("product_id"), F.lit(False)), "sku_taken"))
+    w = w.withColumn("_early", early).withColumn("_who", F.coalesce("product_id", -F.col("change_id")))
+    # Who asks first for a SKU that is free, among what passed; without a SKU each is alone.
+    first = F.first("_who").over(Window.partitionBy("org_id", F.coalesce("sku", F.concat(F.lit(" "), F.col("change_id").cast("string"))), F.col("_early").isNull()).orderBy("change_id"))
+    said = F.coalesce("_early", F.when(F.col("sku").isNotNull() & (F.col("_first") != F.col("_who")), "sku_taken").otherwise(F.when(change, "updated").otherwise("created")))
+    return w.withColumn("_first", first).select("change_id", said.alias("outcome"), "sku")
+
+
 def set_status(rows: DataFrame, wanted: DataFrame, key: str, self_id: int | None = None) -> DataFrame:
     """key, outcome of changes (key, is_active): not_found, refused (one can't deactivate oneself), unchanged or changed."""
     j = wanted.select(key, F.col("is_active").alias("to")).join(rows.select(key, "is_active"), key, "left")
@@ -125,17 +151,18 @@ def seller_after(sellers: DataFrame, items: DataFrame, resolved: DataFrame) -> D
     return j.select("seller_id", "platform", F.coalesce("e.external_id", "external_id").alias("external_id"), F.coalesce("x.name", "seller_name").alias("seller_name"))
 
 
-def legacy_ingest(items: DataFrame, listings: DataFrame, platforms: DataFrame, models: DataFrame, variants: DataFrame) -> DataFrame:
+def legacy_ingest(items: DataFrame, listings: DataFrame, platforms: DataFrame, models: DataFrame, variants: DataFrame, categories: DataFrame, category: str = "smartphones") -> DataFrame:
     """What each item (item_id, platform, external_id, model, color) makes on its way in, in the order of item_id.
 
     A listing is known by its external id alone, whatever the platform: then it is updated and nothing else happens.
-    Otherwise missing levels are made: platform, product (by the model's first 120 characters), variant (by product
-    and color, where N/A and blank are none) and the listing. The first item of a batch that needs a level makes it.
+    Otherwise missing levels are made: platform, the one category (slug), product (by the model's first 120 characters),
+    variant (by product and color, where N/A and blank are none) and the listing. The first item of a batch that needs a
+    level makes it.
     """
     known = listings.select("external_id").distinct().withColumn("listed", F.lit(True))
     i = items.withColumn("model", F.left("model", F.lit(120))).withColumn("color", F.when(~F.col("color").isin("", "N/A"), F.col("color")))
     i = i.join(known, "external_id", "left").withColumn("again", F.row_number().over(Window.partitionBy("external_id").orderBy("item_id")) > 1)
-    updated = i.filter("listed or again").select("item_id", F.lit("updated").alias("action"), *(F.lit(False).alias(c) for c in ("new_platform", "new_product", "new_variant")))
+    updated = i.filter("listed or again").select("item_id", F.lit("updated").alias("action"), *(F.lit(False).alias(c) for c in ("new_platform", "new_category", "new_product", "new_variant")))
     new = i.filter("listed is null and not again")
 
     def makes(key: list[str], have: DataFrame, name: str, df: DataFrame) -> DataFrame:
@@ -145,9 +172,12 @@ def legacy_ingest(items: DataFrame, listings: DataFrame, platforms: DataFrame, m
         return df.withColumn("_first", first).join(had, on, "left").withColumn(name, F.col("_had").isNull() & F.col("_first")).drop("_had", "_first", *(f"_{k}" for k in key))
 
     new = makes(["platform"], platforms, "new_platform", new)
+    # All items need the same category: the least id alone makes it, found by a partial minimum and not by a window over all.
+    first = new.agg(F.min("item_id").alias("item_id")).withColumn("_slug", F.lit(category)).join(categories.select(F.col("slug").alias("_slug")).distinct(), "_slug", "left_anti")
+    new = new.join(first, "item_id", "left").withColumn("new_category", F.col("_slug").isNotNull()).drop("_slug")
     new = makes(["model"], models, "new_product", new)
     new = makes(["model", "color"], variants, "new_variant", new)
-    return updated.unionByName(new.select("item_id", F.lit("created").alias("action"), "new_platform", "new_product", "new_variant"))
+    return updated.unionByName(new.select("item_id", F.lit("created").alias("action"), "new_platform", "new_category", "new_product", "new_variant"))
 
 
 def capture_outcomes(captures: DataFrame, platforms: DataFrame, products: DataFrame, history: DataFrame, currency: str = "PKR") -> DataFrame:

@@ -106,15 +106,30 @@ def admin_products(spark, d):
 
 
 LISTING_COLUMNS = "product_id, seller_id, product_name, brand, category, product_active, seller_name, country, platform, rating, current_price, is_available, first_seen, last_seen, days_seen"
+LISTING_COLUMNS += ", external_id, title, product_url, platform_code, product_model, variant_id, variant_sku, ram_gb, storage_gb, color, seller_is_verified, original_price, currency, review_count, warranty"
 
 
 @query(f"""select l.product_id, l.seller_id, p.name as product_name, p.brand, p.category, p.is_active as product_active, s.seller_name, s.country, s.platform, s.rating, {d2('l.current_price')} as current_price, l.is_available,
-  cast(first_seen_at as date) as first_seen, cast(last_seen_at as date) as last_seen, date_diff('day', cast(first_seen_at as date), cast(last_seen_at as date)) as days_seen
-from listings l join products p on l.product_id = p.product_id left join sellers s on l.seller_id = s.seller_id where s.seller_name ilike '%7%' or p.name ilike '%7%'""")
+  cast(first_seen_at as date) as first_seen, cast(last_seen_at as date) as last_seen, date_diff('day', cast(first_seen_at as date), cast(last_seen_at as date)) as days_seen,
+  l.product_id || '-' || l.seller_id as external_id, concat_ws(' by ', p.name, s.seller_name) as title, 'https://market.example/' || replace(lower(s.platform), ' ', '-') || '/' || l.product_id || '-' || l.seller_id as product_url, replace(lower(s.platform), ' ', '-') as platform_code,
+  p.brand || '/' || p.storage_gb as product_model, p.product_id * 10 as variant_id, 'SKU-' || lpad(cast(p.product_id as varchar), 8, '0') as variant_sku, p.storage_gb % 16 as ram_gb, p.storage_gb, case when p.storage_gb % 3 = 0 then 'black' end as color,
+  s.rating >= 40 as seller_is_verified, case when h.top > l.current_price then {d2('h.top')} end as original_price, 'PKR' as currency, h.n as review_count, case when p.storage_gb >= 25 then '1 year' end as warranty
+from listings l join products p on l.product_id = p.product_id left join sellers s on l.seller_id = s.seller_id join (select product_id, seller_id, count(*) as n, max(price) as top from points group by all) h on h.product_id = l.product_id and h.seller_id = l.seller_id
+where s.seller_name ilike '%7%' or p.name ilike '%7%'""")
 def admin_listings(spark, d):
+    """The administration's view of listings: listing, platform, product, variant and seller side by side."""
+    history = t.points(spark, d).groupBy("product_id", "seller_id").agg(F.count(F.lit(1)).alias("review_count"), F.max("price").alias("top"))
     j = t.listings(spark, d).join(t.products(spark, d).withColumnsRenamed({"is_active": "product_active", "name": "product_name"}), "product_id").join(t.sellers(spark, d), "seller_id", "left")
-    j = j.filter(catalog.every(catalog.contains_any("7", "seller_name", "product_name")))
-    j = j.withColumns({"first_seen": F.to_date("first_seen_at"), "last_seen": F.to_date("last_seen_at"), "current_price": F.col("current_price").cast("decimal(18,2)")})
+    j = j.filter(catalog.every(catalog.contains_any("7", "seller_name", "product_name"))).join(history, ["product_id", "seller_id"])
+    text = lambda c: F.col(c).cast("string")
+    gb, code = F.col("storage_gb"), F.replace(F.lower("platform"), F.lit(" "), F.lit("-"))
+    j = j.withColumns({"external_id": F.concat_ws("-", text("product_id"), text("seller_id")), "platform_code": code, "title": F.concat_ws(" by ", "product_name", "seller_name")})
+    j = j.withColumns({
+        "first_seen": F.to_date("first_seen_at"), "last_seen": F.to_date("last_seen_at"), "product_url": F.concat(F.lit("https://market.example/"), "platform_code", F.lit("/"), "external_id"), "product_model": F.concat("brand", F.lit("/"), text("storage_gb")),
+        "variant_id": F.col("product_id") * 10, "variant_sku": F.concat(F.lit("SKU-"), F.lpad(text("product_id"), 8, "0")), "ram_gb": gb % 16, "color": F.when(gb % 3 == 0, "black"), "seller_is_verified": F.col("rating") >= 40,
+        "original_price": F.when(F.col("top") > F.col("current_price"), F.col("top").cast("decimal(18,2)")), "currency": F.lit("PKR"), "warranty": F.when(gb >= 25, "1 year"),
+    })
+    j = j.withColumn("current_price", F.col("current_price").cast("decimal(18,2)"))
     return j.withColumn("days_seen", F.date_diff("last_seen", "first_seen").cast("long")).select(*LISTING_COLUMNS.split(", "))
 
 
@@ -164,11 +179,14 @@ def access_orgs(spark, d):
     return c.join(member.unionByName(c.filter("c_custkey = 42").select("c_custkey")), "c_custkey", "left_semi").select(F.col("c_custkey").alias("org_id"))
 
 
-@query("""select distinct p_brand as value, 'brand' as kind from part union all select distinct p_type, 'category' from part union all select r_name, 'platform' from region""", adapters=False)
+@query("""with v as (select distinct case when p_size % 2 = 0 then upper(p_brand) else p_brand end as value, 'brand' as kind from part union select distinct lower(p_type), 'category' from part union select r_name, 'platform' from region)
+select value, kind, cast(row_number() over (partition by kind order by lower(value), value) as integer) as place from v""", adapters=False)
 def reference_lists(spark, d):
+    """Names as lists show them: without regard to case, then as written."""
     p, r = t.parquet(spark, d, "part"), t.parquet(spark, d, "region")
-    kind = lambda df, c, k: df.select(F.col(c).alias("value"), F.lit(k).alias("kind")).distinct()
-    return kind(p, "p_brand", "brand").unionByName(kind(p, "p_type", "category")).unionByName(kind(r, "r_name", "platform"))
+    brand = F.when(F.col("p_size") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand"))
+    kind = lambda df, c, k: df.select(c.alias("value"), F.lit(k).alias("kind"))
+    return catalog.listed(kind(p, brand, "brand").unionByName(kind(p, F.lower("p_type"), "category")).unionByName(kind(r, F.col("r_name"), "platform")), "value", "kind")
 
 
 @query("select a.n_nationkey as id, a.n_name as name, b.n_name as parent from nation a left join nation b on a.n_nationkey // 5 - 1 = b.n_nationkey", adapters=False)

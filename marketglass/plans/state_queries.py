@@ -57,12 +57,12 @@ def alert_table_after(spark, d):
     return state.alerts_after(a, ch, out, 1_000_000)
 
 
-@query(""", m as (select org_id, product_id, seller_id, product_id % 3 <> 0 as is_active from watch where org_id < 100),
-w as (select org_id, case when product_id % 5 = 0 then product_id + 1000000 else product_id end as product_id, seller_id, org_id * 1000000 + product_id * 100 + seller_id % 100 as change_id from watch where org_id < 100 and product_id % 2 = 0)
+@query(""", m as (select org_id, product_id, seller_id, product_id % 3 <> 0 as is_active from watch),
+w as (select org_id, case when product_id % 5 = 0 then product_id + 1000000 else product_id end as product_id, seller_id, org_id * 1000000 + product_id * 100 + seller_id % 100 as change_id from watch where product_id % 2 = 0)
 select w.org_id, w.product_id, w.seller_id, w.change_id, case when m.is_active or rn > 1 then 'duplicate' when m.is_active is null then 'created' else 'reactivated' end as outcome
 from (select *, row_number() over (partition by org_id, product_id, seller_id order by change_id) as rn from w) w left join m on w.org_id = m.org_id and w.product_id = m.product_id and w.seller_id = m.seller_id""")
 def watch_additions(spark, d):
-    held = t.watchlist(spark, d).filter("org_id < 100")
+    held = t.watchlist(spark, d)
     members = held.withColumn("is_active", F.col("product_id") % 3 != 0)
     wanted = held.filter("product_id % 2 = 0").withColumn("change_id", F.col("org_id") * 1000000 + F.col("product_id") * 100 + F.col("seller_id") % 100)
     wanted = wanted.withColumn("product_id", F.when(F.col("product_id") % 5 == 0, F.col("product_id") + 1000000).otherwise(F.col("product_id")))
@@ -133,8 +133,8 @@ LEGACY = """with i as (select o_orderkey as item_id, o_orderpriority as platform
 known as (select distinct 'e' || l_suppkey as external_id from lineitem), had_p as (select '1-URGENT' as platform), had_m as (select 'model ' || n_nationkey as model from nation), had_v as (select 'model ' || n_nationkey as model, case when n_nationkey % 2 = 0 then 'red' end as color from nation),
 a as (select i.*, k.external_id is not null or row_number() over (partition by i.external_id order by item_id) > 1 as upd from i left join known k on i.external_id = k.external_id),
 n as (select *, row_number() over (partition by platform order by item_id) as rp, row_number() over (partition by model order by item_id) as rm, row_number() over (partition by model, color order by item_id) as rv from a where not upd)
-select item_id, 'updated' as action, false as new_platform, false as new_product, false as new_variant from a where upd
-union all select item_id, 'created', rp = 1 and platform not in (select platform from had_p), rm = 1 and model not in (select model from had_m), rv = 1 and not exists (select 1 from had_v h where h.model = n.model and h.color is not distinct from n.color) from n"""
+select item_id, 'updated' as action, false as new_platform, false as new_category, false as new_product, false as new_variant from a where upd
+union all select item_id, 'created', rp = 1 and platform not in (select platform from had_p), item_id = (select min(item_id) from n), rm = 1 and model not in (select model from had_m), rv = 1 and not exists (select 1 from had_v h where h.model = n.model and h.color is not distinct from n.color) from n"""
 
 
 @query(LEGACY, adapters=False)
@@ -146,7 +146,8 @@ def legacy_ingest_plan(spark, d):
     listed = t.parquet(spark, d, "lineitem").select(text("e", F.col("l_suppkey")).alias("external_id"))
     platforms = o.filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderpriority").alias("platform")).distinct()
     models = n.select(text("model ", F.col("n_nationkey")).alias("model"), F.when(F.col("n_nationkey") % 2 == 0, "red").alias("color"))
-    return state.legacy_ingest(items, listed, platforms, models, models)
+    categories = t.parquet(spark, d, "part").select(F.lower("p_type").alias("slug"))
+    return state.legacy_ingest(items, listed, platforms, models, models, categories)
 
 
 @query(""", c as (select ord * 10 + line as capture_id, (select max(platform) from sellers s where s.seller_id = points.seller_id) as platform, case when ord % 9 = 0 then product_id + 1000000 else product_id end as product_id, seller_id, date_trunc('month', captured_at) as captured_at, case when ord % 7 = 0 then 'USD' else 'PKR' end as currency from points where ord % 2 = 1),
@@ -161,3 +162,26 @@ def capture_chain(spark, d):
     c = c.select((F.col("ord") * 10 + F.col("line")).alias("capture_id"), "platform", F.when(F.col("ord") % 9 == 0, F.col("product_id") + 1000000).otherwise(F.col("product_id")).alias("product_id"), "seller_id", "captured_at", F.when(F.col("ord") % 7 == 0, "USD").otherwise("PKR").alias("currency"))
     platforms = s.select("platform", (F.col("platform") != "ASIA").alias("is_active")).distinct()
     return state.capture_outcomes(c, platforms, t.products(spark, d), p.filter("ord % 2 = 0"))
+
+
+@query(""", cp as (select product_id % 50 as org_id, product_id, 'S' || product_id as sku from own),
+wn as (select o_orderkey as change_id, case when o_orderkey % 11 = 0 then 99 else o_custkey % 50 end as org_id, case when o_orderstatus <> 'O' then o_custkey end as product_id, case when o_orderkey % 13 <> 0 then 'S' || (o_orderkey % 3000) end as sku,
+    case when o_orderkey % 3 <> 0 then o_orderkey % 2100 end as canonical_id, case when o_orderkey % 17 = 0 then 'USD' when o_orderkey % 5 = 0 then null else 'PKR' end as currency from orders),
+ck as (select wn.*, case when wn.product_id is not null and not exists (select 1 from cp where cp.org_id = wn.org_id and cp.product_id = wn.product_id) then 'not_found'
+    when coalesce(wn.currency, case when wn.product_id is null then 'none' else 'PKR' end) <> 'PKR' then 'currency'
+    when canonical_id is not null and not exists (select 1 from products p where p.product_id = wn.canonical_id and p.is_active) then 'unknown_catalog_product'
+    when exists (select 1 from cp where cp.org_id = wn.org_id and cp.sku = wn.sku and cp.product_id is distinct from wn.product_id) then 'sku_taken' end as early from wn),
+ok as (select *, coalesce(product_id, -change_id) as who, first_value(coalesce(product_id, -change_id)) over (partition by org_id, sku order by change_id) as f from ck where early is null)
+select change_id, early as outcome, sku from ck where early is not null
+union all select change_id, case when sku is not null and f <> who then 'sku_taken' when product_id is null then 'created' else 'updated' end, sku from ok""")
+def organisation_products_saved(spark, d):
+    """Changes of organisations' own products, one an order: O orders make a product, others change that of the customer's number."""
+    own, o = t.own_products(spark, d), t.parquet(spark, d, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    have = own.select((F.col("product_id") % 50).alias("org_id"), "product_id", F.concat(F.lit("s"), F.col("product_id").cast("string")).alias("sku"))
+    named = F.concat(F.lit(" s"), (k % 3000).cast("string"), F.lit(" "))
+    wanted = o.select(
+        k.alias("change_id"), F.when(k % 11 == 0, 99).otherwise(c % 50).alias("org_id"), F.when(F.col("o_orderstatus") != "O", c).alias("product_id"), F.when(k % 13 == 0, " ").otherwise(named).alias("sku"),
+        F.when(k % 3 != 0, k % 2100).alias("canonical_id"), F.when(k % 17 == 0, "USD").when(k % 5 != 0, "PKR").alias("currency"),
+    )
+    return state.saved_products(have, wanted, t.products(spark, d))
