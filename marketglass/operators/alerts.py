@@ -32,10 +32,16 @@ def first_triggers(alerts: DataFrame, points: DataFrame, available_only: bool =
 def evaluated(alerts: DataFrame, points: DataFrame) -> DataFrame:
     """Of each active alert that captures concern: when it was last checked, and its first trigger (null without one).
 
-    One grouping, so it runs as a stream too: the state is a row an alert.
+    One grouping, so it runs as a stream too: the state is a row an alert. An alert that the table tells has triggered
+    (is_triggered, where there is such a column) is checked, but doesn't trigger again.
     """
-    hit = F.when(F.col("price") <= F.col("target_price"), F.struct(*_ORDER))
-    g = matches(alerts, points).groupBy("alert_id").agg(F.max("captured_at").alias("last"), F.min(hit).alias("x"))
+    found = matches(alerts, points)
+    armed = F.lit(True)
+    if "is_triggered" in alerts.columns:
+        found = found.join(alerts.select("alert_id", F.coalesce("is_triggered", F.lit(False)).alias("_done")), "alert_id")
+        armed = ~F.col("_done")
+    hit = F.when(armed & (F.col("price") <= F.col("target_price")), F.struct(*_ORDER))
+    g = found.groupBy("alert_id").agg(F.max("captured_at").alias("last"), F.min(hit).alias("x"))
     return g.select("alert_id", F.to_date("last").alias("last_checked"), F.col("x").isNotNull().alias("is_triggered"), F.to_date("x.captured_at").alias("triggered_on"), F.col("x.price").cast("decimal(18,2)").alias("price"))
 
 

@@ -41,24 +41,26 @@ def deduplicated(captures: DataFrame, delay: str = "2 hours") -> DataFrame:
 def fire_once(captures: DataFrame, target: float, rearmed: str | None = None) -> DataFrame:
     """Per user, the first capture at or below target; a true value in column `rearmed` arms the alert again.
 
-    State is one flag a user. Within a micro-batch captures are taken by time; one that comes in a later batch
-    can't fire an alert that has fired, though its time is earlier.
+    State is one flag a user. Only captures at or below the target, or that arm, reach Python. Within a micro-batch captures
+    are taken by time; one that comes in a later batch can't fire an alert that has fired, though its time is earlier.
     """
+    hit = F.coalesce(F.col("value") <= target, F.lit(False))
+    arms = F.coalesce(F.col(rearmed).cast("boolean"), F.lit(False)) if rearmed is not None else F.lit(False)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
-        fired = state.exists and state.get[0]
-        rows = []
-        for r in pdf.itertuples(index=False):
-            if rearmed is not None and getattr(r, rearmed):
-                fired = False
-            if not fired and r.value <= target:
-                fired = True
-                rows.append((key[0], r.event_id, r.value))
-        state.update((fired,))
-        yield pd.DataFrame(rows, columns=["user_id", "event_id", "value"])
-
-    return captures.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, value double", "fired boolean", "append", GroupStateTimeout.NoTimeout)
+        # A stretch begins where the alert is armed; the first hit of each fires, but for what fired before this batch.
+        stretch = pdf["_arms"].cumsum()
+        hits = pdf[pdf["_hit"]]
+        first = hits[~stretch[pdf["_hit"]].duplicated()]
+        if state.exists and state.get[0]:
+            first = first[stretch[pdf["_hit"]][~stretch[pdf["_hit"]].duplicated()] > 0]
+        last = stretch.iloc[-1]
+        state.update((bool((stretch[pdf["_hit"]] == last).any() or last == 0 and state.exists and state.get[0]),))
+        yield first[["user_id", "event_id", "value"]]
+
+    slim = captures.select("user_id", "ts", "event_id", "value", hit.alias("_hit"), arms.alias("_arms")).filter("_hit or _arms")
+    return slim.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, value double", "fired boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def _after_last(captures: DataFrame, state_of, fires, state_type: str) -> DataFrame:

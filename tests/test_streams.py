@@ -159,3 +159,29 @@ def test_start_every_and_isolated_sources(spark, tmp_path):
     done = captures.run_isolated({"one": stream, "lost": lambda: spark.readStream.schema("id long").parquet(str(tmp_path / "no") + "where"), "two": stream})
     assert done["one"].count() == done["two"].count() == 5
     assert isinstance(done["lost"], Exception)
+
+
+def test_fire_once_equals_a_plain_loop_over_batches(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(u, at(k), k * 10 + u, float(rng.randrange(10)), rng.random() < 0.2) for k in range(60) for u in range(4)] + [(1, at(61), 999, None, None)]
+    df = spark.createDataFrame(rows, "user_id long, ts timestamp, event_id long, value double, armed boolean")
+    want, fired = [], {}
+    for u, _, e, v, arm in sorted(rows, key=lambda r: (r[1], r[2])):
+        fired[u] = fired.get(u, False) and not arm
+        if not fired[u] and v is not None and v <= 2:
+            fired[u] = True
+            want.append((u, e, v))
+    source = str(tmp_path / "in")
+    for low, high in ((0, 25), (25, 26), (26, 70)):
+        df.filter((F.col("ts") >= F.lit(at(low))) & (F.col("ts") < F.lit(at(high)))).coalesce(1).write.mode("append").parquet(source)
+        done = captures.run_available(captures.fire_once(spark.readStream.schema(df.schema).parquet(source), 2, "armed"), folder=str(tmp_path / "out"))
+    assert sorted(map(tuple, done.collect())) == sorted(want)
+
+
+def test_an_alert_that_has_triggered_is_checked_only(spark):
+    from marketglass.operators import alerts
+
+    table = spark.createDataFrame([(1, 5, None, True, Decimal("9"), True, True), (2, 5, None, True, Decimal("9"), True, None)], "alert_id long, product_id long, seller_id long, on_product boolean, target_price decimal(14,2), is_active boolean, is_triggered boolean")
+    points = spark.createDataFrame([(5, 1, at(3), 1, 1, Decimal("8"), True)], "product_id long, seller_id long, captured_at timestamp, ord long, line int, price decimal(14,2), is_available boolean")
+    got = {r.alert_id: (r.is_triggered, r.last_checked is not None) for r in alerts.evaluated(table, points).collect()}
+    assert got == {1: (False, True), 2: (True, True)}
