@@ -52,18 +52,22 @@ def carry_context(turns: DataFrame, value: str) -> DataFrame:
 def entities(messages: DataFrame, products: DataFrame, most: int = 5) -> DataFrame:
     """message_id, rank, product_id, name: active products whose name or model holds a term of the message, by name and id.
 
-    The first eight terms count (see search_terms). Products are looked up once for each distinct term, by an equi join
-    on the term's first two characters, and only `most` of a term's products are kept: those of a message are
-    among its terms' first ones.
+    The first eight terms count (see search_terms). Each distinct term meets the distinct names that hold its rarest three
+    characters (a term of two: these), so common beginnings don't bring all terms and names together. Only `most` of a
+    name's products, and of a term's, are kept: those of a message are among its terms' first ones.
     """
     said = messages.select("message_id", F.explode(F.array_distinct(search_terms(F.col("text"), STOP_WORDS))).alias("term"))
-    terms = said.select("term").distinct()
     p = products.filter("is_active")
     names = p.select("product_id", "name", F.concat_ws("\n", F.lower("name"), F.lower("model") if "model" in p.columns else F.lit(None).cast("string")).alias("m"))
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("m"), F.lit(2)) - 1), lambda i: F.substring("m", i, F.lit(2))))
-    hits = terms.withColumn("k", F.left("term", F.lit(2))).join(names.withColumn("k", F.explode(pairs)), "k").filter(F.contains("m", "term"))
-    w = Window.partitionBy("term").orderBy("name", "product_id")
-    short = hits.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).select("term", "product_id", "name")
+    cut = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array())
+    held = names.select("m").distinct().select("m", F.explode(F.array_distinct(F.concat(cut(F.col("m"), 2), cut(F.col("m"), 3)))).alias("k"))
+    term = F.col("term")
+    keys = said.select("term").distinct().select("term", F.explode(F.array_distinct(F.when(F.length(term) == 2, F.array(term)).otherwise(cut(term, 3)))).alias("k"))
+    often = held.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    rare = keys.join(often, "k").groupBy("term").agg(F.min_by("k", F.struct("n", "k")).alias("k"))
+    hits = rare.join(held, "k").filter(F.contains("m", "term")).select("term", "m")
+    first = lambda df, key: df.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("name", "product_id"))).filter(F.col("r") <= most).drop("r")
+    short = first(hits.join(first(names, "m"), "m").select("term", "product_id", "name"), "term")
     found = said.join(short, "term").select("message_id", "product_id", "name").distinct()
     w = Window.partitionBy("message_id").orderBy("name", "product_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("message_id", "rank", "product_id", "name")
