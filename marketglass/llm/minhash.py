@@ -27,6 +27,10 @@ SHINGLE = 5
 BANDS, BAND = 16, 5
 #: Fingerprints further from the threshold than this decide alone: four standard deviations of their estimate.
 DOUBT = 0.15
+#: Texts of a band are numbered in chunks of as many; two chunks are compared at once.
+CHUNK = 2048
+#: Doubtful partners in a group that a text sends to verification at once.
+PARTNERS = 8
 _rng = np.random.default_rng(20240229)
 A = (_rng.integers(0, 1 << 31, (PERMUTATIONS, 1), np.int64) * 2 + 1).astype(np.uint32)
 B = _rng.integers(0, 1 << 32, (PERMUTATIONS, 1), np.int64).astype(np.uint32)
@@ -172,43 +176,153 @@ def _shown(found: DataFrame, *more: str) -> DataFrame:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """text_hash, fingerprint and bands of every row."""
+    """doc_id, text_hash, fingerprint and bands of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sigs = [signature(shingles(t)) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(digest, sigs), pa.binary()), pa.array(map(band_keys, sigs), pa.list_(pa.int64()))], ["text_hash", "fingerprint", "bands"])
+        sigs = [signature(shingles(t)) for t in batch.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(map(digest, sigs), pa.binary()), pa.array(map(band_keys, sigs), pa.list_(pa.int64()))], ["doc_id", "text_hash", "fingerprint", "bands"])
 
     text = F.coalesce("text", F.lit(""))
-    return common.map_slices(docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text")), run, "text_hash long, fingerprint binary, bands array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return common.map_slices(docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text")), run, f"doc_id {kind}, text_hash long, fingerprint binary, bands array<long>")
 
 
-def _leaders(members: DataFrame) -> DataFrame:
-    """band, lead, t of members (band, t) beside the smallest t of their band, their leader. A stream over sorted rows."""
+def _members(banded: DataFrame, chunk: int) -> DataFrame:
+    """band, t, chunk of the rows (band, t; distinct) whose band has another text; chunk numbers every `chunk` texts of a
+    band. A stream over sorted rows: no band is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_band, last_lead = None, None
+        last, seen, held = None, 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             band, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            new = np.concatenate([[last_band is None or band[0] != last_band], band[1:] != band[:-1]])
-            at = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
-            lead = np.where(at < 0, last_lead if last_lead is not None else 0, t[np.maximum(at, 0)])
-            last_band, last_lead = band[-1], lead[-1]
-            keep = ~new & (t != lead)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (band, lead, t)], ["band", "lead", "t"])
+            at = np.arange(len(t))
+            new = np.concatenate([[band[0] != last], band[1:] != band[:-1]])
+            start = np.maximum.accumulate(np.where(new, at, -1))
+            place = np.where(start < 0, at + seen, at - start)
+            second, later = np.flatnonzero(place == 1), np.flatnonzero(place >= 1)
+            first = np.where(second > 0, t[second - 1], held)
+            columns = [np.concatenate(c) for c in ((band[second], band[later]), (first, t[later]), (np.zeros(len(second), np.int64), place[later] // chunk))]
+            last, seen, held = band[-1], place[-1] + 1, t[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["band", "t", "chunk"])
+
+    parts = int(banded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return banded.repartition(parts, "band").sortWithinPartitions("band", "t").mapInArrow(run, "band long, t long, chunk long")
+
+
+def _groups(members: DataFrame) -> DataFrame:
+    """key, t: the groups that are compared. A band of one chunk is a group; of more chunks, each two of them are one."""
+    many = members.groupBy("band").agg(F.max("chunk").alias("top")).filter("top > 0")
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("top")), lambda o: o != F.col("chunk"))
+    keys = F.transform(others, lambda o: F.xxhash64("band", F.least("chunk", o), F.greatest("chunk", o)))
+    return members.join(many, "band", "left").select(F.explode(F.coalesce(keys, F.array("band"))).alias("key"), "t")
+
+
+def _alike(many: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of fingerprints (rows) with one, estimated as in likeness."""
+    return ((many == one).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
 
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return common.materialize(members.repartition(parts, "band").sortWithinPartitions("band", "t").mapInArrow(run, "band long, lead long, t long"))
 
+def compare_group(fp: np.ndarray, known: np.ndarray, judged: dict[int, list[int]], low: float, high: float, partners: int) -> tuple[list, list, bool]:
+    """Sure links, doubtful pairs (i, j) of a group's fingerprints, and whether it has further doubtful pairs.
 
-def _similar(pairs: DataFrame, signed: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """a, b, similarity of distinct pairs: estimated from the fingerprints where these leave no doubt on which side of the
-    threshold it is, else exact."""
+    Sure links (estimate of at least `high`) span what they join, and are never all pairs. Of what then isn't joined,
+    each text names at most `partners` doubtful ones (from `low` on), most alike first. known: names of what is joined
+    already; judged: pairs that have been verified.
+    """
+    name = known.copy()
+    sure, doubtful, more = [], [], False
+    left = np.arange(len(fp))
+    while len(left) > 1:
+        frontier, left = [left[0]], left[1:]
+        while frontier and len(left):
+            i = frontier.pop()
+            near = _alike(fp[left], fp[i]) >= high
+            for j in left[near].tolist():
+                frontier.append(j)
+                if name[i] != name[j]:
+                    sure.append((i, j))
+                    name[name == name[j]] = name[i]
+            left = left[~near]
+    if (name == name[0]).all():
+        return sure, doubtful, more
+    for i in range(len(fp) - 1):
+        s = _alike(fp[i + 1 :], fp[i])
+        open_ = (s >= low) & (s < high) & (name[i + 1 :] != name[i])
+        if i in judged:
+            open_[np.array(judged[i]) - i - 1] = False
+        j = np.flatnonzero(open_)
+        if len(j) > partners:
+            more = True
+            j = j[np.argsort(-s[j], kind="stable")[:partners]]
+        doubtful.extend((i, i + 1 + k) for k in j.tolist())
+    return sure, doubtful, more
+
+
+def _compared(rows: DataFrame, threshold: float, partners: int) -> DataFrame:
+    """key, a, b, sure: links and doubtful pairs of the groups (see compare_group), and a row without a and b for each group
+    that has further doubtful pairs. rows: key, t, fingerprint, root of members; key, t, other of pairs verified before."""
+    low, high = threshold - DOUBT, threshold + DOUBT
+
+    def meet(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(pieces)
+        key, t = whole.column("key").to_numpy(), whole.column("t").to_numpy()
+        member = whole.column("other").is_null().to_numpy()
+        fp = np.zeros((len(t), PERMUTATIONS), np.uint8)
+        fp[member] = np.frombuffer(b"".join(x for x in whole.column("fingerprint").to_pylist() if x is not None), np.uint8).reshape(-1, PERMUTATIONS)
+        root = whole.column("root").fill_null(0).to_numpy()
+        other = whole.column("other").fill_null(0).to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(t)))
+        two = starts[sizes == 2]
+        two = two[root[two] != root[two + 1]] if len(two) else two
+        s = _alike(fp[two], fp[two + 1])
+        two, s = two[s >= low], s[s >= low]
+        out = [list(c) for c in (key[two].tolist(), t[two].tolist(), t[two + 1].tolist(), (s >= high).tolist())]
+        for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            # Members come first.
+            m = at + int(member[at : at + n].sum())
+            judged: dict[int, list[int]] = {}
+            if m < at + n:
+                place = {x: i for i, x in enumerate(t[at:m].tolist())}
+                for x, y in zip(t[m : at + n].tolist(), other[m : at + n].tolist()):
+                    i, j = sorted((place[x], place[y]))
+                    judged.setdefault(i, []).append(j)
+            sure, doubtful, more = compare_group(fp[at:m], root[at:m], judged, low, high, partners)
+            for pairs, is_sure in ((sure, True), (doubtful, False)):
+                for i, j in pairs:
+                    for c, v in zip(out, (key[at], t[at + i], t[at + j], is_sure)):
+                        c.append(v)
+            if more:
+                for c, v in zip(out, (key[at], None, None, None)):
+                    c.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["key", "a", "b", "sure"])
 
-    def estimate(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, PERMUTATIONS) for k in (2, 3))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256))], ["a", "b", "similarity"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            if held and held[-1].column(0)[-1].as_py() != key[0]:
+                yield meet(held)
+                held = []
+            cut = np.flatnonzero(key != key[-1])
+            cut = int(cut[-1]) + 1 if len(cut) else 0
+            if cut:
+                yield meet([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield meet(held)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "other", "t").mapInArrow(run, "key long, a long, b long, sure boolean")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b, similarity: the exact Jaccard similarity of the pairs' shingle sets."""
 
     def exact(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -221,55 +335,52 @@ def _similar(pairs: DataFrame, signed: DataFrame, docs: DataFrame, threshold: fl
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingles(t)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["t", "x"])
 
-    def beside(pairs: DataFrame, of: DataFrame) -> DataFrame:
-        return pairs.join(of.select(F.col("t").alias("b"), F.col("x").alias("y")), "b").join(of.select(F.col("t").alias("a"), "x"), "a").select("a", "b", "x", "y")
-
-    # A pair is estimated once, however many bands it shares.
-    guessed = common.materialize(common.map_slices(beside(pairs, signed.select(F.col("text_hash").alias("t"), F.col("fingerprint").alias("x"))), estimate, "a long, b long, similarity double"))
-    clear = F.abs(F.col("similarity") - threshold) > DOUBT
-    open_ = guessed.filter(~clear).select("a", "b")
-    ids = open_.select(F.explode(F.array("a", "b")).alias("t")).distinct()
     text = F.coalesce("text", F.lit(""))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
     needed = docs.select(F.xxhash64(text).alias("t"), text.alias("text")).join(ids, "t", "left_semi")
-    shingled = common.map_slices(needed, sets, "t long, x binary").dropDuplicates(["t"])
-    return guessed.filter(clear).unionByName(common.map_slices(beside(open_, shingled), exact, "a long, b long, similarity double"))
+    of = common.materialize(common.map_slices(needed, sets, "t long, x binary").dropDuplicates(["t"]))
+    beside = pairs.join(of.select(F.col("t").alias("b"), F.col("x").alias("y")), "b").join(of.select(F.col("t").alias("a"), "x"), "a").select("a", "b", "x", "y")
+    return common.materialize(common.map_slices(beside, exact, "a long, b long, similarity double"))
 
 
-def _links(signed: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def _links(per: DataFrame, rows: DataFrame, docs: DataFrame, threshold: float, chunk: int, partners: int) -> DataFrame:
     """a, b of links between texts that share a band and are similar: enough of them to join all that such links join.
 
-    In each band all texts are compared with a leader. Those like it are one class. What isn't like it (r) is compared
-    with those that are (x), and by itself in the next round. Jaccard distance is a metric, so r can only be like an x
-    that is far enough from the leader; and pairs that are joined already are left out. There are as many rounds as a
-    band has texts of which none is like another, which is few where texts are long.
+    per: text_hash, bands of distinct texts; rows: text_hash, fingerprint. Groups are compared by fingerprints, pairs these
+    leave in doubt by their shingle sets. A group with more doubtful pairs than its texts may send at once is compared
+    again, without what is joined or verified by then, until none is left; each time twice as many may be sent.
     """
+    members = common.materialize(_members(per.select(F.explode("bands").alias("band"), F.col("text_hash").alias("t")), chunk))
+    prints = rows.select(F.col("text_hash").alias("t"), "fingerprint").join(members.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.first("fingerprint").alias("fingerprint"))
+    grouped = _groups(members).join(prints, "t").select("key", "t", "fingerprint", F.col("t").alias("root"), F.lit(None).cast("long").alias("other"))
     found: DataFrame | None = None
-    led = _leaders(signed.select(F.explode("bands").alias("band"), F.col("text_hash").alias("t")))
-    slack = 2 * DOUBT
-    while not led.isEmpty():
-        pairs = led.select(F.col("lead").alias("a"), F.col("t").alias("b")).distinct()
-        near = common.materialize(_similar(pairs, signed, docs, threshold))
-        new = near.filter(F.col("similarity") >= threshold).select("a", "b")
-        found = new if found is None else found.unionByName(new)
-        told = led.join(near.select(F.col("a").alias("lead"), F.col("b").alias("t"), "similarity"), ["lead", "t"])
-        unlike = common.materialize(told.filter(F.col("similarity") < threshold).select("band", "t", "similarity"))
-        if unlike.isEmpty():
-            break
+    told: DataFrame | None = None
+    asked: DataFrame | None = None
+    while True:
+        met = common.materialize(_compared(grouped, threshold, partners))
+        links = met.filter("sure").select("a", "b")
+        doubtful = met.filter("not sure").select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        asked = doubtful if asked is None else asked.unionByName(doubtful)
+        pairs = doubtful.select("a", "b").distinct()
+        new = _verified(pairs if told is None else pairs.join(told, ["a", "b"], "left_anti"), docs)
+        told = new if told is None else told.unionByName(new)
+        links = links.unionByName(new.filter(F.col("similarity") >= threshold).select("a", "b"))
+        found = links if found is None else found.unionByName(links)
+        again = met.filter("a is null").select("key")
+        if again.isEmpty():
+            return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = common.materialize(found.distinct())
         root = components(found).withColumnRenamed("node", "t")
-        rooted = lambda df: df.join(root, "t", "left").withColumn("root", F.coalesce("root", "t"))
-        r = rooted(unlike).select("band", F.col("t").alias("a"), F.col("similarity").alias("far"), F.col("root").alias("ra"))
-        x = rooted(told.filter(F.col("similarity") >= threshold).select("band", "t", "similarity")).select("band", F.col("t").alias("b"), F.col("similarity").alias("close"), F.col("root").alias("rb"))
-        cross = r.join(x, "band").filter((F.col("ra") != F.col("rb")) & (F.col("close") <= F.col("far") + (1 - threshold) + slack)).select("a", "b").distinct()
-        more = common.materialize(_similar(cross, signed, docs, threshold))
-        found = common.materialize(found.unionByName(more.filter(F.col("similarity") >= threshold).select("a", "b")))
-        led = _leaders(unlike.select("band", "t"))
-    return found if found is not None else led.select(F.col("lead").alias("a"), F.col("t").alias("b"))
+        open_ = _groups(members).join(again, "key", "left_semi").join(prints, "t").join(root, "t", "left").select("key", "t", "fingerprint", F.coalesce("root", "t").alias("root"), F.lit(None).cast("long").alias("other"))
+        judged = asked.join(again, "key", "left_semi").select("key", F.col("a").alias("t"), F.lit(None).cast("binary").alias("fingerprint"), F.lit(None).cast("long").alias("root"), F.col("b").alias("other"))
+        grouped = open_.unionByName(judged)
+        partners *= 2
 
 
-def _classes(rows: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def _classes(rows: DataFrame, docs: DataFrame, threshold: float, chunk: int = CHUNK, partners: int = PARTNERS) -> DataFrame:
     """text_hash, class_id, links of texts that have copies or links; rows: doc_id, text_hash, fingerprint, bands."""
-    per = common.materialize(rows.groupBy("text_hash").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands")))
-    links = common.materialize(_links(per, docs, threshold))
+    per = common.materialize(rows.groupBy("text_hash").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")))
+    links = common.materialize(_links(per, rows, docs, threshold, chunk, partners))
     root = components(links).withColumnRenamed("node", "text_hash")
     degree = links.select(F.explode(F.array("a", "b")).alias("text_hash")).groupBy("text_hash").agg(F.count(F.lit(1)).alias("links"))
     named = per.select("text_hash", "least", "n").join(root, "text_hash", "left").filter("n > 1 or root is not null").withColumn("root", F.coalesce("root", "text_hash")).join(degree, "text_hash", "left")
@@ -277,19 +388,20 @@ def _classes(rows: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return common.materialize(named.join(least, "root").select("text_hash", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links")))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, chunk: int = CHUNK, partners: int = PARTNERS) -> DataFrame:
     """doc_id, class_id, links of every row: rows of equal text (null is empty) are one class, and so are all that links
     join; class_id is the smallest doc_id in it, links the number of other texts that the row's was found to be linked
     with (enough to join the class, not all of them).
 
     Texts are linked if they share a band of their signatures and their shingles' Jaccard similarity is at least the
-    threshold (1 for two texts without words): texts of similarity 0.8 miss all bands with a chance of 0.0017. An empty table gives no rows; a null
+    threshold (1 for two texts without words): texts of similarity 0.8 miss all bands with a chance of 0.0017. The
+    fingerprints decide alone where their estimate is further than DOUBT from the threshold, which errs with a chance of
+    about 0.0001; all other links are verified exactly. No task holds more than twice `chunk` texts of a band, and a
+    text sends at most `partners` doubtful pairs of a group to verification at once. An empty table gives no rows; a null
     doc_id names a class only if it has no other. Further columns are left out.
     """
-    hashed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    signed = _signed(docs).dropDuplicates(["text_hash"])
-    classes = _classes(hashed.join(signed, "text_hash"), docs, threshold)
-    return _in_class(hashed, classes).select("doc_id", "class_id", "links")
+    rows = common.materialize(_signed(docs))
+    return _in_class(rows, _classes(rows, docs, threshold, chunk, partners)).select("doc_id", "class_id", "links")
 
 
 def _in_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -298,6 +410,9 @@ def _in_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts (see with_next): null texts count as empty, equal texts
-    have equal fingerprints, rows that repeat come each."""
-    return with_next(common.read(spark, sf_dir, "documents"))
+    """Fingerprints of all documents and of their edited texts (see with_next), and each document's class of
+    near-duplicates (class_id, links: see near_duplicates) by joined bands and verified Jaccard similarity: null texts
+    count as empty, equal texts have equal fingerprints, rows that repeat come each."""
+    docs = common.read(spark, sf_dir, "documents")
+    found = _with_next(docs)
+    return _shown(_in_class(found, _classes(found, docs, 0.8)), "class_id", "links")

@@ -255,8 +255,10 @@ def test_minhash(docs, real, empty):
     assert minhash.with_next(one).first().near_next == 1.0
 
 
-def test_minhash_finds_the_classes_of_brute_force(spark):
-    """Chains, groups of near copies, two leaders that a third text joins: recall of linked pairs, and no false link."""
+@pytest.mark.parametrize("chunk, partners", [(minhash.CHUNK, minhash.PARTNERS), (3, 1)])
+def test_minhash_finds_the_classes_of_brute_force(spark, chunk, partners):
+    """Chains, groups of near copies, two leaders that a third text joins: recall of linked pairs, and no false link. Bands
+    compared whole, and in chunks with several rounds of verification."""
     rng = random.Random(11)
     texts = []
     for g in range(30):
@@ -269,7 +271,7 @@ def test_minhash_finds_the_classes_of_brute_force(spark):
                 words[rng.randrange(len(words))] = f"y{rng.randrange(10**6)}"
     texts += [texts[0], "", " "]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()}
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df, chunk=chunk, partners=partners).collect()}
     sets = [set(minhash.shingles(t).tolist()) for t in texts]
     up = list(range(len(texts)))
 
