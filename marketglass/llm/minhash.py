@@ -30,10 +30,14 @@ DOUBT = 0.15
 #: Texts of a band are numbered in chunks of as many; two chunks are compared at once.
 CHUNK = 2048
 #: Doubtful partners in a group that a text sends to verification at once.
-PARTNERS = 8
+PARTNERS = 2
+#: Texts of groups that are compared again get signatures of as many minima, whose doubt (four standard deviations) is less.
+LONG, LONG_DOUBT = 1024, 0.05
 _rng = np.random.default_rng(20240229)
 A = (_rng.integers(0, 1 << 31, (PERMUTATIONS, 1), np.int64) * 2 + 1).astype(np.uint32)
 B = _rng.integers(0, 1 << 32, (PERMUTATIONS, 1), np.int64).astype(np.uint32)
+LONG_A = (_rng.integers(0, 1 << 31, (LONG, 1), np.int64) * 2 + 1).astype(np.uint32)
+LONG_B = _rng.integers(0, 1 << 32, (LONG, 1), np.int64).astype(np.uint32)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,11 +57,11 @@ def shingles(text: str) -> np.ndarray:
     return (h * MIX >> np.uint64(32)).astype(np.uint32)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
+def signature(hashes: np.ndarray, a: np.ndarray = A, b: np.ndarray = B) -> np.ndarray:
     """Minimum of each permutation; all ones for no shingle."""
-    out = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
+    out = np.full(len(a), 0xFFFFFFFF, np.uint32)
     for at in range(0, len(hashes), 1024):
-        np.minimum(out, (A * hashes[at : at + 1024] + B).min(axis=1), out=out)
+        np.minimum(out, (a * hashes[at : at + 1024] + b).min(axis=1), out=out)
     return out
 
 
@@ -260,17 +264,17 @@ def compare_group(fp: np.ndarray, known: np.ndarray, judged: dict[int, list[int]
     return sure, doubtful, more
 
 
-def _compared(rows: DataFrame, threshold: float, partners: int) -> DataFrame:
+def _compared(rows: DataFrame, threshold: float, partners: int, width: int, doubt: float) -> DataFrame:
     """key, a, b, sure: links and doubtful pairs of the groups (see compare_group), and a row without a and b for each group
-    that has further doubtful pairs. rows: key, t, fingerprint, root of members; key, t, other of pairs verified before."""
-    low, high = threshold - DOUBT, threshold + DOUBT
+    that has further doubtful pairs. rows: key, t, fingerprint (of `width` minima), root of members; key, t, other of pairs verified before."""
+    low, high = threshold - doubt, threshold + doubt
 
     def meet(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
         whole = pa.Table.from_batches(pieces)
         key, t = whole.column("key").to_numpy(), whole.column("t").to_numpy()
         member = whole.column("other").is_null().to_numpy()
-        fp = np.zeros((len(t), PERMUTATIONS), np.uint8)
-        fp[member] = np.frombuffer(b"".join(x for x in whole.column("fingerprint").to_pylist() if x is not None), np.uint8).reshape(-1, PERMUTATIONS)
+        fp = np.zeros((len(t), width), np.uint8)
+        fp[member] = np.frombuffer(b"".join(x for x in whole.column("fingerprint").to_pylist() if x is not None), np.uint8).reshape(-1, width)
         root = whole.column("root").fill_null(0).to_numpy()
         other = whole.column("other").fill_null(0).to_numpy()
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -321,6 +325,18 @@ def _compared(rows: DataFrame, threshold: float, partners: int) -> DataFrame:
     return rows.repartition(parts, "key").sortWithinPartitions("key", "other", "t").mapInArrow(run, "key long, a long, b long, sure boolean")
 
 
+def _long(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """t, fingerprint of LONG minima of the texts in ids (t)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        long = [digest(signature(shingles(t), LONG_A, LONG_B)) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(long, pa.binary())], ["t", "fingerprint"])
+
+    text = F.coalesce("text", F.lit(""))
+    needed = docs.select(F.xxhash64(text).alias("t"), text.alias("text")).join(ids, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
+    return common.materialize(common.map_slices(needed, run, "t long, fingerprint binary"))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b, similarity: the exact Jaccard similarity of the pairs' shingle sets."""
 
@@ -348,7 +364,8 @@ def _links(per: DataFrame, rows: DataFrame, docs: DataFrame, threshold: float, c
 
     per: text_hash, bands of distinct texts; rows: text_hash, fingerprint. Groups are compared by fingerprints, pairs these
     leave in doubt by their shingle sets. A group with more doubtful pairs than its texts may send at once is compared
-    again, without what is joined or verified by then, until none is left; each time twice as many may be sent.
+    again by longer signatures, without what is joined or verified by then, until none is left; each time 16 times as many
+    may be sent.
     """
     members = common.materialize(_members(per.select(F.explode("bands").alias("band"), F.col("text_hash").alias("t")), chunk))
     prints = rows.select(F.col("text_hash").alias("t"), "fingerprint").join(members.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.first("fingerprint").alias("fingerprint"))
@@ -356,8 +373,9 @@ def _links(per: DataFrame, rows: DataFrame, docs: DataFrame, threshold: float, c
     found: DataFrame | None = None
     told: DataFrame | None = None
     asked: DataFrame | None = None
+    width, doubt = PERMUTATIONS, DOUBT
     while True:
-        met = common.materialize(_compared(grouped, threshold, partners))
+        met = common.materialize(_compared(grouped, threshold, partners, width, doubt))
         links = met.filter("sure").select("a", "b")
         doubtful = met.filter("not sure").select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         asked = doubtful if asked is None else asked.unionByName(doubtful)
@@ -366,15 +384,18 @@ def _links(per: DataFrame, rows: DataFrame, docs: DataFrame, threshold: float, c
         told = new if told is None else told.unionByName(new)
         links = links.unionByName(new.filter(F.col("similarity") >= threshold).select("a", "b"))
         found = links if found is None else found.unionByName(links)
-        again = met.filter("a is null").select("key")
+        again = met.filter("a is null").select("key").distinct()
         if again.isEmpty():
             return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = common.materialize(found.distinct())
         root = components(found).withColumnRenamed("node", "t")
-        open_ = _groups(members).join(again, "key", "left_semi").join(prints, "t").join(root, "t", "left").select("key", "t", "fingerprint", F.coalesce("root", "t").alias("root"), F.lit(None).cast("long").alias("other"))
+        left = common.materialize(_groups(members).join(again, "key", "left_semi"))
+        if width != LONG:
+            prints, width, doubt = _long(left.select("t").distinct(), docs), LONG, LONG_DOUBT
+        open_ = left.join(prints, "t").join(root, "t", "left").select("key", "t", "fingerprint", F.coalesce("root", "t").alias("root"), F.lit(None).cast("long").alias("other"))
         judged = asked.join(again, "key", "left_semi").select("key", F.col("a").alias("t"), F.lit(None).cast("binary").alias("fingerprint"), F.lit(None).cast("long").alias("root"), F.col("b").alias("other"))
         grouped = open_.unionByName(judged)
-        partners *= 2
+        partners *= 16
 
 
 def _classes(rows: DataFrame, docs: DataFrame, threshold: float, chunk: int = CHUNK, partners: int = PARTNERS) -> DataFrame:
@@ -396,7 +417,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, chunk: int = CHUNK,
     Texts are linked if they share a band of their signatures and their shingles' Jaccard similarity is at least the
     threshold (1 for two texts without words): texts of similarity 0.8 miss all bands with a chance of 0.0017. The
     fingerprints decide alone where their estimate is further than DOUBT from the threshold, which errs with a chance of
-    about 0.0001; all other links are verified exactly. No task holds more than twice `chunk` texts of a band, and a
+    about 0.0001 (LONG_DOUBT in groups compared again); all other links are verified exactly. No task holds more than twice `chunk` texts of a band, and a
     text sends at most `partners` doubtful pairs of a group to verification at once. An empty table gives no rows; a null
     doc_id names a class only if it has no other. Further columns are left out.
     """
