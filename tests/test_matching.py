@@ -109,3 +109,14 @@ def test_items_equal_the_rules_applied_to_all_variants(spark):
     want = {x["item_id"]: plain(x, variants) for x in items}
     assert {k: (got[k], want[k], items[k]) for k in want if got[k] != want[k]} == {}
     assert {w[2] for w in want.values()} == {"matched", "ambiguous", "unmatched"}
+
+
+def test_copies_of_items_and_variants(spark):
+    """Equal variants are one candidate with an equal behind it, equal items are matched once, and no join of either goes through the driver."""
+    variants = spark.createDataFrame([(k * 10 + j, f"{name} phone", "Acme", f"mx{j}", 64) for k in range(30) for j, name in enumerate(("blue", "large", "old"))], "product_id long, name string, brand string, model string, storage_gb int").unionByName(
+        spark.createDataFrame([(999, "single phone", "Acme", "q7", 64)], "product_id long, name string, brand string, model string, storage_gb int"))
+    items = spark.createDataFrame([(k, ("blue phone acme mx0 64gb", "single phone acme q7 64gb")[k % 2], "acme") for k in range(40)], "item_id long, title string, brand string")
+    found = matching.match(items, variants)
+    got = {r.item_id: (r.product_id, r.confidence, r.status) for r in found.collect()}
+    assert got == {k: ((0, 100, "ambiguous"), (999, 100, "matched"))[k % 2] for k in range(40)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
