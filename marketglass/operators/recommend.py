@@ -6,9 +6,16 @@ makes as many rows as products bought and never pairs of products.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..sources.shared import materialize
 
 
 def tastes(sales: DataFrame) -> DataFrame:
@@ -18,15 +25,82 @@ def tastes(sales: DataFrame) -> DataFrame:
 
 
 def fit(weights: DataFrame, rank: int = 16, rounds: int = 8, strength: float = 10.0, blocks: int | None = None) -> ALSModel:
-    """Factors of customers and products; ids must be integers."""
-    parts = blocks or int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Factors of customers and products; ids must be integers. Blocks go by the session's cores: each round sends factors
+    between all of them, so that many small ones cost more than they spread."""
+    parts = blocks or max(1, min(int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions")), weights.sparkSession.sparkContext.defaultParallelism))
     return ALS(rank=rank, maxIter=rounds, regParam=0.05, implicitPrefs=True, alpha=strength, userCol="org_id", itemCol="product_id", ratingCol="weight", numUserBlocks=parts, numItemBlocks=parts, seed=7, coldStartStrategy="drop").fit(weights)
 
 
-def recommended(model: ALSModel, weights: DataFrame, k: int = 5) -> DataFrame:
-    """org_id, rank, product_id, score, bought: the k products of the highest score for every customer, by blocks of
-    factors; those already bought are told, not left out."""
-    top = model.recommendForAllUsers(k).select("org_id", F.posexplode("recommendations").alias("place", "r"))
-    found = top.select("org_id", (F.col("place") + 1).alias("rank"), F.col("r.product_id").alias("product_id"), F.col("r.rating").alias("score"))
+def _blocks(factors: DataFrame, size: int, order: list) -> DataFrame:
+    """ids, factors, longest: rows of up to `size` ids as little-endian bytes, and the greatest length of their factors."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for k in range(0, len(f), size):
+                x = f.iloc[k : k + size]
+                own = np.array(x["features"].tolist(), "<f4")
+                yield pd.DataFrame({"ids": [x["id"].to_numpy("<i4").tobytes()], "factors": [own.tobytes()], "longest": [np.linalg.norm(own.astype(np.float64), axis=1).max()]})
+
+    return factors.sortWithinPartitions(*order).mapInPandas(pack, "ids binary, factors binary, longest double")
+
+
+def recommended(model: ALSModel, weights: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
+    """org_id, rank, product_id, score, bought: the k products of the highest score for every customer, ties to smaller ids;
+    those already bought are told, not left out.
+
+    Every block of customers meets every block of products. Blocks of products come by falling length of their factors, so
+    that after the first ones few scores pass a customer's k-th best so far, and a block whose longest factors can't reach
+    it is passed over: a score is at most the product of both lengths.
+    """
+    spark, rank = weights.sparkSession, model.rank
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    length = F.aggregate("features", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    users = materialize(_blocks(model.userFactors.repartition(cores, "id"), block, [F.col("id")]))
+    items = materialize(_blocks(model.itemFactors.repartition(cores, "id"), block, [length.desc(), F.col("id")]).withColumnsRenamed({"ids": "item_ids", "factors": "item_factors"}))
+    # A task takes about one block of customers and 32 of products, however many there are.
+    users = users.drop("longest").repartition(max(1, users.count()))
+    items = items.repartition(-(-max(1, items.count()) // 32)).sortWithinPartitions(F.col("longest").desc(), "item_ids")
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[bytes, list] = {}
+        for f in frames:
+            for ids, own, item_ids, factors, longest in f[["ids", "factors", "item_ids", "item_factors", "longest"]].itertuples(index=False):
+                u, p = np.frombuffer(own, "<f4").reshape(-1, rank), np.frombuffer(factors, "<f4").reshape(-1, rank)
+                at = np.frombuffer(item_ids, "<i4")
+                if ids not in found:
+                    found[ids] = [np.full((len(u), k), -np.inf, np.float32), np.full((len(u), k), -1, np.int32), np.linalg.norm(u.astype(np.float64), axis=1)]
+                score, product, long = found[ids]
+                live = np.flatnonzero(long * longest * (1 + 1e-5) + 1e-30 >= score[:, -1])
+                for low in range(0, len(live), 512):
+                    rows = live[low : low + 512]
+                    s = u[rows] @ p.T
+                    if np.isneginf(score[rows, -1]).any():
+                        # The first block: the k-th best of it is a bound, and ties with it are kept.
+                        bound = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(rows), -np.inf, np.float32)
+                        bound = np.maximum(bound, score[rows, -1])
+                    else:
+                        bound = score[rows, -1]
+                    r, c = np.nonzero(s >= bound[:, None])
+                    if not len(r):
+                        continue
+                    hit = np.unique(r)
+                    rr = np.concatenate([r, np.repeat(hit, k)])
+                    ss = np.concatenate([s[r, c], score[rows[hit]].ravel()])
+                    pp = np.concatenate([at[c], product[rows[hit]].ravel()])
+                    order = np.lexsort((pp, -ss, rr))
+                    rr, ss, pp = rr[order], ss[order], pp[order]
+                    place = np.arange(len(rr)) - np.searchsorted(rr, rr)
+                    keep = place < k
+                    score[rows[rr[keep]], place[keep]] = ss[keep]
+                    product[rows[rr[keep]], place[keep]] = pp[keep]
+        for ids, (score, product, _) in found.items():
+            org = np.repeat(np.frombuffer(ids, "<i4"), k)
+            out = pd.DataFrame({"org_id": org, "product_id": product.ravel(), "score": score.ravel()})
+            yield out[~np.isneginf(out["score"])]
+
+    met = users.crossJoin(items)
+    top = met.mapInPandas(best, "org_id int, product_id int, score float")
+    w = Window.partitionBy("org_id").orderBy(F.col("score").desc(), "product_id")
+    found = top.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     known = weights.select("org_id", "product_id", F.lit(True).alias("bought"))
     return found.join(known, ["org_id", "product_id"], "left").select("org_id", "rank", "product_id", "score", F.coalesce("bought", F.lit(False)).alias("bought"))

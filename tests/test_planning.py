@@ -197,3 +197,21 @@ def test_a_planted_block_comes_out_and_the_bound_holds(spark, seed):
         left = {e: x for e, x in left.items() if low not in (("u", e[0]), ("p", e[1]))}
     assert max(d for _, d in told) >= best / 2.2 and len(told) < 25
     assert graph.dense_block(spark.createDataFrame([], "user_id long, product_id long"))[0].count() == 0
+
+
+def test_recommendations_by_blocks(spark):
+    """Blocks smaller than k and many of them give each customer's best, and tasks go by blocks, not by shuffle partitions."""
+    rng = random.Random(8)
+    weights = recommend.tastes(spark.createDataFrame([(u, rng.randrange(90), rng.randrange(1, 5)) for u in range(50) for _ in range(9)], "org_id long, product_id long, quantity int"))
+    model = recommend.fit(weights, rank=4, rounds=3)
+    found = recommend.recommended(model, weights, 5, block=3)
+    got = {(r.org_id, r["rank"]): r.score for r in found.collect()}
+    user, item = ({r.id: np.array(r.features) for r in f.collect()} for f in (model.userFactors, model.itemFactors))
+    for u, f in user.items():
+        assert np.allclose([got[u, k] for k in range(1, 6)], sorted((float(f @ g) for g in item.values()), reverse=True)[:5], atol=1e-5)
+    assert len(got) == 5 * len(user)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        assert recommend.fit(weights, rank=4, rounds=1).userFactors.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
