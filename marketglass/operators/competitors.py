@@ -31,7 +31,8 @@ def gaps(watch: DataFrame, own: DataFrame, listings: DataFrame, threshold: float
 
 def market_share(watch: DataFrame, own: DataFrame, listings: DataFrame) -> DataFrame:
     """Basis points of each product that an organisation watches, under shares in inverse proportion to price among the
-    listings that it watches: own weight / all weights, in decimals, rounded half up; null without an own price above 0.
+    listings that it watches: own weight / all weights, in decimals (weights to 19 digits, their quotient to 16), rounded half
+    up, also where a share lies half between two basis points; null without an own price above 0.
 
     Listings without a price above 0 have no weight; those that nobody of the organisation watches don't count.
     """

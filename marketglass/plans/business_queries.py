@@ -119,11 +119,13 @@ def competitor_gaps(spark, d):
     return _gaps(spark, d)
 
 
-#: Inverse prices in 10^-19, rounded half up, of the listings that the organisation watches, and the product's share in basis points.
-SHARES = f"""select x.org_id, x.product_id, {half_up("mine * 10000::hugeint", "mine + others")} as share_bp from (
+#: Inverse prices in 10^-19, rounded half up, of the listings that the organisation watches, and the product's share in basis points:
+#: the quotient to 16 digits, percent to 12 and then to 2, each half up, as the decimals of the query. One rounding of the
+#: quotient of rounded inverses would put shares that lie half between two basis points on either side.
+SHARES = f"""select org_id, product_id, {half_up("pct12", "10000000000::hugeint")} as share_bp from (select *, {half_up("q16", "100::hugeint")}::hugeint as pct12 from (select x.org_id, x.product_id, {half_up("mine * 10000000000000000::hugeint", "mine + others")}::hugeint as q16 from (
   select w.org_id, w.product_id, case when any_value(o.selling_price) > 0 then {half_up("1000000000000000000000::hugeint", cents("any_value(o.selling_price)"))}::hugeint end as mine,
     coalesce(sum(case when l.current_price > 0 then {half_up("1000000000000000000000::hugeint", cents("l.current_price"))}::hugeint end), 0)::hugeint as others
-  from watch w join listings l on w.product_id = l.product_id and w.seller_id = l.seller_id join own o on w.product_id = o.product_id group by all) x""".replace("as bigint) end)::hugeint", "as hugeint) end)::hugeint")
+  from watch w join listings l on w.product_id = l.product_id and w.seller_id = l.seller_id join own o on w.product_id = o.product_id group by all) x) y) z""".replace("as bigint) end)::hugeint", "as hugeint) end)::hugeint")
 
 
 @query(GAPS + f"""select org_id, count(*) as tracked, count(distinct product_id) as products, count(distinct case when risk = 'high' then product_id end) as at_risk, {dec(half_up('sum(cast(gap * 100 as bigint))', 'count(gap)'))} as average_gap,

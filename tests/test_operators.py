@@ -161,3 +161,25 @@ def test_stream_fires_once_over_restarts(spark, tmp_path):
 def test_stream_buckets(spark, folder):
     out = captures.run_available(captures.buckets(captures.read(spark, f"{folder}/events.parquet")), "complete")
     assert sum(r.n for r in out.collect()) == spark.read.parquet(f"{folder}/events.parquet").count()
+
+
+def test_shares_half_between_two_basis_points_equal_their_sql(spark):
+    import duckdb
+
+    from marketglass.operators import competitors
+    from marketglass.plans.business_queries import SHARES
+
+    # Own price d - k and another's k give the share k / d; these denominators fall half between basis points.
+    cents = [((d - k) * m, k * m) for d in (32, 160, 800, 4000, 20000) for k in range(1, d, 2 + d // 32 * 2) for m in (1, 7, 30)]
+    cents += [(1, 99_999_999_999), (99_999_999_999, 1), (0, 5), (5, 0)]
+    duck = duckdb.connect()
+    duck.execute("create table own (product_id bigint, selling_price decimal(14,2)); create table listings (product_id bigint, seller_id bigint, current_price decimal(14,2)); create table watch as select 1 as org_id, n as product_id, 2 as seller_id from range(%d) r(n)" % len(cents))
+    for n, (a, b) in enumerate(cents):
+        duck.execute(f"insert into own values ({n}, {a / 100:.2f}); insert into listings values ({n}, 2, {b / 100:.2f})")
+    money = lambda column: F.col(column).cast("decimal(14,2)").alias(column)
+    own = spark.createDataFrame([(n, f"{a / 100:.2f}") for n, (a, b) in enumerate(cents)], "product_id long, selling_price string").select("product_id", money("selling_price"))
+    listings = spark.createDataFrame([(n, 2, f"{b / 100:.2f}") for n, (a, b) in enumerate(cents)], "product_id long, seller_id long, current_price string").select("product_id", "seller_id", money("current_price"))
+    watch = spark.createDataFrame([(1, n, 2) for n in range(len(cents))], "org_id long, product_id long, seller_id long")
+    got = {r.product_id: r.share_bp for r in competitors.market_share(watch, own, listings).collect()}
+    assert got == {p: s for _, p, s in duck.execute(SHARES).fetchall()}
+    assert all(got[n] == (20_000 * b + a + b) // (2 * (a + b)) for n, (a, b) in enumerate(cents) if a and b)
