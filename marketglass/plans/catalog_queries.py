@@ -469,8 +469,10 @@ def dq_violations(spark, d):
     return reduce(DataFrame.unionByName, [*broken, merge.repeats(t.points(spark, d), ["product_id", "seller_id", "captured_at"], "capture_once")])
 
 
-@query(f"""select product_id, seller_id, {d2("case when product_id % 3 = 0 then current_price + 1 else current_price end")} as current_price, cast(first_seen_at as date) as first_seen, case when product_id % 3 = 0 then 'updated' else 'kept' end as action from listings
-union all select product_id + 1000000, seller_id, {d2('current_price')}, cast(last_seen_at as date), 'inserted' from listings where product_id % 3 = 1""")
+@query(f""", nw as (select product_id, seller_id, current_price + 1 as current_price, last_seen_at as seen from listings where product_id % 3 = 0
+union all select product_id + 1000000, seller_id, current_price, last_seen_at from listings where product_id % 3 = 1)
+select product_id, seller_id, {d2("coalesce(nw.current_price, l.current_price)")} as current_price, cast(coalesce(l.first_seen_at, nw.seen) as date) as first_seen,
+  case when l.current_price is null then 'inserted' when nw.current_price is null then 'kept' else 'updated' end as action from listings l full join nw using (product_id, seller_id)""")
 def upsert_listings(spark, d):
     old = t.listings(spark, d).select("product_id", "seller_id", "current_price", "first_seen_at")
     full = t.listings(spark, d)

@@ -183,3 +183,22 @@ def test_shares_half_between_two_basis_points_equal_their_sql(spark):
     got = {r.product_id: r.share_bp for r in competitors.market_share(watch, own, listings).collect()}
     assert got == {p: s for _, p, s in duck.execute(SHARES).fetchall()}
     assert all(got[n] == (20_000 * b + a + b) // (2 * (a + b)) for n, (a, b) in enumerate(cents) if a and b)
+
+
+def test_upsert_of_ids_beyond_a_million_equals_its_sql(spark, folder, tmp_path):
+    """Products whose ids differ by the query's million: the capture that would be inserted updates a listing that is there."""
+    import duckdb
+
+    from marketglass import plans
+
+    duck, lines = duckdb.connect(), f"{folder}/lineitem.parquet"
+    duck.execute(f"create view lineitem as select * from '{lines}' union all select * replace (l_partkey + 1000000 as l_partkey) from '{lines}' where l_partkey % 2 = 0")
+    (tmp_path / "lineitem.parquet").mkdir()
+    duck.execute(f"copy lineitem to '{tmp_path}/lineitem.parquet/a.parquet' (format parquet)")
+    for t in ("part", "supplier", "nation", "region", "customer", "orders"):
+        duck.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    names = ["product_id", "seller_id", "current_price", "first_seen", "action"]
+    want = duck.execute(f"select {', '.join(names)} from ({plans.SQL['upsert_listings']})").fetchall()
+    got = [tuple(r) for r in plans.QUERIES["upsert_listings"](spark, str(tmp_path)).select(*names).collect()]
+    assert sorted(got) == sorted(want)
+    assert any(p > 1000000 and action == "updated" for p, *_, action in got)
