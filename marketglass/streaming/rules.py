@@ -38,89 +38,136 @@ def gap_bp(own: np.ndarray, cents: np.ndarray) -> np.ndarray:
     return np.sign(gap) * ((2 * np.abs(gap) * 10_000 + cents) // (2 * cents))
 
 
+#: Products of one group, and the most pairs of a capture and a rule that are held at once.
+TOGETHER, PAIRS = 64, 2_000_000
+
+
 class _Rules(StatefulProcessor):
-    """State of a product: its alerts, its watches, and the last level of each watch (which may expire)."""
+    """State of a group of products: their alerts, their watches, and the last level of each watch (which may expire)."""
 
     def __init__(self, forget_ms: int | None):
         self.forget_ms = forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rules = handle.getMapState("rules", "rule_id string", "kind string, seller_id long, level long, own long, active boolean, fired boolean")
-        self.levels = handle.getMapState("levels", "rule_id string", "high boolean", ttlDurationMs=self.forget_ms) if self.forget_ms else handle.getMapState("levels", "rule_id string", "high boolean")
+        self.rules = handle.getMapState("rules", "product_id long, rule_id string", "kind string, seller_id long, level long, own long, active boolean, fired boolean")
+        self.levels = handle.getMapState("levels", "product_id long, rule_id string", "high boolean", ttlDurationMs=self.forget_ms) if self.forget_ms else handle.getMapState("levels", "product_id long, rule_id string", "high boolean")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         got = pd.concat(list(rows), ignore_index=True)
         got["capture"] = got["rule_id"].isna()
         got = got.sort_values(["at", "capture", "ord", "line"], kind="stable", na_position="first", ignore_index=True)
-        shown = got[got["capture"]]
-        place, seller, cents = shown.index.to_numpy(), shown["seller_id"].to_numpy(np.int64), shown["cents"].to_numpy(np.int64)
-        old = {k[0]: tuple(v) for k, v in self.rules.iterator()} if self.rules.exists() else {}
-        levels = {k[0]: v[0] for k, v in self.levels.iterator()} if self.levels.exists() else {}
-        changed = got[~got["capture"]]
-        by_rule = {r: part for r, part in changed.groupby("rule_id", sort=False)}
-        out: list[tuple[str, str, int, int]] = []
-        for rule_id in {**old, **by_rule}:
-            was = old.get(rule_id)
-            rule = was or (None, None, None, None, False, False)
-            high = levels.get(rule_id)
-            mine = by_rule.get(rule_id)
-            # Between changes a rule is constant: captures are taken segment by segment.
-            marks = [] if mine is None else list(zip(mine.index, mine.itertuples(index=False)))
-            for n in range(-1, len(marks)):
-                if n >= 0:
-                    c = marks[n][1]
-                    kind, place_of, level, own, active, fired = rule
-                    rule = (c.kind, kind and place_of or (None if pd.isna(c.seller_id) else int(c.seller_id)), level if pd.isna(c.level) else int(c.level), own if pd.isna(c.own) else int(c.own), active if c.is_active is None or pd.isna(c.is_active) else bool(c.is_active), fired)
-                    if c.is_active is not None and not pd.isna(c.is_active) and c.is_active:
-                        rule, high = (*rule[:5], False), None
-                kind, only, level, own, active, fired = rule
-                if not active or level is None or kind == "alert" and fired or kind == "watch" and own is None:
-                    continue
-                low = np.searchsorted(place, marks[n][0]) if n >= 0 else 0
-                end = np.searchsorted(place, marks[n + 1][0]) if n + 1 < len(marks) else len(place)
-                at = np.arange(low, end)
-                at = at if only is None else at[seller[at] == only]
-                if kind == "alert":
-                    hit = at[cents[at] <= level]
-                    if len(hit):
-                        out.append((kind, rule_id, int(place[hit[0]]), None))
-                        rule = (*rule[:5], True)
-                else:
-                    at = at[cents[at] > 0]
-                    if len(at):
-                        gaps = gap_bp(np.int64(own), cents[at])
-                        now = gaps >= level
-                        rises = now & ~np.append(bool(high), now[:-1])
-                        out += [("watch", rule_id, int(place[k]), int(g)) for k, g in zip(at[rises], gaps[rises])]
-                        high = bool(now[-1])
-            if rule != was:
-                self.rules.updateValue((rule_id,), rule)
+        shown, changed = got[got["capture"]], got[~got["capture"]]
+        touched = set(got["product_id"])
+        old = {tuple(k): tuple(v) for k, v in self.rules.iterator() if k[0] in touched} if self.rules.exists() else {}
+        levels = {tuple(k): v[0] for k, v in self.levels.iterator() if k[0] in touched} if self.levels.exists() else {}
+
+        # Versions of each rule: as it was (at place -1), then after each change; a rule is constant between them.
+        number = {k: n for n, k in enumerate(dict.fromkeys([*old, *zip(changed["product_id"], changed["rule_id"])]))}
+        if not number:
+            return
+        was = [old.get(k) for k in number]
+        had = [n for n, w in enumerate(was) if w is not None]
+        start = pd.DataFrame([was[n] for n in had], columns=["kind", "seller_id", "level", "own", "active", "fired"])
+        v = pd.DataFrame({
+            "rule": np.array(had + [number[k] for k in zip(changed["product_id"], changed["rule_id"])], np.int64), "place": np.r_[np.full(len(had), -1), changed.index.to_numpy()].astype(np.int64), "kind": [*start["kind"], *changed["kind"]],
+            **{c: np.r_[start[c].to_numpy(float), changed[c].to_numpy(float)] for c in ("seller_id", "level", "own")},
+            "active": np.r_[start["active"].to_numpy(float), pd.to_numeric(changed["is_active"]).to_numpy(float)],
+        }).sort_values(["rule", "place"], kind="stable", ignore_index=True)
+        v["stretch"] = ((v["active"] == 1) & (v["place"] >= 0)).groupby(v["rule"]).cumsum()
+        for c in ("level", "own", "active"):
+            v[c] = v.groupby("rule")[c].ffill()
+        # The first seller that is named stays.
+        v["seller_id"] = v["seller_id"].where(v["seller_id"] != 0).groupby(v["rule"]).ffill().fillna(v["seller_id"])
+        first = v["seller_id"].where(v["seller_id"] != 0).groupby(v["rule"]).transform("first")
+        v["seller_id"] = first.where(v["seller_id"].notna() & (v["seller_id"] != 0), v["seller_id"])
+        last = v.groupby("rule").tail(1)
+        span = len(got) + 1
+        begins = v["rule"].to_numpy() * span + v["place"].to_numpy() + 1
+
+        keys, hits = list(number), []
+        fired_in: dict[int, int] = {}
+        level_in: dict[int, tuple[int, bool]] = {}
+        of_product = shown.groupby("product_id", sort=False).indices
+        place, seller, cents = shown.index.to_numpy(), shown["seller_id"].to_numpy(), shown["cents"].to_numpy()
+        rules_of: dict[int, list[int]] = {}
+        for n, k in enumerate(keys):
+            if k[0] in of_product:
+                rules_of.setdefault(k[0], []).append(n)
+        for rules, captures in _pieces(rules_of, of_product):
+            version = np.searchsorted(begins, rules * span + place[captures] + 1, "right") - 1
+            ok = version >= 0
+            ok[ok] = v["rule"].to_numpy()[version[ok]] == rules[ok]
+            rules, captures, version = rules[ok], captures[ok], version[ok]
+            x = pd.DataFrame({"rule": rules, "place": place[captures], "seller": seller[captures], "cents": cents[captures]})
+            for c in ("kind", "level", "own", "active", "stretch", "seller_id"):
+                x[c] = v[c].to_numpy()[version]
+            x = x[(x["active"] == 1) & x["level"].notna() & (x["seller_id"].isna() | (x["seller_id"] == x["seller"]))].sort_values(["rule", "place"])
+            a = x[(x["kind"] == "alert") & (x["cents"] <= x["level"])].drop_duplicates(["rule", "stretch"])
+            a = a[~((a["stretch"] == 0) & a["rule"].map(lambda n: was[n] is not None and bool(was[n][5])).astype(bool))]
+            hits += [("alert", n, p, None) for n, p in zip(a["rule"], a["place"])]
+            fired_in.update(zip(a["rule"], a["stretch"]))
+            w = x[(x["kind"] == "watch") & x["own"].notna() & (x["cents"] > 0)]
+            if len(w):
+                gap = gap_bp(w["own"].to_numpy(np.int64), w["cents"].to_numpy(np.int64))
+                now = pd.Series(gap >= w["level"].to_numpy(), index=w.index)
+                before = now.groupby([w["rule"], w["stretch"]]).shift(1)
+                begun = (w["stretch"] == 0) & w["rule"].map(lambda n: bool(levels.get(keys[n]))).astype(bool)
+                rises = now.to_numpy() & ~np.where(before.isna(), begun, before.eq(True))
+                hits += [("watch", n, p, int(g)) for n, p, g in zip(w["rule"][rises], w["place"][rises], gap[rises])]
+                level_in.update(zip(w["rule"], zip(w["stretch"], now)))
+
+        number_of = lambda c: None if np.isnan(c) else int(c)
+        for n, kind, only, level, own, active, stretch in last[["rule", "kind", "seller_id", "level", "own", "active", "stretch"]].itertuples(index=False):
+            k = keys[n]
+            fired = fired_in.get(n) == stretch or stretch == 0 and was[n] is not None and bool(was[n][5])
+            rule = (kind, number_of(only), number_of(level), number_of(own), active == 1, bool(fired))
+            if rule != was[n]:
+                self.rules.updateValue(k, rule)
+            high = bool(level_in[n][1]) if n in level_in and level_in[n][0] == stretch else levels.get(k) if stretch == 0 else None
             if high is None:
-                if rule_id in levels:
-                    self.levels.removeKey((rule_id,))
-            elif high != levels.get(rule_id) or self.forget_ms:
-                self.levels.updateValue((rule_id,), (high,))
-        if out:
-            found = got.loc[[o[2] for o in out], ["seller_id", "at", "ord", "line", "cents"]].reset_index(drop=True)
-            found.insert(0, "kind", [o[0] for o in out])
-            found.insert(1, "rule_id", [o[1] for o in out])
-            found.insert(2, "product_id", key[0])
-            found["gap_bp"] = pd.array([o[3] for o in out], "Int64")
+                if k in levels:
+                    self.levels.removeKey(k)
+            elif high != levels.get(k) or self.forget_ms:
+                self.levels.updateValue(k, (high,))
+        if hits:
+            found = got.loc[[h[2] for h in hits], ["product_id", "seller_id", "at", "ord", "line", "cents"]].reset_index(drop=True)
+            found.insert(0, "kind", [h[0] for h in hits])
+            found.insert(1, "rule_id", [keys[h[1]][1] for h in hits])
+            found["gap_bp"] = pd.array([h[3] for h in hits], "Int64")
             yield found.astype({c: "Int64" for c in ("product_id", "seller_id", "ord", "cents")} | {"line": "Int32"})
 
     def close(self) -> None:
         pass
 
 
+def _pieces(rules_of: dict[int, list[int]], captures_of: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a rule and a capture of its product, about PAIRS at a time; a rule's captures come together."""
+    rules, captures, n = [], [], 0
+    for product, mine in rules_of.items():
+        shown = np.sort(captures_of[product])
+        step = max(1, PAIRS // len(shown))
+        for k in range(0, len(mine), step):
+            part = np.array(mine[k : k + step], np.int64)
+            rules.append(np.repeat(part, len(shown)))
+            captures.append(np.tile(shown, len(part)))
+            n += len(part) * len(shown)
+            if n >= PAIRS:
+                yield np.concatenate(rules), np.concatenate(captures)
+                rules, captures, n = [], [], 0
+    if n:
+        yield np.concatenate(rules), np.concatenate(captures)
+
+
 def fired(merged: DataFrame, forget_ms: int | None = None) -> DataFrame:
     """What alerts and watches of a stream of events fire (columns FIRED).
 
     Events of a micro-batch are taken by time; those that come in a later batch follow, whatever their time. forget_ms:
     after so long without a capture a watch's level is forgotten. The state is a row a rule and only rows that change are
-    written; a micro-batch's captures of one product meet in one task, so the source's files per batch bound it. The session
+    written; a micro-batch's captures of TOGETHER products meet in one task, so the source's files per batch bound it. Calls
+    into Python cost far more than rows, hence products in groups, each taken with whole columns. The session
     needs a state store that holds maps (`captures.start` sets it).
     """
-    return merged.groupBy("product_id").transformWithStateInPandas(_Rules(forget_ms), FIRED, "append", "processingTime" if forget_ms else "none")
+    return merged.withColumn("together", F.floor(F.col("product_id") / TOGETHER)).groupBy("together").transformWithStateInPandas(_Rules(forget_ms), FIRED, "append", "processingTime" if forget_ms else "none")
 
 
 def replayed(merged: DataFrame) -> DataFrame:

@@ -224,3 +224,15 @@ def test_shares_count_watched_listings_only_and_levels_go_by_percent(spark):
     found = {(r.org_id, r.product_id, r.seller_id): (r.risk, r.position) for r in competitors.gaps(watch, own, listings).collect()}
     assert found[3, 13, 1] == ("low", "above_competitor")
     assert found[1, 11, 1] == ("medium", "above_competitor")
+
+
+def test_pairs_of_products_taken_together_are_whole_and_bounded(monkeypatch):
+    """Rules and captures of several products in one call: every pair once, in pieces."""
+    import numpy as np
+
+    from marketglass.streaming import rules as r
+
+    monkeypatch.setattr(r, "PAIRS", 10)
+    pieces = list(r._pieces({7: [0, 1, 2, 3, 4], 9: [5]}, {7: np.array([2, 0, 5]), 9: np.array([1])}))
+    assert all(len(a) < 20 for a, _ in pieces) and len(pieces) > 1
+    assert sorted((int(n), int(c)) for a, b in pieces for n, c in zip(a, b)) == sorted([(n, c) for n in range(5) for c in (0, 2, 5)] + [(5, 1)])
