@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,8 +37,16 @@ def repeats(df: DataFrame, key: list[str], rule: str) -> DataFrame:
     return again.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("failures")).select(F.lit(rule).alias("rule"), "failures")
 
 
-def split_quarantine(df: DataFrame, rules: dict[str, object]) -> tuple[DataFrame, DataFrame]:
-    """Rows that keep all rules, and rows that don't with the rules they break."""
-    broken = F.array_compact(F.array(*(F.when(~F.coalesce(test, F.lit(False)), name) for name, test in rules.items())))
-    marked = df.withColumn("broken", broken)
-    return marked.filter(F.size("broken") == 0).drop("broken"), marked.filter(F.size("broken") > 0)
+def keeps(rules: dict[str, Column]) -> Column:
+    """Whether a row keeps all rules (null counts as breaking)."""
+    return reduce(Column.__and__, (F.coalesce(test, F.lit(False)) for test in rules.values()), F.lit(True))
+
+
+def broken_rules(rules: dict[str, Column]) -> Column:
+    """The names of the rules that a row breaks."""
+    return F.array_except(F.array(*(F.when(~F.coalesce(test, F.lit(False)), name) for name, test in rules.items())), F.array(F.lit(None).cast("string")))
+
+
+def split_quarantine(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Rows that keep all rules, and rows that don't with the rules they break, which are named for these only."""
+    return df.filter(keeps(rules)), df.filter(~keeps(rules)).withColumn("broken", broken_rules(rules))

@@ -141,7 +141,7 @@ def _ingested(spark, d):
         (k * 10 + n).alias("capture_id"), F.concat(F.lit("P"), text(s % 5)).alias("platform"), F.concat(F.lit("e"), text(p)).alias("external_id"), F.when(k % 9 == 0, p + 1000000).otherwise(p).alias("product_id"),
         F.when(s % 3 == 0, F.concat(F.lit("x"), text(s))).alias("external_seller_id"), F.when(s % 11 != 0, F.concat(F.lit(" Supplier "), text(s % 50))).alias("seller_name"), F.when(k % 13 == 0, " ").otherwise("item").alias("title"),
         text(F.col("l_extendedprice").cast("decimal(14,2)")).alias("price"), F.when(k % 7 == 0, "USD").otherwise("PKR").alias("currency"), (F.col("l_returnflag") != "R").alias("is_available"),
-        F.concat(F.date_format(F.date_trunc("month", "l_shipdate"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("scraped_at"),
+        F.concat(text(F.trunc("l_shipdate", "month")), F.lit("T00:00:00Z")).alias("scraped_at"),
     )
     platforms = spark.range(5).select(F.concat(F.lit("P"), text(F.col("id"))).alias("platform"), (F.col("id") != 4).alias("is_active"))
     a, own = t.alerts(spark, d), t.own_products(spark, d)

@@ -50,7 +50,7 @@ def capture_rules() -> dict[str, Column]:
     price = F.col("price").try_cast("decimal(20,6)")
     return {
         "platform": F.trim("platform") != "", "title": F.length(F.trim("title")).between(1, 500), "price": (price > 0) & (price == F.round(price, 2)), "currency": F.upper(F.trim("currency")) == "PKR",
-        "offset": F.col("scraped_at").rlike(r"(Z|[+-]\d{2}:?\d{2})$"), "time": F.try_to_timestamp("scraped_at").isNotNull(),
+        "offset": F.col("scraped_at").endswith("Z") | F.col("scraped_at").rlike(r"[+-]\d{2}:?\d{2}$"), "time": F.try_to_timestamp("scraped_at").isNotNull(),
     }
 
 

@@ -185,3 +185,22 @@ def test_an_alert_that_has_triggered_is_checked_only(spark):
     points = spark.createDataFrame([(5, 1, at(3), 1, 1, Decimal("8"), True)], "product_id long, seller_id long, captured_at timestamp, ord long, line int, price decimal(14,2), is_available boolean")
     got = {r.alert_id: (r.is_triggered, r.last_checked is not None) for r in alerts.evaluated(table, points).collect()}
     assert got == {1: (False, True), 2: (True, True)}
+
+
+def test_the_first_batch_reads_its_captures_once_and_deals_out_broken_ones(spark, tmp_path):
+    rows = sent(80, 4) + [(None,) * 11] * 5
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    done = ingest.Ingest(spark, str(tmp_path / "out"), *tables(spark))
+    done.batch(spark.createDataFrame(rows, ingest.SENT).mapInPandas(counted, ingest.SENT), 0)
+    assert read.value == 85
+    assert done.table("outcomes").count() + done.table("quarantine").count() == 85
+    lost = done.table("quarantine").filter("platform is null").collect()
+    assert [r.broken for r in lost] == [["platform", "title", "price", "currency", "offset", "time"]] * 5
+    as_sent = {(r.capture_id, r.price, r.scraped_at) for r in done.table("quarantine").filter("platform is not null").collect()}
+    assert as_sent and as_sent <= {(r[0], r[7], r[10]) for r in rows}
