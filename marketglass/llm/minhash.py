@@ -9,7 +9,7 @@ and by the exact shingle sets where they do.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,8 @@ B = _rng.integers(0, 1 << 32, (PERMUTATIONS, 1), np.int64).astype(np.uint32)
 LONG_A = (_rng.integers(0, 1 << 31, (LONG, 1), np.int64) * 2 + 1).astype(np.uint32)
 LONG_B = _rng.integers(0, 1 << 32, (LONG, 1), np.int64).astype(np.uint32)
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Most bits of a sieve (8 MB).
+SIEVE = 1 << 26
 
 
 def shingles(text: str) -> np.ndarray:
@@ -325,16 +327,37 @@ def _compared(rows: DataFrame, threshold: float, partners: int, width: int, doub
     return rows.repartition(parts, "key").sortWithinPartitions("key", "other", "t").mapInArrow(run, "key long, a long, b long, sure boolean")
 
 
-def _long(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """t, fingerprint of LONG minima of the texts in ids (t)."""
+def _of_texts(ids: DataFrame, docs: DataFrame, name: str, make: Callable[[str], bytes]) -> DataFrame:
+    """t, name: what make gives for the texts in ids (t, distinct).
+
+    Whole texts pass no exchange: a sieve of two bits an id leaves those that ids may hold where they are read, and what
+    make gives for these meets ids. A sieve has at least 32 bits an id, which a text outside passes with a chance of
+    1/256; it stops growing at SIEVE, from where on more pass, and still all in ids.
+    """
+    ids = common.materialize(ids)
+    size = min(SIEVE, max(1 << 10, 1 << (32 * ids.count() - 1).bit_length()))
+    places = ids.select(F.explode(F.array(F.col("t").bitwiseAND(size - 1), F.shiftrightunsigned("t", 32).bitwiseAND(size - 1))).alias("p"))
+    set_ = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("x")).toArrow()
+    bits = np.zeros(size >> 6, np.int64)
+    bits[set_.column("w").to_numpy()] = set_.column("x").to_numpy()
+    sieve = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        long = [digest(signature(shingles(t), LONG_A, LONG_B)) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(long, pa.binary())], ["t", "fingerprint"])
+        t = batch.column(0).to_numpy()
+        held = np.ones(len(t), bool)
+        for p in (t & (size - 1), t >> 32 & (size - 1)):
+            held &= (sieve.value[p >> 6] >> (p & 63) & 1).astype(bool)
+        kept = batch.filter(pa.array(held))
+        return pa.RecordBatch.from_arrays([kept.column(0), pa.array(map(make, kept.column(1).to_pylist()), pa.binary())], ["t", name])
 
     text = F.coalesce("text", F.lit(""))
-    needed = docs.select(F.xxhash64(text).alias("t"), text.alias("text")).join(ids, "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
-    return common.materialize(common.map_slices(needed, run, "t long, fingerprint binary"))
+    met = common.map_slices(docs.select(F.xxhash64(text).alias("t"), text.alias("text")), run, f"t long, {name} binary")
+    return common.materialize(met.join(ids, "t", "left_semi").dropDuplicates(["t"]))
+
+
+def _long(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """t, fingerprint of LONG minima of the texts in ids (t)."""
+    return _of_texts(ids, docs, "fingerprint", lambda text: digest(signature(shingles(text), LONG_A, LONG_B)))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -348,13 +371,8 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             out.append(both / max(1, len(g) + len(h) - both))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingles(t)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["t", "x"])
-
-    text = F.coalesce("text", F.lit(""))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
-    needed = docs.select(F.xxhash64(text).alias("t"), text.alias("text")).join(ids, "t", "left_semi")
-    of = common.materialize(common.map_slices(needed, sets, "t long, x binary").dropDuplicates(["t"]))
+    pairs = common.materialize(pairs)
+    of = _of_texts(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct(), docs, "x", lambda text: np.unique(shingles(text)).tobytes())
     beside = pairs.join(of.select(F.col("t").alias("b"), F.col("x").alias("y")), "b").join(of.select(F.col("t").alias("a"), "x"), "a").select("a", "b", "x", "y")
     return common.materialize(common.map_slices(beside, exact, "a long, b long, similarity double"))
 

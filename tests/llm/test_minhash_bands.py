@@ -4,9 +4,10 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from marketglass.llm import minhash
+from marketglass.llm import common, minhash
 
 
 def test_members_and_groups_are_those_of_brute_force(spark):
@@ -81,3 +82,19 @@ def test_query_gives_classes(spark, folder):
         up[y] = x
     assert all(root(i) == root(r.class_id) for i, r in got.items())
     assert all((r.links > 0) <= (sum(x.class_id == r.class_id for x in got.values()) > 1) for r in got.values())
+
+
+@pytest.mark.parametrize("sieve", [minhash.SIEVE, 64])
+def test_only_what_is_made_of_texts_in_doubt_is_exchanged(spark, monkeypatch, sieve):
+    monkeypatch.setattr(minhash, "SIEVE", sieve)
+    words = [" ".join(f"w{n}x{k}" for k in range(40)) for n in range(300)]
+    words += [words[0] + " more", words[7] + " again", None]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    t = {r.doc_id: r.t for r in docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).collect()}
+    pairs = spark.createDataFrame([(t[0], t[300]), (t[7], t[301]), (t[7], t[9]), (t[302], t[5])], "a long, b long")
+    plans, write = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, *a))
+    got = {(r.a, r.b): r.similarity for r in minhash._verified(pairs, docs).collect()}
+    assert got == {(t[0], t[300]): 36 / 37, (t[7], t[301]): 36 / 37, (t[7], t[9]): 0, (t[302], t[5]): 0}
+    met = [p for p in plans if "LeftSemi" in p]
+    assert met and all(p.index("LeftSemi") < p.index("MapInArrow") for p in met)
