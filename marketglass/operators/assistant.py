@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import target_price, whole_ids
+from ..sources.shared import materialize
 
 # Phrases of each intent, in order of precedence, and the words that aren't search terms.
 INTENTS = (
@@ -54,7 +55,7 @@ def entities(messages: DataFrame, products: DataFrame, most: int = 5) -> DataFra
 
     The first eight terms count (see search_terms). Each distinct term meets the distinct names that hold its rarest three
     characters (a term of two: these), so common beginnings don't bring all terms and names together. Only `most` of a
-    name's products, and of a term's, are kept: those of a message are among its terms' first ones.
+    name's products, and of a term's, are kept: those of a message are among its terms' first ones, and come as one row a term.
     """
     said = messages.select("message_id", F.explode(F.array_distinct(search_terms(F.col("text"), STOP_WORDS))).alias("term"))
     p = products.filter("is_active")
@@ -68,9 +69,13 @@ def entities(messages: DataFrame, products: DataFrame, most: int = 5) -> DataFra
     hits = rare.join(held, "k").filter(F.contains("m", "term")).select("term", "m")
     first = lambda df, key: df.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("name", "product_id"))).filter(F.col("r") <= most).drop("r")
     short = first(hits.join(first(names, "m"), "m").select("term", "product_id", "name"), "term")
-    found = said.join(short, "term").select("message_id", "product_id", "name").distinct()
-    w = Window.partitionBy("message_id").orderBy("name", "product_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("message_id", "rank", "product_id", "name")
+    # Written, so that its size is known: terms then aren't taken for larger than messages, which grow with the input.
+    short = materialize(short.groupBy("term").agg(F.collect_list(F.struct("name", "product_id")).alias("p")))
+    # Dealt out by number: rows alike are sent small, and partitions put together by what is sent would hold very many.
+    parts = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = said.join(short, "term").select("message_id", "p").repartition(parts, "message_id")
+    best = met.groupBy("message_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))), 1, most).alias("p"))
+    return best.select("message_id", F.posexplode("p").alias("at", "x")).select("message_id", (F.col("at") + 1).alias("rank"), "x.product_id", "x.name")
 
 
 def resolved(messages: DataFrame, found: DataFrame, products: DataFrame) -> DataFrame:

@@ -236,3 +236,15 @@ def test_pairs_of_products_taken_together_are_whole_and_bounded(monkeypatch):
     pieces = list(r._pieces({7: [0, 1, 2, 3, 4], 9: [5]}, {7: np.array([2, 0, 5]), 9: np.array([1])}))
     assert all(len(a) < 20 for a, _ in pieces) and len(pieces) > 1
     assert sorted((int(n), int(c)) for a, b in pieces for n, c in zip(a, b)) == sorted([(n, c) for n in range(5) for c in (0, 2, 5)] + [(5, 1)])
+
+
+def test_messages_that_share_a_term_are_dealt_out(spark):
+    p = spark.createDataFrame([(k, f"phone {k % 7}" if k % 3 else "phone", k % 5 != 0) for k in range(60)], "product_id long, name string, is_active boolean")
+    m = spark.createDataFrame([(k, "show phone" if k % 4 else f"phone 1{k}") for k in range(400)], "message_id long, text string")
+    found = assistant.entities(m, p)
+    want = sorted(((r.name, r.product_id) for r in p.filter("is_active").collect()))[:5]
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.message_id, []).append((r.rank, r.name, r.product_id))
+    assert len(got) == 400 and all(sorted(v) == [(n + 1, *x) for n, x in enumerate(want)] for v in got.values())
+    assert found.select(F.spark_partition_id().alias("part")).distinct().count() > 1
