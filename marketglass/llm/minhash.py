@@ -12,9 +12,10 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -327,54 +328,76 @@ def _compared(rows: DataFrame, threshold: float, partners: int, width: int, doub
     return rows.repartition(parts, "key").sortWithinPartitions("key", "other", "t").mapInArrow(run, "key long, a long, b long, sure boolean")
 
 
-def _of_texts(ids: DataFrame, docs: DataFrame, name: str, make: Callable[[str], bytes]) -> DataFrame:
-    """t, name: what make gives for the texts in ids (t, distinct).
+def _sieve(ids: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """A test whether ids (t, distinct and written) may hold numbers, by two bits a number, which rows pass where they are read.
 
-    Whole texts pass no exchange: a sieve of two bits an id leaves those that ids may hold where they are read, and what
-    make gives for these meets ids. A sieve has at least 32 bits an id, which a text outside passes with a chance of
-    1/256; it stops growing at SIEVE, from where on more pass, and still all in ids.
+    It has at least 32 bits an id, so a number outside passes with a chance of 1/256; it stops growing at SIEVE, from where
+    on more pass, and still all in ids.
     """
-    ids = common.materialize(ids)
     size = min(SIEVE, max(1 << 10, 1 << (32 * ids.count() - 1).bit_length()))
     places = ids.select(F.explode(F.array(F.col("t").bitwiseAND(size - 1), F.shiftrightunsigned("t", 32).bitwiseAND(size - 1))).alias("p"))
     set_ = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("x")).toArrow()
     bits = np.zeros(size >> 6, np.int64)
     bits[set_.column("w").to_numpy()] = set_.column("x").to_numpy()
-    sieve = docs.sparkSession.sparkContext.broadcast(bits)
+    sieve = ids.sparkSession.sparkContext.broadcast(bits)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        t = batch.column(0).to_numpy()
-        held = np.ones(len(t), bool)
+    def held(t: np.ndarray) -> np.ndarray:
+        found = np.ones(len(t), bool)
         for p in (t & (size - 1), t >> 32 & (size - 1)):
-            held &= (sieve.value[p >> 6] >> (p & 63) & 1).astype(bool)
-        kept = batch.filter(pa.array(held))
+            found &= (sieve.value[p >> 6] >> (p & 63) & 1).astype(bool)
+        return found
+
+    return held
+
+
+def _may_be_in(ids: DataFrame, t: Column) -> Column:
+    """Whether ids (t, distinct and written) may hold t (see _sieve). Only t goes to Python."""
+    held = _sieve(ids)
+
+    @F.pandas_udf("boolean")
+    def test(t: pd.Series) -> pd.Series:
+        return pd.Series(held(t.to_numpy()))
+
+    return test(t)
+
+
+def _of_texts(ids: DataFrame, docs: DataFrame, name: str, make: Callable[[str], bytes]) -> DataFrame:
+    """t, name: what make gives for the texts in ids (t, distinct). Whole texts pass no exchange: a sieve leaves those that
+    ids may hold where they are read, and what make gives for these meets ids."""
+    ids = common.materialize(ids)
+    held = _sieve(ids)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kept = batch.filter(pa.array(held(batch.column(0).to_numpy())))
         return pa.RecordBatch.from_arrays([kept.column(0), pa.array(map(make, kept.column(1).to_pylist()), pa.binary())], ["t", name])
 
     text = F.coalesce("text", F.lit(""))
     met = common.map_slices(docs.select(F.xxhash64(text).alias("t"), text.alias("text")), run, f"t long, {name} binary")
-    return common.materialize(met.join(ids, "t", "left_semi").dropDuplicates(["t"]))
+    return met.join(ids, "t", "left_semi").dropDuplicates(["t"])
 
 
 def _long(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """t, fingerprint of LONG minima of the texts in ids (t)."""
-    return _of_texts(ids, docs, "fingerprint", lambda text: digest(signature(shingles(text), LONG_A, LONG_B)))
+    return common.materialize(_of_texts(ids, docs, "fingerprint", lambda text: digest(signature(shingles(text), LONG_A, LONG_B))))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b, similarity: the exact Jaccard similarity of the pairs' shingle sets."""
 
-    def exact(batch: pa.RecordBatch) -> pa.RecordBatch:
+    @F.pandas_udf("double")
+    def exact(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            g, h = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+        for g, h in zip(x, y):
+            g, h = np.frombuffer(g, np.uint32), np.frombuffer(h, np.uint32)
             both = len(np.intersect1d(g, h, assume_unique=True))
             out.append(both / max(1, len(g) + len(h) - both))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
+        return pd.Series(out, dtype=float)
 
     pairs = common.materialize(pairs)
     of = _of_texts(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct(), docs, "x", lambda text: np.unique(shingles(text)).tobytes())
-    beside = pairs.join(of.select(F.col("t").alias("b"), F.col("x").alias("y")), "b").join(of.select(F.col("t").alias("a"), "x"), "a").select("a", "b", "x", "y")
-    return common.materialize(common.map_slices(beside, exact, "a long, b long, similarity double"))
+    # The exchange by which copies are dropped serves both joins: a set passes it once, and once more for each pair.
+    beside = pairs.join(of.select(F.col("t").alias("b"), F.col("x").alias("y")), "b").join(of.select(F.col("t").alias("a"), "x"), "a")
+    return common.materialize(beside.select("a", "b", exact("x", "y").alias("similarity")))
 
 
 def _links(per: DataFrame, rows: DataFrame, docs: DataFrame, threshold: float, chunk: int, partners: int) -> DataFrame:
@@ -386,7 +409,8 @@ def _links(per: DataFrame, rows: DataFrame, docs: DataFrame, threshold: float, c
     may be sent.
     """
     members = common.materialize(_members(per.select(F.explode("bands").alias("band"), F.col("text_hash").alias("t")), chunk))
-    prints = rows.select(F.col("text_hash").alias("t"), "fingerprint").join(members.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.first("fingerprint").alias("fingerprint"))
+    met = common.materialize(members.select("t").distinct())
+    prints = rows.select(F.col("text_hash").alias("t"), "fingerprint").filter(_may_be_in(met, F.col("t"))).join(met, "t", "left_semi").groupBy("t").agg(F.first("fingerprint").alias("fingerprint"))
     grouped = _groups(members).join(prints, "t").select("key", "t", "fingerprint", F.col("t").alias("root"), F.lit(None).cast("long").alias("other"))
     found: DataFrame | None = None
     told: DataFrame | None = None
@@ -444,8 +468,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, chunk: int = CHUNK,
 
 
 def _in_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    j = rows.join(classes.withColumn("known", F.lit(True)), "text_hash", "left")
-    return j.withColumns({"class_id": F.when(F.col("known"), F.col("class_id")).otherwise(F.col("doc_id")), "links": F.coalesce("links", F.lit(0).cast("long"))})
+    """rows with class_id and links of classes (written). Only rows of texts that classes may hold pass an exchange."""
+    may = _may_be_in(classes.select(F.col("text_hash").alias("t")), F.col("text_hash"))
+    none = F.lit(0).cast("long")
+    j = rows.filter(may).join(classes.withColumn("known", F.lit(True)), "text_hash", "left").withColumns({"class_id": F.when(F.col("known"), F.col("class_id")).otherwise(F.col("doc_id")), "links": F.coalesce("links", none)})
+    return j.drop("known").unionByName(rows.filter(~may).withColumns({"class_id": F.col("doc_id"), "links": none}))
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,3 +98,34 @@ def test_only_what_is_made_of_texts_in_doubt_is_exchanged(spark, monkeypatch, si
     assert got == {(t[0], t[300]): 36 / 37, (t[7], t[301]): 36 / 37, (t[7], t[9]): 0, (t[302], t[5]): 0}
     met = [p for p in plans if "LeftSemi" in p]
     assert met and all(p.index("LeftSemi") < p.index("MapInArrow") for p in met)
+
+
+def test_only_rows_of_texts_in_classes_are_exchanged(spark, monkeypatch):
+    """Rows outside classes get theirs where they are read; a sieve that lets others through gives the same."""
+    rows = common.materialize(spark.range(400).select(F.col("id").alias("doc_id"), F.xxhash64(F.col("id") % 390).alias("text_hash"), F.repeat(F.lit("x"), 500).alias("wide")))
+    classes = common.materialize(rows.filter("doc_id < 10").select("text_hash", (F.col("doc_id") % 5).alias("class_id"), F.lit(3).cast("long").alias("links")))
+    expected = {n: (n % 390 % 5, 3) if n % 390 < 10 else (n, 0) for n in range(400)}
+    for sieve in (minhash.SIEVE, 64):
+        monkeypatch.setattr(minhash, "SIEVE", sieve)
+        found = minhash._in_class(rows, classes)
+        assert {r.doc_id: (r.class_id, r.links) for r in found.collect()} == expected
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEvalPython" in plan[plan.index("Join LeftOuter") :].split("Relation")[0]
+
+
+def test_sets_of_texts_pass_one_exchange_for_both_sides_of_pairs(spark, monkeypatch):
+    words = [" ".join(f"w{n}x{k}" for k in range(40)) for n in range(30)]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    t = [r.t for r in docs.select(F.xxhash64("text").alias("t")).collect()]
+    pairs = spark.createDataFrame([(t[n], t[n + 1]) for n in range(29)], "a long, b long")
+    plans, write = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan()) or write(df, *a))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = minhash._verified(pairs, docs).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(got) == 29 and all(r.similarity == 0 for r in got)
+    met = [p for p in map(str, (p.toString() for p in plans)) if "similarity" in p]
+    assert len(met) == 1 and met[0].count("MapInArrow") == 1 and "ReusedExchange" in met[0]
