@@ -44,13 +44,21 @@ def captures_json(spark: SparkSession, path: str, stream: bool = False) -> DataF
 SENT = "capture_id long, platform string, title string, price string, currency string, scraped_at string"
 
 
-def capture_rules() -> dict[str, Column]:
+def sent_price() -> Column:
+    return F.col("price").try_cast("decimal(20,6)")
+
+
+def sent_time() -> Column:
+    return F.try_to_timestamp("scraped_at")
+
+
+def capture_rules(price: Column | None = None, at: Column | None = None) -> dict[str, Column]:
     """The contract of a sent capture (columns SENT): names, a price above 0 with at most two digits behind the point, the
-    currency served, and a time with its offset."""
-    price = F.col("price").try_cast("decimal(20,6)")
+    currency served, and a time with its offset. price, at: columns that hold sent_price and sent_time already."""
+    price, at = sent_price() if price is None else price, sent_time() if at is None else at
     return {
         "platform": F.trim("platform") != "", "title": F.length(F.trim("title")).between(1, 500), "price": (price > 0) & (price == F.round(price, 2)), "currency": F.upper(F.trim("currency")) == "PKR",
-        "offset": F.col("scraped_at").endswith("Z") | F.col("scraped_at").rlike(r"[+-]\d{2}:?\d{2}$"), "time": F.try_to_timestamp("scraped_at").isNotNull(),
+        "offset": F.col("scraped_at").endswith("Z") | F.col("scraped_at").rlike(r"[+-]\d{2}:?\d{2}$"), "time": at.isNotNull(),
     }
 
 

@@ -204,3 +204,19 @@ def test_the_first_batch_reads_its_captures_once_and_deals_out_broken_ones(spark
     assert [r.broken for r in lost] == [["platform", "title", "price", "currency", "offset", "time"]] * 5
     as_sent = {(r.capture_id, r.price, r.scraped_at) for r in done.table("quarantine").filter("platform is not null").collect()}
     assert as_sent and as_sent <= {(r[0], r[7], r[10]) for r in rows}
+
+
+def test_a_batch_parses_each_capture_once_and_writes_no_history_of_its_own(spark, tmp_path):
+    rows = sent(80, 4) + [(500 + k, "a", "e1", 1, f"s{k % 7}", f"S{k}", "item", "5.00", "PKR", True, at(50 + k // 9).isoformat() + "Z") for k in range(60)]
+    df = spark.createDataFrame(rows, ingest.SENT)
+    done = ingest.Ingest(spark, str(tmp_path / "out"), *tables(spark))
+    plan = done.checked(df, 0, False)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_to_timestamp") + plan.count("gettimestamp") + plan.count("cast(scraped_at") <= 1
+    done.batch(df, 0)
+    assert not (tmp_path / "out" / "history").exists()
+    accepted = done.table("outcomes").filter("outcome = 'accepted'").select(*ingest.names("history")).collect()
+    assert accepted and sorted(map(tuple, done.table("history").drop("batch").collect())) == sorted(map(tuple, accepted))
+    want = {}
+    for r in sorted(done.table("outcomes").filter("outcome = 'accepted' and seller_key is not null").collect(), key=lambda r: (r.captured_at, r.capture_id)):
+        want[r.platform, r.seller_key] = (r.seller_name.strip(), r.external_seller_id, r.captured_at, r.capture_id)
+    assert {(r.platform, r.seller_key): (r.seller_name, r.external_seller_id, r.captured_at, r.capture_id) for r in done.table("sellers").collect()} == want
