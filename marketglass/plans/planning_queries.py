@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import anomalies, demand, graph, inventory, recommend
 from ..sources import tables as t
+from ..sources.shared import materialize
 from .registry import query
 
 #: The first line of an order is a delivery of three times its quantity, the others are sales.
@@ -62,7 +63,7 @@ def demand_forecast(spark, d):
 
 @query()
 def recommended_products(spark, d):
-    weights = recommend.tastes(t.sales(spark, d))
+    weights = materialize(recommend.tastes(t.sales(spark, d)))
     return recommend.recommended(recommend.fit(weights), weights)
 
 

@@ -215,3 +215,64 @@ def test_recommendations_by_blocks(spark):
         assert recommend.fit(weights, rank=4, rounds=1).userFactors.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_factors_by_pieces_equal_plain_rounds(spark):
+    """Pieces go by the number of weights, not by cores, a customer with more than a piece has one alone, and what comes
+    out is the factorization that plain loops give."""
+    rng = random.Random(9)
+    rows = [(u, rng.randrange(40), rng.randrange(1, 5)) for u in range(80) for _ in range(7)] + [(200, p, 1 + p % 3) for p in range(40)]
+    weights = recommend.tastes(spark.createDataFrame(rows, "org_id long, product_id long, quantity int"))
+    for table, longest in ((recommend._pieces(weights, "org_id", "product_id", 3, 24), 40), (recommend._pieces(weights, "product_id", "org_id", 3, 24), 24)):
+        sizes = [(len(r.ids) // 4, len(r.weights) // 4) for r in spark.read.parquet(table.path).collect()]
+        assert (1, 40) in sizes or longest == 24
+        assert sum(n for _, n in sizes) == weights.count() and len(sizes) > 2 * spark.sparkContext.defaultParallelism
+        assert all(n <= 24 or ids == 1 for ids, n in sizes) and max(n for _, n in sizes) <= longest
+    model = recommend.fit(weights, rank=4, rounds=3, strength=10.0, piece=16)
+    assert len(model.users.files) > 2 * spark.sparkContext.defaultParallelism
+    got_users, got_items = ({r.id: r.features for r in f.collect()} for f in (model.userFactors, model.itemFactors))
+    w = {(r.org_id, r.product_id): r.weight for r in weights.collect()}
+    assert set(got_users) == {u for u, _ in w} and set(got_items) == {p for _, p in w}
+
+    def solve(ids, others, pairs):
+        gram = sum(np.outer(x, x) for x in others.values())
+        out = {}
+        for i in ids:
+            mine = [(others[o], 10.0 * v) for (t, o), v in pairs.items() if t == i]
+            a = gram + sum(c * np.outer(x, x) for x, c in mine) + 0.05 * len(mine) * np.eye(4)
+            out[i] = np.linalg.solve(a, sum((1 + c) * x for x, c in mine))
+        return out
+
+    users = {u: recommend._started(np.array([u]), 4, 7)[0] for u in got_users}
+    for _ in range(3):
+        items = solve(got_items, users, {(p, u): v for (u, p), v in w.items()})
+        users = solve(got_users, items, w)
+    assert all(np.allclose(got_users[u], x, rtol=1e-3, atol=1e-4) for u, x in users.items())
+    assert all(np.allclose(got_items[p], x, rtol=1e-3, atol=1e-4) for p, x in items.items())
+
+
+@pytest.mark.parametrize("most", [1, 7, 1 << 16])
+def test_targets_with_more_weights_than_fit_at_once(most):
+    rng = np.random.default_rng(10)
+    counts = np.array([1, 1, 3, 20, 20, 50])
+    x, w, gram = rng.normal(size=(95, 3)).astype(np.float32), rng.normal(size=95).astype(np.float32), np.eye(3)
+    found, at = recommend._solved(counts, x, w, gram, 2.0, 0.1, most), 0
+    for n, mine in zip(counts, found):
+        y, c, liked = x[at : at + n].astype(float), 2.0 * np.abs(w[at : at + n].astype(float)), w[at : at + n] > 0
+        assert np.allclose(mine, np.linalg.solve(gram + (y.T * c) @ y + 0.1 * liked.sum() * np.eye(3), y.T @ ((1 + c) * liked)))
+        at += n
+
+
+def test_best_among_products_of_equal_length(spark):
+    """No bound rules anything out, blocks hold many ties, and few products are fewer than asked for."""
+    rows = [(u, p, 1) for u in range(30) for p in range(70)]
+    weights = recommend.tastes(spark.createDataFrame(rows, "org_id long, product_id long, quantity int"))
+    model = recommend.fit(weights, rank=4, rounds=2)
+    user, item = ({r.id: np.array(r.features) for r in f.collect()} for f in (model.userFactors, model.itemFactors))
+    got = recommend.recommended(model, weights, 5, block=50).collect()
+    for u, f in user.items():
+        mine = sorted((r["rank"], r.score) for r in got if r.org_id == u)
+        assert [k for k, _ in mine] == [1, 2, 3, 4, 5]
+        assert np.allclose([s for _, s in mine], sorted((float(f @ g) for g in item.values()), reverse=True)[:5], atol=1e-5)
+    few = recommend.tastes(spark.createDataFrame([(u, p, 1) for u in range(4) for p in range(3)], "org_id long, product_id long, quantity int"))
+    assert recommend.recommended(recommend.fit(few, rank=2, rounds=1), few, 5).count() == 12
