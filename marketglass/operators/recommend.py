@@ -297,9 +297,11 @@ def recommended(model: Model, weights: DataFrame, k: int = 5, block: int = 4096)
                     width = s.shape[1] // (8 * k)
                     tops = s[:, : width * 8 * k].reshape(len(s), 8 * k, width).max(axis=2) if width > 1 else s
                     bound = np.maximum(bound, np.partition(tops, -k, axis=1)[:, -k])
-                r, c = np.nonzero(s >= bound[:, None])
-                if not len(r):
+                some = np.flatnonzero(s.max(axis=1) >= bound)
+                if not len(some):
                     continue
+                rows, s, bound = rows[some], s[some], bound[some]
+                r, c = np.divmod(np.flatnonzero(s >= bound[:, None]), s.shape[1])
                 hit = np.unique(r)
                 rr = np.concatenate([r, np.repeat(hit, k)])
                 ss = np.concatenate([s[r, c], score[rows[hit]].ravel()])
