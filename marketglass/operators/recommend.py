@@ -105,7 +105,8 @@ def _pieces(weights: DataFrame, target: str, source: str, parts: int, piece: int
             yield from whole(*(np.concatenate(x) for x in zip(*held)))
 
     by = weights.select(target, source, "weight").repartitionByRange(parts, target).sortWithinPartitions(target)
-    return _keep(by.mapInArrow(pack, "ids binary, counts binary, sources binary, places binary, weights binary"), "zstd")
+    # Every piece opens all files of the other side's factors, so there are no more of them than parts asked for.
+    return _keep(by.mapInArrow(pack, "ids binary, counts binary, sources binary, places binary, weights binary").coalesce(parts), "zstd")
 
 
 FACTORS = "ids binary, factors binary, gram binary"
